@@ -62,3 +62,17 @@ def running(df: DataFrame, group: list[str], order_hash: str, ties: list[str], v
     match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
     joined = local.join(offsets, on=match, how="inner")
     return joined.withColumn(out, F.col("_offset") + F.col("_local")).drop("_value", "_local", "_offset", "_range", *[f"_{c}" for c in on])
+
+
+def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, seed: int = 11) -> DataFrame:
+    """At most ``per_label`` rows of each label, chosen by a hash of ``key``, so that reruns choose the same.
+
+    Rows beyond a hash threshold, set from the counts so that a little more than enough pass, drop out on the map
+    side; only those that pass are ranked. Labels with few rows are taken whole. The counts have a row a label.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), (F.lit(1.3 * per_label + 100)) / F.col("_n"))
+    spin = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_spin")
+    passed = rows.select("*", spin).join(counts.select(F.col(label).alias("_label"), share.alias("_share")), F.col(label) == F.col("_label")).where("_spin < _share")
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_spin", key))
+    return passed.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_spin", "_share", "_label", "_rank")

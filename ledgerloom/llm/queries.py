@@ -15,6 +15,19 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -40,7 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op6_pii, op7_exact_dedup, op9_curriculum_mix, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_language_id, op5_toxicity, op6_pii, op7_exact_dedup, op9_curriculum_mix, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
