@@ -76,3 +76,45 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, seed:
     passed = rows.select("*", spin).join(counts.select(F.col(label).alias("_label"), share.alias("_share")), F.col(label) == F.col("_label")).where("_spin < _share")
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_spin", key))
     return passed.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_spin", "_share", "_label", "_rank")
+
+
+def runs_of(batches, keys: int):
+    """Whole groups of a sorted partition: (table, starts, ends) with rows that agree in the first ``keys`` columns together.
+
+    The last group of a batch waits for the next one, so a group is never cut; callers bound the size of groups.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    waiting = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if waiting is None else [*waiting.to_batches(), batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        for k in range(keys):
+            column = table.column(k).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(np.r_[True, new[1:]])
+        last = int(starts[-1])
+        if last:
+            yield table, starts[:-1], np.r_[starts[1:-1], last]
+        waiting = table.slice(last)
+    if waiting is not None and waiting.num_rows:
+        yield waiting.combine_chunks(), np.array([0]), np.array([waiting.num_rows])
+
+
+def smallest_reachable(n: int, a, b):
+    """For nodes 0..n-1 with links a-b: the smallest node that each one reaches (arrays)."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

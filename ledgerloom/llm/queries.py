@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secrets
 
@@ -53,9 +59,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_language_id, op5_toxicity, op6_pii, op7_exact_dedup, op9_curriculum_mix, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_secret_scan, op4_language_id, op5_toxicity, op6_pii, op7_exact_dedup, op9_curriculum_mix, op10_best_fit_packing)}
 
 ORACLE_SQL = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS seen FROM embeddings
+            UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+        ), parts AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+        FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN parts p ON p.node = e.vec_id
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
