@@ -11,6 +11,7 @@ pairs never leave the task: a task returns counts and each vector's smallest par
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, log, log2, pi
 
 import numpy as np
@@ -30,6 +31,7 @@ PART = 1024
 SEED = 20240
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
     """The first ``dim`` columns of a random rotation of ``bits`` dimensions (of ``dim``, if that is more)."""
     side = max(bits, dim)
@@ -54,14 +56,13 @@ def banding(n: int, threshold: float, recall: float = RECALL, bits: int = CODE_B
 
 def _coded(classes: DataFrame, bands: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations: dict[int, np.ndarray] = {}
         powers = 1 << np.arange(bands.shape[1], dtype=np.int64)
         for batch in batches:
             dims = np.array([len(v) for v in batch.column(1)])
             for dim in np.unique(dims):
                 rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 x = unit(np.asarray(rows.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(rows), dim))
-                turn = rotations.setdefault(int(dim), rotation(int(dim), CODE_BITS))
+                turn = rotation(int(dim), CODE_BITS)
                 o = x.astype(np.float32) @ turn.T
                 signs = o > 0
                 factor = np.abs(o).sum(1) / np.sqrt(o.shape[1])
@@ -78,7 +79,6 @@ def _links_in_parts(threshold: float):
     """Count links within the parts of buckets; rows: band, key, left, right, part, cls, many, factor, code, keys, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotations: dict[int, np.ndarray] = {}
         for table, starts, ends in runs_of(batches, 4):
             band = table.column("band").to_numpy()
             left, right, part = (table.column(c).to_numpy() for c in ("left", "right", "part"))
@@ -94,7 +94,7 @@ def _links_in_parts(threshold: float):
                 dim, same = int(dims[s]), np.arange(s, e)
                 x = unit(np.stack([values[at[r] : at[r + 1]] for r in same]))
                 bits = np.stack([np.frombuffer(code[int(r)].as_py(), np.uint8) for r in same])
-                turn = rotations.setdefault(dim, rotation(dim, CODE_BITS))
+                turn = rotation(dim, CODE_BITS)
                 o = x.astype(np.float32) @ turn.T
                 width = o.shape[1]
                 signs = np.unpackbits(bits, axis=1)[:, :width].astype(np.float32) * 2 - 1
@@ -104,12 +104,16 @@ def _links_in_parts(threshold: float):
                 hopeful = estimate + BOUND * error[:, None] >= threshold
                 one = np.flatnonzero(part[same] == left[s])
                 two = one if left[s] == right[s] else np.flatnonzero(part[same] == right[s])
-                a, b = np.nonzero(hopeful[np.ix_(one, two)])
-                a, b = one[a], two[b]
-                if left[s] == right[s]:
-                    a, b = a[a < b], b[a < b]
                 k, mine = int(band[s]), keys[same]
-                for earlier in range(k):
+                open_pairs = hopeful[np.ix_(one, two)]
+                if left[s] == right[s]:
+                    open_pairs = np.triu(open_pairs, 1)
+                many_open = open_pairs.sum() > 4096
+                for earlier in range(k if many_open else 0):
+                    open_pairs &= mine[one, earlier][:, None] != mine[two, earlier]
+                a, b = np.nonzero(open_pairs)
+                a, b = one[a], two[b]
+                for earlier in range(0 if many_open else k):
                     if not len(a):
                         break
                     fresh = mine[a, earlier] != mine[b, earlier]
@@ -157,7 +161,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     spots = spots.select("cls", "band", "key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part")
     rows = spots.join(coded.select("cls", "many", "factor", "code", "keys", "vec"), "cls").select("band", "key", "left", "right", "part", "cls", "many", "factor", "code", "keys", "vec")
     group = ["band", "key", "left", "right"]
-    found = materialise(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links_in_parts(threshold), "cls long, links long, low long"), "op2-links")
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows are few for the work they make
+    found = materialise(rows.repartition(tasks, *group).sortWithinPartitions(*group).mapInArrow(_links_in_parts(threshold), "cls long, links long, low long"), "op2-links")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("cls").alias("a"), F.col("low").alias("b")), "op2").withColumnRenamed("node", "cls")
     reached = classes.select("cls", "first").join(parts, "cls").groupBy("component").agg(F.min("first").alias("component_id"))
