@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_dedup import near_vectors
 
@@ -59,9 +65,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op3_secret_scan, op4_language_id, op5_toxicity, op6_pii, op7_exact_dedup, op9_curriculum_mix, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_secret_scan, op4_language_id, op5_toxicity, op6_pii, op7_exact_dedup, op9_curriculum_mix, op10_best_fit_packing)}
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS words FROM documents),
+        g AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS gram
+            FROM w WHERE len(words) > 0
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        pairs AS (
+            SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE c >= 0.8 * (x.n + y.n - c)
+        ), reach AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON p.a = r.seen),
+        parts AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n, min(b) FILTER (WHERE same) AS twin FROM pairs GROUP BY a)
+        SELECT d.doc_id, least(d.doc_id, coalesce(c.twin, d.doc_id)) AS class_id, p.component_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, d.doc_id = p.component_id AS kept
+        FROM documents d LEFT JOIN counts c ON c.a = d.doc_id LEFT JOIN parts p ON p.node = d.doc_id
+    """,
     "op2_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
