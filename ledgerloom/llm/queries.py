@@ -52,6 +52,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .curriculum_mix import mix
 
@@ -65,7 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_secret_scan, op4_language_id, op5_toxicity, op6_pii, op7_exact_dedup, op9_curriculum_mix, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_embedding_near_dedup, op3_secret_scan, op4_language_id, op5_toxicity, op6_pii, op7_exact_dedup, op8_suffix_array_dedup, op9_curriculum_mix, op10_best_fit_packing)}
 
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": r"""
