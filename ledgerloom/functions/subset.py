@@ -1,0 +1,68 @@
+"""Subset sums as the matching rules ask for them, and the scores of groups."""
+
+from __future__ import annotations
+
+import re
+
+from .similarity import ratio
+
+_NOISE = re.compile(r"[\s,，。；;：:/\\()\[\]（）【】\-_=+]")
+
+
+def subset_sum(amounts: list[int], target: int, tolerance: int = 0, most: int = 6, least: int = 2, steps: int = 2_000_000) -> list[int]:
+    """Places of the first subset, going depth first over falling amounts (ties in the given order), whose sum is within
+    ``tolerance`` of ``target``; empty if there is none within ``steps`` nodes. Branches whose sum cannot be reached,
+    or is passed, are left out, which does not change what is found first."""
+    order = sorted((k for k, a in enumerate(amounts) if a > 0), key=lambda k: -amounts[k])
+    values = [amounts[k] for k in order]
+    ahead = [0]
+    for v in values:
+        ahead.append(ahead[-1] + v)
+    chosen: list[int] = []
+    seen = 0
+
+    def go(start: int, total: int) -> bool:
+        nonlocal seen
+        seen += 1
+        if seen > steps:
+            return False
+        if len(chosen) >= least and abs(total - target) <= tolerance:
+            return True
+        if len(chosen) >= most or total > target + tolerance:
+            return False
+        room = most - len(chosen)
+        for k in range(start, len(values)):
+            if total + ahead[min(k + room, len(values))] - ahead[k] < target - tolerance:
+                return False
+            if total + values[k] > target + tolerance:
+                continue
+            chosen.append(order[k])
+            if go(k + 1, total + values[k]):
+                return True
+            chosen.pop()
+            if seen > steps:
+                return False
+        return False
+
+    return list(chosen) if go(0, 0) else []
+
+
+def normalized(text: str) -> str:
+    return _NOISE.sub("", text.lower())
+
+
+def unique_joined(values) -> str:
+    return " | ".join(dict.fromkeys(v.strip() for v in values if v and v.strip()))
+
+
+def pair_score(cent_diff: int, day_diff: int, one: str, two: str, tolerance: int, days: int) -> float:
+    near = 0.52 * max(0.0, 1 - cent_diff / (tolerance + 1)) + 0.25 * max(0.0, 1 - day_diff / (days + 1))
+    return round(near + 0.23 * ratio(one, two), 4)
+
+
+def group_score(banks: list, ledgers: list, tolerance: int, days: int) -> float:
+    """Score of a group of rows with cents, day (ordinal) and label: amounts, mean of nearest days, and text."""
+    amount = max(0.0, 1 - abs(sum(b.cents for b in banks) - sum(g.cents for g in ledgers)) / (tolerance + 1))
+    dates = [max(0.0, 1 - min(abs(b.day - g.day) for g in ledgers) / (days + 1)) for b in banks]
+    said = ratio(normalized(unique_joined(b.label for b in banks)), normalized(unique_joined(g.label for g in ledgers)))
+    return round(0.55 * amount + 0.25 * sum(dates) / len(dates) + 0.20 * said, 4)
