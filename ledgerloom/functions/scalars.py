@@ -130,7 +130,7 @@ def as_bool(x) -> Column:
 
 
 def split_ids(x) -> Column:
-    return F.filter(F.transform(F.split(text(x), r"[|]"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(text(x), r"[|]"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def is_fee(summary, description, counterparty, amount_cents) -> Column:
