@@ -27,6 +27,9 @@ VIEWS = {
         CASE WHEN o_orderkey % 7 = 3 AND p = 1 THEN CAST(floor(({{cents}}) * 0.6) AS BIGINT) WHEN o_orderkey % 7 = 3 THEN {{cents}} - CAST(floor(({{cents}}) * 0.6) AS BIGINT) ELSE {{cents}} + CASE WHEN o_orderkey % 50 = 1 THEN 1 ELSE 0 END END AS amount_cents,
         {_NAME.format(k='(o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)')} AS counterparty_name, CASE WHEN o_orderkey % 211 = 1 THEN '资金调拨' ELSE '' END AS summary, CASE WHEN o_orderkey % 211 = 1 THEN '银行存款' ELSE '' END AS subject
         FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey CROSS JOIN (SELECT 1 AS p UNION ALL SELECT 2 AS p) parts WHERE o_orderkey % 10 <> 0 AND (p = 1 OR o_orderkey % 7 = 3)""",
+    "day_ledger": f"""SELECT concat('D', o_orderkey, '-', p) AS entry_id, o_orderkey * 2 + p AS ord, CASE WHEN o_orderkey % 97 = 5 THEN '' ELSE lpad(CAST(c_nationkey % 5 AS STRING), 10, '6') END AS account_no, {_BANK_NAME} AS bank_name, CAST(o_orderdate AS DATE) AS transaction_date,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'in' ELSE 'out' END AS flow, CASE WHEN p = 1 THEN CAST(floor(({{cents}}) * 0.6) AS BIGINT) ELSE {{cents}} - CAST(floor(({{cents}}) * 0.6) AS BIGINT) END AS amount_cents, {_NAME.format(k='o_custkey')} AS counterparty_name, '' AS summary, '' AS subject
+        FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey CROSS JOIN (SELECT 1 AS p UNION ALL SELECT 2 AS p) parts""",
     "fee_bank": "SELECT concat('F', event_id) AS txn_id, event_id AS ord, CAST(user_id AS STRING) AS account_no, '' AS bank_name, CAST(ts AS DATE) AS transaction_date, 'out' AS flow, CAST(round(value * 10) AS BIGINT) AS amount_cents, '' AS counterparty_name, '手续费' AS summary, '' AS description FROM {events} WHERE event_type = 'click' AND value <= 300",
     "fee_ledger": """SELECT concat('G', user_id, '-', month) AS entry_id, user_id AS ord, CAST(user_id AS STRING) AS account_no, '' AS bank_name, last_day(min(day)) AS transaction_date, 'out' AS flow,
         CAST(sum(cents) - CASE WHEN user_id % 3 = 0 THEN max(cents) ELSE 0 END + CASE WHEN user_id % 5 = 0 THEN 7 ELSE 0 END AS BIGINT) AS amount_cents, '' AS counterparty_name, '手续费' AS summary, '' AS subject

@@ -107,7 +107,7 @@ _KEYED = "SELECT regexp_replace(account_no, '[^0-9]', '', 'g') AS account_no, st
 _CHECK = _BOTH + f", b AS ({_KEYED.format('bank')}), g AS ({_KEYED.format('ledger')})" + """, chk AS (SELECT coalesce(b.account_no, g.account_no) AS account_no, coalesce(b.month, g.month) AS month, coalesce(b.flow, g.flow) AS flow, coalesce(b.n, 0) AS bank_count, coalesce(b.total_cents, 0) AS bank_cents,
     coalesce(g.n, 0) AS ledger_count, coalesce(g.total_cents, 0) AS ledger_cents, coalesce(b.total_cents, 0) - coalesce(g.total_cents, 0) AS diff_cents, CASE WHEN abs(coalesce(b.total_cents, 0) - coalesce(g.total_cents, 0)) <= 1 THEN 'ok' ELSE 'mismatch' END AS status
     FROM b FULL JOIN g ON b.account_no = g.account_no AND b.month = g.month AND b.flow = g.flow)"""
-_RATES = ", rates AS (SELECT account_no, strftime(transaction_date, '%Y-%m') AS month, flow, round(count(*) FILTER (WHERE ord % 3 = 0) / count(*), 6) AS match_rate FROM bank GROUP BY ALL)"
+_RATES = ", rates AS (SELECT account_no, strftime(transaction_date, '%Y-%m') AS month, flow, round(count(*) FILTER (WHERE amount_cents <= 20000000) / count(*), 6) AS match_rate FROM bank GROUP BY ALL)"
 
 
 def _bank(spark, d, cents=SPARSE):
@@ -130,13 +130,13 @@ def flow_check(spark, d):
 
 def _rated(spark, d):
     bank = _bank(spark, d)
-    return reports.flow_check(bank, _ledger(spark, d), 1_000_000, reports.match_rates(bank, bank.where("ord % 3 = 0").select("txn_id")))
+    return reports.flow_check(bank, _ledger(spark, d), 1_000_000, reports.match_rates(bank, bank.where("amount_cents <= 20000000").select("txn_id")))
 
 
 @query(_CHECK + _RATES + " SELECT account_no, month, flow, match_rate FROM rates")
 def match_rate(spark, d):
     bank = _bank(spark, d)
-    return reports.match_rates(bank, bank.where("ord % 3 = 0").select("txn_id"))
+    return reports.match_rates(bank, bank.where("amount_cents <= 20000000").select("txn_id"))
 
 
 @query(_CHECK.replace("<= 1 THEN", "<= 1000000 THEN") + _RATES + """ SELECT flow, count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status <> 'ok') AS mismatch,
@@ -229,13 +229,10 @@ _DAILY = """, bb AS (SELECT transaction_date AS day, flow, account_no, count(*)
     SELECT array_to_string(banks, '|') AS bank_ids, array_to_string(ledgers, '|') AS ledger_ids FROM bb JOIN ll USING (day, flow, account_no) WHERE nb > 1 AND nl > 1 AND abs(sb - sl) <= 1 AND account_no <> ''"""
 
 
-@query(ctes("bank", "ledger") + ", near AS (SELECT entry_id, ord, account_no, flow, amount_cents, least(transaction_date, (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey = (ord - 1) // 2)) AS transaction_date FROM ledger WHERE ord % 2 = 1)" + _DAILY)
+@query(ctes("bank", "day_ledger") + ", near AS (SELECT * FROM day_ledger)" + _DAILY)
 def daily_many_to_many(spark, d):
-    # Entries on the day of their order, so that days have equal totals; accounts only, as no blank account has two rows.
-    bank, ledger = _records(spark, d)
-    day = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("own"))
-    near = ledger.where("ord % 2 = 1").join(day, F.expr("(ord - 1) div 2") == F.col("k")).withColumn("day", F.least("day", "own")).drop("k", "own")
-    out = matching.daily_many_to_many(bank.where("account <> ''"), near)
+    bank, _ = _records(spark, d)
+    out = matching.daily_many_to_many(bank.where("account <> ''"), pairs.to_records(view(spark, d, "day_ledger"), "ledger"))
     return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"))
 
 
@@ -263,7 +260,7 @@ def many_to_one(spark, d):
 @query()
 def cleanup(spark, d):
     bank, ledger = _records(spark, d)
-    return matching.cleanup(bank.where("ord % 23 = 3"), ledger.where("(ord - 1) div 2 % 23 = 3"))
+    return matching.cleanup(bank, ledger)
 
 
 @query()

@@ -50,9 +50,9 @@ def parse_amounts(spark, d):
     return view(spark, d, "raw").select("k", s.amount_to_cents("amount").alias("cents"), s.parse_int("note").alias("first_int"))
 
 
-@query(sql_view("raw") + f" SELECT k, CAST(round(({_amount_sql('amount')}) * 100) AS BIGINT) AS cents FROM raw WHERE k % 9 NOT IN (2, 7)")
+@query(sql_view("raw") + f" SELECT k, CAST(round(({_amount_sql('amount')}) * 100) AS BIGINT) AS cents FROM raw")
 def parse_amounts_platform(spark, d):
-    return view(spark, d, "raw").where("k % 9 not in (2, 7)").select("k", s.cents(s.parse_amount_platform("amount")).alias("cents"))
+    return view(spark, d, "raw").select("k", s.cents(s.parse_amount_platform("amount")).alias("cents"))
 
 
 @query(sql_view("raw") + f", p AS (SELECT k, day, own_day, {_DATE.format(c='day')} AS parsed FROM raw) SELECT k, parsed, coalesce(strftime(parsed, '%Y-%m-%d'), trim(day)) AS shown, own_day AS rebuilt, regexp_replace(day, '^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})$', '\\1-\\2-\\3') AS compact FROM p")
@@ -193,10 +193,10 @@ _CENTS = f"CAST(round(({_amount_sql('amount')}) * 100) AS BIGINT)"
 _SIDE = "SELECT count(*) FILTER (WHERE counterparty_name = '') AS {p}_blank, CAST(coalesce(sum(CASE flow WHEN 'in' THEN " + _CENTS + " WHEN 'out' THEN -" + _CENTS + " ELSE 0 END), 0) AS BIGINT) AS {p}_net FROM dirty WHERE {w}"
 
 
-@query(sql_view("dirty") + ", b AS (" + _SIDE.format(p="bank", w="row_no % 3 = 0") + "), l AS (" + _SIDE.format(p="ledger", w="row_no % 3 = 1") + ") SELECT *, abs(bank_net - ledger_net) <= 1 AS agree FROM b, l")
+@query(sql_view("dirty") + ", b AS (" + _SIDE.format(p="bank", w="true") + "), l AS (" + _SIDE.format(p="ledger", w="flow <> 'both'") + ") SELECT *, abs(bank_net - ledger_net) <= 1 AS agree FROM b, l")
 def dq_net_cross(spark, d):
     rows = view(spark, d, "dirty")
-    return quality.net_of_sides(rows.where("row_no % 3 = 0"), rows.where("row_no % 3 = 1"))
+    return quality.net_of_sides(rows, rows.where("flow <> 'both'"))
 
 
 # Layouts -----------------------------------------------------------------------------------------------------------
@@ -312,7 +312,7 @@ def ledger_named(spark, d):
     return cleaning.clean_ledger_named(raw).select("k", "transaction_date", "flow", "amount_cents")
 
 
-@query(sql_view("raw") + f" SELECT CAST(k AS VARCHAR) AS partner_txn_id, CAST(({_amount_sql('amount')}) AS DOUBLE) AS amount, '' AS fee_note FROM raw WHERE k % 9 NOT IN (2, 7)")
+@query(sql_view("raw") + f" SELECT CAST(k AS VARCHAR) AS partner_txn_id, CAST(({_amount_sql('amount')}) AS DOUBLE) AS amount, '' AS fee_note FROM raw")
 def settlement_txn(spark, d):
-    raw = view(spark, d, "raw").where("k % 9 not in (2, 7)").select(F.col("k").cast("string").alias("partner_transaction_id"), "amount")
+    raw = view(spark, d, "raw").select(F.col("k").cast("string").alias("partner_transaction_id"), "amount")
     return cleaning.clean_numbered(raw, cleaning.SETTLEMENT_ALIASES, cleaning.SETTLEMENT_NUMBERS, ("fee_note",)).withColumn("amount", F.col("amount").cast("double"))
