@@ -27,10 +27,10 @@ N = 5
 SIMILARITY = 0.8
 RECALL = 0.995
 COORDINATES = 128
-#: Nodes up to this size are leaves; after LEVELS levels all are.
-LEAF, LEVELS = 192, 5
+#: Nodes up to this size are leaves, as signatures are cheap to compare in parts; after LEVELS levels all are.
+LEAF, LEVELS = 4096, 5
 #: Classes of a leaf or group that meet those of another part in one task.
-PART = 512
+PART = 1024
 #: Signatures may fall short of the threshold by so much (4 standard deviations) and still be looked at exactly.
 MARGIN = 4 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 SEED = 97
