@@ -41,6 +41,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct ``doc``, and ``more`` beside it: no name of theirs can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[c.alias(n) for n, c in more.items()])
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Add ``row``, a number of the row; only stable once materialised."""
     return df.withColumn("row", F.monotonically_increasing_id())

@@ -8,7 +8,6 @@ go to; pieces are numbered within their length by a distributed count and look t
 from __future__ import annotations
 
 import heapq
-import unicodedata  # noqa: F401  (documents what the word path relies on: NFC leaves characters below U+0300 alone)
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces above this share of a sequence are grouped and configured; the others fill what is left by best fit.
 LARGE = 1 / 8
-GROUPS = 512
+GROUPS = 4096
 #: Words kept per task with their ids; the store is emptied when full.
 KNOWN_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,7 +39,8 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order; words
     recur, so most are looked up. Plain words are cut as the tokenizer's own pattern does and only the parts that are
-    new go through its model; words with rarer characters or special strings go through the tokenizer whole.
+    new go through its model; words with rarer characters (below U+0250 all are in normal form) or special strings go
+    through the tokenizer whole.
     """
 
     def __init__(self, path: str, known: int = KNOWN_WORDS):
@@ -151,8 +151,8 @@ def _configurations(counts: dict[int, int], capacity: int) -> Iterator[tuple[lis
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first number, one past the last, first sequence, slot) that place all pieces of all lengths.
 
-    Large pieces in order of length are cut into ``groups`` of equal cardinality, each rounded up to its longest piece
-    (with no more lengths than groups, each length is a group). Configurations of rounded sizes are chosen, actual
+    Large pieces in order of length are cut into ``groups`` of equal cardinality, each rounded up to its longest piece.
+    Configurations of rounded sizes are chosen, actual
     pieces take their slots, and small pieces go to the sequence with the tightest room that holds them. There are at
     most ``capacity`` lengths and ``groups`` sizes, so the plan is bounded whatever the number of documents.
     """
@@ -170,10 +170,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     for x in lengths:
         at = 0
         while at < histogram[x]:
-            if len(lengths) <= groups:
-                take, group = histogram[x], x
-            else:
-                take, group = min(histogram[x] - at, each - done % each), done // each
+            take, group = min(histogram[x] - at, each - done % each), done // each
             cells.append([group, x, at, at + take])
             at, done = at + take, done + take
     top: dict[int, int] = {}

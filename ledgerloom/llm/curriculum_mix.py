@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialise, numbered, running
+from ._common import WORD, materialise, numbered, running, wrapped
 
 WEIGHTS = (5, 2, 1)
 #: Knots (time, rate) for the sources of each weight; rates are scaled to mean 1. Heavy sources lead, light ones follow.
@@ -91,13 +91,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A last reading that the target cuts short counts if at least half of the document is read, so texts stay whole.
     Documents without words are read never. Rows that share id and text are read equally often.
     """
-    columns = docs.columns
     plan = mix(docs, id_col, text_col, source_col, schedules=schedules, **options)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     plan = plan.where("taken > 0").withColumn("copies", copies).where("copies > 0")
     plan = plan.groupBy(F.col("doc_id").alias("_plan_id"), F.col("text_hash").alias("_plan_hash")).agg(*[F.max(c).alias(f"_{c}") for c in ("copies", "start", "words", "source_size", "kind")])
-    rows = docs.withColumn("_hash", F.xxhash64(F.col(text_col))).join(plan, F.col(id_col).eqNullSafe(F.col("_plan_id")) & (F.col("_hash") == F.col("_plan_hash")))
+    rows = wrapped(docs, id=F.col(id_col), hash=F.xxhash64(F.col(text_col))).join(plan, F.col("id").eqNullSafe(F.col("_plan_id")) & (F.col("hash") == F.col("_plan_hash")))
     rows = rows.withColumn("_reading", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = (F.col("_start") + F.col("_reading") * F.col("_source_size")) / F.col("_words")
     rows = rows.withColumn("_position", position(F.least(share, F.lit(1.0)), F.col("_kind"), schedules))
-    return rows.orderBy("_position", id_col, "_hash").select(*columns)
+    return rows.orderBy("_position", "id", "hash").select("doc.*")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, materialise, numbered
+from ._common import SPACE, materialise, numbered, wrapped
 
 #: A chunk runs to the first blank or stop before one of a few letters after MIN characters, or to MAX characters.
 MIN_CHARS, MAX_CHARS = 256, 1024
@@ -75,8 +75,7 @@ def _renumbered(digests: DataFrame, store: DataFrame, shared: DataFrame, chunk_h
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns; rows that repeat id and text count once."""
-    columns = docs.columns
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    joined = marked.join(kept, F.col("_sha").eqNullSafe(F.col("_kept_sha")) & F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    return joined.dropDuplicates(["_sha", id_col]).select(*columns)
+    marked = wrapped(docs, sha=F.sha2(normalised(F.col(text_col)), 256), id=F.col(id_col))
+    joined = marked.join(kept, F.col("sha").eqNullSafe(F.col("_kept_sha")) & F.col("id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    return joined.dropDuplicates(["sha", "id"]).select("doc.*")

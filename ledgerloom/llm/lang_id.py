@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_sample, materialise
+from ._common import bounded_sample, materialise, wrapped
 
 # Families of languages by code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Predictions for every row: doc_id, held_out, lang_pred, score, family; with ``keep`` the columns of ``docs`` and lang_pred, score.
+    """Predictions for every row: doc_id, held_out, lang_pred, score, family; with ``keep`` the row as ``doc`` and the prediction as ``p``.
 
     A null text, or one without a letter, is ``und`` with score 0.
     """
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "family", "score"])
 
     if keep:
-        return docs.withColumn("_lang", predicted(F.col(text_col)))
+        return wrapped(docs, p=predicted(F.col(text_col)))
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
     out = docs.select(F.col(id_col).alias("doc_id"), held, predicted(F.col(text_col)).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.family")
@@ -158,4 +158,4 @@ def reject_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     model = learn(docs, id_col, text_col, lang_col)
     marked = identify(docs, model, id_col, text_col, keep=True)
-    return marked.where((F.col("_lang.lang_pred") != UNDETERMINED) & (F.col("_lang.score") >= min_score)).select(*docs.columns)
+    return marked.where((F.col("p.lang_pred") != UNDETERMINED) & (F.col("p.score") >= min_score)).select("doc.*")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, numbered, runs_of, smallest_reachable
+from ._common import materialise, numbered, runs_of, smallest_reachable, wrapped
 from .components import components
 
 N = 5
@@ -302,4 +302,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows that share an id stay or go together.
     """
     gone = similar_documents(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return wrapped(docs, id=F.col(id_col)).join(gone, F.col("id") == F.col("_gone"), "left_anti").select("doc.*")

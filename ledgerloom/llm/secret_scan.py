@@ -71,7 +71,7 @@ def entropy_spans(run: str, window: int = WINDOW, min_bits: dict[str, float] = M
     if len(run) < window or _allowed(run):
         return []
     least = min_bits[character_class(run)]
-    term = [0.0] + [n * log2(n) for n in range(1, window + 1)]
+    term = [0.0] + [n * log2(n) for n in range(1, window + 2)]  # the new character comes before the old one goes
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for at, new in enumerate(run):

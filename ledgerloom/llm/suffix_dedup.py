@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, wrapped
 from .ngram_join import _powers, mixed, word_hashes
 
 MIN_WORDS = 50
@@ -193,5 +193,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series([one(t, c) for t, c in zip(texts, spans)])
 
-    joined = docs.join(later, F.col(id_col) == F.col("_doc"), "left")
-    return joined.withColumn(text_col, without(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    joined = wrapped(docs, id=F.col(id_col)).join(later, F.col("id") == F.col("_doc"), "left")
+    return joined.select(F.col("doc").withField(text_col, without(F.col(f"doc.{text_col}"), F.col("_spans"))).alias("doc")).select("doc.*")
