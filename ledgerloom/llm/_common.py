@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Labels that classifiers learn at most.
+MAX_LABELS = 1000
+
 _own_dir: str | None = None
 
 
@@ -73,12 +76,13 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, seed:
     """At most ``per_label`` rows of each label, chosen by a hash of ``key``, so that reruns choose the same.
 
     Rows beyond a hash threshold, set from the counts so that a little more than enough pass, drop out on the map
-    side; only those that pass are ranked. Labels with few rows are taken whole. The counts have a row a label.
+    side; only those that pass are ranked. Labels with few rows are taken whole. Only the MAX_LABELS most frequent labels
+    are sampled, so that the counts, which go to all tasks, have a bound.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(MAX_LABELS)
     share = F.least(F.lit(1.0), (F.lit(1.3 * per_label + 100)) / F.col("_n"))
     spin = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_spin")
-    passed = rows.select("*", spin).join(counts.select(F.col(label).alias("_label"), share.alias("_share")), F.col(label) == F.col("_label")).where("_spin < _share")
+    passed = rows.select("*", spin).join(F.broadcast(counts.select(F.col(label).alias("_label"), share.alias("_share"))), F.col(label) == F.col("_label")).where("_spin < _share")
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_spin", key))
     return passed.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_spin", "_share", "_label", "_rank")
 
