@@ -11,6 +11,7 @@ import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,8 +24,8 @@ END_ID = 0
 #: Pieces above this share of a sequence are grouped and configured; the others fill what is left by best fit.
 LARGE = 1 / 8
 GROUPS = 4096
-#: Words kept per task with their ids; the store is emptied when full.
-KNOWN_WORDS = 400_000
+#: Words kept per worker with their ids, from task to task; when half are new, those not met since the last time go.
+KNOWN_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,17 +56,25 @@ class WordIds:
         self.bytes = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _part(self, part: str) -> bytes:
+        if (ids := self.old_parts.get(part)) is not None:
+            self.parts[part] = ids
+            return ids
         text = part if part.isascii() else "".join(map(self.bytes.__getitem__, part.encode()))
         ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
         self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
+        if (ids := self.old_words.get(word)) is not None:
+            self.words[word] = ids
+            return ids
         if max(word) >= "ɐ" or "<|" in word or not word.isprintable():
             ids = self._whole(word)
         else:
@@ -79,14 +88,20 @@ class WordIds:
         for odd in "\x1c\x1d\x1e\x1f":  # blanks for Python, not for the tokenizer
             if odd in text:
                 return self._whole(text)
-        if len(self.words) > self.known:
-            self.words.clear()
-        if len(self.parts) > self.known:
-            self.parts.clear()
+        if len(self.words) > self.known // 2:
+            self.words, self.old_words = {}, self.words
+        if len(self.parts) > self.known // 2:
+            self.parts, self.old_parts = {}, self.parts
         get, word = self.words.get, self._word
         return b"".join([found if (found := get(w)) is not None else word(w) for w in text.split()])
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The worker's tokenizer: workers are used again, and so are the words that they know."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenise every text, end it with ``end_id`` and cut what is longer than a sequence."""
 
@@ -94,7 +109,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end = WordIds(path), end_id.to_bytes(4, "little")
+        ids_of, end = word_ids(path), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
