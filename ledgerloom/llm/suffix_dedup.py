@@ -4,7 +4,8 @@ Suffixes are retained at minimisers: positions whose 8-word hash is the least of
 50 words share such a position, with 32 more words behind it. Suffixes whose first 32 words occur in one document only
 drop out; the others are sorted with the words that follow, and again with the words before, read backwards: in sorted
 order the longest match of a suffix is with a neighbour, so comparing neighbours extends it to the right and to the left.
-Sorts are by range and cut groups of any size across tasks; the rows where two ranges meet are compared on the driver.
+Sorts are by range and cut groups of any size across tasks; each range is told the nearest rows of other documents in
+earlier and in later ranges, and its first and last rows of one document, however many, are compared with them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .ngram_join import _powers, mixed, word_hashes
 
 MIN_WORDS = 50
 GRAM, SPAN, PREFIX = 8, 16, 32
-#: Words looked at on either side; a match that goes on further is met by the next suffix.
+#: Words looked at on either side (more for longer passages); a match that goes on further is met by the next suffix.
 CONTEXT = 24
 
 _SUFFIXES = "h long, doc_id long, pos int"
@@ -63,7 +64,7 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _SUFFIXES)
 
 
-def _contexts(texts: DataFrame) -> DataFrame:
+def _contexts(texts: DataFrame, reach: int = CONTEXT) -> DataFrame:
     """For each shared suffix of a document the words behind its prefix and before it (backwards), as big-endian hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +78,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
                     p, h = s["pos"], s["h"]
                     if p >= len(hashes) or hashes[p] != h:
                         continue  # another row with the same id
-                    for column, value in zip(out, (h, doc, p, short[p + PREFIX : p + PREFIX + CONTEXT].tobytes(), short[max(0, p - CONTEXT) : p][::-1].tobytes())):
+                    for column, value in zip(out, (h, doc, p, short[p + PREFIX : p + PREFIX + reach].tobytes(), short[max(0, p - reach) : p][::-1].tobytes())):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "doc_id", "pos", "behind", "before"])
@@ -113,6 +114,25 @@ def _longest(h: list, doc: list, context: list) -> np.ndarray:
     return out
 
 
+def _carried(met: list[tuple]) -> dict[int, tuple]:
+    """By range the nearest row of another document than its first row's before it; ``met`` are edge rows (task, h, context, doc, pos) in order.
+
+    With ``met`` turned round it is the nearest row behind. Rows of another prefix do not count.
+    """
+    out: dict[int, tuple] = {}
+    seen, last, other = None, None, None  # the last row and the nearest one of another document than that
+    for row in met:
+        if row[0] != seen:
+            seen = row[0]
+            near = other if last is not None and last[3] == row[3] else last
+            if near is not None and near[1] == row[1]:
+                out[seen] = near[1:3]
+        if last is not None and last[3] != row[3]:
+            other = last
+        last = row
+    return out
+
+
 def _extended(suffixes: DataFrame, side: str) -> DataFrame:
     """(doc_id, pos, words): how far each suffix's match goes on at that side."""
     spark = suffixes.sparkSession
@@ -131,18 +151,34 @@ def _extended(suffixes: DataFrame, side: str) -> DataFrame:
         n = len(h)
         # first and last rows by document go to the driver too: four a range
         edges = sorted({0, n - 1, next((k for k in range(1, n) if doc[k] != doc[0]), 0), next((k for k in range(n - 2, -1, -1) if doc[k] != doc[-1]), n - 1)})
-        edge = np.full(n, -1, np.int64)
-        edge[edges] = task
-        edge_context = [context[k] if edge[k] >= 0 else None for k in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(edge), pa.array(edge_context, pa.binary())], ["h", "doc_id", "pos", "words", "edge", "context"])
+        edge = np.zeros(n, bool)
+        edge[edges] = True
+        # rows without one of another document before or behind them in this range
+        head = next((k for k in range(n) if (h[k], doc[k]) != (h[0], doc[0])), n)
+        tail = next((k for k in range(n - 1, -1, -1) if (h[k], doc[k]) != (h[-1], doc[-1])), -1) + 1
+        open_sides = (np.arange(n) < head) + 2 * (np.arange(n) >= tail)
+        edge_context = [context[k] if edge[k] or open_sides[k] else None for k in range(n)]
+        columns = [pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(np.full(n, task, np.int32)), pa.array(edge), pa.array(open_sides.astype(np.int32)), pa.array(edge_context, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "pos", "words", "task", "edge", "open", "context"])
 
     ordered = suffixes.select("h", "doc_id", "pos", side).repartitionByRange(tasks, "h", side, "doc_id", "pos").sortWithinPartitions("h", side, "doc_id", "pos")
-    out = materialise(ordered.mapInArrow(run, "h long, doc_id long, pos int, words int, edge long, context binary"), f"op8-{side}")
-    met = sorted((r["edge"], r["h"], bytes(r["context"]), r["doc_id"], r["pos"]) for r in out.where("edge >= 0").select("edge", "h", "context", "doc_id", "pos").collect())
-    longest = _longest([r[1] for r in met], [r[3] for r in met], [r[2] for r in met])
-    more = pd.DataFrame([(r[3], r[4], int(w)) for r, w in zip(met, longest)], columns=["doc_id", "pos", "words"])
-    parts = out.select("doc_id", "pos", "words")
-    return parts.unionByName(spark.createDataFrame(more, "doc_id long, pos int, words int")) if len(more) else parts
+    out = materialise(ordered.mapInArrow(run, "h long, doc_id long, pos int, words int, task int, edge boolean, open int, context binary"), f"op8-{side}")
+    met = sorted((r["task"], r["h"], bytes(r["context"]), r["doc_id"], r["pos"]) for r in out.where("edge").select("task", "h", "context", "doc_id", "pos").collect())
+    earlier, later = _carried(met), _carried(met[::-1])  # two rows a range
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, p, w = [], [], []
+            for task, open_sides, h, doc, pos, context in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                near = [found for bit, carried in ((1, earlier), (2, later)) if open_sides & bit and (found := carried.get(task)) is not None and found[0] == h]
+                if near:
+                    d.append(doc)
+                    p.append(pos)
+                    w.append(max(common_words(context, c) for _, c in near))
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(w, pa.int32())], ["doc_id", "pos", "words"])
+
+    more = out.where("open > 0").select("task", "open", "h", "doc_id", "pos", "context").mapInArrow(across, "doc_id long, pos int, words int")
+    return out.select("doc_id", "pos", "words").unionByName(more)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -162,7 +198,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = materialise(found.join(shared, "h"), "op8-shared")
     by_doc = kept.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("shared"))
     texts = base.join(by_doc.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "shared")
-    suffixes = materialise(_contexts(texts), "op8-contexts")
+    # The first suffix of a passage lies in its first SPAN words: the rest of min_words is in reach behind its prefix.
+    suffixes = materialise(_contexts(texts, max(CONTEXT, min_words - PREFIX)), "op8-contexts")
     sides = [_extended(suffixes, side).select("doc_id", "pos", F.col("words").alias(side), F.lit(0).alias(other)) for side, other in (("behind", "before"), ("before", "behind"))]
     grown = sides[0].unionByName(sides[1]).groupBy("doc_id", "pos").agg(F.max("behind").alias("behind"), F.max("before").alias("before"))
     spans = grown.join(kept.groupBy("doc_id", "pos").agg(F.min("first_doc_id").alias("first_doc_id")), ["doc_id", "pos"])
