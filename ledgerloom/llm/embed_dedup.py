@@ -10,9 +10,10 @@ pairs never leave the task: a task returns counts and each vector's smallest par
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, log, log2, pi
+from math import ceil, exp, lgamma, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,25 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def missed(k: int, bands: int, cosine: float, bits: int = CODE_BITS) -> float:
+    """Chance that a pair of this cosine meets in no band of ``k`` bits: all bands draw on the same code, so it is
+    averaged over the number of code bits in which the pair differs."""
+    far = np.arccos(cosine) / pi
+    differ = np.arange(bits + 1)
+    chance = np.array([exp(lgamma(bits + 1) - lgamma(d + 1) - lgamma(bits - d + 1) + d * log(far) + (bits - d) * log1p(-far)) for d in differ])
+    agree = np.prod(np.maximum(bits - differ[:, None] - np.arange(k), 0) / (bits - np.arange(k)), axis=1)
+    return float((chance * (1 - agree) ** bands).sum())
+
+
 def banding(n: int, threshold: float, recall: float = RECALL, bits: int = CODE_BITS) -> np.ndarray:
     """Bits of each band: longer bands for more vectors, so buckets stay small, and as many as the recall takes."""
     k = min(28, max(8, ceil(log2(max(2, n) / 8))))
-    agree = (1 - np.arccos(threshold) / pi) ** k
-    bands = ceil(log(1 - recall) / log(1 - agree))
+    bands = most = 1
+    if threshold < 1:
+        enough = lambda b: missed(k, b, threshold, bits) <= 1 - recall
+        while not enough(most):
+            most *= 2
+        bands = bisect_left(range(most), True, lo=1, key=enough)
     rng = np.random.default_rng(SEED)
     return np.array([rng.choice(bits, k, replace=False) for _ in range(bands)])
 

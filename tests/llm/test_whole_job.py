@@ -2,7 +2,9 @@
 
 import random
 
-from ledgerloom.llm import suffix_dedup
+import numpy as np
+
+from ledgerloom.llm import embed_dedup, suffix_dedup
 
 
 def _covered(rows, doc):
@@ -37,3 +39,21 @@ def test_long_least_passage(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     rows = suffix_dedup.repeated_passages(docs, min_words=100).collect()
     assert _covered(rows, 0) == set(range(120)) and _covered(rows, 1) == set(range(130, 250))
+
+
+def _recall(n, low, high, pairs=40_000, dim=64):
+    """Share of pairs with a cosine of ``low`` to ``high`` that the bands for a table of ``n`` vectors bring together."""
+    rng = np.random.default_rng(14)
+    bands, turn, met = embed_dedup.banding(n, 0.95), embed_dedup.rotation(dim, embed_dedup.CODE_BITS), 0
+    for _ in range(pairs // 2000):
+        x, y = embed_dedup.unit(rng.standard_normal((2000, dim))), rng.standard_normal((2000, dim))
+        y = embed_dedup.unit(y - (x * y).sum(1, keepdims=True) * x)
+        cosine = rng.uniform(low, high, (2000, 1))
+        differ = ((x @ turn.T) > 0) != (((cosine * x + np.sqrt(1 - cosine**2) * y) @ turn.T) > 0)
+        met += np.any([~differ[:, b].any(1) for b in bands], axis=0).sum()
+    return met / pairs
+
+
+def test_recall_at_the_threshold_at_several_sizes():
+    for n in (10**5, 10**6, 10**7):
+        assert _recall(n, 0.95, 0.95) >= 0.999, n
