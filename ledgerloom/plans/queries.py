@@ -220,6 +220,13 @@ def pair_scores(spark, d):
     return out.select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "score")
 
 
+@query()
+def pair_scores_all(spark, d):
+    """As pair_scores, with the entries that have a summary."""
+    out = pairs.scored(pairs.pair_candidates(*_records(spark, d, DENSE)))
+    return out.select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "score")
+
+
 @query()
 def one_to_one(spark, d):
     return pairs.one_to_one(*_records(spark, d, DENSE))
@@ -236,6 +243,14 @@ def daily_many_to_many(spark, d):
     return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"))
 
 
+@query()
+def daily_many_to_many_all(spark, d):
+    """As daily_many_to_many, with the bank rows whose account is blank."""
+    bank, _ = _records(spark, d)
+    out = matching.daily_many_to_many(bank, pairs.to_records(view(spark, d, "day_ledger"), "ledger"))
+    return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"))
+
+
 @query()
 def fee_groups(spark, d):
     return matching.fee_groups(pairs.to_records(view(spark, d, "fee_bank"), "bank"), pairs.to_records(view(spark, d, "fee_ledger"), "ledger"))
