@@ -5,6 +5,7 @@ A candidate: match_type, banks, ledgers, bank_cents, ledger_cents, score, period
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import counterparty_key, infer_period, join_unique
 from ..functions.similarity import text_similarity
-from ..functions.subset import pair_score, subset_sum
+from ..functions.subset import subset_sum
 from .matching import _slim
 from .pairs import joined_by_bucket, pair_candidates, side_text
 from .scratch import materialise
@@ -58,28 +59,40 @@ def period_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most:
 
 
 def subset_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 90, pool: int = 32, most: int = 10, steps: int = 200_000, kind: str = "amount_group_many_to_one") -> DataFrame:
-    """Each entry against the first subset of its ``pool`` nearest smaller bank rows (by text, days, amount) that sums to it."""
+    """Each entry against the first subset of its ``pool`` nearest smaller bank rows (by text, days, amount) that sums to it.
+
+    A blank account on either side stands for any; an entry's pool is cut before its rows come together.
+    """
     bucket = ["month", "flow", "account"]
-    both = _slim(bank, "bank", bucket).join(ledger.select(*bucket).distinct(), bucket, "left_semi").unionByName(_slim(ledger, "ledger", bucket).join(bank.select(*bucket).distinct(), bucket, "left_semi"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(group.sort_values("ord", kind="stable").itertuples(index=False))
-        banks = [r for r in rows if r.side == "bank"]
-        out = []
-        for g in (r for r in rows if r.side == "ledger"):
-            near = [b for b in banks if abs(b.day - g.day) <= window and b.cents <= g.cents + tolerance]
-            near.sort(key=lambda b: (-pair_score(0, 0, b.said, g.said, 1, 1), abs(b.day - g.day), -b.cents))
-            near = near[:pool]
-            found = [near[k] for k in subset_sum([b.cents for b in near], g.cents, tolerance, most, 2, steps)]
-            if found:
-                total = sum(b.cents for b in found)
-                days = [pd.Timestamp(0) + pd.Timedelta(days=x.day) for x in (*found, g)]
-                span = max(b.day for b in found) - min(b.day for b in found)
-                score = round(0.7 * max(0.0, 1 - abs(total - g.cents) / (tolerance + 1)) + 0.3 * max(0.0, 1 - span / (window + 1)), 4)
-                out.append((kind, [b.id for b in found], [g.id], total, g.cents, score, min(days).date(), max(days).date()))
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    return both.groupBy(*bucket).applyInPandas(run, GROUP)
+    met = joined_by_bucket(_slim(bank, "bank", bucket), _slim(ledger, "ledger", bucket), [("month", "month"), ("flow", "flow")])
+    met = met.withColumn("days", F.abs(F.col("b_day") - F.col("l_day"))).where((F.col("days") <= window) & (F.col("b_cents") <= F.col("l_cents") + tolerance))
+    near = Window.partitionBy("l_id").orderBy(F.desc("alike"), "days", F.desc("b_cents"), "b_ord", "b_id")
+    ranked = met.withColumn("alike", F.round(0.77 + 0.23 * text_similarity("b_said", "l_said"), 4)).withColumn("k", F.row_number().over(near)).where(F.col("k") <= pool)
+    pools = ranked.groupBy("l_id").agg(F.first("l_cents").alias("cents"), F.first("l_day").alias("day"), F.array_sort(F.collect_list(F.struct("k", "b_id", "b_cents", "b_day"))).alias("near"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for g in batch.itertuples(index=False):
+                found = [g.near[k] for k in subset_sum([int(b["b_cents"]) for b in g.near], int(g.cents), tolerance, most, 2, steps)]
+                if found:
+                    total = sum(int(b["b_cents"]) for b in found)
+                    days = [pd.Timestamp(0) + pd.Timedelta(days=int(x)) for x in (*(b["b_day"] for b in found), g.day)]
+                    span = max(b["b_day"] for b in found) - min(b["b_day"] for b in found)
+                    score = round(0.7 * max(0.0, 1 - abs(total - g.cents) / (tolerance + 1)) + 0.3 * max(0.0, 1 - span / (window + 1)), 4)
+                    out.append((kind, [b["b_id"] for b in found], [g.l_id], total, int(g.cents), score, min(days).date(), max(days).date()))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return pools.mapInPandas(run, GROUP)
+
+
+def grouped_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
+    grouped = ledger.where(looks_grouped("summary", "subject", "counterparty_name"))
+    return subset_groups(bank, grouped, tolerance, pool=22, most=40, steps=100_000, kind="grouped_many_to_one")
+
+
+def manual_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
+    return subset_groups(bank, ledger, tolerance, window=365, pool=80, most=60, steps=100_000, kind="manual_window_many_to_one")
 
 
 def runs(df: DataFrame, least: int, most: int) -> DataFrame:
@@ -149,7 +162,7 @@ def same_bucket(candidates: DataFrame, bank: DataFrame, ledger: DataFrame, stric
     return signed.join(told.where(one).select("candidate_signature"), "candidate_signature", "left_semi").drop("candidate_signature")
 
 
-PRIORITY = ("one_to_one", "many_to_one", "amount_group_many_to_one", "contiguous_many_to_one", "manual_window_many_to_one", "many_to_many", "monthly_balance")
+PRIORITY = ("one_to_one", "many_to_one", "grouped_many_to_one", "amount_group_many_to_one", "contiguous_many_to_one", "manual_window_many_to_one", "many_to_many", "monthly_balance")
 
 
 def policy(candidates: DataFrame) -> DataFrame:
@@ -202,6 +215,6 @@ def counterparty_consistency(candidates: DataFrame, bank: DataFrame) -> DataFram
 
 def build_candidates(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 160) -> DataFrame:
     """All kinds over unused records, checked, deduplicated, ranked and labelled."""
-    kinds = [exact_pairs(bank, ledger, tolerance), period_groups(bank, ledger, tolerance), subset_groups(bank, ledger, tolerance), window_groups(bank, ledger, tolerance), monthly_balances(bank, ledger, tolerance)]
+    kinds = [exact_pairs(bank, ledger, tolerance), period_groups(bank, ledger, tolerance), grouped_subsets(bank, ledger, tolerance), subset_groups(bank, ledger, tolerance), manual_subsets(bank, ledger, tolerance), window_groups(bank, ledger, tolerance), monthly_balances(bank, ledger, tolerance)]
     every = reduce(DataFrame.unionByName, [k.select(*COLUMNS) for k in kinds])
     return duplicate_info(ranked(dedupe(policy(same_bucket(materialise(every, "candidates"), bank, ledger))), most))

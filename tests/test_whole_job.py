@@ -1,13 +1,15 @@
 """Registered queries and operators over all rows, against plain Python."""
 
+import datetime
 import os
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerloom.functions.scalars import normalize_text
-from ledgerloom.operators import pairs
+from ledgerloom.operators import candidates, pairs
 from ledgerloom.plans.bindings import DENSE, SPARSE, view
 
 SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -71,3 +73,25 @@ def test_daily_groups_of_all_bank_rows(spark):
             want.add(told(b, theirs[key]))
     got = [tuple(r) for r in entry.queries()["daily_many_to_many_all"](spark, SF).select("bank_ids", "ledger_ids").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def _some(spark, rows):
+    data = [(i, k, a, datetime.date(2022, 1, d), "2022-01", "in", c, n, "", "", "", "", "") for k, (i, a, d, c, n) in enumerate(rows)]
+    return spark.createDataFrame(data, "id string, ord long, account string, day date, month string, flow string, cents long, counterparty_name string, summary string, description string, subject string, voucher_no string, bank_name string")
+
+
+def test_subsets_across_blank_accounts(spark):
+    bank = _some(spark, [("b1", "", 3, 100, "Acme"), ("b2", "1", 4, 201, "Acme"), ("b3", "2", 5, 4000, "Beta"), ("b4", "2", 6, 5003, "Beta")])
+    ledger = _some(spark, [("l1", "1", 7, 301, "Acme"), ("l2", "", 7, 9003, "Beta"), ("l3", "1", 7, 9003, "Beta")])
+    got = {(tuple(sorted(r["banks"])), r["ledgers"][0]) for r in candidates.subset_groups(bank, ledger).collect()}
+    assert got == {(("b1", "b2"), "l1"), (("b3", "b4"), "l2")}
+
+
+def test_all_candidates_hold_large_subsets(spark):
+    amounts = [1000 + 7 * k * k for k in range(15)]
+    bank = _some(spark, [(f"b{k:02}", "1", 1 + k, c, "Acme") for k, c in enumerate(amounts)] + [("far", "1", 28, 5, "Acme")])
+    ledger = _some(spark, [("l", "1", 20, sum(amounts), "Acme")])
+    all_of = tuple(f"b{k:02}" for k in range(15))
+    for summary, kind in (("", "manual_window_many_to_one"), ("批量", "grouped_many_to_one")):
+        rows = candidates.build_candidates(bank, ledger.withColumn("summary", F.lit(summary))).collect()
+        assert kind in {r["match_type"] for r in rows if tuple(sorted(r["banks"])) == all_of}
