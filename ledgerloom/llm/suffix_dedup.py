@@ -1,11 +1,15 @@
 """Passages that repeat across documents, by a sparse suffix array over words.
 
-Suffixes are retained at minimisers: positions whose 8-word hash is the least of 16 in a row. Two documents that share
-50 words share such a position, with 32 more words behind it. Suffixes whose first 32 words occur in one document only
-drop out; the others are sorted with the words that follow, and again with the words before, read backwards: in sorted
-order the longest match of a suffix is with a neighbour, so comparing neighbours extends it to the right and to the left.
-Sorts are by range and cut groups of any size across tasks; each range is told the nearest rows of other documents in
-earlier and in later ranges, and its first and last rows of one document, however many, are compared with them.
+Suffixes are retained at minimisers: positions whose 8-word hash is the least of 16 in a row. Every stretch of
+``min_words`` words has one such position among its first 16, picked by its own words, so all documents that hold the
+stretch retain a suffix there, ``min_words - 15`` of whose words (its prefix) lie in the stretch. Suffixes whose prefix
+occurs in one document only drop out. The others are sorted by the words that follow; neighbours of other documents
+bound how far a match can go on to the right, and with what lies to the left the match is extended there too, always
+against the same partner: a stretch counts if all of its words, left and right, are those of another document.
+
+The sort is by range, so a prefix may have any number of suffixes. Prefixes that lie whole in a bounded piece of a
+range are compared there; those that a range cuts, or that are larger than a piece, are compared by the hashes of their
+stretches with map-side aggregation. Nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -22,11 +26,14 @@ from ._common import materialise, wrapped
 from .ngram_join import _powers, mixed, word_hashes
 
 MIN_WORDS = 50
-GRAM, SPAN, PREFIX = 8, 16, 32
-#: Words looked at on either side (more for longer passages); a match that goes on further is met by the next suffix.
-CONTEXT = 24
+GRAM, SPAN = 8, 16
+#: Words looked at on either side of a prefix: a stretch begins at most so many before its suffix.
+REACH = SPAN - 1
+#: Rows of a range that are compared at once; a prefix with more goes by hashes.
+PIECE = 65_536
 
-_SUFFIXES = "h long, doc_id long, pos int"
+_ROW = "h long, doc_id long, pos int, lo int, hi int, context binary"
+_NAMES = ["h", "doc_id", "pos", "lo", "hi", "context"]
 
 
 def _prefix_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -37,182 +44,246 @@ def _prefix_hashes(words: np.ndarray, length: int) -> np.ndarray:
         return mixed((sums[length:] - sums[:-length]) * down[: len(words) - length + 1])
 
 
-def minimisers(words: np.ndarray) -> np.ndarray:
-    """Positions of retained suffixes: with PREFIX words behind them and the least GRAM hash of SPAN in a row."""
-    if len(words) < GRAM + SPAN - 1:
+def leading(words: np.ndarray, min_words: int) -> np.ndarray:
+    """For each place where a stretch of ``min_words`` words can begin, its minimiser: the least GRAM hash of SPAN in a row."""
+    places = len(words) - min_words + 1
+    if places <= 0:
         return np.zeros(0, np.int64)
     grams = _prefix_hashes(words, GRAM)
-    least = np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(1) + np.arange(len(grams) - SPAN + 1)
-    least = np.unique(least)
-    return least[least + PREFIX <= len(words)]
+    return np.lib.stride_tricks.sliding_window_view(grams, SPAN)[:places].argmin(1) + np.arange(places)
 
 
-def _suffixes(docs: DataFrame) -> DataFrame:
+def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
+    """(h, doc_id, pos): hash of the prefix, and place, of each retained suffix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, d, p = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = word_hashes(text.as_py() or "")[0]
-                at = minimisers(words)
+                at = np.unique(leading(words, min_words))
                 if len(at):
-                    h.append(_prefix_hashes(words, PREFIX)[at].view(np.int64))
+                    h.append(_prefix_hashes(words, min_words - REACH)[at].view(np.int64))
                     d.append(np.full(len(at), doc, np.int64))
                     p.append(at.astype(np.int32))
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (h, d, p)], ["h", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, _SUFFIXES)
+    return docs.mapInArrow(run, "h long, doc_id long, pos int")
+
 
+def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
+    """For each shared suffix the words after its prefix and, backwards, before it, as big-endian hashes in one string.
 
-def _contexts(texts: DataFrame, reach: int = CONTEXT) -> DataFrame:
-    """For each shared suffix of a document the words behind its prefix and before it (backwards), as big-endian hashes."""
+    The stretches that belong to the suffix begin ``lo`` to ``hi`` words before it. Where the text ends the words are 0;
+    the stretches stay within the text.
+    """
+    prefix = min_words - REACH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = word_hashes(text.as_py() or "")[0]
-                hashes = _prefix_hashes(words, PREFIX).view(np.int64) if len(words) >= PREFIX else np.zeros(0, np.int64)
-                short = (words >> np.uint64(32)).astype(">u4")
-                for s in shared:
-                    p, h = s["pos"], s["h"]
-                    if p >= len(hashes) or hashes[p] != h:
-                        continue  # another row with the same id
-                    for column, value in zip(out, (h, doc, p, short[p + PREFIX : p + PREFIX + reach].tobytes(), short[max(0, p - reach) : p][::-1].tobytes())):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "doc_id", "pos", "behind", "before"])
-
-    return texts.mapInArrow(run, "h long, doc_id long, pos int, behind binary, before binary")
-
-
-def common_words(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a[:n], ">u4"), np.frombuffer(b[:n], ">u4")
-    return int(np.argmax(x != y))
-
-
-def _longest(h: list, doc: list, context: list) -> np.ndarray:
-    """For rows in sorted order the longest common start with the nearest rows before and behind of another document."""
-    out = np.zeros(len(h), np.int32)
-    before = -1  # the last row of another document than the current run's
-    for k in range(1, len(h)):
-        if doc[k] != doc[k - 1]:
-            before = k - 1
-        if before >= 0 and h[before] == h[k]:
-            n = common_words(context[before], context[k])
-            out[k] = max(out[k], n)
-            out[before] = max(out[before], n)
-    after = -1
-    for k in range(len(h) - 2, -1, -1):
-        if doc[k] != doc[k + 1]:
-            after = k + 1
-        if after >= 0 and h[after] == h[k]:
-            out[k] = max(out[k], common_words(context[after], context[k]))
-    return out
-
-
-def _carried(met: list[tuple]) -> dict[int, tuple]:
-    """By range the nearest row of another document than its first row's before it; ``met`` are edge rows (task, h, context, doc, pos) in order.
-
-    With ``met`` turned round it is the nearest row behind. Rows of another prefix do not count.
-    """
-    out: dict[int, tuple] = {}
-    seen, last, other = None, None, None  # the last row and the nearest one of another document than that
-    for row in met:
-        if row[0] != seen:
-            seen = row[0]
-            near = other if last is not None and last[3] == row[3] else last
-            if near is not None and near[1] == row[1]:
-                out[seen] = near[1:3]
-        if last is not None and last[3] != row[3]:
-            other = last
-        last = row
-    return out
-
-
-def _extended(suffixes: DataFrame, side: str) -> DataFrame:
-    """(doc_id, pos, words): how far each suffix's match goes on at that side."""
-    spark = suffixes.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+                first = leading(words, min_words)
+                if not len(first):
+                    continue
+                pos, h = (shared.values.field(k).to_numpy() for k in ("pos", "h"))
+                hashes = _prefix_hashes(words, prefix).view(np.int64)
+                fits = pos < len(hashes)
+                fits[fits] = hashes[pos[fits]] == h[fits]  # another row may have the same id
+                pos, h = pos[fits].astype(np.int64), h[fits]
+                low, high = np.searchsorted(first, pos), np.searchsorted(first, pos, "right")
+                mine = high > low
+                pos, h, hi, lo = pos[mine], h[mine], (pos - low)[mine], (pos - high + 1)[mine]
+                if not len(pos):
+                    continue
+                short = np.r_[np.zeros(REACH, np.uint32), (words >> np.uint64(32)).astype(np.uint32), np.zeros(REACH, np.uint32)]
+                behind = short[pos[:, None] + REACH + prefix + np.arange(REACH)]
+                before = short[pos[:, None] + REACH - 1 - np.arange(REACH)]
+                for column, value in zip(out, (h, np.full(len(pos), doc, np.int64), pos, lo, hi, np.c_[behind, before].astype(">u4"))):
+                    column.append(value)
+            if out[0]:
+                yield _rows(*(np.concatenate(c) for c in out))
+
+    return texts.mapInArrow(run, _ROW)
+
+
+def _rows(h, doc, pos, lo, hi, context: np.ndarray) -> pa.RecordBatch:
+    width = 8 * REACH
+    flat = pa.py_buffer(np.ascontiguousarray(context.astype(">u4")).tobytes())
+    ends = pa.py_buffer(np.arange(len(h) + 1, dtype=np.int32) * np.int32(width))
+    binary = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, ends, flat])
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (pos, lo, hi)), binary], _NAMES)
+
+
+def _read(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of ``_rows`` as arrays."""
+    context = batch.column(5)
+    if isinstance(context, pa.ChunkedArray):
+        context = context.combine_chunks()
+    at = context.offset * 8 * REACH
+    flat = np.frombuffer(context.buffers()[2], np.uint8)[at : at + 8 * REACH * len(context)] if len(context) else np.zeros(0, np.uint8)
+    return [*(batch.column(k).to_numpy() for k in range(5)), flat.view(">u4").astype(np.uint32).reshape(len(context), 2 * REACH)]
+
+
+def right_matches(h: np.ndarray, doc: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """For sorted rows, how many words after the prefix agree with a neighbour of another document, at most; -1 without one."""
+    n = len(h)
+    best = np.full(n, -1)
+    turns = np.flatnonzero((h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) + 1
+    first, last = np.r_[0, turns], np.r_[turns, n]
+    run = np.repeat(np.arange(len(first)), last - first)
+    for near in (first[run] - 1, last[run]):
+        held = (near >= 0) & (near < n)
+        rows, other = np.flatnonzero(held), near[held]
+        same = h[rows] == h[other]
+        rows, other = rows[same], other[same]
+        best[rows] = np.maximum(best[rows], np.cumprod(behind[rows] == behind[other], axis=1).sum(1))
+    return best
+
+
+def stretch_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, words to the left, hash) of every stretch: the words to the left, the prefix, and those to the right that make it full."""
+    with np.errstate(over="ignore"):
+        sides = []
+        for words in (context[:, REACH:], context[:, :REACH]):
+            so_far = [np.zeros(len(h), np.uint64)]
+            for k in range(REACH):
+                so_far.append(mixed(so_far[-1] + words[:, k].astype(np.uint64) + np.uint64(k + 1)))
+            sides.append(np.stack(so_far))
+        rows, lefts, keys = [], [], []
+        for left in range(REACH + 1):
+            at = np.flatnonzero((lo <= left) & (left <= hi))
+            rows.append(at)
+            lefts.append(np.full(len(at), left))
+            keys.append(mixed(h.view(np.uint64)[at] + sides[0][left, at] * np.uint64(3) + mixed(sides[1][REACH - left, at]) + np.uint64(left)))
+    return np.concatenate(rows), np.concatenate(lefts), np.concatenate(keys)
+
+
+def _found(doc: np.ndarray, pos: np.ndarray, row: np.ndarray, left: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Shared stretches joined by suffix and by whether a document with a smaller id has them: doc_id, start, end, first holder."""
+    later = first < doc[row]
+    key = row * 2 + later
+    order = np.argsort(key, kind="stable")
+    key, row, left, first = key[order], row[order], left[order], first[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    row = row[starts]
+    return doc[row], pos[row] - np.maximum.reduceat(left, starts), pos[row] - np.minimum.reduceat(left, starts) + min_words, np.minimum.reduceat(first, starts)
+
+
+_FOUND = "doc_id long, start int, end int, first_doc_id long"
+
+
+def _compared(suffixes: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Shared stretches of the prefixes that lie whole in a piece of a range, and the suffixes of all other prefixes."""
+
+    def exact(h, doc, pos, lo, hi, context) -> list[np.ndarray] | None:
+        right = right_matches(h, doc, context[:, :REACH])
+        lo = np.maximum(lo, REACH - right)  # what a neighbour does not match on the right no partner does
+        row, left, key = stretch_hashes(h, lo, hi, context)
+        if not len(row):
+            return None
+        order = np.argsort(key, kind="stable")
+        row, left, key = row[order], left[order], key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[starts, len(key)])
+        first, last = (np.repeat(f.reduceat(doc[row], starts), n) for f in (np.minimum, np.maximum))
+        shared = first < last
+        return _found(doc, pos, row[shared], left[shared], first[shared], min_words) if shared.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        task = TaskContext.get().partitionId()
-        table = pa.Table.from_batches(batches)
-        h, doc, pos, context = (table.column(c).to_pylist() for c in ("h", "doc_id", "pos", side))
-        words = _longest(h, doc, context)
-        n = len(h)
-        # first and last rows by document go to the driver too: four a range
-        edges = sorted({0, n - 1, next((k for k in range(1, n) if doc[k] != doc[0]), 0), next((k for k in range(n - 2, -1, -1) if doc[k] != doc[-1]), n - 1)})
-        edge = np.zeros(n, bool)
-        edge[edges] = True
-        # rows without one of another document before or behind them in this range
-        head = next((k for k in range(n) if (h[k], doc[k]) != (h[0], doc[0])), n)
-        tail = next((k for k in range(n - 1, -1, -1) if (h[k], doc[k]) != (h[-1], doc[-1])), -1) + 1
-        open_sides = (np.arange(n) < head) + 2 * (np.arange(n) >= tail)
-        edge_context = [context[k] if edge[k] or open_sides[k] else None for k in range(n)]
-        columns = [pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(words, pa.int32()), pa.array(np.full(n, task, np.int32)), pa.array(edge), pa.array(open_sides.astype(np.int32)), pa.array(edge_context, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "pos", "words", "task", "edge", "open", "context"])
-
-    ordered = suffixes.select("h", "doc_id", "pos", side).repartitionByRange(tasks, "h", side, "doc_id", "pos").sortWithinPartitions("h", side, "doc_id", "pos")
-    out = materialise(ordered.mapInArrow(run, "h long, doc_id long, pos int, words int, task int, edge boolean, open int, context binary"), f"op8-{side}")
-    met = sorted((r["task"], r["h"], bytes(r["context"]), r["doc_id"], r["pos"]) for r in out.where("edge").select("task", "h", "context", "doc_id", "pos").collect())
-    earlier, later = _carried(met), _carried(met[::-1])  # two rows a range
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut: int | None = None  # the prefix that goes by hashes: the range's first, or one larger than a piece
+        waiting: list[np.ndarray] | None = None
+
+        def told(rows: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
+            if whole and len(rows[0]) and (found := exact(*rows)) is not None:
+                doc, start, end, first = found
+                empty = pa.nulls(len(doc), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (start, start, end)), empty], _NAMES)
+            elif not whole and len(rows[0]):
+                yield _rows(*rows)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _read(batch)
+            if cut is None:
+                cut = int(rows[0][0])
+            if waiting is not None:
+                rows = [np.concatenate(x) for x in zip(waiting, rows)]
+                waiting = None
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # where the last prefix begins, which may go on
+            if last == 0 and len(rows[0]) >= PIECE:
+                cut = int(rows[0][0])
+            known = rows[0] == cut
+            yield from told([x[known] for x in rows], False)
+            if len(rows[0]) - last < PIECE and not known[-1]:
+                waiting = [x[last:] for x in rows]
+            body = ~known
+            if waiting is not None:
+                body[last:] = False
+            yield from told([x[body] for x in rows], True)
+        if waiting is not None:
+            yield from told(waiting, False)
+
+    tasks = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = suffixes.repartitionByRange(tasks, "h", "context", "doc_id", "pos").sortWithinPartitions("h", "context", "doc_id", "pos")
+    out = materialise(ordered.mapInArrow(run, _ROW), "op8-compared")
+    whole = out.where("context is null").select("doc_id", F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("h").alias("first_doc_id"))
+    return whole, out.where("context is not null")
+
+
+def _by_hashes(suffixes: DataFrame, min_words: int) -> DataFrame:
+    """Shared stretches of prefixes with any number of suffixes: holders are counted before they move."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, p, w = [], [], []
-            for task, open_sides, h, doc, pos, context in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                near = [found for bit, carried in ((1, earlier), (2, later)) if open_sides & bit and (found := carried.get(task)) is not None and found[0] == h]
-                if near:
-                    d.append(doc)
-                    p.append(pos)
-                    w.append(max(common_words(context, c) for _, c in near))
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(w, pa.int32())], ["doc_id", "pos", "words"])
+            h, doc, pos, lo, hi, context = _read(batch)
+            row, left, key = stretch_hashes(h, lo, hi, context)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[row], pa.int64()), pa.array((pos[row] - left).astype(np.int32))], ["stretch", "doc_id", "start"])
 
-    more = out.where("open > 0").select("task", "open", "h", "doc_id", "pos", "context").mapInArrow(across, "doc_id long, pos int, words int")
-    return out.select("doc_id", "pos", "words").unionByName(more)
+    stretches = materialise(suffixes.mapInArrow(spread, "stretch long, doc_id long, start int"), "op8-stretches")
+    holders = stretches.groupBy("stretch").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id <> last").drop("last")
+    shared = stretches.join(materialise(holders, "op8-holders"), "stretch")  # written first, so a common stretch is split between tasks
+    return shared.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "first_doc_id")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage of a document: doc_id, start_word, end_word, n_words, first_doc_id, first.
 
-    A passage is a longest stretch of ``min_words`` words or more (50 at least) that other documents hold too, or a
-    union of such stretches that overlap; words are runs of other than ASCII white space, counted from 0, the end is
-    exclusive. ``first_doc_id`` is the smallest document that holds a part of it, ``first`` whether it is this one.
-    Repeats inside one document alone do not count, nor do rows that repeat an id. Null, short and unrepeated texts
-    give no rows, nor does an empty table.
+    A stretch is ``min_words`` (23 at least) words in a row that another document holds too. ``first`` says whether no
+    document with a smaller id holds it, and a passage is a union of stretches with the same answer that overlap or
+    touch; ``first_doc_id`` is the smallest id that holds one of them. So a passage that is not first can be cut without
+    losing text, and a document may have a first and a later passage that overlap. Words are runs of other than ASCII
+    white space, counted from 0, the end is exclusive.
+
+    Repeats inside one document do not count, nor do rows that repeat an id; rows whose id is null are left out. Null,
+    short and unrepeated texts give no rows, nor does an empty table. A text may have any length that a string holds.
     """
-    if min_words < PREFIX + SPAN + 1:
-        raise ValueError(f"passages of under {PREFIX + SPAN + 1} words can lie between retained suffixes")
+    if min_words < GRAM + SPAN - 1:
+        raise ValueError(f"passages of under {GRAM + SPAN - 1} words can lie between retained suffixes")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    found = materialise(_suffixes(base), "op8-suffixes")
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id <> last").drop("last")
-    kept = materialise(found.join(shared, "h"), "op8-shared")
+    found = materialise(_suffixes(base, min_words), "op8-suffixes")
+    shared = found.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h")
+    kept = found.join(materialise(shared, "op8-shared"), "h")  # written first, so a common prefix is split between tasks
     by_doc = kept.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("shared"))
     texts = base.join(by_doc.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "shared")
-    # The first suffix of a passage lies in its first SPAN words: the rest of min_words is in reach behind its prefix.
-    suffixes = materialise(_contexts(texts, max(CONTEXT, min_words - PREFIX)), "op8-contexts")
-    sides = [_extended(suffixes, side).select("doc_id", "pos", F.col("words").alias(side), F.lit(0).alias(other)) for side, other in (("behind", "before"), ("before", "behind"))]
-    grown = sides[0].unionByName(sides[1]).groupBy("doc_id", "pos").agg(F.max("behind").alias("behind"), F.max("before").alias("before"))
-    spans = grown.join(kept.groupBy("doc_id", "pos").agg(F.min("first_doc_id").alias("first_doc_id")), ["doc_id", "pos"])
-    spans = spans.select("doc_id", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + PREFIX + F.col("behind")).alias("end"), "first_doc_id").where(F.col("end") - F.col("start") >= min_words)
-    ahead = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    here = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    opened = spans.withColumn("opens", (F.col("start") > F.coalesce(F.max("end").over(ahead), F.lit(-1))).cast("int"))
-    islands = opened.withColumn("island", F.sum("opens").over(here)).groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
-    return islands.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("first"))
+    suffixes = materialise(_contexts(texts, min_words), "op8-contexts")
+    whole, rest = _compared(suffixes, min_words)
+    spans = whole.unionByName(_by_hashes(rest, min_words)).withColumn("first", F.col("first_doc_id") == F.col("doc_id"))
+    along = Window.partitionBy("doc_id", "first").orderBy("start", "end")
+    opens = (F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    islands = spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy("doc_id", "first", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
+    return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id", "first")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the passages that a document with a smaller id holds; what is left of a text stays as it was."""
+    """``docs`` without the passages that a document with a smaller id holds; what is left of a text stays as it was.
+
+    Of any stretch the document with the smallest id keeps its copy, so no text is lost from the corpus.
+    """
     later = repeated_passages(docs, id_col, text_col, min_words).where("not first").groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
 
     @F.pandas_udf("string")
@@ -224,6 +295,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             _, starts, ends = word_hashes(text)
             out, at = [], 0
             for cut in cuts:
+                if cut["end_word"] > len(ends):
+                    continue  # another row with the same id
                 out.append(raw[at : starts[cut["start_word"]]])
                 at = ends[cut["end_word"] - 1]
             return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import binpack, curriculum_mix, embed_dedup, exact_dedup, lang_id, ngram_join, pii, secret_scan, suffix_dedup, toxicity
@@ -78,25 +79,67 @@ def test_near_vectors(spark):
     assert all(got[k] <= want[k] for k in got) and found >= 0.98 * want.sum()
 
 
-def test_repeated_passages(spark):
-    rng = random.Random(4)
-    word = lambda: f"w{rng.randrange(3000)}"
-    passages = [" ".join(word() for _ in range(n)) for n in (49, 50, 51, 64, 130)]
-    texts = []
-    for k in range(30):
-        parts = [" ".join(word() for _ in range(rng.randrange(0, 120))), passages[k % 5] if k < 25 else "", " ".join(word() for _ in range(rng.randrange(0, 120)))]
-        texts.append(" ".join(parts))
-    texts += [" ".join(["again"] * 300), texts[0]]
-    words = [WORD.findall(t) for t in texts]
+def _passages(texts, least=50):
+    """(document, start, end, smallest holder, whether it is this one) of every union of shared stretches."""
+    words = [WORD.findall(t or "") for t in texts]
     where = {}
     for k, w in enumerate(words):
-        for i in range(len(w) - 49):
-            where.setdefault(tuple(w[i : i + 50]), set()).add(k)
-    want = {k: {j for i in range(len(w) - 49) if len(where[tuple(w[i : i + 50])]) > 1 for j in range(i, i + 50)} for k, w in enumerate(words)}
-    got = {k: set() for k in want}
-    for r in suffix_dedup.repeated_passages(_docs(spark, texts)).collect():
-        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
-    assert got == want
+        for i in range(len(w) - least + 1):
+            where.setdefault(tuple(w[i : i + least]), set()).add(k)
+    out = set()
+    for k, w in enumerate(words):
+        for first in (True, False):
+            spans = []
+            for i in range(len(w) - least + 1):
+                holders = where[tuple(w[i : i + least])]
+                if len(holders) > 1 and (min(holders) == k) == first:
+                    if spans and i <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], i + least, min(spans[-1][2], min(holders)))
+                    else:
+                        spans.append((i, i + least, min(holders)))
+            out |= {(k, a, b, f, first) for a, b, f in spans}
+    return out
+
+
+def _found_passages(spark, texts, least=50):
+    rows = suffix_dedup.repeated_passages(_docs(spark, texts), min_words=least).collect()
+    assert all(r["n_words"] == r["end_word"] - r["start_word"] for r in rows)
+    return {(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"], r["first"]) for r in rows}
+
+
+@pytest.mark.parametrize("seed,piece,least", [(0, 65_536, 50), (1, 30, 50), (2, 30, 31)])
+def test_repeated_passages(spark, monkeypatch, seed, piece, least):
+    """Overlapping parts of passages of 30 to 80 words; with small pieces large prefixes go by hashes."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(rng.randrange(30, 80))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            p = rng.choice(passages)
+            text += p[rng.randrange(8) : len(p) - rng.randrange(8)] if rng.random() < 0.7 else [word() for _ in range(rng.randrange(60))]
+        texts.append(" ".join(text))
+    texts += [" ".join(["again"] * 300)] * 2 + [" ".join(["once more"] * 200), None, "", texts[0]]
+    assert _found_passages(spark, texts, least) == _passages(texts, least)
+
+
+def test_parts_shared_with_different_documents_are_no_passage(spark):
+    rng = random.Random(15)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        left, middle, right = words(9), words(40), words(9)
+        texts += [words(20) + left + middle + right + words(20), words(20) + left + middle + words(30), words(30) + middle + right + words(20)]
+    assert _found_passages(spark, [" ".join(t) for t in texts]) == set()
+
+
+def test_dropped_repeats_lose_no_text(spark):
+    rng = random.Random(16)
+    one, two = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(2))
+    kept = {r["doc_id"]: r["text"].strip() for r in suffix_dedup.drop_repeats(_docs(spark, [one, f"{one} {two}", two])).collect()}
+    assert kept == {0: one, 1: two, 2: ""}
 
 
 def test_exact_groups_with_colliding_hashes(spark):
