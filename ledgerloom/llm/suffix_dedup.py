@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, wrapped
@@ -235,18 +235,34 @@ def _compared(suffixes: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
 
 
 def _by_hashes(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """Shared stretches of prefixes with any number of suffixes: holders are counted before they move."""
+    """Shared stretches of prefixes with any number of suffixes.
+
+    Suffixes with the same words around them are one class, and only classes are spread out into the hashes of their
+    stretches; holders are counted before they move. What was found goes back to the suffixes once.
+    """
+    of_class = F.xxhash64("h", "context", "lo", "hi").alias("cls")
+    ends = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
+    classes = suffixes.groupBy("h", "context", "lo", "hi").agg(*ends).select(of_class, "low", "high", "h", "lo", "hi", "context")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, doc, pos, lo, hi, context = _read(batch)
+            cls, low, high = (batch.column(k).to_numpy() for k in range(3))
+            h, _, _, lo, hi, context = _read(pa.RecordBatch.from_arrays([batch.column(k) for k in (3, 0, 0, 4, 5, 6)], _NAMES))
             row, left, key = stretch_hashes(h, lo, hi, context)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[row], pa.int64()), pa.array((pos[row] - left).astype(np.int32))], ["stretch", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(x[row], pa.int64()) for x in (cls, low, high)), pa.array(left, pa.int32())], ["stretch", "cls", "low", "high", "left"])
+
+    stretches = materialise(classes.mapInArrow(spread, "stretch long, cls long, low long, high long, left int"), "op8-stretches")
+    holders = stretches.groupBy("stretch").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("stretch", "first")
+    told = stretches.join(materialise(holders, "op8-holders"), "stretch").groupBy("cls").agg(F.collect_list(F.struct("left", "first")).alias("told"))  # SPAN stretches at most
+    rows = suffixes.select(of_class, "doc_id", "pos").join(materialise(told, "op8-told"), "cls")  # written first, so a common class is split between tasks
+
+    def joined(held) -> Column:
+        part = F.filter("told", held)
+        lefts, firsts = F.transform(part, lambda x: x["left"]), F.transform(part, lambda x: x["first"])
+        return F.when(F.size(part) > 0, F.struct((F.col("pos") - F.array_max(lefts)).alias("start"), (F.col("pos") - F.array_min(lefts) + min_words).alias("end"), F.array_min(firsts).alias("first_doc_id")))
 
-    stretches = materialise(suffixes.mapInArrow(spread, "stretch long, doc_id long, start int"), "op8-stretches")
-    holders = stretches.groupBy("stretch").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id <> last").drop("last")
-    shared = stretches.join(materialise(holders, "op8-holders"), "stretch")  # written first, so a common stretch is split between tasks
-    return shared.select("doc_id", "start", (F.col("start") + min_words).alias("end"), "first_doc_id")
+    spans = F.array_compact(F.array(joined(lambda x: x["first"] < F.col("doc_id")), joined(lambda x: x["first"] == F.col("doc_id"))))
+    return rows.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.first_doc_id")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
