@@ -109,10 +109,10 @@ ORACLE_SQL = {
         WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         s AS (SELECT doc_id, unnest(list_transform(range(0, len(words) - 49), lambda i: {'place': i, 'said': array_to_string(words[i + 1:i + 50], ' ')}), recursive := true) FROM w),
         h AS (SELECT said, min(doc_id) AS holder FROM s GROUP BY said HAVING min(doc_id) <> max(doc_id)),
-        m AS (SELECT doc_id, place, holder, holder = doc_id AS is_first FROM s JOIN h USING (said)),
+        m AS (SELECT doc_id, place, holder = doc_id AS is_first FROM s JOIN h USING (said)),
         o AS (SELECT *, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id, is_first ORDER BY place) + 50 THEN 0 ELSE 1 END AS opens FROM m),
         i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, is_first ORDER BY place) AS island FROM o)
-        SELECT doc_id, CAST(min(place) AS INT) AS start_word, CAST(max(place) + 50 AS INT) AS end_word, CAST(max(place) + 50 - min(place) AS INT) AS n_words, min(holder) AS first_doc_id, is_first AS "first"
+        SELECT doc_id, CAST(min(place) AS INT) AS start_word, CAST(max(place) + 50 AS INT) AS end_word, CAST(max(place) + 50 - min(place) AS INT) AS n_words, is_first AS "first"
         FROM i GROUP BY doc_id, is_first, island
     """,
     "op7_exact_dedup": r"""

@@ -7,9 +7,9 @@ occurs in one document only drop out. The others are sorted by the words that fo
 bound how far a match can go on to the right, and with what lies to the left the match is extended there too, always
 against the same partner: a stretch counts if all of its words, left and right, are those of another document.
 
-The sort is by range, so a prefix may have any number of suffixes. Prefixes that lie whole in a bounded piece of a
-range are compared there; those that a range cuts, or that are larger than a piece, are compared by the hashes of their
-stretches with map-side aggregation. Nothing passes the driver.
+The sort is by range, so a prefix may have any number of suffixes, and a task compares a bounded piece of a range at a
+time. Where a prefix goes on beyond the piece, what a smaller id holds in the piece is decided there; for each other
+stretch the piece sends its smallest and greatest holder on, by the hash of its words. Nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, wrapped
@@ -29,7 +29,7 @@ MIN_WORDS = 50
 GRAM, SPAN = 8, 16
 #: Words looked at on either side of a prefix: a stretch begins at most so many before its suffix.
 REACH = SPAN - 1
-#: Rows of a range that are compared at once; a prefix with more goes by hashes.
+#: Rows of a range that are compared at once.
 PIECE = 65_536
 
 _ROW = "h long, doc_id long, pos int, lo int, hi int, context binary"
@@ -161,117 +161,102 @@ def stretch_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.nd
     return np.concatenate(rows), np.concatenate(lefts), np.concatenate(keys)
 
 
-def _found(doc: np.ndarray, pos: np.ndarray, row: np.ndarray, left: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Shared stretches joined by suffix and by whether a document with a smaller id has them: doc_id, start, end, first holder."""
-    later = first < doc[row]
-    key = row * 2 + later
-    order = np.argsort(key, kind="stable")
-    key, row, left, first = key[order], row[order], left[order], first[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    row = row[starts]
-    return doc[row], pos[row] - np.maximum.reduceat(left, starts), pos[row] - np.minimum.reduceat(left, starts) + min_words, np.minimum.reduceat(first, starts)
+_SEEN = "doc_id long, start int, end int, first boolean, stretch long, low long, high long"
 
 
-_FOUND = "doc_id long, start int, end int, first_doc_id long"
+def _seen(doc, start, end, first, stretch, low, high) -> pa.RecordBatch:
+    """Rows of ``_SEEN``; an undecided one has ``stretch``, with the least and the greatest holder met so far."""
+    n = len(doc)
+    columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(n, first)), *(pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (stretch, low, high))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "first", "stretch", "low", "high"])
 
 
-def _compared(suffixes: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """Shared stretches of the prefixes that lie whole in a piece of a range, and the suffixes of all other prefixes."""
+def compared(rows: list[np.ndarray], whole: bool, min_words: int) -> Iterator[pa.RecordBatch]:
+    """The shared stretches of sorted suffixes.
 
-    def exact(h, doc, pos, lo, hi, context) -> list[np.ndarray] | None:
-        right = right_matches(h, doc, context[:, :REACH])
-        lo = np.maximum(lo, REACH - right)  # what a neighbour does not match on the right no partner does
-        row, left, key = stretch_hashes(h, lo, hi, context)
-        if not len(row):
-            return None
-        order = np.argsort(key, kind="stable")
-        row, left, key = row[order], left[order], key[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.diff(np.r_[starts, len(key)])
-        first, last = (np.repeat(f.reduceat(doc[row], starts), n) for f in (np.minimum, np.maximum))
-        shared = first < last
-        return _found(doc, pos, row[shared], left[shared], first[shared], min_words) if shared.any() else None
+    A stretch that a document with a smaller id holds too is decided; others are, if the prefixes are here as a
+    ``whole``, and else stay undecided: one row for each stretch and place of its smallest holder here.
+    """
+    h, doc, pos, lo, hi, context = rows
+    if not len(h):
+        return
+    right = right_matches(h, doc, context[:, :REACH])
+    if not whole:  # neighbours of the outermost rows may be elsewhere
+        turns = np.flatnonzero((h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+        right[: turns[0] + 1 if len(turns) else len(h)] = REACH
+        right[turns[-1] + 1 if len(turns) else 0 :] = REACH
+    lo = np.maximum(lo, REACH - right)  # what a neighbour does not match on the right no partner does
+    row, left, key = stretch_hashes(h, lo, hi, context)
+    if not len(row):
+        return
+    order = np.argsort(key, kind="stable")
+    row, left, key = row[order], left[order], key[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[starts, len(key)])
+    low, high = (np.repeat(f.reduceat(doc[row], starts), n) for f in (np.minimum, np.maximum))
+    later = low < doc[row]
+    parts = [(False, later)] + ([(True, ~later & (low < high))] if whole else [])
+    for first, chosen in parts:
+        at = np.flatnonzero(chosen)
+        if len(at):  # stretches of one suffix overlap and are joined
+            at = at[np.argsort(row[at], kind="stable")]
+            turns = np.flatnonzero(np.r_[True, row[at][1:] != row[at][:-1]])
+            suffix = row[at][turns]
+            yield _seen(doc[suffix], pos[suffix] - np.maximum.reduceat(left[at], turns), pos[suffix] - np.minimum.reduceat(left[at], turns) + min_words, first, None, None, None)
+    if not whole and not later.all():
+        at = ~later
+        start = pos[row[at]] - left[at]
+        yield _seen(doc[row[at]], start, start + min_words, False, key[at].view(np.int64), low[at], high[at])
+
+
+def _shared_stretches(suffixes: DataFrame, min_words: int, piece: int) -> DataFrame:
+    """(doc_id, start, end, first) of the shared stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut: int | None = None  # the prefix that goes by hashes: the range's first, or one larger than a piece
+        cut: int | None = None  # the prefix whose suffixes are not all in one piece: the range's first, or a larger one
         waiting: list[np.ndarray] | None = None
-
-        def told(rows: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
-            if whole and len(rows[0]) and (found := exact(*rows)) is not None:
-                doc, start, end, first = found
-                empty = pa.nulls(len(doc), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (start, start, end)), empty], _NAMES)
-            elif not whole and len(rows[0]):
-                yield _rows(*rows)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _read(batch)
-            if cut is None:
-                cut = int(rows[0][0])
-            if waiting is not None:
-                rows = [np.concatenate(x) for x in zip(waiting, rows)]
-                waiting = None
+            rows = rows if waiting is None else [np.concatenate(x) for x in zip(waiting, rows)]
+            cut = int(rows[0][0]) if cut is None else cut
             last = int(np.searchsorted(rows[0], rows[0][-1]))  # where the last prefix begins, which may go on
-            if last == 0 and len(rows[0]) >= PIECE:
+            waiting = None
+            if len(rows[0]) < piece:
+                waiting = rows
+                continue
+            if last == 0:
                 cut = int(rows[0][0])
-            known = rows[0] == cut
-            yield from told([x[known] for x in rows], False)
-            if len(rows[0]) - last < PIECE and not known[-1]:
-                waiting = [x[last:] for x in rows]
-            body = ~known
-            if waiting is not None:
-                body[last:] = False
-            yield from told([x[body] for x in rows], True)
-        if waiting is not None:
-            yield from told(waiting, False)
+            known = int(np.searchsorted(rows[0], cut, "right")) if rows[0][0] == cut else 0
+            yield from compared([x[:known] for x in rows], False, min_words)
+            yield from compared([x[known:last] for x in rows], True, min_words)
+            waiting = [x[max(known, last) :] for x in rows]
+        if waiting is not None and len(waiting[0]):
+            h = waiting[0]
+            known = int(np.searchsorted(h, cut, "right")) if h[0] == cut else 0
+            last = max(known, int(np.searchsorted(h, h[-1])))
+            yield from compared([x[:known] for x in waiting], False, min_words)
+            yield from compared([x[known:last] for x in waiting], True, min_words)
+            yield from compared([x[last:] for x in waiting], False, min_words)
 
     tasks = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = suffixes.repartitionByRange(tasks, "h", "context", "doc_id", "pos").sortWithinPartitions("h", "context", "doc_id", "pos")
-    out = materialise(ordered.mapInArrow(run, _ROW), "op8-compared")
-    whole = out.where("context is null").select("doc_id", F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("h").alias("first_doc_id"))
-    return whole, out.where("context is not null")
-
-
-def _by_hashes(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """Shared stretches of prefixes with any number of suffixes.
-
-    Suffixes with the same words around them are one class, and only classes are spread out into the hashes of their
-    stretches; holders are counted before they move. What was found goes back to the suffixes once.
-    """
-    of_class = F.xxhash64("h", "context", "lo", "hi").alias("cls")
-    ends = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
-    classes = suffixes.groupBy("h", "context", "lo", "hi").agg(*ends).select(of_class, "low", "high", "h", "lo", "hi", "context")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, low, high = (batch.column(k).to_numpy() for k in range(3))
-            h, _, _, lo, hi, context = _read(pa.RecordBatch.from_arrays([batch.column(k) for k in (3, 0, 0, 4, 5, 6)], _NAMES))
-            row, left, key = stretch_hashes(h, lo, hi, context)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(x[row], pa.int64()) for x in (cls, low, high)), pa.array(left, pa.int32())], ["stretch", "cls", "low", "high", "left"])
-
-    stretches = materialise(classes.mapInArrow(spread, "stretch long, cls long, low long, high long, left int"), "op8-stretches")
-    holders = stretches.groupBy("stretch").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last").select("stretch", "first")
-    told = stretches.join(materialise(holders, "op8-holders"), "stretch").groupBy("cls").agg(F.collect_list(F.struct("left", "first")).alias("told"))  # SPAN stretches at most
-    rows = suffixes.select(of_class, "doc_id", "pos").join(materialise(told, "op8-told"), "cls")  # written first, so a common class is split between tasks
-
-    def joined(held) -> Column:
-        part = F.filter("told", held)
-        lefts, firsts = F.transform(part, lambda x: x["left"]), F.transform(part, lambda x: x["first"])
-        return F.when(F.size(part) > 0, F.struct((F.col("pos") - F.array_max(lefts)).alias("start"), (F.col("pos") - F.array_min(lefts) + min_words).alias("end"), F.array_min(firsts).alias("first_doc_id")))
-
-    spans = F.array_compact(F.array(joined(lambda x: x["first"] < F.col("doc_id")), joined(lambda x: x["first"] == F.col("doc_id"))))
-    return rows.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.end", "s.first_doc_id")
+    seen = materialise(ordered.mapInArrow(run, _SEEN), "op8-compared")
+    decided, open_rows = seen.where("stretch is null"), seen.where("stretch is not null")
+    holders = open_rows.groupBy("stretch").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low <> _high")
+    settled = open_rows.join(materialise(holders, "op8-holders"), "stretch").withColumn("first", F.col("_low") == F.col("doc_id"))
+    columns = ["doc_id", "start", "end", "first"]
+    return decided.select(columns).unionByName(settled.select(columns))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per repeated passage of a document: doc_id, start_word, end_word, n_words, first_doc_id, first.
+    """One row per repeated passage of a document: doc_id, start_word, end_word, n_words, first.
 
     A stretch is ``min_words`` (23 at least) words in a row that another document holds too. ``first`` says whether no
     document with a smaller id holds it, and a passage is a union of stretches with the same answer that overlap or
-    touch; ``first_doc_id`` is the smallest id that holds one of them. So a passage that is not first can be cut without
-    losing text, and a document may have a first and a later passage that overlap. Words are runs of other than ASCII
+    touch. So a passage that is not first can be cut without losing text, and a document may have a first and a later
+    passage that overlap. Words are runs of other than ASCII
     white space, counted from 0, the end is exclusive.
 
     Repeats inside one document do not count, nor do rows that repeat an id; rows whose id is null are left out. Null,
@@ -286,13 +271,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by_doc = kept.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "h")).alias("shared"))
     texts = base.join(by_doc.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "shared")
     suffixes = materialise(_contexts(texts, min_words), "op8-contexts")
-    whole, rest = _compared(suffixes, min_words)
-    spans = whole.unionByName(_by_hashes(rest, min_words)).withColumn("first", F.col("first_doc_id") == F.col("doc_id"))
+    spans = _shared_stretches(suffixes, min_words, PIECE)
     along = Window.partitionBy("doc_id", "first").orderBy("start", "end")
     opens = (F.col("start") > F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     islands = spans.withColumn("opens", opens).withColumn("island", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("doc_id", "first", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
-    return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id", "first")
+    merged = islands.groupBy("doc_id", "first", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"))
+    return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -80,7 +80,7 @@ def test_near_vectors(spark):
 
 
 def _passages(texts, least=50):
-    """(document, start, end, smallest holder, whether it is this one) of every union of shared stretches."""
+    """(document, start, end, whether it is the first holder) of every union of shared stretches."""
     words = [WORD.findall(t or "") for t in texts]
     where = {}
     for k, w in enumerate(words):
@@ -94,17 +94,17 @@ def _passages(texts, least=50):
                 holders = where[tuple(w[i : i + least])]
                 if len(holders) > 1 and (min(holders) == k) == first:
                     if spans and i <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], i + least, min(spans[-1][2], min(holders)))
+                        spans[-1] = (spans[-1][0], i + least)
                     else:
-                        spans.append((i, i + least, min(holders)))
-            out |= {(k, a, b, f, first) for a, b, f in spans}
+                        spans.append((i, i + least))
+            out |= {(k, a, b, first) for a, b in spans}
     return out
 
 
 def _found_passages(spark, texts, least=50):
     rows = suffix_dedup.repeated_passages(_docs(spark, texts), min_words=least).collect()
     assert all(r["n_words"] == r["end_word"] - r["start_word"] for r in rows)
-    return {(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"], r["first"]) for r in rows}
+    return {(r["doc_id"], r["start_word"], r["end_word"], r["first"]) for r in rows}
 
 
 @pytest.mark.parametrize("seed,piece,least", [(0, 65_536, 50), (1, 30, 50), (2, 30, 31)])
