@@ -1,10 +1,11 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary text: each holds the
-windows that set its class apart, by document frequency, after a stock of frequent windows that both share. A window
-is one word in a fixed frame, long enough for the compressor to work on. How many bytes the toxic dictionary saves on a
-document's windows against the ordinary one is turned into a probability by thresholds calibrated on labelled
-documents that the dictionaries have not seen.
+windows that set its class apart, by document frequency, after a stock of frequent windows that both share. A window is
+a run of characters between blanks, in a fixed frame that is long enough for the compressor to work on; longer runs, as
+of scripts without blanks, are read in overlapping windows. How many bytes the toxic dictionary saves on a document's
+windows against the ordinary one is turned into a probability by thresholds calibrated on labelled documents that the
+dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from ._common import bounded_sample, materialise
 
 #: Labelled documents of each class to learn from; all that is fitted is bounded by this.
 PER_CLASS = 1500
-#: Segments (beginnings of words) of a dictionary, and the shared stock of words.
+#: Segments of a dictionary, and the shared stock of windows.
 SEGMENTS, STOCK = 400, 120
-MIN_SEGMENT, MAX_SEGMENT = 4, 10
+#: Characters of a window; a longer run is read in windows that begin STEP apart.
+WIDTH, STEP = 16, 8
+#: A word's segments are its beginnings, from STEM characters on; a longer run's are all its pieces of PIECE characters.
+STEM, PIECE = 4, range(2, STEP + 1)
 #: A segment sets a class apart if it is in so many of its documents and its share there stands out so clearly.
 MIN_DOCUMENTS, MIN_Z, MIN_RATIO = 5, 5.0, 4.0
 BEFORE, AFTER = b" the ", b" of and in that is of the"
@@ -31,13 +35,25 @@ KNOWN_WINDOWS = 400_000
 TRIM = ".,;:!?\"'()[]{}<>*-_%&#"
 
 
-def words_of(text: str) -> list[str]:
+def runs_of_text(text: str) -> list[str]:
     return [w.strip(TRIM) for w in text.lower().split()]
 
 
+def windows_of(text: str) -> list[str]:
+    """The windows of a text: each piece of up to STEP characters of it lies whole in one."""
+    return [r[k : k + WIDTH] for r in runs_of_text(text) for k in range(0, max(1, len(r) - WIDTH + STEP), STEP)]
+
+
 def segments_of(text: str) -> set[str]:
-    """The beginnings of a text's words, each once."""
-    return {w[:k] for w in set(words_of(text)) for k in range(MIN_SEGMENT, min(len(w), MAX_SEGMENT) + 1)}
+    """What a dictionary can learn of a text, each once: beginnings of words, whole short words, and pieces of longer runs."""
+    out: set[str] = set()
+    for r in set(runs_of_text(text)):
+        if len(r) <= WIDTH:
+            out.update(r[:k] for k in range(min(STEM, len(r)), len(r) + 1))
+        else:
+            out.update(r[at : at + k] for k in PIECE for at in range(len(r) - k + 1))
+    out.discard("")
+    return out
 
 
 def window(word: str) -> bytes:
@@ -70,7 +86,7 @@ class Distance:
         if len(self.known) > KNOWN_WINDOWS:
             self.known.clear()
         get, gain = self.known.get, self._gain
-        gains = np.array([g if (g := get(w)) is not None else gain(w) for w in words_of(text)] or [0], dtype=np.int32)
+        gains = np.array([g if (g := get(w)) is not None else gain(w) for w in windows_of(text)] or [0], dtype=np.int32)
         counts = [np.log1p(np.count_nonzero(gains >= s)) for s in STEPS]
         most = np.partition(gains, -3)[-3:] if len(gains) > 3 else gains
         return [*counts, float(most.max()), float(most.mean()), float(counts[3] - np.log1p(len(gains)))]
@@ -88,7 +104,7 @@ def _dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(1):
-                found = list(set(words_of(text.as_py() or "")))
+                found = list(set(windows_of(text.as_py() or "")))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
 
     learn = sample.where("not calibrates").select("toxic", "text")
@@ -105,7 +121,7 @@ def _dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
         ratio = F.col("ratio") if sign > 0 else 1 / F.col("ratio")
         top = scored.where((sign * F.col("z") > MIN_Z) & (ratio > MIN_RATIO) & (F.col(support) >= MIN_DOCUMENTS)).orderBy(sign * -F.col("z"), "segment").limit(SEGMENTS).collect()
         have = {r["segment"]: r[support] for r in top}
-        return [s for s in have if not any(o != s and o.startswith(s) and have[o] >= 0.8 * have[s] for o in have)]
+        return [s for s in have if not any(o != s and s in o and have[o] >= 0.8 * have[s] for o in have)]
 
     frequent = [r["word"] for r in learn.where("toxic = 0").mapInArrow(common, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(STOCK + SEGMENTS).collect()]
     stock = b"".join(map(window, frequent[:STOCK]))

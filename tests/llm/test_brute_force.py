@@ -297,3 +297,39 @@ def test_toxicity(spark):
     got = toxicity.toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).toPandas().set_index("doc_id")
     held = got[got.held_out]
     assert (held.predicted == (held.index % 4 == 0)).mean() >= 0.95 and got.score.between(0, 1).all()
+
+
+def test_toxicity_in_a_script_without_blanks(spark):
+    """Toxic words of two and three characters inside long runs; and a toxic word of three letters between blanks."""
+    rng = random.Random(17)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    rows, marks = [], []
+    for k in range(500):
+        text = "".join(rng.choices(signs, k=300))
+        toxic = k % 4 == 0
+        if toxic:
+            for w in rng.sample(["恶语", "脏话词", "蠢货"], 2):
+                at = rng.randrange(300)
+                text = text[:at] + w + text[at:]
+        rows.append((k, text))
+        marks.append((k, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int")).toPandas().set_index("doc_id")
+    held = got[got.held_out]
+    assert (held.predicted == (held.index % 4 == 0)).mean() >= 0.9
+    assert "sob" in toxicity.segments_of("such a sob !") and toxicity.segments_of("  !! ") == set()
+    long = "".join(rng.choices(signs, k=100))
+    assert all(any(long[at : at + 8] in w for w in toxicity.windows_of(long)) for at in range(93))
+
+
+def test_window_gains():
+    """Gains are lengths of zstandard frames of each window, one by one."""
+    import zstandard
+
+    toxic, ordinary = (b"".join(map(toxicity.window, w)) for w in (["idiot", "moron", "scum"], ["garden", "river", "stone"]))
+    distance = toxicity.Distance(toxic, ordinary)
+    assert distance.features("what an idiot")[len(toxicity.STEPS)] >= 3 > distance.features("what a lovely song")[len(toxicity.STEPS)]
+    frame = distance.toxic(toxicity.window("idiot"))
+    held = zstandard.ZstdCompressionDict(toxic, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    assert zstandard.ZstdDecompressor(dict_data=held).decompress(frame, max_output_size=100) == toxicity.window("idiot")
+    assert distance.features("") == distance.features("  ")
