@@ -150,13 +150,14 @@ def infer_period(summary, day) -> Column:
     """struct(start, end): a range m.d-m.d in the text (into the next year if it ends in an earlier month), else a month
     named in it, else the calendar month of ``day``; impossible dates fall through to the next rule."""
     s, d = text(summary), _c(day)
-    part = lambda k: F.nullif(F.regexp_extract(s, r"(\d{1,2})[.](\d{1,2})\s*[-~至到]\s*(\d{1,2})[.](\d{1,2})", k), F.lit("")).cast("int")
+    period = r"(?<!\d)(\d{1,2})\s*[.月/]\s*(\d{1,2})\s*(?:-|~|至|到|—)\s*(\d{1,2})\s*[.月/]\s*(\d{1,2})(?!\d)"
+    month_word = r"(?:(\d{4})年)?(\d{1,2})\s*月"
+    number = lambda pattern, k: F.nullif(F.regexp_extract(s, pattern, k), F.lit("")).cast("int")
     year = F.year(d)
-    start = date_from_parts(year, part(1), part(2))
-    end = date_from_parts(F.when(part(3) < part(1), year + 1).otherwise(year), part(3), part(4))
-    named_year = F.nullif(F.regexp_extract(s, r"(\d{4})年", 1), F.lit("")).cast("int")
-    named = F.nullif(F.regexp_extract(s, r"(\d{1,2})月", 1), F.lit("")).cast("int")
-    month = date_from_parts(F.coalesce(named_year, year), named, F.lit(1))
+    first_month, last_month = number(period, 1), number(period, 3)
+    start = date_from_parts(year, first_month, number(period, 2))
+    end = date_from_parts(F.when(last_month < first_month, year + 1).otherwise(year), last_month, number(period, 4))
+    month = date_from_parts(F.coalesce(number(month_word, 1), year), number(month_word, 2), F.lit(1))
     own = F.trunc(d, "month")
     ranged = start.isNotNull() & end.isNotNull()
     first = F.when(ranged, start).otherwise(F.coalesce(month, own))

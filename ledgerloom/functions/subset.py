@@ -9,42 +9,52 @@ from .similarity import ratio
 _NOISE = re.compile(r"[\s,，。；;：:/\\()\[\]（）【】\-_=+]")
 
 
-def subset_sum(amounts: list[int], target: int, tolerance: int = 0, most: int = 6, least: int = 2, steps: int = 2_000_000) -> list[int]:
-    """Places of the first subset, going depth first over falling amounts (ties in the given order), whose sum is within
-    ``tolerance`` of ``target``; empty if there is none within ``steps`` nodes. Branches whose sum cannot be reached,
-    or is passed, are left out, which does not change what is found first."""
+def subset_sums(amounts: list[int], target: int, tolerance: int = 0, most: int = 6, least: int = 2, steps: int = 2_000_000, results: int = 1) -> tuple[list[list[int]], bool]:
+    """Places of the first ``results`` subsets whose sum is within ``tolerance`` of ``target``, and whether the search ended.
+
+    It goes depth first over falling amounts (ties in the given order) and does not extend a subset that fits. Branches
+    whose sum cannot be reached, or is passed, are left out, which does not change what is found. After ``steps`` nodes
+    it stops: then the answer is False, and there may be more subsets.
+    """
     order = sorted((k for k, a in enumerate(amounts) if a > 0), key=lambda k: -amounts[k])
     values = [amounts[k] for k in order]
     ahead = [0]
     for v in values:
         ahead.append(ahead[-1] + v)
     chosen: list[int] = []
+    found: list[list[int]] = []
     seen = 0
 
-    def go(start: int, total: int) -> bool:
+    def go(start: int, total: int) -> None:
         nonlocal seen
         seen += 1
         if seen > steps:
-            return False
+            return
         if len(chosen) >= least and abs(total - target) <= tolerance:
-            return True
-        if len(chosen) >= most or total > target + tolerance:
-            return False
+            found.append(list(chosen))
+            return
         room = most - len(chosen)
+        if not room or total > target + tolerance:
+            return
         for k in range(start, len(values)):
             if total + ahead[min(k + room, len(values))] - ahead[k] < target - tolerance:
-                return False
+                return
             if total + values[k] > target + tolerance:
                 continue
             chosen.append(order[k])
-            if go(k + 1, total + values[k]):
-                return True
+            go(k + 1, total + values[k])
             chosen.pop()
-            if seen > steps:
-                return False
-        return False
+            if len(found) >= results or seen > steps:
+                return
+
+    go(0, 0)
+    return found, seen <= steps
 
-    return list(chosen) if go(0, 0) else []
+
+def subset_sum(amounts: list[int], target: int, tolerance: int = 0, most: int = 6, least: int = 2, steps: int = 2_000_000) -> list[int]:
+    """The first subset of :func:`subset_sums`; empty if there is none within ``steps`` nodes."""
+    found, _ = subset_sums(amounts, target, tolerance, most, least, steps)
+    return found[0] if found else []
 
 
 def normalized(text: str) -> str:

@@ -12,87 +12,160 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import counterparty_key, infer_period, join_unique
+from ..functions.scalars import counterparty_key, infer_period, join_unique_array
 from ..functions.similarity import text_similarity
-from ..functions.subset import subset_sum
-from .matching import _slim
-from .pairs import joined_by_bucket, pair_candidates, side_text
+from ..functions.subset import subset_sum, subset_sums
+from .pairs import joined_by_bucket, pair_candidates, record_text
 from .scratch import materialise
 
-# Words of entries that stand for several payments.
-GROUP_WORDS = "汇总|合计|批量|等|多笔|月结|工资|奖金|报销|代发|结算|batch|total"
+# Words and periods of entries that stand for several payments.
+GROUP_WORDS = ("手续费", "银行代扣", "银行已扣费", "银行手续费", "食堂", "二维码", "POS", "商户", "社保", "医保", "税务", "税收", "汇缴")
+GROUP_PERIODS = (r"\d{1,2}\s*[.月/]\s*\d{1,2}\s*(?:-|~|至|到|—)\s*\d{1,2}\s*[.月/]\s*\d{1,2}", r"\d{4}年\d{1,2}\s*月|\d{1,2}\s*月份")
 COLUMNS = ["match_type", "banks", "ledgers", "bank_cents", "ledger_cents", "score", "period_start", "period_end"]
 GROUP = "match_type string, banks array<string>, ledgers array<string>, bank_cents long, ledger_cents long, score double, period_start date, period_end date"
 
 
-def looks_grouped(*texts) -> Column:
-    said = F.lower(join_unique(*texts))
-    return said.rlike(GROUP_WORDS) | said.rlike(r"\d{1,2}[.]\d{1,2}\s*[-~至到]\s*\d{1,2}[.]\d{1,2}") | said.rlike(r"\d{4}年\d{1,2}月")
+def looks_grouped(said) -> Column:
+    """Whether a record's text names a period or one of the words."""
+    said = said if isinstance(said, Column) else F.col(said)
+    words = [F.lower(said).contains(w.lower()) for w in GROUP_WORDS]
+    return reduce(lambda a, b: a | b, [*words, *[said.rlike(p) for p in GROUP_PERIODS]])
+
+
+def _members(groups: DataFrame, records: DataFrame, ids: str) -> DataFrame:
+    """Per group ``cid`` of one side: texts joined, first, last and mean day, rows, and the largest share of a counterparty."""
+    rows = groups.select("cid", F.posexplode(ids).alias("pos", "id")).join(records.select("id", "day", record_text().alias("said"), counterparty_key("counterparty_name", "summary").alias("cp")), "id")
+    told = F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"])
+    out = rows.groupBy("cid").agg(
+        join_unique_array(told).alias("said"), F.min("day").alias("first"), F.max("day").alias("last"), F.avg(F.unix_date("day")).alias("centre"), F.count(F.lit(1)).alias("n"), F.collect_list("cp").alias("cps"),
+    )
+    shares = F.transform(F.array_distinct("cps"), lambda c: F.size(F.filter("cps", lambda x: x == c)))
+    named = out.withColumn("consistency", F.array_max(shares) / F.size("cps")).drop("cps")
+    return named.select("cid", *[F.col(c).alias(f"{ids}_{c}") for c in named.columns if c != "cid"])
+
+
+def measured(groups: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Adds what the scores of groups are made of: similarity, consistency, span in days, gap of the mean days, members, exact."""
+    keyed = materialise(groups.withColumn("cid", F.monotonically_increasing_id()), "groups")
+    both = keyed.join(_members(keyed, bank, "banks"), "cid").join(_members(keyed, ledger, "ledgers"), "cid")
+    return both.withColumns({
+        "similarity": text_similarity("banks_said", "ledgers_said"), "consistency": F.least("banks_consistency", "ledgers_consistency"),
+        "span": F.date_diff(F.greatest("banks_last", "ledgers_last"), F.least("banks_first", "ledgers_first")),
+        "gap": F.abs(F.col("banks_centre") - F.col("ledgers_centre")), "members": F.col("banks_n") + F.col("ledgers_n"),
+        "exact": (F.abs(F.col("bank_cents") - F.col("ledger_cents")) <= 1).cast("int"),
+    })
+
+
+def heuristic_score() -> Column:
+    return F.round(0.7 * F.col("exact") + 0.3 * F.col("similarity"), 4)
+
+
+def many_score() -> Column:
+    return F.round(0.65 * F.col("consistency") + 0.25 / (1 + F.col("span")) + 0.10 / (1 + F.col("members")), 4)
+
+
+def balance_score() -> Column:
+    amount = F.when(F.col("bank_cents") == F.col("ledger_cents"), 1.0).otherwise(0.98)
+    return F.round(0.45 * amount + 0.25 * F.col("similarity") + 0.20 * F.col("consistency") + 0.10 / (1 + F.col("span")), 4)
+
+
+def scored_groups(groups: DataFrame, bank: DataFrame, ledger: DataFrame, score: Column) -> DataFrame:
+    return measured(groups, bank, ledger).withColumn("score", score).select(*COLUMNS)
 
 
 def exact_pairs(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 45, most: int = 8) -> DataFrame:
-    """Same bucket, equal amounts: the first ``most`` banks of each entry."""
-    edges = pair_candidates(bank, ledger, tolerance, window)
+    """Same bucket, equal amounts, days within the entry's period and ``window``: the first ``most`` banks of each entry."""
+    edges = _in_reach(pair_candidates(bank, _dated(ledger), tolerance, 31), window)
     ranked = edges.withColumn("_k", F.row_number().over(Window.partitionBy("l_id").orderBy("b_ord"))).where(F.col("_k") <= most)
-    said = text_similarity(side_text("bank", "b_"), side_text("ledger", "l_"))
-    score = F.round(0.7 * (1 - F.col("cent_diff") / (tolerance + 1)) + 0.3 * said, 4)
-    return ranked.select(F.lit("one_to_one").alias("match_type"), F.array("b_id").alias("banks"), F.array("l_id").alias("ledgers"), F.col("b_cents").alias("bank_cents"), F.col("l_cents").alias("ledger_cents"), score.alias("score"), F.least("b_day", "l_day").alias("period_start"), F.greatest("b_day", "l_day").alias("period_end"))
+    said = text_similarity(record_text("b_"), record_text("l_"))
+    score = F.round(0.7 * (F.col("cent_diff") <= 1).cast("int") + 0.3 * said, 4)
+    return ranked.select(
+        F.lit("one_to_one").alias("match_type"), F.array("b_id").alias("banks"), F.array("l_id").alias("ledgers"), F.col("b_cents").alias("bank_cents"), F.col("l_cents").alias("ledger_cents"),
+        score.alias("score"), F.least("b_day", "l_day").alias("period_start"), F.greatest("b_day", "l_day").alias("period_end"),
+    )
+
+
+def _dated(ledger: DataFrame) -> DataFrame:
+    """Adds the period that an entry's text tells: first, last."""
+    return ledger.withColumn("p", infer_period("summary", "day")).withColumns({"first": F.col("p.start"), "last": F.col("p.end")}).drop("p")
+
+
+def _in_reach(pairs: DataFrame, window: int) -> DataFrame:
+    low, high = F.least("l_first", F.date_sub("l_day", window)), F.greatest("l_last", F.date_add("l_day", window))
+    return pairs.where(F.col("b_day").between(low, high))
 
 
-def _pools(bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Bank rows of the bucket and period of each entry; one bucket's rows at most, entry by entry."""
-    dated = ledger.withColumn("p", infer_period("summary", "day")).withColumns({"first": F.col("p.start"), "last": F.col("p.end")}).drop("p")
-    return joined_by_bucket(bank, dated, [("month", "month"), ("flow", "flow")]).where(F.col("b_day").between(F.col("l_first"), F.col("l_last")))
+def _pools(bank: DataFrame, ledger: DataFrame, window: int = 45) -> DataFrame:
+    """Bank rows of the bucket and reach of each entry; ``inside`` marks those in its period. One bucket's rows at most, entry by entry."""
+    met = _in_reach(joined_by_bucket(bank, _dated(ledger), [("month", "month"), ("flow", "flow")]), window)
+    return met.withColumn("inside", F.col("b_day").between(F.col("l_first"), F.col("l_last")))
+
+
+def grouped_entries(ledger: DataFrame) -> DataFrame:
+    return ledger.where(looks_grouped(record_text()))
 
 
 def period_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 120) -> DataFrame:
     """Entries that look grouped against all bank rows of their period, if the totals agree. Sums first: only the
     entries that agree gather their rows."""
-    grouped = ledger.where(looks_grouped("summary", "subject", "counterparty_name"))
-    pool = _pools(bank, grouped)
+    pool = _pools(bank, grouped_entries(ledger)).where("inside")
     sums = pool.groupBy("l_id").agg(F.count(F.lit(1)).alias("n"), F.sum("b_cents").alias("total"), F.first("l_cents").alias("want"))
     hits = sums.where((F.col("n") > 1) & (F.col("n") <= most) & (F.abs(F.col("total") - F.col("want")) <= tolerance)).select("l_id")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("b_ord", "b_id"))), lambda x: x["b_id"])
-    out = pool.join(hits, "l_id").groupBy("l_id").agg(ids.alias("banks"), F.sum("b_cents").alias("bank_cents"), F.first("l_cents").alias("ledger_cents"), F.first("l_first").alias("period_start"), F.first("l_last").alias("period_end"))
-    score = 0.7 * (1 - F.abs(F.col("bank_cents") - F.col("ledger_cents")) / (tolerance + 1)) + 0.3
-    return out.select(F.lit("many_to_one").alias("match_type"), "banks", F.array("l_id").alias("ledgers"), "bank_cents", "ledger_cents", F.round(score, 4).alias("score"), "period_start", "period_end")
+    firsts = [F.first(c).alias(n) for c, n in (("l_cents", "ledger_cents"), ("l_first", "period_start"), ("l_last", "period_end"))]
+    out = pool.join(hits, "l_id").groupBy("l_id").agg(ids.alias("banks"), F.sum("b_cents").alias("bank_cents"), *firsts)
+    groups = out.select(F.lit("many_to_one").alias("match_type"), "banks", F.array("l_id").alias("ledgers"), "bank_cents", "ledger_cents", F.lit(None).cast("double").alias("score"), "period_start", "period_end")
+    return scored_groups(groups, bank, ledger, heuristic_score())
 
 
-def subset_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 90, pool: int = 32, most: int = 10, steps: int = 200_000, kind: str = "amount_group_many_to_one") -> DataFrame:
-    """Each entry against the first subset of its ``pool`` nearest smaller bank rows (by text, days, amount) that sums to it.
-
-    A blank account on either side stands for any; an entry's pool is cut before its rows come together.
-    """
-    bucket = ["month", "flow", "account"]
-    met = joined_by_bucket(_slim(bank, "bank", bucket), _slim(ledger, "ledger", bucket), [("month", "month"), ("flow", "flow")])
-    met = met.withColumn("days", F.abs(F.col("b_day") - F.col("l_day"))).where((F.col("days") <= window) & (F.col("b_cents") <= F.col("l_cents") + tolerance))
-    near = Window.partitionBy("l_id").orderBy(F.desc("alike"), "days", F.desc("b_cents"), "b_ord", "b_id")
-    ranked = met.withColumn("alike", F.round(0.77 + 0.23 * text_similarity("b_said", "l_said"), 4)).withColumn("k", F.row_number().over(near)).where(F.col("k") <= pool)
-    pools = ranked.groupBy("l_id").agg(F.first("l_cents").alias("cents"), F.first("l_day").alias("day"), F.array_sort(F.collect_list(F.struct("k", "b_id", "b_cents", "b_day"))).alias("near"))
+def _first_subsets(pool: DataFrame, order: list[Column], k: int, tolerance: int, most: int, steps: int, kind: str) -> DataFrame:
+    """For each entry the first subset that sums to it of its first ``k`` bank rows in ``order``; pools are cut before they come together."""
+    ranked = pool.withColumn("k", F.row_number().over(Window.partitionBy("l_id").orderBy(*order, "b_ord", "b_id"))).where(F.col("k") <= k)
+    pools = ranked.groupBy("l_id").agg(F.first("l_cents").alias("cents"), F.array_sort(F.collect_list(F.struct("k", "b_id", "b_cents", "b_day"))).alias("near"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for g in batch.itertuples(index=False):
-                found = [g.near[k] for k in subset_sum([int(b["b_cents"]) for b in g.near], int(g.cents), tolerance, most, 2, steps)]
+                found = [g.near[p] for p in subset_sum([int(b["b_cents"]) for b in g.near], int(g.cents), tolerance, most, 2, steps)]
                 if found:
-                    total = sum(int(b["b_cents"]) for b in found)
-                    days = [pd.Timestamp(0) + pd.Timedelta(days=int(x)) for x in (*(b["b_day"] for b in found), g.day)]
-                    span = max(b["b_day"] for b in found) - min(b["b_day"] for b in found)
-                    score = round(0.7 * max(0.0, 1 - abs(total - g.cents) / (tolerance + 1)) + 0.3 * max(0.0, 1 - span / (window + 1)), 4)
-                    out.append((kind, [b["b_id"] for b in found], [g.l_id], total, int(g.cents), score, min(days).date(), max(days).date()))
+                    days = [b["b_day"] for b in found]
+                    out.append((kind, [b["b_id"] for b in found], [g.l_id], sum(int(b["b_cents"]) for b in found), int(g.cents), None, min(days), max(days)))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     return pools.mapInPandas(run, GROUP)
 
 
-def grouped_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
-    grouped = ledger.where(looks_grouped("summary", "subject", "counterparty_name"))
-    return subset_groups(bank, grouped, tolerance, pool=22, most=40, steps=100_000, kind="grouped_many_to_one")
+def grouped_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, pool: int = 22, most: int = 40, steps: int = 100_000) -> DataFrame:
+    """Entries that look grouped against a subset of the bank rows of their period (of their reach, if the period has none), the most alike first."""
+    met = _pools(bank, grouped_entries(ledger))
+    some = met.where("inside").select("l_id").distinct().withColumn("has", F.lit(True))
+    met = met.join(some, "l_id", "left").where(F.col("inside") | F.col("has").isNull())
+    alike = met.withColumn("alike", text_similarity(record_text("b_"), record_text("l_")))
+    order = [F.desc("alike"), F.abs(F.col("b_cents") - F.col("l_cents"))]
+    return scored_groups(_first_subsets(alike, order, pool, tolerance, most, steps, "many_to_one"), bank, ledger, heuristic_score())
 
 
-def manual_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
-    return subset_groups(bank, ledger, tolerance, window=365, pool=80, most=60, steps=100_000, kind="manual_window_many_to_one")
+def subset_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 90, pool: int = 32, most: int = 10, steps: int = 200_000) -> DataFrame:
+    """Each entry against a subset of its ``pool`` smaller bank rows that are most alike, then nearest in time, then largest."""
+    met = joined_by_bucket(bank, ledger, [("month", "month"), ("flow", "flow")]).withColumn("days", F.abs(F.date_diff("b_day", "l_day")))
+    met = met.where((F.col("days") <= window) & (F.col("b_cents") <= F.col("l_cents") + tolerance)).withColumn("alike", text_similarity(record_text("b_"), record_text("l_")))
+    order = [F.desc("alike"), F.asc("days"), F.desc("b_cents")]
+    return scored_groups(_first_subsets(met, order, pool, tolerance, most, steps, "amount_group_many_to_one"), bank, ledger, heuristic_score())
+
+
+def manual_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 365, pool: int = 80, most: int = 60, steps: int = 100_000, same_flow: bool = True) -> DataFrame:
+    """Each entry against a subset of the ``pool`` earliest smaller bank rows of its month and account (and flow, if asked for)."""
+    on = [("month", "month"), ("flow", "flow")] if same_flow else [("month", "month")]
+    met = joined_by_bucket(bank, ledger, on).where((F.abs(F.date_diff("b_day", "l_day")) <= window) & (F.col("b_cents") <= F.col("l_cents") + tolerance))
+    groups = _first_subsets(met, [F.asc("b_day")], pool, tolerance, most, steps, "manual_time_window_many_to_one")
+    near = measured(groups, bank, ledger)
+    # one entry a group: the mean distance in days of its bank rows
+    days = near.select("cid", F.explode("banks").alias("id"), F.col("ledgers_first").alias("day")).join(bank.select("id", F.col("day").alias("at")), "id")
+    far = days.groupBy("cid").agg(F.avg(F.abs(F.date_diff("at", "day"))).alias("far"))
+    span = F.date_diff("banks_last", "banks_first")
+    score = F.round(0.55 * F.col("banks_consistency") + 0.30 / (1 + F.col("far")) + 0.15 / (1 + span), 4)
+    return near.join(far, "cid").withColumn("score", score).select(*COLUMNS)
 
 
 def runs(df: DataFrame, least: int, most: int) -> DataFrame:
@@ -107,15 +180,16 @@ def runs(df: DataFrame, least: int, most: int) -> DataFrame:
     return spread.join(ends, [*key, "last"]).select(*key, "first", "last", (F.col("upto") - F.col("before")).alias("total"), "period_start", "period_end")
 
 
-def _members(df: DataFrame, spans: DataFrame, ids: str) -> DataFrame:
+def _run_members(df: DataFrame, spans: DataFrame, ids: str) -> DataFrame:
     key = ["account", "month", "flow"]
     placed = df.select(*key, F.col("id"), F.row_number().over(Window.partitionBy(*key).orderBy("day", "ord")).alias("pos"))
-    wanted = spans.select("cid", *key, F.explode(F.sequence(f"{ids}_first", f"{ids}_last")).alias("pos"))
-    return wanted.join(placed, [*key, "pos"]).groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias(ids))
+    wanted = spans.select("wid", *key, F.explode(F.sequence(f"{ids}_first", f"{ids}_last")).alias("pos"))
+    return wanted.join(placed, [*key, "pos"]).groupBy("wid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias(ids))
 
 
-def window_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, bank_most: int = 80, ledger_least: int = 2, ledger_most: int = 12, keep: int = 50) -> DataFrame:
-    """Runs of bank rows against runs of entries of the same bucket with equal totals; the ``keep`` best of the job.
+def window_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, bank_most: int = 80, ledger_least: int = 2, ledger_most: int = 12, keep: int | None = 50) -> DataFrame:
+    """Runs of bank rows against runs of entries of the same bucket with equal totals; the ``keep`` best of the job: one
+    counterparty first, then the shortest span, the nearest means, the fewest members; all without ``keep``.
 
     With ``ledger_least`` = ``ledger_most`` = 1 these are runs against single entries.
     """
@@ -125,28 +199,61 @@ def window_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, bank_m
     g = runs(ledger.join(shared, key, "left_semi"), ledger_least, ledger_most).withColumn("at", F.explode(F.sequence(F.col("total") - tolerance, F.col("total") + tolerance)))
     told = lambda d, p: d.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in d.columns if c not in key])
     met = told(b, "banks").withColumn("sum", F.col("banks_total")).join(told(g, "ledgers").withColumn("sum", F.col("ledgers_at")), [*key, "sum"])
+    met = materialise(met.withColumn("wid", F.monotonically_increasing_id()), "windows")
     start, end = F.least("banks_period_start", "ledgers_period_start"), F.greatest("banks_period_end", "ledgers_period_end")
-    near = F.greatest(F.lit(0.0), 1 - F.date_diff(end, start) / F.lit(31))
-    exact = F.greatest(F.lit(0.0), 1 - F.abs(F.col("banks_total") - F.col("ledgers_total")) / F.lit(tolerance + 1))
-    size = (F.col("banks_last") - F.col("banks_first")) + (F.col("ledgers_last") - F.col("ledgers_first")) + 2
-    best = met.withColumns({"score": F.round(0.65 * exact + 0.25 * near + 0.10 / size, 4), "period_start": start, "period_end": end, "size": size})
-    best = best.orderBy(F.desc("score"), "size", *key, "banks_first", "ledgers_first").limit(keep)
-    best = materialise(best.withColumn("cid", F.monotonically_increasing_id()), "windows")  # a feature: the best `keep`
-    out = best.join(_members(bank, best, "banks"), "cid").join(_members(ledger, best, "ledgers"), "cid")
-    kind = "many_to_many" if ledger_most > 1 else "contiguous_many_to_one"
-    return out.select(F.lit(kind).alias("match_type"), "banks", "ledgers", F.col("banks_total").alias("bank_cents"), F.col("ledgers_total").alias("ledger_cents"), "score", "period_start", "period_end")
-
-
-def monthly_balances(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 120) -> DataFrame:
-    """Whole buckets whose totals agree, up to ``most`` records; sums first, members only for the hits."""
+    kind = "manual_time_window_many_to_many" if ledger_most > 1 else "contiguous_many_to_one"
+    groups = met.join(_run_members(bank, met, "banks"), "wid").join(_run_members(ledger, met, "ledgers"), "wid").select(
+        F.lit(kind).alias("match_type"), "banks", "ledgers", F.col("banks_total").alias("bank_cents"), F.col("ledgers_total").alias("ledger_cents"), F.lit(None).cast("double").alias("score"), start.alias("period_start"), end.alias("period_end"),
+    )
+    out = measured(groups, bank, ledger).withColumn("score", many_score())
+    return (out if keep is None else out.orderBy(*many_order()).limit(keep)).select(*COLUMNS)  # a feature: the best `keep`
+
+
+def many_order() -> list[Column]:
+    """Groups of both sides, best first."""
+    return [F.desc("consistency"), F.asc("span"), F.asc("gap"), F.asc("members"), F.desc("score"), F.asc(F.concat_ws("|", "banks")), F.asc(F.concat_ws("|", "ledgers"))]
+
+
+def monthly_balances(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 120, bank_pool: int = 90, ledger_pool: int = 30, each: int = 8, keep: int = 80, subsets: bool = True) -> DataFrame:
+    """Buckets (account, month, flow) whose first ``bank_pool`` and ``ledger_pool`` rows have equal totals: as a whole, up
+    to ``most`` records, and in parts: runs of up to 8 entries (the first 180 runs) against subsets of the bank rows.
+
+    The ``each`` best of a bucket and the first ``keep`` of the job, by bucket, stay. Totals are compared first, so only
+    buckets that agree gather their rows, and of those no more than both pools.
+    """
     key = ["account", "month", "flow"]
-    b, g = (d.groupBy(*key).agg(F.count(F.lit(1)).alias(f"n{p}"), F.sum("cents").alias(f"s{p}"), F.min("day").alias(f"f{p}"), F.max("day").alias(f"l{p}")) for d, p in ((bank, "b"), (ledger, "l")))
-    hits = b.join(g, key).where((F.abs(F.col("sb") - F.col("sl")) <= tolerance) & (F.col("nb") + F.col("nl") <= most) & (F.col("nb") + F.col("nl") > 2))
-    ids = lambda d, n: d.join(hits.select(*key), key, "left_semi").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "ord", "id"))), lambda x: x["id"]).alias(n))
-    out = hits.join(ids(bank, "banks"), key).join(ids(ledger, "ledgers"), key)
-    exact = 1 - F.abs(F.col("sb") - F.col("sl")) / F.lit(tolerance + 1)
-    score = F.round(0.45 * exact + 0.25 + 0.20 / F.greatest("nb", "nl") + 0.10, 4)
-    return out.select(F.lit("monthly_balance").alias("match_type"), "banks", "ledgers", F.col("sb").alias("bank_cents"), F.col("sl").alias("ledger_cents"), score.alias("score"), F.least("fb", "fl").alias("period_start"), F.greatest("lb", "ll").alias("period_end"))
+    first = lambda d, k: d.where("flow in ('in', 'out')").withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("day", "ord", "id"))).where(F.col("_k") <= k)
+    b, g = first(bank, bank_pool), first(ledger, ledger_pool)
+    sums = [d.groupBy(*key).agg(F.sum("cents").alias(f"s{p}")) for d, p in ((b, "b"), (g, "l"))]
+    hits = sums[0].join(sums[1], key).where(F.abs(F.col("sb") - F.col("sl")) <= tolerance).select(*key)
+    rows = [d.join(hits, key, "left_semi").select(*key, F.lit(side).alias("side"), "_k", "id", "cents", "day") for d, side in ((b, "bank"), (g, "ledger"))]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "_k"])
+        banks, entries = (list(x.itertuples(index=False)) for x in (group[group.side == "bank"], group[group.side == "ledger"]))
+        made: dict[tuple, tuple] = {}
+
+        def add(bs: list, es: list) -> None:
+            if len(bs) + len(es) > 2:
+                days = [r.day for r in (*bs, *es)]
+                made.setdefault((frozenset(r.id for r in bs), frozenset(r.id for r in es)), ("manual_monthly_balance_many_to_many", [r.id for r in bs], [r.id for r in es], sum(r.cents for r in bs), sum(r.cents for r in es), None, min(days), max(days)))
+
+        spans = [(at, at + n) for at in range(len(entries)) for n in range(1, min(8, len(entries) - at) + 1)][:180] if subsets else []
+        for lo, hi in sorted(spans, key=lambda s: s[1] - s[0]):
+            if len(made) >= each:
+                break
+            total = sum(e.cents for e in entries[lo:hi])
+            found, _ = subset_sums([r.cents for r in banks], total, tolerance, 40, 1, 20_000, each - len(made))
+            for places in found:
+                add([banks[p] for p in places], entries[lo:hi])
+        if len(banks) + len(entries) <= most:
+            add(banks, entries)
+        return pd.DataFrame(list(made.values()), columns=COLUMNS).assign(**{c: group[c].iloc[0] for c in key})
+
+    groups = rows[0].unionByName(rows[1]).groupBy(*key).applyInPandas(run, f"{GROUP}, account string, month string, flow string")
+    best = Window.partitionBy(*key).orderBy(F.desc("score"), F.abs(F.size("banks") - F.size("ledgers")), "members", "span", F.desc("bank_cents"), F.concat_ws("|", "banks"), F.concat_ws("|", "ledgers"))
+    chosen = measured(groups, bank, ledger).withColumn("score", balance_score()).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= each)
+    return chosen.orderBy(*key, "_k").limit(keep).select(*COLUMNS)  # a feature: the first `keep`
 
 
 def signature(df: DataFrame) -> DataFrame:
@@ -162,7 +269,11 @@ def same_bucket(candidates: DataFrame, bank: DataFrame, ledger: DataFrame, stric
     return signed.join(told.where(one).select("candidate_signature"), "candidate_signature", "left_semi").drop("candidate_signature")
 
 
-PRIORITY = ("one_to_one", "many_to_one", "grouped_many_to_one", "amount_group_many_to_one", "contiguous_many_to_one", "manual_window_many_to_one", "many_to_many", "monthly_balance")
+#: Kinds from the one that is kept first.
+PRIORITY = (
+    "manual_monthly_balance_many_to_many", "manual_time_window_many_to_many", "manual_time_window_many_to_one", "amount_group_many_to_one",
+    "many_to_one", "one_to_many", "contiguous_many_to_one", "one_to_one",
+)
 
 
 def policy(candidates: DataFrame) -> DataFrame:
@@ -172,9 +283,9 @@ def policy(candidates: DataFrame) -> DataFrame:
 
 
 def dedupe(candidates: DataFrame) -> DataFrame:
-    """Of candidates with the same members the one of the first kind, then for acceptance, then the best score."""
+    """Of candidates with the same members the one of the first kind, then for review only, then the best score, then the fewest records."""
     place = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("match_type"))
-    best = Window.partitionBy(F.sort_array("banks"), F.sort_array("ledgers")).orderBy(place, "review_only", F.desc("score"), "period_start")
+    best = Window.partitionBy(F.sort_array("banks"), F.sort_array("ledgers")).orderBy(place, F.desc("review_only"), F.desc("score"), F.size("banks") + F.size("ledgers"), "period_start")
     return candidates.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
@@ -199,22 +310,15 @@ def duplicate_info(candidates: DataFrame) -> DataFrame:
     return out.withColumn("duplicate_info", F.when(b & g, "both").when(b, "bank").when(g, "ledger").otherwise("none")).drop("banks_twice", "ledgers_twice", "candidate_signature")
 
 
-def hold_ids(candidates: DataFrame, top: int = 50) -> DataFrame:
+def hold_ids(candidates: DataFrame, bank: DataFrame, ledger: DataFrame, top: int = 50) -> DataFrame:
     """Members of the first ``top`` review-only groups of both sides, which block automatic acceptance: side, id."""
-    best = candidates.where("review_only and size(banks) > 1 and size(ledgers) > 1").orderBy(F.desc("score"), F.concat_ws("|", "banks"), F.concat_ws("|", "ledgers")).limit(top)
+    groups = candidates.where("review_only and size(banks) > 1 and size(ledgers) > 1")
+    best = measured(groups, bank, ledger).withColumn("score", many_score()).orderBy(*many_order()).limit(top)
     return best.select(F.lit("bank").alias("side"), F.explode("banks").alias("id")).unionByName(best.select(F.lit("ledger").alias("side"), F.explode("ledgers").alias("id"))).distinct()
 
 
-def counterparty_consistency(candidates: DataFrame, bank: DataFrame) -> DataFrame:
-    """Largest share of one counterparty among a candidate's bank rows."""
-    signed = signature(candidates)
-    keys = signed.select("candidate_signature", F.explode("banks").alias("id")).join(bank.select("id", counterparty_key("counterparty_name", "summary").alias("cp")), "id").groupBy("candidate_signature", "cp").agg(F.count(F.lit(1)).alias("n"))
-    share = keys.groupBy("candidate_signature").agg(F.round(F.max("n") / F.sum("n"), 4).alias("counterparty_consistency"))
-    return signed.join(share, "candidate_signature")
-
-
 def build_candidates(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 160) -> DataFrame:
     """All kinds over unused records, checked, deduplicated, ranked and labelled."""
-    kinds = [exact_pairs(bank, ledger, tolerance), period_groups(bank, ledger, tolerance), grouped_subsets(bank, ledger, tolerance), subset_groups(bank, ledger, tolerance), manual_subsets(bank, ledger, tolerance), window_groups(bank, ledger, tolerance), monthly_balances(bank, ledger, tolerance)]
+    kinds = [make(bank, ledger, tolerance) for make in (exact_pairs, period_groups, grouped_subsets, subset_groups, manual_subsets, window_groups, monthly_balances)]
     every = reduce(DataFrame.unionByName, [k.select(*COLUMNS) for k in kinds])
     return duplicate_info(ranked(dedupe(policy(same_bucket(materialise(every, "candidates"), bank, ledger))), most))

@@ -8,13 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cents, compact_date, date_from_parts, extract_counterparty, first_nonblank, join_unique_array, parse_amount, parse_amount_platform, parse_date, parse_int, source_row_id, text
+from ..functions.scalars import cents, compact_date, date_from_parts, extract_counterparty, first_nonblank, join_unique_array, parse_amount, parse_date, parse_int, source_row_id, text
 
 # Names that sources use for the standard columns.
-SETTLEMENT_ALIASES = {"partner_transaction_id": "partner_txn_id", "original_partner_transaction_id": "original_txn_id", "transaction_id": "partner_txn_id"}
-SETTLEMENT_NUMBERS = ("amount", "rmb_amount", "fee", "settlement", "rmb_settlement", "rate")
-SELLOUT_ALIASES = {"订单编号": "order_id", "店铺": "shop_name", "仓库": "warehouse_name", "实付金额": "amount", "运费": "freight", "数量": "quantity", "商品名称": "product_name", "发货时间": "ship_time"}
-SELLOUT_NUMBERS = ("amount", "freight", "quantity", "nsv")
 BANK_ALIASES = {"交易时间": "transaction_date", "收入金额": "credit", "支出金额": "debit", "账户余额": "balance", "对方账号": "counterparty_account", "对方户名": "counterparty_name", "摘要": "summary"}
 LEDGER_ALIASES = {"凭证日期": "transaction_date", "借方": "debit", "贷方": "credit", "编号": "voucher_no", "类型": "voucher_type", "摘要": "summary", "科目": "subject", "供应商名称": "counterparty_name"}
 
@@ -78,15 +74,6 @@ def clean_ledger_named(df: DataFrame, aliases: dict[str, str] = LEDGER_ALIASES)
     return _sided(named.withColumn("transaction_date", parse_date(compact_date("transaction_date"))), "debit", "in", "credit", "out")
 
 
-def clean_numbered(df: DataFrame, aliases: dict[str, str], numbers: tuple[str, ...], standard: tuple[str, ...] = ()) -> DataFrame:
-    """Platform tables: aliases, missing standard columns blank, numeric columns as amounts with 4 decimals."""
-    named = rename_columns(df, aliases)
-    for c in standard:
-        if c not in named.columns:
-            named = named.withColumn(c, F.lit("").cast("string"))
-    return named.withColumns({c: parse_amount_platform(c) for c in numbers if c in named.columns})
-
-
 def concat_sources(frames: list[DataFrame], standard: list[str]) -> DataFrame:
     """Union on the standard columns, missing ones blank, extras after."""
     out = frames[0]

@@ -7,12 +7,37 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import text
 
-# Directory names, sheet words, bank hints.
+# Directory names, sheet words, bank names and codes, account headings.
 DIRECTORY_CLASSES = {"银行流水": "bank_statement", "bank": "bank_statement", "序时账": "ledger", "ledger": "ledger", "底稿": "working_paper", "working_paper": "working_paper"}
-SKIP_WORDS = ("recap", "summary", "汇总")
-SHEET_WORDS = (("sellout", ("sellout", "出库")), ("refund", ("refund", "仅退款")), ("return", ("rongqing", "return wh", "退货")), ("transfer", ("transfer", "bonded", "调拨")))
-BANK_HINTS = (("建设银行", "CCB"), ("建行", "CCB"), ("工商银行", "ICBC"), ("工行", "ICBC"), ("中国银行", "BOC"), ("招商银行", "CMB"))
-ACCOUNT_WORDS = ("账号", "卡号", "account")
+SKIP_WORDS = ("filter", "filtered", "without refund", "recap", "汇总", "collect", "sheet", "to be invoiced", "to be credited", "出库总表", "税费")
+SHEET_WORDS = {
+    "sellout": ("sellout", "出库"),
+    "refund": ("refund only", "refund only系统", "仅退款", "资损"),
+    "return": ("return wh", "rongqing return", "货损"),
+    "transfer": ("return to bonded", "退回保税仓", "interim退回"),
+}
+BANK_HINTS = {
+    "中国工商银行": ("icbc", "工行"),
+    "中国银行": ("boc", "中行"),
+    "中国农业银行": ("abc", "农行"),
+    "中国建设银行": ("ccb", "建行"),
+    "招商银行": ("cmb", "招行"),
+    "中国民生银行": ("民生",),
+    "华润银行": ("华润",),
+}
+BANK_CODES = ("icbc", "abc", "boc", "ccb", "cmb", "cib", "spdb", "ceb", "citic")
+BANK_WORDS = {
+    "icbc": ("工商银行", "工行"),
+    "ccb": ("建设银行", "建行"),
+    "abc": ("农业银行", "农行"),
+    "boc": ("中国银行", "中行"),
+    "cmb": ("招商银行", "招行"),
+    "cib": ("兴业银行", "兴业"),
+    "spdb": ("浦发银行", "浦发"),
+    "ceb": ("光大银行", "光大", "民生银行", "民生"),
+    "citic": ("中信银行", "中信"),
+}
+ACCOUNT_WORDS = ("账号", "卡号", "account", "账户号", "acc_no", "accno")
 
 
 def _blank(v: Column) -> Column:
@@ -28,13 +53,22 @@ def directory_class(relative_path) -> Column:
     return F.when(nested, told).otherwise("unknown")
 
 
+def _has(said: Column, words) -> Column:
+    return F.greatest(*[said.contains(w) for w in words], F.lit(False))
+
+
+def _first_of(said: Column, words: dict[str, tuple[str, ...]], otherwise: str) -> Column:
+    """The first key one of whose words is in the text."""
+    out = F.when(F.lit(False), otherwise)
+    for key, some in words.items():
+        out = out.when(_has(said, some), key)
+    return out.otherwise(otherwise)
+
+
 def sheet_class(name) -> Column:
+    """sellout, refund, return or transfer by words in a sheet's name; skip if it has a word to skip by, or none."""
     n = F.lower(text(name))
-    has = lambda words: F.greatest(*[n.contains(w) for w in words], F.lit(False))
-    out = F.when(has(SKIP_WORDS), "skip")
-    for kind, words in SHEET_WORDS:
-        out = out.when(has(words), kind)
-    return out.otherwise("skip")
+    return F.when(_has(n, SKIP_WORDS), "skip").otherwise(_first_of(n, SHEET_WORDS, "skip"))
 
 
 def settlement_class(header, n_rows) -> Column:
@@ -42,14 +76,19 @@ def settlement_class(header, n_rows) -> Column:
     return F.when(F.array_contains(h, "settle_batch_no"), "batch").when(F.array_contains(h, "partner_transaction_id"), "transaction").when(F.array_contains(h, "amount") & (F.col(n_rows) > 5), "transaction").otherwise("unknown")
 
 
-def file_meta(name) -> Column:
-    """struct(bank_name, year, bank_code) told by a file name."""
+def bank_code(name) -> Column:
+    """Short code of a bank by its name; unknown without one."""
+    n = text(name)
+    code = _first_of(F.lower(n), {c: (c,) for c in BANK_CODES}, "")
+    return F.when(code != "", code).otherwise(_first_of(n, BANK_WORDS, "unknown"))
+
+
+def file_meta(name, default_year: int | None = None) -> Column:
+    """struct(bank_name, year, bank_code) told by a file name; the year is the first one of this century in it."""
     n = text(name)
-    bank, code = F.lit(""), F.lit("")
-    for word, short in reversed(BANK_HINTS):
-        bank, code = F.when(n.contains(word), word).otherwise(bank), F.when(n.contains(word), short).otherwise(code)
+    bank = _first_of(F.lower(n), BANK_HINTS, "")
     year = F.nullif(F.regexp_extract(n, r"(20\d{2})", 1), F.lit("")).try_cast("int")
-    return F.struct(bank.alias("bank_name"), year.alias("year"), code.alias("bank_code"))
+    return F.struct(bank.alias("bank_name"), F.coalesce(year, F.lit(default_year).cast("int")).alias("year"), bank_code(bank).alias("bank_code"))
 
 
 def backfill_accounts(files: DataFrame, order: str = "ord") -> DataFrame:
@@ -126,9 +165,10 @@ def profile_columns(df: DataFrame, order: str, sample: int = 100) -> DataFrame:
 
 
 def account_from_cells(cells: DataFrame, rows: int = 3) -> DataFrame:
-    """Per sheet the first value of digits, 8 at least, below an account heading within the first rows."""
-    long = cells.where(F.col("row_no") <= rows).select("source_file", "source_sheet", "row_no", F.posexplode("cells").alias("pos", "value"))
-    word = F.greatest(*[F.lower(F.coalesce("value", F.lit(""))).contains(w) for w in ACCOUNT_WORDS])
-    heads = long.where(word).select("source_file", "source_sheet", "pos", F.col("row_no").alias("head"))
-    found = long.join(heads, ["source_file", "source_sheet", "pos"]).where((F.col("row_no") > F.col("head")) & F.trim("value").rlike(r"^\d{8,}$"))
-    return found.groupBy("source_file", "source_sheet").agg(F.min_by(F.trim("value"), F.struct("pos", "row_no")).alias("account_no"))
+    """Per sheet the first value of digits, 8 at least, below a row's first account heading, within the first rows."""
+    sheet = ["source_file", "source_sheet"]
+    long = cells.where(F.col("row_no") <= rows).select(*sheet, "row_no", F.posexplode("cells").alias("pos", "value"))
+    heading = _has(F.lower(F.coalesce("value", F.lit(""))), ACCOUNT_WORDS)
+    heads = long.where(heading).groupBy(*sheet, F.col("row_no").alias("head")).agg(F.min("pos").alias("pos"))
+    found = long.join(heads, [*sheet, "pos"]).where((F.col("row_no") > F.col("head")) & F.trim("value").rlike(r"^\d{8,}$"))
+    return found.groupBy(*sheet).agg(F.min_by(F.trim("value"), F.struct("head", "row_no")).alias("account_no"))

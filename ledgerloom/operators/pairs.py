@@ -14,7 +14,7 @@ from ..functions.scalars import digits, join_unique, month_of, text
 from ..functions.similarity import text_similarity
 from .scratch import materialise
 
-TEXTS = ("counterparty_name", "summary", "description", "subject", "voucher_no", "bank_name")
+TEXTS = ("counterparty_name", "summary", "description", "subject", "voucher_no", "bank_name", "raw_text")
 
 
 def to_records(df: DataFrame, side: str) -> DataFrame:
@@ -39,6 +39,11 @@ def side_text(side: str, prefix: str = "") -> Column:
     return join_unique(*[F.col(f"{prefix}{c}") for c in ("counterparty_name", "summary", last)])
 
 
+def record_text(prefix: str = "") -> Column:
+    """All that a record says, each text once."""
+    return join_unique(*[F.col(prefix + c) for c in ("counterparty_name", "summary", "description", "subject", "voucher_no", "raw_text")])
+
+
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*[F.col(c).alias(p + c) for c in df.columns])
 

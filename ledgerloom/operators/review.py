@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import shorten
+from ..functions.scalars import join_unique, shorten
 from .scratch import materialise
 
 FLOOR = 0.75
@@ -64,8 +64,12 @@ def first_wins(rows: DataFrame, order: str = "ord") -> DataFrame:
     return left if taken is None else taken
 
 
-def accept(routed: DataFrame, used: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Accepted candidates in their order; none with a used member (``used``: side, id) or totals apart."""
+def accept(routed: DataFrame, used: DataFrame, bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
+    """Accepted candidates in their order; none with a used member (``used``: side, id), totals apart, or members of
+    different months, flows or accounts."""
+    from .candidates import same_bucket, signature
+
+    routed = signature(same_bucket(routed, bank, ledger))
     fit = routed.where((F.col("status") == "accepted") & (F.abs(F.col("bank_cents") - F.col("ledger_cents")) <= tolerance))
     for side, ids in (("bank", "banks"), ("ledger", "ledgers")):
         bad = fit.select("ord", F.explode(ids).alias("id")).join(used.where(F.col("side") == side), "id", "left_semi").select("ord").distinct()
@@ -107,6 +111,18 @@ def payload(candidates: DataFrame, bank: DataFrame, ledger: DataFrame, longest:
     return both.select("candidate_signature", F.to_json(F.struct("match_type", "score", "bank_rows", "ledger_rows")).alias("payload"))
 
 
+LINE_BREAK = "\n---ROW---\n"
+
+
+def review_lines(candidates: DataFrame, records: DataFrame, ids: str) -> DataFrame:
+    """candidate_signature, lines: a line of id, day, flow, amount and texts for each member of that side, in order."""
+    amount = F.format_string("%.2f", F.col("cents") / 100)
+    line = join_unique("id", F.col("day").cast("string"), "flow", amount, "counterparty_name", "summary", "description", "voucher_no")
+    members = candidates.select("candidate_signature", F.posexplode(ids).alias("pos", "id")).join(records, "id")
+    told = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
+    return members.groupBy("candidate_signature").agg(F.array_join(F.transform(told, lambda x: x["line"]), LINE_BREAK).alias("lines"))
+
+
 def decide(candidates: DataFrame, decider, schema: str = "candidate_signature string, approve boolean, confidence double, reason string") -> DataFrame:
     """Decisions by a user's function from an iterator of pandas frames to an iterator of pandas frames."""
     return candidates.mapInPandas(decider, schema)

@@ -268,14 +268,14 @@ def one_to_many(spark, d):
 
 @query()
 def many_to_one(spark, d):
-    bank, ledger = _records(spark, d)
-    return matching.group_passes(ledger, bank, kinds=("many_to_one",))
+    """Two bank rows on a day for every entry."""
+    halves, whole = pairs.to_records(view(spark, d, "day_ledger"), "ledger"), pairs.to_records(_bank(spark, d), "bank")
+    return matching.group_passes(halves, whole, kinds=("many_to_one",))
 
 
 @query()
 def cleanup(spark, d):
-    bank, ledger = _records(spark, d)
-    return matching.cleanup(bank, ledger)
+    return matching.cleanup(pairs.to_records(view(spark, d, "fee_bank"), "bank"), pairs.to_records(view(spark, d, "fee_ledger"), "ledger"))
 
 
 @query()

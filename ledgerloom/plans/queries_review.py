@@ -14,6 +14,16 @@ def _days(spark, d):
     return pairs.to_records(view(spark, d, "bank"), "bank"), pairs.to_records(view(spark, d, "day_ledger"), "ledger")
 
 
+def _fees(spark, d):
+    """Small fees and the entries that sum up a month of them."""
+    return pairs.to_records(view(spark, d, "fee_bank"), "bank"), pairs.to_records(view(spark, d, "fee_ledger"), "ledger")
+
+
+def _halves(spark, d):
+    """Two bank rows on a day for every entry."""
+    return pairs.to_records(view(spark, d, "day_ledger"), "ledger"), pairs.to_records(view(spark, d, "bank"), "bank")
+
+
 def _flat(df, *more):
     return df.select("match_type", F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"), "bank_cents", "ledger_cents", *more)
 
@@ -37,26 +47,26 @@ def cand_exact(spark, d):
     return _flat(candidates.exact_pairs(*_records(spark, d, DENSE)))
 
 
-@query()
+@query(ctes("fee_bank", "fee_ledger") + """ SELECT 'many_to_one' AS match_type, string_agg(b.txn_id, '|' ORDER BY b.ord, b.txn_id) AS bank_ids, l.entry_id AS ledger_ids, CAST(sum(b.amount_cents) AS BIGINT) AS bank_cents, l.amount_cents AS ledger_cents, 1.0::DOUBLE AS score
+    FROM fee_ledger l JOIN fee_bank b ON b.account_no = l.account_no AND b.amount_cents > 0 AND strftime(b.transaction_date, '%Y-%m') = strftime(l.transaction_date, '%Y-%m')
+    GROUP BY l.entry_id, l.amount_cents HAVING count(*) BETWEEN 2 AND 120 AND abs(sum(b.amount_cents) - l.amount_cents) <= 1""")
 def cand_period(spark, d):
-    bank, ledger = _days(spark, d)
-    month = F.month("day").cast("string")
-    return candidates.period_groups(bank, ledger.groupBy("account", "month", "flow").agg(F.min("id").alias("id"), F.min("ord").alias("ord"), F.max("day").alias("day"), F.sum("cents").alias("cents")).select("id", "ord", "account", "day", "month", "flow", "cents", *[F.lit("").alias(c) for c in ("counterparty_name", "description", "subject", "voucher_no", "bank_name")], F.concat(month, F.lit("月汇总")).alias("summary")))
+    return _flat(candidates.period_groups(*_fees(spark, d)), "score")
 
 
 @query()
 def cand_grouped(spark, d):
-    return candidates.subset_groups(*_records(spark, d), pool=22, most=40, steps=100_000, kind="grouped_many_to_one")
+    return candidates.grouped_subsets(*_fees(spark, d))
 
 
 @query()
 def cand_relaxed(spark, d):
-    return candidates.subset_groups(*_records(spark, d))
+    return candidates.subset_groups(*_fees(spark, d))
 
 
 @query()
 def cand_manual(spark, d):
-    return candidates.subset_groups(*_records(spark, d), window=365, pool=80, most=60, steps=100_000, kind="manual_window_many_to_one")
+    return candidates.manual_subsets(*_halves(spark, d))
 
 
 @query(ctes("bank") + """, p AS (SELECT regexp_replace(account_no, '[^0-9]', '', 'g') AS account, strftime(transaction_date, '%Y-%m') AS month, flow, transaction_date AS day, amount_cents, row_number() OVER w AS pos, sum(amount_cents) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM bank WINDOW w AS (PARTITION BY regexp_replace(account_no, '[^0-9]', '', 'g'), strftime(transaction_date, '%Y-%m'), flow ORDER BY transaction_date, ord))
@@ -71,21 +81,37 @@ def cand_windows(spark, d):
     return candidates.window_groups(*_days(spark, d))
 
 
-@query()
+_RUN = """, h AS (SELECT regexp_replace(account_no, '[^0-9]', '', 'g') AS account, strftime(transaction_date, '%Y-%m') AS month, flow, entry_id, amount_cents, row_number() OVER w AS pos, sum(amount_cents) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM day_ledger WINDOW w AS (PARTITION BY account_no, strftime(transaction_date, '%Y-%m'), flow ORDER BY transaction_date, ord)),
+    r AS (SELECT a.account, a.month, a.flow, a.pos AS first, b.pos AS last, b.upto - a.upto + a.amount_cents AS total FROM h a JOIN h b ON a.account = b.account AND a.month = b.month AND a.flow = b.flow AND b.pos BETWEEN a.pos + 1 AND a.pos + 79),
+    m AS (SELECT r.*, k.txn_id, k.amount_cents AS ledger_cents FROM r JOIN bank k ON k.account_no = r.account AND k.flow = r.flow AND strftime(k.transaction_date, '%Y-%m') = r.month AND abs(k.amount_cents - r.total) <= 1)"""
+
+
+@query(ctes("bank", "day_ledger") + _RUN + """ SELECT 'contiguous_many_to_one' AS match_type, string_agg(h.entry_id, '|' ORDER BY h.pos) AS bank_ids, m.txn_id AS ledger_ids, CAST(m.total AS BIGINT) AS bank_cents, m.ledger_cents
+    FROM m JOIN h ON h.account = m.account AND h.month = m.month AND h.flow = m.flow AND h.pos BETWEEN m.first AND m.last GROUP BY m.account, m.month, m.flow, m.first, m.last, m.total, m.txn_id, m.ledger_cents""")
 def cand_contiguous(spark, d):
-    return candidates.window_groups(*_records(spark, d), ledger_least=1, ledger_most=1)
+    return _flat(candidates.window_groups(*_halves(spark, d), ledger_least=1, ledger_most=1, keep=None))
 
 
-@query(ctes("bank", "day_ledger") + """, b AS (SELECT account_no, strftime(transaction_date, '%Y-%m') AS month, flow, sum(amount_cents) AS s, count(*) AS n, string_agg(txn_id, '|' ORDER BY transaction_date, ord) AS ids FROM bank GROUP BY ALL), l AS (SELECT account_no, strftime(transaction_date, '%Y-%m') AS month, flow, sum(amount_cents) AS s, count(*) AS n, string_agg(entry_id, '|' ORDER BY transaction_date, ord) AS ids FROM day_ledger GROUP BY ALL)
-    SELECT 'monthly_balance' AS match_type, b.ids AS bank_ids, l.ids AS ledger_ids, CAST(b.s AS BIGINT) AS bank_cents, CAST(l.s AS BIGINT) AS ledger_cents FROM b JOIN l USING (account_no, month, flow) WHERE abs(b.s - l.s) <= 1 AND b.n + l.n <= 120 AND b.n + l.n > 2""")
+_BALANCE = ctes("bank", "day_ledger") + """, kb AS (SELECT *, strftime(transaction_date, '%Y-%m') AS month, row_number() OVER (PARTITION BY account_no, strftime(transaction_date, '%Y-%m'), flow ORDER BY transaction_date, ord, txn_id) AS k FROM bank),
+    kl AS (SELECT *, strftime(transaction_date, '%Y-%m') AS month, row_number() OVER (PARTITION BY account_no, strftime(transaction_date, '%Y-%m'), flow ORDER BY transaction_date, ord, entry_id) AS k FROM day_ledger),
+    b AS (SELECT account_no, month, flow, sum(amount_cents) AS s, count(*) AS n, string_agg(txn_id, '|' ORDER BY k) AS ids FROM kb WHERE k <= 90 GROUP BY ALL), l AS (SELECT account_no, month, flow, sum(amount_cents) AS s, count(*) AS n, string_agg(entry_id, '|' ORDER BY k) AS ids FROM kl WHERE k <= 240 GROUP BY ALL)"""
+
+
+@query(_BALANCE + """ SELECT 'manual_monthly_balance_many_to_many' AS match_type, b.ids AS bank_ids, l.ids AS ledger_ids, CAST(b.s AS BIGINT) AS bank_cents, CAST(l.s AS BIGINT) AS ledger_cents FROM b JOIN l USING (account_no, month, flow) WHERE abs(b.s - l.s) <= 1 AND b.n + l.n <= 120 AND b.n + l.n > 2""")
 def cand_monthly(spark, d):
-    return _flat(candidates.monthly_balances(*_days(spark, d)))
+    """Whole buckets, with pools that hold all their entries."""
+    return _flat(candidates.monthly_balances(*_days(spark, d), ledger_pool=240, keep=1_000_000, subsets=False))
 
 
-@query(_CAND + " SELECT 'one_to_one' AS match_type, bank AS bank_ids, ledger AS ledger_ids, bank_cents, ledger_cents FROM c")
+@query()
+def cand_monthly_parts(spark, d):
+    return candidates.monthly_balances(*_days(spark, d))
+
+
+@query(_CAND + " SELECT 'manual_monthly_balance_many_to_many' AS match_type, bank AS bank_ids, ledger AS ledger_ids, bank_cents, ledger_cents FROM c")
 def cand_dedupe(spark, d):
     made = _made(spark, d)[0]
-    twice = made.unionByName(made.withColumn("match_type", F.lit("monthly_balance")))
+    twice = made.unionByName(made.withColumn("match_type", F.lit("manual_monthly_balance_many_to_many")))
     return _flat(candidates.dedupe(twice))
 
 
@@ -107,7 +133,8 @@ def cand_all(spark, d):
 
 @query()
 def cand_hold(spark, d):
-    return candidates.hold_ids(candidates.policy(candidates.monthly_balances(*_days(spark, d))))
+    bank, ledger = _days(spark, d)
+    return candidates.hold_ids(candidates.policy(candidates.monthly_balances(bank, ledger, ledger_pool=240, keep=1_000_000, subsets=False)), bank, ledger)
 
 
 @query(_CAND + " SELECT bank AS bank_ids, ledger AS ledger_ids, true AS one_bucket FROM c")
@@ -161,7 +188,7 @@ def review_table(spark, d):
 @query()
 def accepted(spark, d):
     none = spark.createDataFrame([], "side string, id string")
-    return review.accept(_routed(spark, d), none)
+    return review.accept(_routed(spark, d), none, *_records(spark, d, DENSE))
 
 
 @query()
@@ -185,3 +212,9 @@ def unmatched_after_match(spark, d):
     return unused(bank, match_transactions(bank, ledger), "banks").select("id", "account", "day", "flow", "cents")
 
 
+
+
+@query(_CAND + " SELECT candidate_signature, concat_ws(' | ', b.txn_id, strftime(b.transaction_date, '%Y-%m-%d'), b.flow, format('{:.2f}', b.amount_cents / 100), b.counterparty_name) AS lines FROM c JOIN bank b ON b.txn_id = c.bank")
+def review_lines(spark, d):
+    bank, _ = _records(spark, d, DENSE)
+    return review.review_lines(_made(spark, d)[0], bank, "banks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
-from ..operators import cleaning, layout, quality
+from ..operators import cleaning, layout, outbound, quality
 from .bindings import TABLES, VIEWS, view
 from .queries import query
 
@@ -23,6 +23,9 @@ VIEWS |= {
     "files": """SELECT s_suppkey AS ord, concat(CASE s_suppkey % 4 WHEN 0 THEN 'Bank/' WHEN 1 THEN 'ledger/' WHEN 2 THEN 'other/' ELSE '' END, 'd', s_suppkey % 5, CASE s_suppkey % 3 WHEN 0 THEN '/建设银行 2022' WHEN 1 THEN '/招商银行 2021' ELSE '/x' END, '.xlsx') AS relative, concat('d', s_suppkey % 5) AS directory,
         CASE s_suppkey % 3 WHEN 0 THEN 'CCB' WHEN 1 THEN 'CMB' ELSE '' END AS bank_name, CASE WHEN s_suppkey % 4 = 0 THEN concat('622', s_suppkey) ELSE '' END AS account_no, CASE s_suppkey % 4 WHEN 0 THEN 'bank_statement' WHEN 1 THEN 'ledger' ELSE 'unknown' END AS kind,
         CASE s_suppkey % 6 WHEN 0 THEN 'Recap' WHEN 1 THEN 'Sellout-出库' WHEN 2 THEN 'refund only' WHEN 3 THEN 'Rongqing Return WH' WHEN 4 THEN 'to bonded' ELSE 'misc' END AS sheet, 2022 AS year FROM {supplier}""",
+    "sheets": """SELECT c_custkey AS ord, split_part('Filter 1;Sellout filtered;sellout without refund;RECAP;月汇总;collect;Sheet1;to be invoiced;To be credited;出库总表;税费;Sellout A;4月出库;Refund Only;refund only系统;仅退款;资损;Return WH;Rongqing Return;货损;return to bonded;退回保税仓;Interim退回;misc;to bonded;refund', ';', CAST(c_custkey % 26 AS INT) + 1) AS sheet,
+        split_part('ICBC-2022.xlsx;工行2021 2019;boc_2020;中行流水;ABC 2023;农行;CCB;建行2018;cmb;招行2022;民生;华润 1999;other 2024;icbc boc', ';', CAST(c_custkey % 14 AS INT) + 1) AS name,
+        split_part('手续费;银行代扣 3;银行已扣费;银行手续费;食堂;二维码;pos 12;商户款;社保;医保;税务;税收;汇缴;1.2-1.31;3月5 至 3月 9;5/1~5/7;2022年3月;12 月份;3月;货款;invoice;', ';', CAST(c_custkey % 22 AS INT) + 1) AS said FROM {customer}""",
     "cells": f"""SELECT concat('f', o_custkey % 40) AS source_file, concat('sh', o_custkey % 3) AS source_sheet, o_custkey % 3 AS sheet_ord, o_orderkey AS row_key, concat('src', o_custkey % 4) AS source_id,
         array('1', concat('acc', o_custkey), {_DAY}, CASE o_orderkey % 3 WHEN 0 THEN '借' WHEN 1 THEN '贷' ELSE '' END, '', CASE WHEN o_orderkey % 2 = 0 THEN 'Payee' ELSE '' END, '', concat('付给 Firm', o_custkey % 9, '/x'), '', 'd', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('1,', {_X}) END, '3.50') AS cells FROM {{orders}}""",
     "ledger_cells": f"""SELECT concat('f', o_custkey % 4) AS source_file, 'L' AS source_sheet, concat('src', o_custkey % 4) AS source_id, o_orderkey AS row_no, CASE WHEN o_orderkey % 2 = 0
@@ -207,9 +210,18 @@ def dir_class(spark, d):
     return view(spark, d, "files").select("ord", layout.directory_class("relative").alias("kind"))
 
 
-@query(sql_view("files") + " SELECT ord, CASE WHEN sheet = 'Recap' THEN 'skip' WHEN contains(lower(sheet), 'sellout') THEN 'sellout' WHEN contains(lower(sheet), 'refund') THEN 'refund' WHEN contains(lower(sheet), 'rongqing') THEN 'return' WHEN contains(lower(sheet), 'bonded') THEN 'transfer' ELSE 'skip' END AS kind FROM files")
+@query(sql_view("sheets") + """ SELECT ord, CASE WHEN regexp_matches(lower(sheet), 'filter|without refund|recap|汇总|collect|sheet|to be invoiced|to be credited|出库总表|税费') THEN 'skip' WHEN regexp_matches(lower(sheet), 'sellout|出库') THEN 'sellout'
+    WHEN regexp_matches(lower(sheet), 'refund only|仅退款|资损') THEN 'refund' WHEN regexp_matches(lower(sheet), 'return wh|rongqing return|货损') THEN 'return' WHEN regexp_matches(lower(sheet), 'return to bonded|退回保税仓|interim退回') THEN 'transfer' ELSE 'skip' END AS kind FROM sheets""")
 def sheet_class(spark, d):
-    return view(spark, d, "files").select("ord", layout.sheet_class("sheet").alias("kind"))
+    return view(spark, d, "sheets").select("ord", layout.sheet_class("sheet").alias("kind"))
+
+
+@query(sql_view("sheets") + r""" SELECT ord, regexp_matches(lower(said), '手续费|银行代扣|银行已扣费|银行手续费|食堂|二维码|pos|商户|社保|医保|税务|税收|汇缴')
+    OR regexp_matches(said, '[0-9]{1,2}\s*[.月/]\s*[0-9]{1,2}\s*(-|~|至|到|—)\s*[0-9]{1,2}\s*[.月/]\s*[0-9]{1,2}') OR regexp_matches(said, '[0-9]{4}年[0-9]{1,2}\s*月') OR regexp_matches(said, '[0-9]{1,2}\s*月份') AS grouped FROM sheets""")
+def looks_grouped(spark, d):
+    from ..operators.candidates import looks_grouped as grouped
+
+    return view(spark, d, "sheets").select("ord", grouped("said").alias("grouped"))
 
 
 @query(sql_view("files") + " SELECT ord, CASE ord % 3 WHEN 0 THEN 'batch' WHEN 1 THEN 'transaction' ELSE CASE WHEN ord % 10 > 5 THEN 'transaction' ELSE 'unknown' END END AS kind FROM files")
@@ -218,9 +230,13 @@ def settlement_class(spark, d):
     return f.select("ord", layout.settlement_class("header", "n").alias("kind"))
 
 
-@query(sql_view("files") + " SELECT ord, CASE WHEN contains(relative, '建设银行') THEN '建设银行' WHEN contains(relative, '招商银行') THEN '招商银行' ELSE '' END AS bank_name, TRY_CAST(nullif(regexp_extract(relative, '(20[0-9]{2})', 1), '') AS INT) AS year, CASE WHEN contains(relative, '建设银行') THEN 'CCB' WHEN contains(relative, '招商银行') THEN 'CMB' ELSE '' END AS bank_code FROM files")
+_BANKS = (("icbc|工行", "中国工商银行", "icbc"), ("boc|中行", "中国银行", "boc"), ("abc|农行", "中国农业银行", "abc"), ("ccb|建行", "中国建设银行", "ccb"), ("cmb|招行", "招商银行", "cmb"), ("民生", "中国民生银行", "ceb"), ("华润", "华润银行", "unknown"))
+_BANK_CASE = " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{{{k}}}'" for k, (p, _, _) in enumerate(_BANKS))
+
+
+@query(sql_view("sheets") + f" SELECT ord, CASE {_BANK_CASE.format(*[b for _, b, _ in _BANKS])} ELSE '' END AS bank_name, coalesce(TRY_CAST(nullif(regexp_extract(name, '(20[0-9]{{2}})', 1), '') AS INT), 2022) AS year, CASE {_BANK_CASE.format(*[c for _, _, c in _BANKS])} ELSE 'unknown' END AS bank_code FROM sheets")
 def file_meta(spark, d):
-    return view(spark, d, "files").select("ord", layout.file_meta("relative").alias("m")).select("ord", "m.*")
+    return view(spark, d, "sheets").select("ord", layout.file_meta("name", 2022).alias("m")).select("ord", "m.*")
 
 
 _FILL = sql_view("files") + ", f AS (SELECT directory, bank_name, arg_min(account_no, ord) FILTER (WHERE account_no <> '') AS known FROM files GROUP BY ALL)"
@@ -267,20 +283,31 @@ def smart_sample(spark, d):
     return layout.smart_sample(_cells(spark, d), header_min=9).select("source_file", "source_sheet", F.col("row_no").cast("long").alias("row_no"))
 
 
-@query()
+@query(_ROWS + """, s AS (SELECT source_file, source_sheet, max(CASE WHEN row_no = 1 THEN cells END) AS one, max(CASE WHEN row_no = 2 THEN cells END) AS two FROM c WHERE row_no <= 2 GROUP BY ALL),
+    p AS (SELECT *, 2 * len(list_filter(one, lambda v: trim(v) = '' OR starts_with(v, 'Unnamed') OR TRY_CAST(v AS DOUBLE) IS NOT NULL)) > len(one) AND two IS NOT NULL AS second FROM s),
+    n AS (SELECT source_file, source_sheet, CASE WHEN second THEN 2 ELSE 1 END AS header_row, CASE WHEN second THEN two ELSE one END AS names FROM p),
+    u AS (SELECT source_file, source_sheet, header_row, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY source_file, source_sheet, name ORDER BY pos) - 1 AS dup FROM u)
+    SELECT source_file, source_sheet, header_row, string_agg(CASE WHEN dup > 0 THEN name || '_dup' || dup ELSE name END, '|' ORDER BY pos) AS names FROM k GROUP BY ALL""")
 def header_promote(spark, d):
-    return layout.promote_header(_cells(spark, d))
+    return layout.promote_header(_cells(spark, d)).select("source_file", "source_sheet", "header_row", F.array_join("names", "|").alias("names"))
 
 
-@query()
+_PROFILED = ("amount", "day", "summary", "note")
+_PROFILE = " UNION ALL ".join(f"SELECT k, '{c}' AS field, coalesce(trim({c}), '') AS value FROM raw" for c in _PROFILED)
+
+
+@query(sql_view("raw") + f", x AS ({_PROFILE})" + r""", f AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY k) AS r FROM x WHERE value <> ''), t AS (SELECT field, avg(CASE WHEN regexp_matches(value, '^[-+]?[0-9,]+(\.[0-9]+)?$') THEN 1 ELSE 0 END) AS num, avg(CASE WHEN regexp_matches(value, '^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}') THEN 1 ELSE 0 END) AS dat FROM f WHERE r <= 100 GROUP BY field)
+    SELECT field, count(*) AS n, count(*) FILTER (WHERE value <> '') AS filled, coalesce(any_value(CASE WHEN num >= 0.8 THEN 'number' WHEN dat >= 0.8 THEN 'date' ELSE 'text' END), 'empty') AS kind, field = 'amount' AS is_amount, false AS is_date FROM x LEFT JOIN t USING (field) GROUP BY field""")
 def profile_columns(spark, d):
-    return layout.profile_columns(view(spark, d, "raw").select("k", "amount", "day", "summary", "note"), "k")
+    return layout.profile_columns(view(spark, d, "raw").select("k", *_PROFILED), "k")
 
 
-@query()
+@query(_ROWS + " SELECT DISTINCT source_file, source_sheet, '62220000' || substr(source_file, 2) AS account_no FROM c WHERE row_no = 2")
 def account_from_cells(spark, d):
-    c = _cells(spark, d).withColumn("cells", F.when(F.col("row_no") == 1, F.array(F.lit("账号"), F.lit("x"))).when(F.col("row_no") == 2, F.array(F.concat(F.lit("62220000"), F.regexp_extract("source_file", r"\d+", 0)), F.lit("y"))).otherwise(F.col("cells")))
-    return layout.account_from_cells(c)
+    heads = F.array(*[F.element_at(F.array(*map(F.lit, layout.ACCOUNT_WORDS)), (F.regexp_extract("source_file", r"\d+", 0).cast("int") % len(layout.ACCOUNT_WORDS)) + 1), F.lit("卡号")])
+    value = F.array(F.concat(F.lit("62220000"), F.regexp_extract("source_file", r"\d+", 0)), F.lit("12345678"))
+    rows = _cells(spark, d).withColumn("cells", F.when(F.col("row_no") == 1, heads).when(F.col("row_no") == 2, value).otherwise(F.col("cells")))
+    return layout.account_from_cells(rows)
 
 
 _AT = "coalesce(trim(cells[{k} + 1]), '')"
@@ -312,7 +339,63 @@ def ledger_named(spark, d):
     return cleaning.clean_ledger_named(raw).select("k", "transaction_date", "flow", "amount_cents")
 
 
-@query(sql_view("raw") + f" SELECT CAST(k AS VARCHAR) AS partner_txn_id, CAST(({_amount_sql('amount')}) AS DOUBLE) AS amount, '' AS fee_note FROM raw")
+_PLAIN = f"CAST(({_amount_sql('amount')}) AS DOUBLE)"
+_TXN = {"partner_txn_id": "CAST(k AS VARCHAR)", "original_txn_id": "coalesce(trim(note), '')", "amount": _PLAIN, "rmb_amount": _PLAIN, "fee": "NULL::DOUBLE", "settlement": "NULL::DOUBLE", "rmb_settlement": _PLAIN, "currency": "'CNY'", "rate": "NULL::DOUBLE", "payment_time": "trim(day)", "type": "'P'", "month": "'2022-01'", "source_file": "'a.csv'"}
+
+
+def _told(columns: tuple[str, ...], values: dict[str, str]) -> str:
+    """A SELECT list of the standard columns, those without a value blank."""
+    return ", ".join(f"{values.get(c, chr(39) * 2)} AS {c}" for c in columns)
+
+
+def _doubles(df, numbers):
+    return df.withColumns({c: F.col(c).cast("double") for c in numbers if c in df.columns})
+
+
+@query(sql_view("raw") + f" SELECT {_told(outbound.SETTLEMENT_COLUMNS, _TXN)} FROM raw")
 def settlement_txn(spark, d):
-    raw = view(spark, d, "raw").select(F.col("k").cast("string").alias("partner_transaction_id"), "amount")
-    return cleaning.clean_numbered(raw, cleaning.SETTLEMENT_ALIASES, cleaning.SETTLEMENT_NUMBERS, ("fee_note",)).withColumn("amount", F.col("amount").cast("double"))
+    raw = view(spark, d, "raw").select(
+        F.col("k").cast("string").alias("Partner Transaction ID"), F.coalesce(F.trim("note"), F.lit("")).alias("original_partner_transaction_id"), "amount", F.col("amount").alias("RMB Amount"), F.col("amount").alias("rmb_settlement"),
+        F.lit("CNY").alias("currency"), F.trim("day").alias("payment_time"), F.lit("P").alias("type"), F.lit("2022-01").alias("month"), F.lit("a.csv").alias("source_file"), F.lit("x").alias("transaction_id"),
+    )
+    return _doubles(outbound.clean_settlement(raw), outbound.SETTLEMENT_NUMBERS)
+
+
+@query(sql_view("raw") + f" SELECT {_told(outbound.BATCH_COLUMNS, {'settle_batch_no': 'CAST(k AS VARCHAR)', 'settle_date': 'trim(day)', 'amount': _PLAIN, 'fee': '0.0::DOUBLE', 'settlement': _PLAIN, 'currency': chr(39) + 'USD' + chr(39)})} FROM raw")
+def settlement_batch(spark, d):
+    raw = view(spark, d, "raw").select(F.col("k").cast("string").alias("Settle Batch No"), F.trim("day").alias("Settle Date"), F.col("amount").alias("Amount"), F.lit("none").alias("Fee"), F.col("amount").alias("settlement"), F.lit("USD").alias("currency"), F.lit("").alias("extra"))
+    return _doubles(outbound.clean_settlement_batches(raw), outbound.BATCH_NUMBERS)
+
+
+_EARLY = {"order_id": "CAST(k AS VARCHAR)", "amount": _PLAIN, "freight": "2.5::DOUBLE", "quantity": "3.0::DOUBLE", "product_name": "'title'", "product_code": "'code'", "nsv": _PLAIN, "buyer_name": "'nick'", "order_time": "trim(day)", "ship_time": "trim(day)", "source_sheet": "'early'"}
+_LATE = {"order_id": "CAST(k AS VARCHAR)", "amount": _PLAIN, "freight": "NULL::DOUBLE", "quantity": "1.0::DOUBLE", "product_name": "'goods'", "nsv": "NULL::DOUBLE", "recipient_name": "'someone'", "shop_name": "'shop'", "warehouse_name": "'w1'", "logistics_no": "'L'", "logistics_company": "'C'", "payment_time": "trim(day)", "status": "'done'", "source_sheet": "'late'"}
+
+
+@query(sql_view("raw") + f" SELECT {_told(outbound.SELLOUT_COLUMNS, _EARLY)} FROM raw WHERE k % 2 = 0 UNION ALL SELECT {_told(outbound.SELLOUT_COLUMNS, _LATE)} FROM raw WHERE k % 2 = 1")
+def sellout_clean(spark, d):
+    raw, key = view(spark, d, "raw"), F.col("k").cast("string")
+    named = lambda **c: [v.alias(n) for n, v in c.items()]
+    early = raw.where("k % 2 = 0").select(*named(订单编号=key, 交易订单号=F.lit("second"), 总金额=F.col("amount"), 买家应付邮费=F.lit("2.5"), 宝贝总数量=F.lit("3"), 宝贝标题=F.lit("title"), 货品编码=F.lit("code"), NSV=F.col("amount"), 买家会员名=F.lit("nick"), 订单创建时间=F.trim("day"), 出库日期=F.trim("day"), 手机=F.lit("1"), source_sheet=F.lit("early")))
+    late = raw.where("k % 2 = 1").select(*named(交易订单号=key, 订单金额=F.col("amount"), 商品数量=F.lit("1"), 商品名称=F.lit("goods"), 收件人=F.lit("someone"), 店铺名称=F.lit("shop"), 仓库名称=F.lit("w1"), 配送运单号=F.lit("L"), 配送公司=F.lit("C"), 支付时间=F.trim("day"), 订单状态=F.lit("done"), source_sheet=F.lit("late")))
+    return _doubles(cleaning.concat_sources([outbound.clean_sellout(early), outbound.clean_sellout(late)], list(outbound.SELLOUT_COLUMNS)), outbound.SELLOUT_NUMBERS)
+
+
+_REFUND = {"order_id": "CAST(k AS VARCHAR)", "refund_time": "trim(day)", "refund_amount": _PLAIN, "refund_type": "'hand'", "need_return": "'no'", "product_name": "'title'", "buyer_name": "'nick'", "status": "'ok'", "shop_name": "'shop'", "amount": "7.0::DOUBLE", "quantity": "NULL::DOUBLE", "nsv": "NULL::DOUBLE"}
+_REFUND_ALL = tuple(dict.fromkeys(outbound.REFUND_COLUMNS + outbound.SELLOUT_COLUMNS))
+
+
+@query(sql_view("raw") + f" SELECT {_told(_REFUND_ALL, _REFUND)} FROM raw")
+def refund_clean(spark, d):
+    raw = view(spark, d, "raw")
+    columns = {"退款编号": F.col("k").cast("string"), "交易订单号": F.lit("second"), "退款完结时间": F.trim("day"), "买家退款金额": F.col("amount"), "手工退款/系统退款": F.lit("hand"), "是否需要退货": F.lit("no"), "宝贝标题": F.lit("title"), "买家昵称": F.lit("nick"), "状态": F.lit("ok"), "店铺名称": F.lit("shop"), "订单金额": F.lit("7")}
+    return _doubles(outbound.clean_refund(raw.select(*[v.alias(n) for n, v in columns.items()])), outbound.REFUND_NUMBERS)
+
+
+_MOVED = {"order_id": "CAST(k AS VARCHAR)", "erp_order_id": "'E'", "transfer_id": "'T'", "lp_id": "'LP'", "product_code": "'P'", "product_name": "'goods'", "warehouse_name": "'w'", "transfer_time": "trim(day)", "doc_type": "'in'", "stock_type": "'good'", "merchant_code": "'M'", "quantity": "2.0::DOUBLE", "nsv": _PLAIN}
+
+
+@query(sql_view("raw") + f" SELECT {_told(outbound.TRANSFER_COLUMNS, _MOVED)} FROM raw")
+def transfer_clean(spark, d):
+    raw = view(spark, d, "raw")
+    columns = {"交易订单号": F.col("k").cast("string"), "ERP订单号": F.lit("E"), "单号": F.lit("T"), "LP单号": F.lit("LP"), "货品编码": F.lit("P"), "货品名称": F.lit("goods"), "仓库名称": F.lit("w"), "出入库时间": F.trim("day"), "单据类型": F.lit("in"), "库存类型": F.lit("good"), "商家编码": F.lit("M"), "出入数量": F.lit("2"), "NSV": F.col("amount")}
+    return _doubles(outbound.clean_transfer(raw.select(*[v.alias(n) for n, v in columns.items()])), outbound.TRANSFER_NUMBERS)
