@@ -1,11 +1,12 @@
 """Near-duplicate embeddings by randomised-rotation binary codes with correction factors.
 
 A vector is padded, rotated at random and stored as the signs of its components, with the inner product of the vector
-and its code as correction factor. Codes do two things: bands of their bits are bucket keys (enough bands for the
-target recall), and within a bucket a code gives an unbiased estimate of each inner product with a confidence bound;
-only pairs whose upper bound reaches the threshold are computed exactly, in double precision. Equal vectors are one
-class from the start. A pair is counted in the first band that brings it together, so nothing is counted twice and
-pairs never leave the task: a task returns counts and each vector's smallest partner.
+and its code as correction factor. Codes do three things: bands of their bits are bucket keys (enough bands for the
+target recall); codes alone go to the buckets first, and a vector follows only where its code is near another one; there
+a code gives an unbiased estimate of each inner product with a confidence bound, and only pairs whose upper bound
+reaches the threshold are computed exactly, in double precision. Equal vectors are one class from the start. A pair is
+counted in the first band that brings it together, so nothing is counted twice and pairs never leave the task: a task
+returns counts and each vector's smallest partner.
 """
 
 from __future__ import annotations
@@ -69,9 +70,20 @@ def banding(n: int, threshold: float, recall: float = RECALL, bits: int = CODE_B
     return np.array([rng.choice(bits, k, replace=False) for _ in range(bands)])
 
 
+def band_keys(signs: np.ndarray, bands: np.ndarray, dim: int) -> np.ndarray:
+    """The bucket key of each band of each code; vectors of another length have other keys."""
+    powers = 1 << np.arange(bands.shape[1], dtype=np.int64)
+    return (signs[:, bands] * powers).sum(2) * (1 << 20) + dim
+
+
+def far_apart(threshold: float, bits: int = CODE_BITS) -> int:
+    """Bits in which codes at the threshold differ at most, but for BOUND standard deviations."""
+    share = np.arccos(threshold) / pi
+    return ceil(bits * share + BOUND * (bits * share * (1 - share)) ** 0.5)
+
+
 def _coded(classes: DataFrame, bands: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(bands.shape[1], dtype=np.int64)
         for batch in batches:
             dims = np.array([len(v) for v in batch.column(1)])
             for dim in np.unique(dims):
@@ -81,7 +93,7 @@ def _coded(classes: DataFrame, bands: np.ndarray) -> DataFrame:
                 o = x.astype(np.float32) @ turn.T
                 signs = o > 0
                 factor = np.abs(o).sum(1) / np.sqrt(o.shape[1])
-                keys = (signs[:, bands] * powers).sum(2) * (1 << 20) + int(dim)  # vectors of another length have other keys
+                keys = band_keys(signs, bands, int(dim))
                 code = np.packbits(signs, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor.astype(np.float64)), pa.array(list(keys), pa.list_(pa.int64()))], ["cls", "code", "factor", "keys"]
@@ -90,18 +102,39 @@ def _coded(classes: DataFrame, bands: np.ndarray) -> DataFrame:
     return classes.select("cls", "vec").mapInArrow(run, "cls long, code binary, factor double, keys array<long>")
 
 
-def _links_in_parts(threshold: float):
-    """Count links within the parts of buckets; rows: band, key, left, right, part, cls, many, factor, code, keys, vec."""
+def _near_codes(threshold: float):
+    """The rows of a meeting whose code is near one of the other part; rows: band, key, left, right, part, cls, code."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, ends in runs_of(batches, 4):
+            left, right, part = (table.column(c).to_numpy() for c in ("left", "right", "part"))
+            code = table.column("code").combine_chunks()
+            keep = []
+            for s, e in zip(starts, ends):
+                if e - s < 2:
+                    continue
+                signs = np.unpackbits(np.stack([np.frombuffer(code[r].as_py(), np.uint8) for r in range(s, e)]), axis=1).astype(np.float32) * 2 - 1
+                near = signs @ signs.T >= signs.shape[1] - 2 * far_apart(threshold, signs.shape[1])
+                np.fill_diagonal(near, False)
+                if left[s] != right[s]:
+                    near &= part[s:e, None] != part[None, s:e]
+                keep.append(s + np.flatnonzero(near.any(1)))
+            if keep:
+                yield from table.select(["band", "key", "left", "right", "part", "cls"]).take(pa.array(np.concatenate(keep))).to_batches()
+
+    return run
+
+
+def _links_in_parts(threshold: float, bands: np.ndarray):
+    """Count links within the parts of buckets; rows: band, key, left, right, part, cls, many, factor, code, vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in runs_of(batches, 4):
             band = table.column("band").to_numpy()
             left, right, part = (table.column(c).to_numpy() for c in ("left", "right", "part"))
             cls, many, factor = (table.column(c).to_numpy() for c in ("cls", "many", "factor"))
-            vec, code, key = (table.column(c).combine_chunks() for c in ("vec", "code", "keys"))
+            vec, code = (table.column(c).combine_chunks() for c in ("vec", "code"))
             dims = np.diff(vec.offsets.to_numpy())
             values, at = vec.values.to_numpy(zero_copy_only=False), vec.offsets.to_numpy()
-            keys = key.flatten().to_numpy().reshape(table.num_rows, -1)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for s, e in zip(starts, ends):
                 if e - s < 2:
@@ -112,14 +145,16 @@ def _links_in_parts(threshold: float):
                 turn = rotation(dim, CODE_BITS)
                 o = x.astype(np.float32) @ turn.T
                 width = o.shape[1]
-                signs = np.unpackbits(bits, axis=1)[:, :width].astype(np.float32) * 2 - 1
+                positive = np.unpackbits(bits, axis=1)[:, :width]
+                signs = positive.astype(np.float32) * 2 - 1
                 f = factor[same]
                 estimate = (signs @ o.T) / (np.sqrt(width) * f[:, None])
                 error = np.sqrt(np.maximum(0, 1 - f * f)) / f / np.sqrt(width - 1)
                 hopeful = estimate + BOUND * error[:, None] >= threshold
                 one = np.flatnonzero(part[same] == left[s])
                 two = one if left[s] == right[s] else np.flatnonzero(part[same] == right[s])
-                k, mine = int(band[s]), keys[same]
+                k = int(band[s])
+                mine = band_keys(positive, bands[:k], dim)
                 open_pairs = hopeful[np.ix_(one, two)]
                 if left[s] == right[s]:
                     open_pairs = np.triu(open_pairs, 1)
@@ -174,10 +209,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     spots = spots.join(sizes, ["band", "key"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     spots = spots.withColumn("part", F.pmod(F.xxhash64("cls", "band"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spots = spots.select("cls", "band", "key", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part")
-    rows = spots.join(coded.select("cls", "many", "factor", "code", "keys", "vec"), "cls").select("band", "key", "left", "right", "part", "cls", "many", "factor", "code", "keys", "vec")
     group = ["band", "key", "left", "right"]
-    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows are few for the work they make
-    found = materialise(rows.repartition(tasks, *group).sortWithinPartitions(*group).mapInArrow(_links_in_parts(threshold), "cls long, links long, low long"), "op2-links")
+    tasks = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows are few for the work they make
+    met = lambda rows: rows.repartition(tasks, *group).sortWithinPartitions(*group)
+    codes = met(spots.join(coded.select("cls", "code"), "cls").select(*group, "part", "cls", "code"))
+    near = materialise(codes.mapInArrow(_near_codes(threshold), "band int, key long, left int, right int, part int, cls long"), "op2-near")
+    rows = met(near.join(coded.select("cls", "many", "factor", "code", "vec"), "cls").select(*group, "part", "cls", "many", "factor", "code", "vec"))
+    found = materialise(rows.mapInArrow(_links_in_parts(threshold, bands), "cls long, links long, low long"), "op2-links")
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("cls").alias("a"), F.col("low").alias("b")), "op2").withColumnRenamed("node", "cls")
     reached = classes.select("cls", "first").join(parts, "cls").groupBy("component").agg(F.min("first").alias("component_id"))
