@@ -21,9 +21,10 @@ from ._common import materialise, numbered, running
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces above this share of a sequence are grouped and configured; the others fill what is left by best fit.
+#: Pieces above this share of a sequence are grouped and configured; the others fill what is left by best fit. The number
+#: of groups that takes the fewest sequences is used: few make few configurations, many waste little by rounding.
 LARGE = 1 / 8
-GROUPS = 4096
+GROUPS = (64, 512, 4096)
 #: Words kept per worker with their ids, from task to task; when half are new, those not met since the last time go.
 KNOWN_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -163,13 +164,18 @@ def _configurations(counts: dict[int, int], capacity: int) -> Iterator[tuple[lis
         yield chosen, times
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, large: float = LARGE) -> list[tuple[int, int, int, int, int]]:
+    """The plan of :func:`grouped_plan` with the fewest sequences; of equal ones that with the fewest groups."""
+    plans = [grouped_plan(histogram, capacity, g, large) for g in groups]
+    return min(plans, key=lambda runs: max((first + hi - lo for _, lo, hi, first, _ in runs), default=0))
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first number, one past the last, first sequence, slot) that place all pieces of all lengths.
 
     Large pieces in order of length are cut into ``groups`` of equal cardinality, each rounded up to its longest piece.
-    Configurations of rounded sizes are chosen, actual
-    pieces take their slots, and small pieces go to the sequence with the tightest room that holds them. There are at
-    most ``capacity`` lengths and ``groups`` sizes, so the plan is bounded whatever the number of documents.
+    Configurations of rounded sizes are chosen, actual pieces take their slots, and small pieces go to the sequence with
+    the tightest room that holds them. There are at most ``capacity`` lengths and ``groups`` sizes, so the plan is bounded whatever the number of documents.
     """
     runs: list[tuple[int, int, int, int, int]] = []
     sequences = 0
@@ -237,6 +243,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty and has the end token alone. Rows that repeat are packed as often. An empty table gives no rows.
+    A text may be of any length: its pieces are cut one after the other. Equally long pieces are numbered by a hash of
+    their ids, then by id, piece and row.
     """
     table = numbered(pieces(docs, path or vocabulary(), id_col, text_col, capacity, end_id))
     table = materialise(table.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "op10-pieces")
