@@ -26,19 +26,16 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
 #: Bits a character that a window must reach, by the class of its characters. A window of 20 can reach 4.32 bits.
 MIN_BITS = {"hex": 3.0, "alnum": 3.55, "base64": 3.7}
-#: Not secrets: identifiers with a fixed form, sample values, and runs of few characters.
-ALLOWED = (
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"[0-9/_.-]+",
-    r"(?i:.*(?:example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token)|xxxx|0123456789|abcdefgh|test[_-]?key).*)",
-    r"[=_+/-]+",
-)
+#: Not secrets: candidates of a fixed form, and windows that touch a word of sample values.
+ALLOWED = (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r"[0-9/_.-]+", r"[=_+/-]+")
+SAMPLE_WORDS = r"example|sample|dummy|placeholder|changeme|your[_-]?(?:key|token)|xxxx|0123456789|abcdefgh|test[_-]?key"
 
 _assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII).finditer
 _access = re.compile(ACCESS).finditer
 _hex = re.compile(HEX).finditer
 _candidate = re.compile(CANDIDATE).finditer
 _allowed = re.compile("|".join(f"(?:{p})" for p in ALLOWED)).fullmatch
+_sample_words = re.compile(SAMPLE_WORDS, re.IGNORECASE | re.ASCII).finditer
 _keyword = re.compile(r"passw|secret|token|api_?key").search
 _digit = re.compile(r"[0-9]").search
 _letter = re.compile(r"[A-Za-z]").search
@@ -67,6 +64,7 @@ def entropy_spans(run: str, window: int = WINDOW, min_bits: dict[str, float] = M
     """Stretches of ``run`` that windows at or above the entropy of its class cover: (start, end, highest bits).
 
     Moving the window by one changes two counts, so the sum of n log n is kept up to date instead of counted anew.
+    Windows that overlap a sample word do not count; the rest of the run does.
     """
     if len(run) < window or _allowed(run):
         return []
@@ -74,6 +72,8 @@ def entropy_spans(run: str, window: int = WINDOW, min_bits: dict[str, float] = M
     term = [0.0] + [n * log2(n) for n in range(1, window + 2)]  # the new character comes before the old one goes
     counts: dict[str, int] = {}
     total, out = 0.0, []
+    words = [m.span() for m in _sample_words(run)]
+    word = 0
     for at, new in enumerate(run):
         n = counts.get(new, 0)
         counts[new] = n + 1
@@ -86,6 +86,10 @@ def entropy_spans(run: str, window: int = WINDOW, min_bits: dict[str, float] = M
         if at >= window - 1:
             bits = log2(window) - total / window
             start, end = at - window + 1, at + 1
+            while word < len(words) and words[word][1] <= start:
+                word += 1
+            if word < len(words) and words[word][0] < end:
+                continue
             part = run[start:end]
             if bits >= least and _digit(part) and _letter(part):
                 if out and start <= out[-1][1]:
@@ -114,7 +118,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of ``docs``: counts and digest of the base spans, all spans, and the entropy spans' number.
 
     ``spans`` lists kind:start:end by start, then kind (assign, access, hex, entropy); places count code points, the
-    end is exclusive. Null text is empty; a text without secrets has an empty list. A text may have any length.
+    end is exclusive. Null text is empty; a text without secrets has an empty list. A text may have any length; rows that
+    repeat are scanned as often, and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
