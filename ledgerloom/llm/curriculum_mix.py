@@ -89,13 +89,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` as the training run reads them: each row once for each whole reading, range-sorted by training position.
 
     A last reading that the target cuts short counts if at least half of the document is read, so texts stay whole.
-    Documents without words are read never. Rows that share id and text are read equally often.
+    Documents without words are read never. Of rows that share id and text each has its own readings.
     """
     plan = mix(docs, id_col, text_col, source_col, schedules=schedules, **options)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     plan = plan.where("taken > 0").withColumn("copies", copies).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_plan_id"), F.col("text_hash").alias("_plan_hash")).agg(*[F.max(c).alias(f"_{c}") for c in ("copies", "start", "words", "source_size", "kind")])
-    rows = wrapped(docs, id=F.col(id_col), hash=F.xxhash64(F.col(text_col))).join(plan, F.col("id").eqNullSafe(F.col("_plan_id")) & (F.col("hash") == F.col("_plan_hash")))
+    # Rows that share id and text are told apart by a number: which of them takes which turn makes no difference.
+    turn = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("start", "copies"))
+    plan = plan.withColumn("turn", turn).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "turn", "copies", "start", "words", "source_size", "kind")])
+    rows = wrapped(docs, id=F.col(id_col), hash=F.xxhash64(F.col(text_col)))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id")))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("_doc_id")) & (F.col("hash") == F.col("_text_hash")) & (F.col("turn") == F.col("_turn")))
     rows = rows.withColumn("_reading", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = (F.col("_start") + F.col("_reading") * F.col("_source_size")) / F.col("_words")
     rows = rows.withColumn("_position", position(F.least(share, F.lit(1.0)), F.col("_kind"), schedules))
