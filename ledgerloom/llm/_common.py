@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Labels that classifiers learn at most.
-MAX_LABELS = 1000
-
 _own_dir: str | None = None
 
 
@@ -72,14 +69,14 @@ def running(df: DataFrame, group: list[str], order_hash: str, ties: list[str], v
     return joined.withColumn(out, F.col("_offset") + F.col("_local")).drop("_value", "_local", "_offset", "_range", *[f"_{c}" for c in on])
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, seed: int = 11) -> DataFrame:
+def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, most_labels: int, seed: int = 11) -> DataFrame:
     """At most ``per_label`` rows of each label, chosen by a hash of ``key``, so that reruns choose the same.
 
     Rows beyond a hash threshold, set from the counts so that a little more than enough pass, drop out on the map
-    side; only those that pass are ranked. Labels with few rows are taken whole. Only the MAX_LABELS most frequent labels
-    are sampled, so that the counts, which go to all tasks, have a bound.
+    side; only those that pass are ranked. Labels with few rows are taken whole. Of more than ``most_labels`` labels the
+    most frequent are sampled, so that the counts, which go to all tasks, have a bound.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(MAX_LABELS)
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(most_labels)
     share = F.least(F.lit(1.0), (F.lit(1.3 * per_label + 100)) / F.col("_n"))
     spin = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("_spin")
     passed = rows.select("*", spin).join(F.broadcast(counts.select(F.col(label).alias("_label"), share.alias("_share"))), F.col(label) == F.col("_label")).where("_spin < _share")
@@ -97,7 +94,9 @@ def runs_of(batches, keys: int):
 
     waiting = None
     for batch in batches:
-        table = pa.Table.from_batches([batch] if waiting is None else [*waiting.to_batches(), batch]).combine_chunks()
+        table = pa.Table.from_batches([batch])
+        table = table.cast(pa.schema([(f.name, pa.large_string() if pa.types.is_string(f.type) else f.type) for f in table.schema]))  # a run's texts may pass 2 GB
+        table = (table if waiting is None else pa.concat_tables([waiting, table])).combine_chunks()
         if not table.num_rows:
             continue
         new = np.zeros(table.num_rows, bool)

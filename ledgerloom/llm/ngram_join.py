@@ -27,10 +27,10 @@ N = 5
 SIMILARITY = 0.8
 RECALL = 0.995
 COORDINATES = 128
-#: Nodes up to this size are leaves, as signatures are cheap to compare in parts; after LEVELS levels all are.
-LEAF, LEVELS = 4096, 5
-#: Classes of a leaf or group that meet those of another part in one task.
-PART = 1024
+#: Nodes up to this size are leaves; after LEVELS levels all are, however large, and are compared in parts.
+LEAF, LEVELS = 256, 4
+#: Classes of a leaf or group, and n-grams of a group, that meet those of another part in one task.
+PART, PART_GRAMS = 1024, 4_000_000
 #: Signatures may fall short of the threshold by so much (4 standard deviations) and still be looked at exactly.
 MARGIN = 4 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 SEED = 97
@@ -109,16 +109,25 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def runs_for(recall: float = RECALL, levels: int = 2) -> int:
-    """Runs until a pair at the threshold shares a leaf with probability ``recall``.
+def roots_of(run: int) -> int:
+    """Tokens that a run samples at the root: one, and two in every fourth run, 1/SIMILARITY on average."""
+    return 2 if run % 4 == 3 else 1
 
-    Such a pair has about one common child a level, so a run keeps it together with the probability that a branching
-    process with mean 1 lives ``levels`` levels.
+
+def runs_for(recall: float = RECALL, levels: int = LEVELS) -> int:
+    """Runs until a pair at the threshold shares a leaf with probability ``recall``, if nodes split to the last level.
+
+    Below the root such a pair has one common child on average, so a run keeps it together with the probability that a
+    branching process with mean 1 lives on from one of the root's tokens that both share.
     """
     alive = 1.0
-    for _ in range(levels):
+    for _ in range(levels - 1):
         alive = 1 - exp(-alive)
-    return ceil(log(1 - recall) / log(1 - alive))
+    runs, missed = 0, 1.0
+    while missed > 1 - recall:
+        missed *= (1 - SIMILARITY * alive) ** roots_of(runs)
+        runs += 1
+    return runs
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
@@ -135,19 +144,19 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, f1 long, f2 long, sig array<int>")
 
 
-def _leaves(classes: DataFrame, runs: int) -> DataFrame:
+def _leaves(classes: DataFrame, runs: int, leaf: int) -> DataFrame:
     """(node, cls, n): the leaves with two classes at least, of all runs."""
     rng = np.random.default_rng(SEED + 2)
-    roots = [(r, int(c)) for r in range(runs) for c in rng.choice(COORDINATES, 2 if r % 4 == 3 else 1, replace=False)]
+    roots = [(r, int(c)) for r in range(runs) for c in rng.choice(COORDINATES, roots_of(r), replace=False)]
     spots = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit(c).alias("c"), F.col("sig")[c].alias("token")) for r, c in roots])).alias("s")
     level = classes.select("cls", spots).select(F.xxhash64("s.run", "s.c", "s.token").alias("node"), "cls")
     leaves = None
     for depth in range(1, LEVELS + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         level = materialise(level.join(sizes, "node"), "op1-level")
-        done = level.where(F.col("n") <= LEAF) if depth < LEVELS else level
+        done = level.where(F.col("n") <= leaf) if depth < LEVELS else level
         leaves = done if leaves is None else leaves.unionByName(done)
-        large = level.where(F.col("n") > LEAF)
+        large = level.where(F.col("n") > leaf)
         if depth == LEVELS or large.isEmpty():
             break
         share = round(1024 / (SIMILARITY * COORDINATES))
@@ -158,9 +167,9 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
     return leaves
 
 
-def _in_parts(groups: DataFrame, group: str, size: str) -> DataFrame:
+def _in_parts(groups: DataFrame, parts) -> DataFrame:
     """Each row once for every meeting of its part with a part of its group: adds left, right, part."""
-    cut = groups.withColumn("parts", F.ceil(F.col(size) / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")).cast("int"))
+    cut = groups.withColumn("parts", F.ceil(parts).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cut.withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other")).drop("parts", "other")
 
@@ -259,14 +268,16 @@ def _decided(n: int, similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, recall: float = RECALL) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, component_id, n_links, kept.
 
     Words are runs of other than ASCII white space; a document's set is its distinct ``n`` words in a row (a document of
     fewer words is one n-gram). Documents with equal sets are a class, named by its smallest id; documents with a
     Jaccard similarity of 0.8 or more are linked, and ``n_links`` counts them, copies included. ``component_id`` is the
     smallest id reachable, and the document with that id is kept. Null or blank texts have no set and link with
-    nothing. Rows that repeat an id count as documents of their own. An empty table gives no rows.
+    nothing. Rows that repeat an id count as documents of their own. An empty table gives no rows. A text may have any
+    length: long ones share a task with fewer others. A pair at the threshold is found with a probability of ``recall``
+    at least, if nodes of more than ``leaf`` classes split to the last level; one that is found is decided exactly.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(numbered(_signed(base, n)), "op1-signatures")
@@ -275,12 +286,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = materialise(classes.select("size", "f1", "f2", F.col("first.row").alias("cls"), F.col("first.doc_id").alias("class_id"), "many"), "op1-classes")
     signed = materialise(classes.select("cls", "size").join(rows.select(F.col("row").alias("cls"), "sig"), "cls"), "op1-class-signatures")
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows are few for the work they make
-    leaves = _in_parts(_leaves(signed, runs_for(recall)), "node", "n").join(signed, "cls").select("node", "left", "right", "part", "cls", "size", "sig")
+    leaves = _in_parts(_leaves(signed, runs_for(recall), leaf), F.col("n") / PART).join(signed, "cls").select("node", "left", "right", "part", "cls", "size", "sig")
     meeting = ["node", "left", "right"]
     candidates = leaves.repartition(tasks, *meeting).sortWithinPartitions(*meeting).mapInArrow(_alike, "a long, b long")
     groups = components(candidates, "op1-candidates").select(F.col("node").alias("cls"), F.col("component").alias("group"))
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    members = _in_parts(groups.join(sizes, "group"), "group", "n").join(classes, "cls").select("group", "left", "right", "part", "cls", "many", "f1", "f2", F.col("class_id").alias("_id"))
+    grown = groups.join(classes, "cls")
+    sizes = grown.groupBy(F.col("group").alias("_group")).agg(F.greatest(F.count(F.lit(1)) / PART, F.sum("size") / PART_GRAMS).alias("share"))
+    members = _in_parts(grown.join(sizes, F.col("group") == F.col("_group")), F.col("share")).select("group", "left", "right", "part", "cls", "many", "f1", "f2", F.col("class_id").alias("_id"))
     texts = members.join(base.where("text is not null"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("group", "left", "right", "part", "cls", "many", "f1", "f2", "text")
     meeting = ["group", "left", "right"]
     linked = materialise(texts.repartition(tasks, *meeting).sortWithinPartitions(*meeting, "cls").mapInArrow(_decided(n, SIMILARITY), "cls long, links long, low long"), "op1-links")

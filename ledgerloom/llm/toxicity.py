@@ -165,7 +165,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Learns from at most ``per_class`` labelled documents of each class whose crc32(id) mod 5 is not 0: two thirds train
     the dictionaries, a third the thresholds. Null and empty texts are scored as texts without windows. Labels that are
     null, or of documents that are not there, teach nothing; of repeated labels of a document the highest holds. With
-    no labelled document of either class every score is 0.
+    no labelled document of either class every score is 0. Rows that repeat get the same score each, a text may have any
+    length, and an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     remainder = lambda c: F.crc32(F.col(c).cast("string")) % 5
@@ -173,7 +174,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     learnable = learnable.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     rates = learnable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
     n = {r["toxic"]: r["n"] for r in rates.collect()}  # two rows
-    chosen = bounded_sample(learnable, "toxic", "label_id", per_class)
+    chosen = bounded_sample(learnable, "toxic", "label_id", per_class, 2)
     # At most 2 x per_class ids: the broadcast has a fixed size.
     sample = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("calibrates"))
     sample = materialise(sample, "op5-sample")
