@@ -35,7 +35,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after each run of ASCII white space became one blank; null is the empty text.
     Of equal texts the row with the smallest id stays (null ids last; of rows that repeat an id, one stays).
-    An empty table gives no rows. Other columns are not looked at, whatever their names.
+    An empty table gives no rows. Other columns are not looked at, whatever their names. A text may have any length: it
+    moves in chunks of at most MAX_CHARS characters, and only where a chunk hash is shared does its own row hold it again.
     ``chunk_hash`` may be any hash to a bigint: equality never rests on it.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))

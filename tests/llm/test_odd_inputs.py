@@ -80,3 +80,49 @@ def test_stages_keep_columns(spark, odd, name, stage):
     if name != "source_mix":
         assert {r["_hash"] for r in out.collect()} <= {1, None}  # a column of theirs under a name of ours
     assert stage(spark, odd.where("false"), "").count() == 0
+
+
+def test_packing_stage(spark, odd):
+    name, stage = corpus_pipeline.STAGES[-1]
+    out = stage(spark, odd, "").toPandas()
+    assert name == "packing" and out.groupby("sequence_id").length.sum().max() <= 2048
+    assert stage(spark, odd.where("false"), "").count() == 0
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """What the stages do to a small corpus, told by plain Python."""
+    import random
+
+    rng = random.Random(31)
+    prose = lambda n: " ".join(rng.choice("the and that with this from have there would about garden river stone".split()) + str(rng.randrange(30)) for _ in range(n))
+    texts = [prose(60) for _ in range(12)]
+    near = texts[0].split()
+    near[30] = "changed"
+    texts += [texts[1].replace(" ", "  "), " ".join(near) + " and more", "1234 5678", "", None]
+    rows = [(k, t, "en", f"s{k % 2}", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    kept = set(range(12))  # 12 is a copy of 1, 13 is near 0, 14 to 16 have no letters
+    assert set(out.doc_id) <= kept
+    sizes = {k: len(texts[k].split()) for k in kept}
+    assert all(out[out.piece == 0].doc_id.value_counts().max() <= 3 for _ in [0])
+    assert sum(sizes[k] for k in out[out.piece == 0].doc_id) >= 0.9 * sum(sizes.values())
+    assert out.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_texts_of_megabytes(spark):
+    """Two near copies of 3 MB, and a text with thousands of matches."""
+    long = " ".join(f"word{k % 5003} part{k}" for k in range(150_000))
+    many = " ".join(f"user{k}@mail.example.com token={k:024x}" for k in range(3000))
+    docs = spark.createDataFrame([(0, long, "a", "en"), (1, long + " end", "b", "en"), (2, many, "a", "en"), (3, long, "b", "en")], "doc_id long, text string, source string, lang string")
+    similar = {r["doc_id"]: r["n_links"] for r in ngram_join.similar_documents(docs).collect()}
+    assert similar == {0: 2, 1: 2, 2: 0, 3: 2}
+    groups = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_groups(docs).collect()}
+    assert groups == {0: 0, 1: 1, 2: 2, 3: 0}
+    spans = {(r["doc_id"], r["start_word"], r["end_word"], r["first"]) for r in suffix_dedup.repeated_passages(docs).collect()}
+    assert spans == {(0, 0, 300_000, True), (1, 0, 300_000, False), (3, 0, 300_000, False)}
+    found = {r["doc_id"]: (r["n_assign"], r["n_hex"]) for r in secret_scan.secrets(docs).collect()}
+    assert found[2] == (3000, 3000) and found[0] == (0, 0)
+    assert {r["doc_id"]: r["n_email"] for r in pii.personal_data(docs.where("doc_id = 2")).collect()} == {2: 3000}
+    pieces = binpack.pack(docs).toPandas()
+    assert pieces.groupby("doc_id").piece.max().to_dict()[0] > 100 and pieces.groupby("sequence_id").length.sum().max() <= 2048
