@@ -65,9 +65,13 @@ def unique_joined(values) -> str:
     return " | ".join(dict.fromkeys(v.strip() for v in values if v and v.strip()))
 
 
-def pair_score(cent_diff: int, day_diff: int, one: str, two: str, tolerance: int, days: int) -> float:
+def score_of(cent_diff: int, day_diff: int, alike: float, tolerance: int, days: int) -> float:
     near = 0.52 * max(0.0, 1 - cent_diff / (tolerance + 1)) + 0.25 * max(0.0, 1 - day_diff / (days + 1))
-    return round(near + 0.23 * ratio(one, two), 4)
+    return round(near + 0.23 * alike, 4)
+
+
+def pair_score(cent_diff: int, day_diff: int, one: str, two: str, tolerance: int, days: int) -> float:
+    return score_of(cent_diff, day_diff, ratio(one, two), tolerance, days)
 
 
 def group_score(banks: list, ledgers: list, tolerance: int, days: int) -> float:

@@ -6,7 +6,8 @@ so they run in parallel. Everything between passes is joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FEE_MAX_CENTS, confidence_label, first_nonblank, is_bulk_payment, is_fee, is_transfer, join_unique_array, normalize_text
-from ..functions.subset import group_score, pair_score, subset_sum
+from ..functions.similarity import ratio, text_similarity
+from ..functions.subset import group_score, pair_score, score_of, subset_sum
 from .pairs import joined_by_bucket, one_to_one, pair_candidates, scored, side_text
 from .scratch import materialise
 
 GROUP = "match_type string, banks array<string>, ledgers array<string>, score double"
 POOL, GROUP_MAX, FEE_POOL, FEE_MAX_SIZE = 24, 6, 200, 10
+Member = namedtuple("Member", "id cents day label")
 
 
 def _slim(records: DataFrame, side: str, bucket: list[str]) -> DataFrame:
@@ -114,46 +117,128 @@ def transfers(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int
     return slim.groupBy("l_month", "l_flow", "island").applyInPandas(run, GROUP)
 
 
-def bucketed(bank: DataFrame, ledger: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Adds ``bucket``: the account, or ``*`` for a month and flow in which either side has a blank account."""
-    if not strict:
-        return bank.withColumn("bucket", F.lit("*")), ledger.withColumn("bucket", F.lit("*"))
-    blank = bank.where("account = ''").select("month", "flow").unionByName(ledger.where("account = ''").select("month", "flow")).distinct().withColumn("_open", F.lit(True))
-    return tuple(d.join(blank, ["month", "flow"], "left").withColumn("bucket", F.when(F.col("_open"), "*").otherwise(F.col("account"))).drop("_open") for d in (bank, ledger))
+_SLIM = ["id", "ord", "cents", "day", "said", "label", "account"]
 
 
-def group_passes(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30, strict: bool = True, most: int = GROUP_MAX, pool_limit: int = POOL, kinds: tuple[str, ...] = ("one_to_many", "many_to_one")) -> DataFrame:
-    """One bank row against several entries, then one entry against several bank rows, bucket by bucket."""
-    b, g = bucketed(bank, ledger, strict)
+def _ranked(anchor, pool: list, tolerance: int, days: int, k: int, known: dict) -> list:
+    """The first ``k`` of the pool by pair score, then by nearness of the amount, then in the order of the records."""
+
+    def key(o) -> tuple:
+        texts = (anchor.said, o.said)
+        if texts not in known:
+            known[texts] = ratio(*texts)
+        apart = abs(anchor.cents - o.cents)
+        return (score_of(apart, abs(anchor.day - o.day), known[texts], tolerance, days), -apart)
+
+    return sorted(pool, key=key, reverse=True)[:k]
+
+
+def _first_group(anchor, ranked: list, tolerance: int, days: int, most: int, banks_first: bool) -> tuple | None:
+    """(anchor, its ord, members, score) of the first subset of ``ranked`` that sums to the anchor."""
+    group = [ranked[k] for k in subset_sum([o.cents for o in ranked], anchor.cents, tolerance, most)]
+    if not group:
+        return None
+    sides = ([anchor], group) if banks_first else (group, [anchor])
+    return anchor.id, anchor.ord, [o.id for o in group], group_score(*sides, tolerance, days)
 
-    def work(banks: list, ledgers: list) -> list[tuple]:
-        used: set[str] = set()
-        found = []
-        for kind, anchors, others in (("one_to_many", banks, ledgers), ("many_to_one", ledgers, banks)):
-            if kind not in kinds:
-                continue
-            for a in anchors:
-                if a.id in used:
-                    continue
-                pool = [o for o in others if o.id not in used and abs(o.day - a.day) <= days and (not strict or not a.account or not o.account or a.account == o.account)]
-                ranked = sorted(pool, key=lambda o: (pair_score(abs(a.cents - o.cents), abs(a.day - o.day), a.said, o.said, tolerance, days), -abs(a.cents - o.cents)), reverse=True)[:pool_limit]
-                group = [ranked[k] for k in subset_sum([o.cents for o in ranked], a.cents, tolerance, most)]
-                if group:
-                    pair = ([a], group) if kind == "one_to_many" else (group, [a])
-                    found.append((kind, *pair, group_score(*pair, tolerance, days)))
-                    used |= {a.id, *(o.id for o in group)}
-        return found
 
-    both = ["month", "flow", "bucket"]
-    slim_b = _slim(b, "bank", [*both, "account"]).join(g.select(*both).distinct(), both, "left_semi")
-    slim_g = _slim(g, "ledger", [*both, "account"]).join(b.select(*both).distinct(), both, "left_semi")
+_FOUND = "anchor string, ord long, members array<string>, score double"
+_FOUND_NAMES = ["anchor", "ord", "members", "score"]
+
+
+def _named_groups(anchors: DataFrame, others: DataFrame, taken: DataFrame, tolerance: int, days: int, most: int, pool_limit: int, banks_first: bool) -> DataFrame:
+    """Groups of the anchors with an account: account by account, in order, with its own rows and those without an account.
+
+    ``taken`` (id, by, at): rows that an anchor of another account, or of none, takes at its place in the order.
+    """
+    bucket = ["month", "flow", "account"]
+    mine = anchors.where("account <> ''")
+    buckets = mine.select(*bucket).distinct()
+    free = others.where("account = ''").drop("account").join(buckets, ["month", "flow"]).select(*others.columns)
+    pool = others.join(buckets, bucket, "left_semi").unionByName(free)
+    owner = taken.select(F.col("id").alias("_id"), F.col("by").alias("_by"), "at")
+    told = pool.join(owner, (F.col("id") == F.col("_id")) & (F.col("account") != F.col("_by")), "left").groupBy("month", "flow", *_SLIM).agg(F.min("at").alias("at"))
+    rows = mine.select("month", "flow", *_SLIM, F.lit(True).alias("anchors"), F.lit(None).cast("long").alias("at")).unionByName(told.select("month", "flow", *_SLIM, F.lit(False).alias("anchors"), "at"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(group.sort_values("ord", kind="stable").itertuples(index=False))
-        found = work([r for r in rows if r.side == "bank"], [r for r in rows if r.side == "ledger"])
-        return pd.DataFrame([(kind, [x.id for x in bs], [y.id for y in gs], s) for kind, bs, gs, s in found], columns=["match_type", "banks", "ledgers", "score"])
+        ordered = list(group.sort_values("ord", kind="stable").itertuples(index=False))
+        pool, used, known, out = [r for r in ordered if not r.anchors], set(), {}, []
+        for a in (r for r in ordered if r.anchors):
+            near = [o for o in pool if o.id not in used and abs(o.day - a.day) <= days and not (o.at < a.ord)]
+            found = _first_group(a, _ranked(a, near, tolerance, days, pool_limit, known), tolerance, days, most, banks_first)
+            if found:
+                out.append(found)
+                used.update(found[2])
+        return pd.DataFrame(out, columns=_FOUND_NAMES)
+
+    return rows.groupBy(*bucket).applyInPandas(run, _FOUND)
+
+
+def _free_groups(anchors: DataFrame, others: DataFrame, taken: DataFrame, tolerance: int, days: int, most: int, pool_limit: int, banks_first: bool) -> DataFrame:
+    """Groups of the anchors without an account, which may take rows of all accounts: their pools are cut by windows."""
+    a = anchors.where("account = ''").select(*[F.col(c).alias(f"a_{c}") for c in ("month", "flow", *_SLIM)])
+    met = a.join(others, (F.col("a_month") == F.col("month")) & (F.col("a_flow") == F.col("flow")))
+    owner = taken.select(F.col("id").alias("_id"), F.col("anchor").alias("_anchor"), "at")
+    gone = met.select("a_id", "a_ord", "id").join(owner, (F.col("id") == F.col("_id")) & (F.col("at") < F.col("a_ord")) & (F.col("a_id") != F.col("_anchor"))).select("a_id", "id").distinct()
+    near = met.where(F.abs(F.col("day") - F.col("a_day")) <= days).join(gone, ["a_id", "id"], "left_anti")
+    apart, far = F.abs(F.col("cents") - F.col("a_cents")), F.abs(F.col("day") - F.col("a_day"))
+    score = F.round(0.52 * F.greatest(F.lit(0.0), 1 - apart / F.lit(tolerance + 1)) + 0.25 * F.greatest(F.lit(0.0), 1 - far / F.lit(days + 1)) + 0.23 * text_similarity("a_said", "said"), 4)
+    first = Window.partitionBy("a_id").orderBy(F.desc("_score"), "_apart", "ord")
+    ranked = near.withColumns({"_score": score, "_apart": apart}).withColumn("k", F.row_number().over(first)).where(F.col("k") <= pool_limit)
+    anchor = [F.first(f"a_{c}").alias(c) for c in ("ord", "cents", "day", "label")]
+    pools = ranked.groupBy(F.col("a_id").alias("id")).agg(*anchor, F.array_sort(F.collect_list(F.struct("k", "id", "cents", "day", "label"))).alias("near"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_first_group(r, [Member(o["id"], int(o["cents"]), int(o["day"]), o["label"]) for o in r.near], tolerance, days, most, banks_first) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame([f for f in found if f], columns=_FOUND_NAMES)
+
+    return pools.mapInPandas(run, _FOUND)
+
+
+def _anchored(anchors: DataFrame, others: DataFrame, strict: bool, banks_first: bool, *limits: int) -> DataFrame:
+    """Each anchor in order against its first subset of unused others, as going through all anchors one by one would find them.
+
+    Accounts do not touch but for rows without an account. What those take, or are taken by, is told to the others with
+    its place in the order, and all is found again until nothing changes: the first anchors are right from the start,
+    those that depend on them in the next round, and so on. No group is larger than an account's month.
+    """
+    if not strict:
+        anchors, others = (d.withColumn("account", F.lit("any")) for d in (anchors, others))
+    anchors, others = materialise(anchors, "anchors"), materialise(others, "others")
+    accounts = anchors.select(F.col("id").alias("anchor"), F.col("account").alias("by"))
+    free = others.where("account = ''").select("id")
+    taken = materialise(anchors.sparkSession.createDataFrame([], "id string, anchor string, by string, at long"), "taken")
+    said = None
+    lonely = anchors.where("account = ''").isEmpty() and free.isEmpty()
+    while True:
+        found = _named_groups(anchors, others, taken, *limits, banks_first)
+        if not lonely:
+            found = found.unionByName(_free_groups(anchors, others, taken, *limits, banks_first))
+        found = materialise(found, "found")
+        state = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("anchor", "members").cast("decimal(38,0)"))).first()
+        if lonely or state == said:
+            return found
+        said = state
+        members = found.join(accounts, "anchor").select(F.explode("members").alias("id"), "anchor", "by", F.col("ord").alias("at"))
+        taken = materialise(members, "taken")
 
-    return slim_b.unionByName(slim_g).groupBy(*both).applyInPandas(run, GROUP)
+
+def group_passes(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30, strict: bool = True, most: int = GROUP_MAX, pool_limit: int = POOL, kinds: tuple[str, ...] = ("one_to_many", "many_to_one")) -> DataFrame:
+    """One bank row against several entries of its month, flow and account, then one entry against several bank rows."""
+    both = ["month", "flow", "account"]
+    left = [_slim(bank, "bank", both).drop("side", "fee", "bulk"), _slim(ledger, "ledger", both).drop("side", "fee", "bulk")]
+    out = None
+    for kind in kinds:
+        banks_first = kind == "one_to_many"
+        anchors, others = left if banks_first else left[::-1]
+        found = _anchored(anchors, others, strict, banks_first, tolerance, days, most, pool_limit)
+        one = F.array("anchor")
+        sides = (one, F.col("members")) if banks_first else (F.col("members"), one)
+        groups = found.select(F.lit(kind).alias("match_type"), sides[0].alias("banks"), sides[1].alias("ledgers"), "score")
+        out = groups if out is None else out.unionByName(groups)
+        left = [d.join(groups.select(F.explode(ids).alias("id")), "id", "left_anti") for d, ids in zip(left, ("banks", "ledgers"))]
+    return out
 
 
 def daily_many_to_many(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -221,8 +306,6 @@ def unused(records: DataFrame, groups: DataFrame, side: str) -> DataFrame:
 
 def group_scores(groups: DataFrame, bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30) -> DataFrame:
     """Scores groups that have none yet, from their members."""
-    from ..functions.similarity import text_similarity
-
     keyed = groups.withColumn("key", F.concat_ws("|", "banks"))
     members = lambda side, d: keyed.select("key", F.posexplode(side).alias("pos", "id")).join(d, "id").select("key", "pos", "cents", "day", first_nonblank("counterparty_name", "summary").alias("label"))
     b, g = members("banks", bank), members("ledgers", ledger)
