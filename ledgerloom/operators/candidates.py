@@ -317,6 +317,15 @@ def hold_ids(candidates: DataFrame, bank: DataFrame, ledger: DataFrame, top: int
     return best.select(F.lit("bank").alias("side"), F.explode("banks").alias("id")).unionByName(best.select(F.lit("ledger").alias("side"), F.explode("ledgers").alias("id"))).distinct()
 
 
+def counterparty_consistency(candidates: DataFrame, bank: DataFrame) -> DataFrame:
+    """Adds the largest share of one counterparty among a candidate's bank rows."""
+    signed = signature(candidates)
+    rows = signed.select("candidate_signature", F.explode("banks").alias("id")).join(bank.select("id", counterparty_key("counterparty_name", "summary").alias("cp")), "id")
+    counts = rows.groupBy("candidate_signature", "cp").agg(F.count(F.lit(1)).alias("n"))
+    share = counts.groupBy("candidate_signature").agg(F.round(F.max("n") / F.sum("n"), 4).alias("counterparty_consistency"))
+    return signed.join(share, "candidate_signature")
+
+
 def build_candidates(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 160) -> DataFrame:
     """All kinds over unused records, checked, deduplicated, ranked and labelled."""
     kinds = [make(bank, ledger, tolerance) for make in (exact_pairs, period_groups, grouped_subsets, subset_groups, manual_subsets, window_groups, monthly_balances)]

@@ -369,5 +369,26 @@ def match_stats(matches: DataFrame) -> DataFrame:
     return matches.groupBy("pass", "match_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+KINDS = ("fee_aggregation", "cross_account_transfer", "one_to_one", "one_to_many", "many_to_one", "many_to_many", "cleanup")
+
+
+def match_report(matches: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row per counter: matches by pass (the clean-up as one), their total, and the rows of either side left over.
+
+    ``bank`` and ``ledger`` are the tables that records were made from, with txn_id and entry_id.
+    """
+    told = F.when(F.col("pass") == 5, "cleanup").otherwise(F.col("match_type"))
+    counts = matches.groupBy(told.alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    zero = matches.sparkSession.createDataFrame([(k, 0) for k in (*KINDS, "total_matches")], "what string, n long")
+    total = matches.agg(F.lit("total_matches").alias("what"), F.count(F.lit(1)).alias("n"))
+    left = [unmatched_rows(d, matches, side, key).agg(F.lit(f"unmatched_{name}").alias("what"), F.count(F.lit(1)).alias("n")) for d, side, key, name in ((bank, "banks", "txn_id", "bank"), (ledger, "ledgers", "entry_id", "ledger"))]
+    return reduce(DataFrame.unionByName, [zero, counts, total, *left]).groupBy("what").agg(F.sum("n").alias("n"))
+
+
+def unmatched_rows(df: DataFrame, matches: DataFrame, side: str, key: str) -> DataFrame:
+    """The rows of a table that no match has, those included that never became records for lack of a date or an amount."""
+    return df.join(used_ids(matches, side).withColumnRenamed("id", key), key, "left_anti")
+
+
 def same_bucket_pairs(bank: DataFrame, ledger: DataFrame, strict: bool = True) -> DataFrame:
     return joined_by_bucket(bank, ledger, [("month", "month"), ("flow", "flow")], strict)

@@ -41,8 +41,20 @@ def route(candidates: DataFrame, held: DataFrame, tolerance: int = 1, least: flo
     return out.withColumn("status", status).drop("_held")
 
 
+STATUSES = {
+    "accepted": "accepted_matches", "manual": "manual_approved", "needs_review_llm_rejected": "llm_rejected", "needs_review_low_confidence": "llm_low_confidence",
+    "needs_review_no_llm_decision": "llm_no_decision", "blocked_conflict_or_amount_diff": "blocked", "needs_manual_amount_approval": "needs_amount_approval",
+}
+
+
 def candidate_stats(routed: DataFrame) -> DataFrame:
-    return routed.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """One row of counters: candidates built, for outside review, with a decision, approved by it, by status, and pending."""
+    many = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    status = F.col("status")
+    return routed.agg(
+        F.count(F.lit(1)).alias("candidates_built"), many(F.col("llm_review") | ~F.col("review_only")).alias("candidates_llm_review"), many(F.col("llm_approve").isNotNull()).alias("llm_candidates_evaluated"),
+        many(F.coalesce("llm_approve", F.lit(False))).alias("llm_approved"), *[many(status == s).alias(n) for s, n in STATUSES.items()], many(~status.isin("accepted", "manual")).alias("pending_review"),
+    )
 
 
 def first_wins(rows: DataFrame, order: str = "ord") -> DataFrame:
@@ -69,8 +81,8 @@ def accept(routed: DataFrame, used: DataFrame, bank: DataFrame, ledger: DataFram
     different months, flows or accounts."""
     from .candidates import same_bucket, signature
 
-    routed = signature(same_bucket(routed, bank, ledger))
-    fit = routed.where((F.col("status") == "accepted") & (F.abs(F.col("bank_cents") - F.col("ledger_cents")) <= tolerance))
+    fit = materialise(routed.where((F.col("status") == "accepted") & (F.abs(F.col("bank_cents") - F.col("ledger_cents")) <= tolerance)), "accepted")
+    fit = signature(same_bucket(fit, bank, ledger))
     for side, ids in (("bank", "banks"), ("ledger", "ledgers")):
         bad = fit.select("ord", F.explode(ids).alias("id")).join(used.where(F.col("side") == side), "id", "left_semi").select("ord").distinct()
         fit = fit.join(bad, "ord", "left_anti")
@@ -91,17 +103,31 @@ def apply_approvals(approved: DataFrame, unmatched_bank: DataFrame, unmatched_le
     return done, *rest
 
 
-def review_table(routed: DataFrame, used: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """What reviewers see: open candidates without used members, earlier marks and notes kept by signature."""
-    rows = routed.where("status not in ('accepted', 'manual')")
+def review_table(routed: DataFrame, used: DataFrame, bank: DataFrame, ledger: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """What reviewers see, 22 columns: open candidates without used members, earlier marks and notes kept by signature.
+
+    ``approve`` is the reviewer's earlier mark, else 1 or 0 as the outside decision says.
+    """
+    from .candidates import counterparty_consistency
+
+    rows = materialise(routed.where("status not in ('accepted', 'manual')"), "review")
     for side, ids in (("bank", "banks"), ("ledger", "ledgers")):
         bad = rows.select("candidate_signature", F.explode(ids).alias("id")).join(used.where(F.col("side") == side), "id", "left_semi").select("candidate_signature").distinct()
         rows = rows.join(bad, "candidate_signature", "left_anti")
-    marks = ["manual_approve", "manual_note"]
-    if previous is not None:
-        rows = rows.drop(*marks).join(previous.select("candidate_signature", *marks).dropDuplicates(["candidate_signature"]), "candidate_signature", "left")
-    return rows.select(*marks, "status", "candidate_id", "candidate_signature", "match_type", "llm_approve", "llm_confidence", "llm_reason", "period_start", "period_end", F.date_diff("period_end", "period_start").alias("date_span_days"),
-        F.size("banks").alias("bank_count"), F.size("ledgers").alias("ledger_count"), "bank_cents", "ledger_cents", F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"))
+    marks = ["approve", "manual_note"]
+    blank = [F.lit("").alias(m) for m in marks]
+    kept = rows.select("candidate_signature", *blank).where("false") if previous is None else previous.select("candidate_signature", *marks).dropDuplicates(["candidate_signature"])
+    lines = [review_lines(rows, d, ids).withColumnRenamed("lines", f"{name}_summary") for d, ids, name in ((bank, "banks", "bank"), (ledger, "ledgers", "ledger"))]
+    share = counterparty_consistency(rows, bank).select("candidate_signature", "counterparty_consistency")
+    told = rows.drop(*marks).join(kept, "candidate_signature", "left").join(lines[0], "candidate_signature", "left").join(lines[1], "candidate_signature", "left").join(share, "candidate_signature", "left")
+    decided = F.when(F.col("llm_approve"), "1").when(~F.col("llm_approve"), "0").otherwise("")
+    reason = F.col("review_reason") if "review_reason" in rows.columns else F.lit("")
+    return told.select(
+        F.coalesce(F.nullif("approve", F.lit("")), decided).alias("approve"), F.coalesce("manual_note", F.lit("")).alias("manual_note"), "status", "candidate_id", "candidate_signature", "match_type", reason.alias("review_reason"),
+        "llm_approve", "llm_confidence", "llm_reason", "period_start", "period_end", F.date_diff("period_end", "period_start").alias("date_span_days"), "counterparty_consistency",
+        F.size("banks").alias("bank_count"), F.size("ledgers").alias("ledger_count"), F.round(F.col("bank_cents") / 100, 2).alias("bank_total"), F.round(F.col("ledger_cents") / 100, 2).alias("ledger_total"),
+        F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"), "bank_summary", "ledger_summary",
+    )
 
 
 def payload(candidates: DataFrame, bank: DataFrame, ledger: DataFrame, longest: int = 80) -> DataFrame:

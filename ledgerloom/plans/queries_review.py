@@ -173,16 +173,22 @@ def routed(spark, d):
     return _routed(spark, d).select("candidate_signature", "status")
 
 
-@query(_STATUS + " SELECT status, count(*) AS n FROM routed GROUP BY status")
+@query(_STATUS + """ SELECT count(*) AS candidates_built, count(*) AS candidates_llm_review, count(*) FILTER (WHERE decided) AS llm_candidates_evaluated, count(*) FILTER (WHERE decided AND ok) AS llm_approved,
+    count(*) FILTER (WHERE status = 'accepted') AS accepted_matches, count(*) FILTER (WHERE status = 'manual') AS manual_approved, count(*) FILTER (WHERE status = 'needs_review_llm_rejected') AS llm_rejected, count(*) FILTER (WHERE status = 'needs_review_low_confidence') AS llm_low_confidence,
+    count(*) FILTER (WHERE status = 'needs_review_no_llm_decision') AS llm_no_decision, 0::BIGINT AS blocked, 0::BIGINT AS needs_amount_approval, count(*) FILTER (WHERE status NOT IN ('accepted', 'manual')) AS pending_review FROM routed""")
 def candidate_stats(spark, d):
     return review.candidate_stats(_routed(spark, d))
 
 
-@query(_STATUS + " SELECT candidate_signature, status, bank AS bank_ids, ledger AS ledger_ids FROM routed WHERE status NOT IN ('accepted', 'manual')")
+@query(_STATUS + """ SELECT CASE WHEN NOT decided THEN '' WHEN ok THEN '1' ELSE '0' END AS approve, '' AS manual_note, status, '' AS candidate_id, candidate_signature, 'one_to_one' AS match_type, '' AS review_reason, CASE WHEN decided THEN ok END AS llm_approve, CASE WHEN decided THEN conf END AS llm_confidence, CASE WHEN decided THEN '' END AS llm_reason,
+    least(b.transaction_date, l.transaction_date) AS period_start, greatest(b.transaction_date, l.transaction_date) AS period_end, CAST(abs(b.transaction_date - l.transaction_date) AS INT) AS date_span_days, 1.0::DOUBLE AS counterparty_consistency, 1 AS bank_count, 1 AS ledger_count,
+    round(bank_cents / 100.0::DOUBLE, 2) AS bank_total, round(ledger_cents / 100.0::DOUBLE, 2) AS ledger_total, r.bank AS bank_ids, r.ledger AS ledger_ids,
+    concat_ws(' | ', b.txn_id, strftime(b.transaction_date, '%Y-%m-%d'), b.flow, format('{:.2f}', b.amount_cents / 100), b.counterparty_name) AS bank_summary, concat_ws(' | ', l.entry_id, strftime(l.transaction_date, '%Y-%m-%d'), l.flow, format('{:.2f}', l.amount_cents / 100), l.counterparty_name, nullif(l.summary, '')) AS ledger_summary
+    FROM routed r JOIN bank b ON b.txn_id = r.bank JOIN ledger l ON l.entry_id = r.ledger WHERE status NOT IN ('accepted', 'manual')""")
 def review_table(spark, d):
     none = spark.createDataFrame([], "side string, id string")
-    out = review.review_table(_routed(spark, d).withColumn("candidate_id", F.lit("")), none)
-    return out.select("candidate_signature", "status", "bank_ids", "ledger_ids")
+    rows = _routed(spark, d).withColumn("candidate_id", F.lit(""))
+    return review.review_table(rows, none, *_records(spark, d, DENSE)).withColumn("llm_confidence", F.round("llm_confidence", 6))
 
 
 @query()
@@ -206,12 +212,19 @@ def payload_json(spark, d):
 
 @query()
 def unmatched_after_match(spark, d):
-    from ..operators.matching import match_transactions, unused
+    """Rows of the bank table that no match has; one in 13 has no amount and never became a record."""
+    from ..operators.matching import match_transactions, unmatched_rows
 
-    bank, ledger = _records(spark, d)
-    return unused(bank, match_transactions(bank, ledger), "banks").select("id", "account", "day", "flow", "cents")
+    bank, ledger = view(spark, d, "bank").withColumn("amount_cents", F.when(F.col("ord") % 13 != 0, F.col("amount_cents"))), view(spark, d, "ledger")
+    return unmatched_rows(bank, match_transactions(pairs.to_records(bank, "bank"), pairs.to_records(ledger, "ledger")), "banks", "txn_id")
 
 
+@query()
+def match_report(spark, d):
+    from ..operators.matching import match_report as report, match_transactions
+
+    bank, ledger = view(spark, d, "bank"), view(spark, d, "ledger")
+    return report(match_transactions(pairs.to_records(bank, "bank"), pairs.to_records(ledger, "ledger")), bank, ledger)
 
 
 @query(_CAND + " SELECT candidate_signature, concat_ws(' | ', b.txn_id, strftime(b.transaction_date, '%Y-%m-%d'), b.flow, format('{:.2f}', b.amount_cents / 100), b.counterparty_name) AS lines FROM c JOIN bank b ON b.txn_id = c.bank")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import text
+from ..functions.scalars import month_from_filename, month_from_path, text
 
 EXTENSIONS = ("xlsx", "xls", "xlsm", "csv")
 
@@ -28,19 +30,65 @@ def standard_name(header: str) -> str:
     return header.lstrip("﻿").strip().lower().replace(" ", "_")
 
 
-def read_settlement_csv(spark: SparkSession, files: list[str], encoding: str = "utf-8") -> DataFrame:
-    """CSV files with differing headers as one table: one read per header, names in lower case with _, cells trimmed,
-    nan and None blank, and the file in ``source_file``. Only first lines pass the driver."""
-    by_header: dict[str, list[str]] = defaultdict(list)
-    heads = spark.read.text(files, wholetext=False).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k"), "value").groupBy("f").agg(F.min_by("value", "k").alias("head")).collect()
-    for r in heads:
-        by_header[r["head"]].append(r["f"])
+# Encodings in the order in which they are tried, with Spark's names for those that its reader knows.
+ENCODINGS = {"utf-8": "UTF-8", "gbk": None, "gb18030": None, "latin-1": "ISO-8859-1"}
+
+
+def probe_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Per file: path, encoding (the first that reads the whole file) and the first line. Each file is one task's row."""
+
+    @F.pandas_udf("struct<encoding:string,head:string>")
+    def probed(contents: pd.Series) -> pd.DataFrame:
+        def one(raw: bytes) -> tuple[str, str]:
+            for name in ENCODINGS:
+                try:
+                    raw.decode(name)
+                except UnicodeDecodeError:
+                    continue
+                return name, raw.split(b"\n", 1)[0].decode(name).strip("\r")
+            return "latin-1", ""
+
+        return pd.DataFrame([one(bytes(c)) for c in contents], columns=["encoding", "head"])
+
+    found = spark.read.format("binaryFile").load(files)
+    return found.select("path", probed("content").alias("p")).select("path", "p.encoding", "p.head")
+
+
+def _csv(spark: SparkSession, paths: list[str], encoding: str, head: str) -> DataFrame:
+    """Files with one header and encoding; files that Spark's reader cannot decode are decoded whole, each by one task."""
+    if ENCODINGS[encoding]:
+        return spark.read.option("encoding", ENCODINGS[encoding]).csv(paths, header=True)
+    names = next(csv.reader([head]))
+    names = [n if n not in names[:k] else f"{n}{k}" for k, n in enumerate(names)]
+    schema = ", ".join(f"`{n}` string" for n in names)
+
+    @F.pandas_udf("array<string>")
+    def lines(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda raw: [line.strip("\r") for line in bytes(raw).decode(encoding).split("\n")[1:] if line.strip()])
+
+    rows = spark.read.format("binaryFile").load(paths).select("_metadata", F.explode(lines("content")).alias("line"))
+    return rows.select("_metadata", F.from_csv("line", schema).alias("r")).select("_metadata", "r.*")
+
+
+def read_settlement_csv(spark: SparkSession, files: list[str]) -> DataFrame:
+    """CSV files with differing headers and encodings as one table: one read for each of these, names in lower case with _,
+    cells trimmed, nan and None blank, and the file in ``source_file`` and ``source_path``. Only first lines pass the driver."""
+    alike: dict[tuple[str, str], list[str]] = defaultdict(list)
+    for r in probe_files(spark, files).collect():  # a row a file
+        alike[r["encoding"], r["head"]].append(r["path"])
     frames = []
-    for paths in by_header.values():
-        raw = spark.read.option("encoding", encoding).csv(paths, header=True)
+    for (encoding, head), paths in sorted(alike.items()):
+        if not head.strip("\ufeff \t,"):
+            continue  # nothing to name the columns by
+        raw = _csv(spark, paths, encoding, head)
         clean = lambda c: F.when(text(f"`{c}`").isin("nan", "None"), "").otherwise(text(f"`{c}`"))
-        source = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file")
-        frames.append(raw.select(*[clean(c).alias(standard_name(c)) for c in raw.columns], source))
+        path = F.col("_metadata.file_path")
+        named: dict[str, str] = {}
+        for c, name in zip([c for c in raw.columns if c != "_metadata"], next(csv.reader([head]))):  # readers number repeated names; the first one holds
+            named.setdefault(standard_name(name), c)
+        frames.append(raw.select(*[clean(c).alias(n) for n, c in named.items()], F.element_at(F.split(path, "/"), -1).alias("source_file"), path.alias("source_path")))
+    if not frames:
+        return spark.createDataFrame([], "source_file string, source_path string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -62,13 +110,26 @@ def write_result(df: DataFrame, path: str, kind: str = "parquet", by: str | None
     out.parquet(path) if kind == "parquet" else out.option("header", True).csv(path)
 
 
-def file_index(rows: DataFrame, listing: DataFrame) -> DataFrame:
-    """Per file: month, type and rows; files without rows have 0."""
-    counts = rows.groupBy("source_file", "month", "type").agg(F.count(F.lit(1)).alias("n"))
-    return listing.select(F.col("name").alias("source_file")).distinct().join(counts, "source_file", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def file_index(rows: DataFrame, probes: DataFrame, default_year: int = 2022) -> DataFrame:
+    """Per file: month told by its path, type told by its columns, rows, and an error where there is nothing to read.
+
+    ``rows`` have source_path; ``probes`` (path, head) come from :func:`probe_files`.
+    """
+    from ..operators.layout import settlement_class
+
+    counts = rows.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    names = F.transform(F.split(F.regexp_replace("head", "\ufeff", ""), ","), lambda c: F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_")))
+    told = probes.join(counts, "path", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "header": names})
+    blank = F.trim(F.regexp_replace("head", "\ufeff", "")) == ""
+    kind = F.when(blank, "error").otherwise(settlement_class("header", "n"))
+    return told.select("path", month_from_path("path", default_year).alias("month"), kind.alias("type"), "n", F.when(blank, "no header").otherwise("").alias("error"))
 
 
-def sheet_index(rows: DataFrame) -> DataFrame:
+def sheet_index(rows: DataFrame, sheets: DataFrame, default_year: int = 2022) -> DataFrame:
+    """Per sheet of ``sheets`` (source_file, source_sheet): kind told by its name, month told by the file's, and the rows taken from it."""
     from ..operators.layout import sheet_class
 
-    return rows.groupBy("source_file", "source_sheet").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", sheet_class("source_sheet"))
+    key = ["source_file", "source_sheet"]
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    told = sheets.select(*key).distinct().join(counts, key, "left")
+    return told.select(*key, sheet_class("source_sheet").alias("kind"), month_from_filename("source_file", default_year).alias("month"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -53,11 +53,37 @@ def test_rename_first_wins(spark):
 
 def test_csv_family(spark, tmp_path):
     (tmp_path / "09-22").mkdir()
-    (tmp_path / "09-22" / "a.csv").write_text("Partner Transaction Id,Amount\n1, 5 \n2,nan\n")
-    (tmp_path / "b.csv").write_text("Amount,Fee\n7,1\n")
+    (tmp_path / "09-22" / "a.csv").write_text("\ufeffPartner Transaction Id,Amount,Remarks\n1, 5 ,数据\n2,nan,\n")
+    (tmp_path / "b.csv").write_text("Amount,Fee,amount\n7,1,9\n")
+    (tmp_path / "c.csv").write_bytes("Settle Batch No,备注\n3,货款\n".encode("gbk"))
+    (tmp_path / "d.csv").write_bytes(b"Amount,Remarks\n4,\x80\xff\n")
+    (tmp_path / "e.csv").write_text("\n")
     listed = files.list_inputs(spark, str(tmp_path))
-    assert sorted((r["name"], r["top"]) for r in listed.collect()) == [("a.csv", "09-22"), ("b.csv", "")]
-    table = files.read_settlement_csv(spark, [r["path"] for r in listed.collect()])
-    got = sorted((r["source_file"], r["partner_transaction_id"], r["amount"], r["fee"]) for r in table.collect())
-    assert got == sorted([("a.csv", "1", "5", None), ("a.csv", "2", "", None), ("b.csv", None, "7", "1")])
+    assert sorted((r["name"], r["top"]) for r in listed.collect()) == [("a.csv", "09-22"), ("b.csv", ""), ("c.csv", ""), ("d.csv", ""), ("e.csv", "")]
+    paths = [r["path"] for r in listed.collect()]
+    table = files.read_settlement_csv(spark, paths)
+    got = sorted((r["source_file"], r["partner_transaction_id"], r["amount"], r["fee"], r["remarks"], r["备注"]) for r in table.collect())
+    assert got == [("a.csv", "1", "5", None, "数据", None), ("a.csv", "2", "", None, "", None), ("b.csv", None, "7", "1", None, None), ("c.csv", None, None, None, None, "货款"), ("d.csv", None, "4", None, "\x80ÿ", None)]
+    index = {r["path"][-5:]: (r["month"], r["type"], r["n"], r["error"]) for r in files.file_index(table, files.probe_files(spark, paths)).collect()}
+    assert index == {"a.csv": ("2022-09", "transaction", 2, ""), "b.csv": ("unknown", "unknown", 1, ""), "c.csv": ("unknown", "batch", 1, ""), "d.csv": ("unknown", "unknown", 1, ""), "e.csv": ("unknown", "error", 0, "no header")}
     assert files.load_clean(spark, str(tmp_path / "none"), "a string").count() == 0
+    rows = spark.createDataFrame([("4月.xlsx", "Sellout"), ("4月.xlsx", "Sellout")], "source_file string, source_sheet string")
+    sheets = spark.createDataFrame([("4月.xlsx", "Sellout"), ("4月.xlsx", "Recap")], "source_file string, source_sheet string")
+    assert sorted(map(tuple, files.sheet_index(rows, sheets).collect())) == [("4月.xlsx", "Recap", "skip", "2022-04", 0), ("4月.xlsx", "Sellout", "sellout", "2022-04", 2)]
+    out = str(tmp_path / "out")
+    files.write_result(rows, out, "csv")
+    assert files.load_clean(spark, out, "source_file string, source_sheet string").count() == 2
+
+
+def test_layouts_of_users(spark):
+    import pandas as pd
+
+    cells = spark.createDataFrame([("s", "f", "t", k, ["2022-01-0" + str(k), "5"]) for k in (1, 2)], "source_id string, source_file string, source_sheet string, row_no int, cells array<string>")
+    cleaning.register_layout("abc", lambda group: pd.DataFrame({"row_no": group["row_no"], "amount": [c[1] for c in group["cells"]]}))
+    parsed = cleaning.apply_layout(cells, "abc", "row_no int, amount string").withColumns({"source_sheet": F.lit("t"), "source_file": F.lit("f")})
+    done = cleaning.finish_layout(parsed, ["txn_id", "amount", "bank_name", "account_no", "source_id"], "s", "f", "txn_id", bank_name="Bank")
+    assert sorted((r["txn_id"], r["amount"], r["bank_name"], r["account_no"]) for r in done.collect()) == [("s_f_t_1", "5", "Bank", ""), ("s_f_t_2", "5", "Bank", "")]
+    assert quality.schema_differences(done, ["txn_id", "other"]) == (["other"], [c for c in done.columns if c != "txn_id"])
+    shown = cleaning.display_table(done.withColumn("flow", F.lit("in")), {"flow": "方向", "amount": "金额"})
+    assert shown.columns == ["方向", "金额"] and {r[0] for r in shown.collect()} == {"收入"}
+    assert not cleaning.may_fill(done, done.where("false")) and cleaning.may_fill(done.where("false"), done.where("false")) and cleaning.may_fill(done, done, False)
