@@ -196,7 +196,7 @@ def _records(spark, d, cents=SPARSE):
 
 
 def _sql_pairs(cents: str, flow: str = "b.flow = l.flow", account: str = "(b.account_no = l.account_no OR b.account_no = '' OR l.account_no = '')", days: int = 30, entries: str = "true") -> str:
-    return ctes("bank", "ledger", cents=cents) + f""", e AS (SELECT b.txn_id AS bank, l.entry_id AS ledger, CAST(abs(b.transaction_date - l.transaction_date) AS INT) AS day_diff, abs(b.amount_cents - l.amount_cents) AS cent_diff, b.counterparty_name AS bn, l.counterparty_name AS ln, b.ord AS b_ord, l.ord AS l_ord
+    return ctes("bank", "ledger", cents=cents) + f""", e AS (SELECT b.txn_id AS bank, l.entry_id AS ledger, CAST(abs(b.transaction_date - l.transaction_date) AS INT) AS day_diff, abs(b.amount_cents - l.amount_cents) AS cent_diff, b.counterparty_name AS bn, l.counterparty_name AS ln, concat_ws('|', l.counterparty_name, nullif(l.summary, ''), nullif(l.subject, '')) AS said, b.ord AS b_ord, l.ord AS l_ord
         FROM bank b JOIN ledger l ON strftime(b.transaction_date, '%Y-%m') = strftime(l.transaction_date, '%Y-%m') AND {flow} AND l.amount_cents BETWEEN b.amount_cents - 1 AND b.amount_cents + 1
         WHERE {account} AND abs(b.transaction_date - l.transaction_date) <= {days} AND {entries})"""
 
@@ -213,42 +213,55 @@ def transfer_candidates(spark, d):
     return pairs.pair_candidates(bank, entries, 1, 3, inverted=True).select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "day_diff", "cent_diff")
 
 
-@query(_sql_pairs(DENSE, entries="l.summary = ''") + " SELECT bank, ledger, round(0.52::DOUBLE * (1 - cent_diff / 2.0::DOUBLE) + 0.25::DOUBLE * (1 - day_diff / 31.0::DOUBLE) + 0.23::DOUBLE * (bn = ln)::INT, 4) AS score FROM e")
-def pair_scores(spark, d):
-    bank, ledger = _records(spark, d, DENSE)
-    out = pairs.scored(pairs.pair_candidates(bank, ledger.where("summary = ''")))
-    return out.select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "score")
+#: Bank texts are six times one letter: of an entry's text the same name is common, and nothing of another one.
+ALIKE = "CASE WHEN bn = ln THEN 2.0::DOUBLE * length(bn) / (length(bn) + length(said)) ELSE 0.0::DOUBLE END"
+_SCORES = _sql_pairs(DENSE) + f" SELECT bank, ledger, round(0.52::DOUBLE * (1 - cent_diff / 2.0::DOUBLE) + 0.25::DOUBLE * (1 - day_diff / 31.0::DOUBLE) + 0.23::DOUBLE * {ALIKE}, 4) AS score FROM e"
 
 
-@query()
-def pair_scores_all(spark, d):
-    """As pair_scores, with the entries that have a summary."""
+def _pair_scores(spark, d):
     out = pairs.scored(pairs.pair_candidates(*_records(spark, d, DENSE)))
     return out.select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "score")
 
 
+@query(_SCORES)
+def pair_scores(spark, d):
+    return _pair_scores(spark, d)
+
+
+@query(_SCORES)
+def pair_scores_all(spark, d):
+    """The same under its earlier name."""
+    return _pair_scores(spark, d)
+
+
 @query()
 def one_to_one(spark, d):
     return pairs.one_to_one(*_records(spark, d, DENSE))
 
 
-_DAILY = """, bb AS (SELECT transaction_date AS day, flow, account_no, count(*) AS nb, sum(amount_cents) AS sb, list(txn_id ORDER BY ord) AS banks FROM bank GROUP BY ALL), ll AS (SELECT transaction_date AS day, flow, account_no, count(*) AS nl, sum(amount_cents) AS sl, list(entry_id ORDER BY ord) AS ledgers FROM near GROUP BY ALL)
-    SELECT array_to_string(banks, '|') AS bank_ids, array_to_string(ledgers, '|') AS ledger_ids FROM bb JOIN ll USING (day, flow, account_no) WHERE nb > 1 AND nl > 1 AND abs(sb - sl) <= 1 AND account_no <> ''"""
+_DAILY = ctes("bank", "day_ledger") + """, near AS (SELECT * FROM day_ledger), open AS (SELECT DISTINCT transaction_date AS day, flow FROM bank WHERE account_no = ''),
+    wb AS (SELECT transaction_date AS day, flow, count(*) AS nb, sum(amount_cents) AS sb, list(txn_id ORDER BY ord) AS banks FROM bank GROUP BY ALL), wl AS (SELECT transaction_date AS day, flow, count(*) AS nl, sum(amount_cents) AS sl, list(entry_id ORDER BY ord) AS ledgers FROM near GROUP BY ALL),
+    w AS (SELECT * FROM wb JOIN wl USING (day, flow) JOIN open USING (day, flow) WHERE nb > 1 AND nl > 1 AND abs(sb - sl) <= 1),
+    bb AS (SELECT transaction_date AS day, flow, account_no, count(*) AS nb, sum(amount_cents) AS sb, list(txn_id ORDER BY ord) AS banks FROM bank WHERE account_no <> '' GROUP BY ALL), ll AS (SELECT transaction_date AS day, flow, account_no, count(*) AS nl, sum(amount_cents) AS sl, list(entry_id ORDER BY ord) AS ledgers FROM near GROUP BY ALL),
+    g AS (SELECT banks, ledgers FROM w UNION ALL SELECT banks, ledgers FROM bb JOIN ll USING (day, flow, account_no) ANTI JOIN w USING (day, flow) WHERE nb > 1 AND nl > 1 AND abs(sb - sl) <= 1)
+    SELECT array_to_string(banks, '|') AS bank_ids, array_to_string(ledgers, '|') AS ledger_ids FROM g"""
 
 
-@query(ctes("bank", "day_ledger") + ", near AS (SELECT * FROM day_ledger)" + _DAILY)
-def daily_many_to_many(spark, d):
+def _daily(spark, d):
     bank, _ = _records(spark, d)
-    out = matching.daily_many_to_many(bank.where("account <> ''"), pairs.to_records(view(spark, d, "day_ledger"), "ledger"))
+    out = matching.daily_many_to_many(bank, pairs.to_records(view(spark, d, "day_ledger"), "ledger"))
     return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"))
 
 
-@query()
+@query(_DAILY)
+def daily_many_to_many(spark, d):
+    return _daily(spark, d)
+
+
+@query(_DAILY)
 def daily_many_to_many_all(spark, d):
-    """As daily_many_to_many, with the bank rows whose account is blank."""
-    bank, _ = _records(spark, d)
-    out = matching.daily_many_to_many(bank, pairs.to_records(view(spark, d, "day_ledger"), "ledger"))
-    return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"))
+    """The same under its earlier name."""
+    return _daily(spark, d)
 
 
 @query()

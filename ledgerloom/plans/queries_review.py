@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates, pairs, review
 from .bindings import DENSE, ctes, view
-from .queries import _records, _sql_pairs, query
+from .queries import ALIKE, _records, _sql_pairs, query
 
 
 def _days(spark, d):
@@ -38,7 +38,7 @@ def _made(spark, d):
     return signed, decisions, manual
 
 
-_CAND = _sql_pairs(DENSE, days=45) + """, r AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY b_ord) AS k FROM e), c AS (SELECT 'one_to_one:' || bank || ':' || ledger AS candidate_signature, r.bank, r.ledger, b.amount_cents AS bank_cents, l.amount_cents AS ledger_cents, CAST(floor((b.amount_cents / 200000.0) % 7) AS INT) AS m
+_CAND = _sql_pairs(DENSE, days=45) + """, r AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY b_ord) AS k FROM e), c AS (SELECT 'one_to_one:' || bank || ':' || ledger AS candidate_signature, r.bank, r.ledger, b.amount_cents AS bank_cents, l.amount_cents AS ledger_cents, CAST(floor((b.amount_cents / 200000.0) % 7) AS INT) AS m, bn, ln, said, r.cent_diff
     FROM r JOIN bank b ON b.txn_id = r.bank JOIN ledger l ON l.entry_id = r.ledger WHERE k <= 8)"""
 
 
@@ -121,9 +121,11 @@ def cand_overlap(spark, d):
     return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"), "duplicate_info")
 
 
-@query()
+@query(_CAND + f""", s AS (SELECT bank, ledger, round(0.7::DOUBLE * (cent_diff <= 1)::INT + 0.3::DOUBLE * {ALIKE}, 4) AS score, abs(bank_cents - ledger_cents) AS apart FROM c), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, apart, bank, ledger) AS k FROM s)
+    SELECT 'C' || lpad(CAST(k AS VARCHAR), 5, '0') AS candidate_id, bank AS bank_ids, ledger AS ledger_ids, score FROM o WHERE k <= 160""")
 def cand_ranked(spark, d):
-    return candidates.ranked(_made(spark, d)[0])
+    out = candidates.ranked(_made(spark, d)[0])
+    return out.select("candidate_id", F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"), "score")
 
 
 @query()
