@@ -212,6 +212,7 @@ def test_personal_data_base(spark):
     rng = random.Random(7)
     bits = ["a@b.cd", "_x@y.zz", "1.2.3.4", "999.1.1.1", ".5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (456) 555-2186", "+", " ", "é", "😀", "12", "@", "mail: ", "-", "00000255.0.0.1", "call "]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 14))) for _ in range(150)] + ["a" * 50000 + "@", "1" * 30000, "+1" + " " * 30000]
+    texts[:2] = [" ".join(f"é user{k}@mail.example.com" for k in range(200)), "1.2.3.4 " * 129]  # more than a block, and just over two
     got = {r["doc_id"]: r for r in pii.personal_data(_docs(spark, texts)).collect()}
     for k, t in enumerate(texts[:150]):
         said = ",".join(f"{n}:{m.start()}:{m.end()}" for n, p, ok in kinds for m in re.finditer(p, t) if ok(m[0]))
@@ -416,3 +417,35 @@ def test_window_gains():
     held = zstandard.ZstdCompressionDict(toxic, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     assert zstandard.ZstdDecompressor(dict_data=held).decompress(frame, max_output_size=100) == toxicity.window("idiot")
     assert distance.features("") == distance.features("  ")
+
+
+def test_language_by_plain_counts():
+    """Features are roots of trigram counts; a family, then a language wins by the odds of all its machines."""
+    import math
+
+    for text in ("Ab", "the thing, the THING!", "é" * 40):
+        b = text.lower().encode()
+        b = b + b" " * (3 - len(b)) if len(b) < 3 else b
+        want = np.zeros(lang_id.FEATURES)
+        for x, y, z in zip(b, b[1:], b[2:]):
+            h = (x * 0x9E3779B1 % 2**32) ^ (y * 0x85EBCA77 % 2**32) ^ (z * 0xC2B2AE3D % 2**32)
+            want[(h >> 7) % lang_id.FEATURES] += 1
+        want = np.sqrt(want) / np.sqrt(want.sum())
+        assert np.allclose(lang_id.features_of(text), want, atol=1e-6)
+    rng = np.random.default_rng(25)
+    families, pairs = lang_id._pairs(["en", "de", "fr", "es", "xx"])
+    machines = {k: (rng.standard_normal(lang_id.FEATURES + 1).astype(np.float32), 2.0) for k in pairs}
+    model = lang_id.Model(families, machines)
+    text = "a text to judge"
+    odds = {k: 2.0 * float(w[:-1] @ lang_id.features_of(text) + w[-1]) for k, (w, _) in machines.items()}
+
+    def shares(level, names):
+        said = {n: math.prod(1 / (1 + math.exp(-odds[level, n, m])) if (level, n, m) in odds else 1 / (1 + math.exp(odds[level, m, n])) for m in names if m != n) for n in names}
+        return {n: v / sum(said.values()) for n, v in said.items()}
+
+    by_family = shares("family", list(families))
+    family = max(by_family, key=by_family.get)
+    by_language = shares("language", families[family])
+    language = max(by_language, key=by_language.get)
+    got = model.predict(text)
+    assert got[:2] == (language, family) and abs(got[2] - by_family[family] * by_language[language]) < 1e-5
