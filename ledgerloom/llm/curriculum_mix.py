@@ -94,11 +94,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix(docs, id_col, text_col, source_col, schedules=schedules, **options)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     plan = plan.where("taken > 0").withColumn("copies", copies).where("copies > 0")
-    # Rows that share id and text are told apart by a number: which of them takes which turn makes no difference.
+    # Rows that share id and text, few or none, are told apart by a number: which of them takes which turn makes no difference.
     turn = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("start", "copies"))
-    plan = plan.withColumn("turn", turn).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "turn", "copies", "start", "words", "source_size", "kind")])
+    plan = materialise(plan.withColumn("turn", turn).select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "turn", "copies", "start", "words", "source_size", "kind")]), "op9-plan")
+    repeats = materialise(plan.where("_turn = 2").select(F.col("_doc_id").alias("_id"), F.col("_text_hash").alias("_hash")), "op9-repeats")
     rows = wrapped(docs, id=F.col(id_col), hash=F.xxhash64(F.col(text_col)))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id")))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    told = rows.join(repeats, same, "left_semi").withColumn("turn", F.row_number().over(Window.partitionBy("id", "hash").orderBy("id")))
+    rows = rows.join(repeats, same, "left_anti").withColumn("turn", F.lit(1)).unionByName(told)
     rows = rows.join(plan, F.col("id").eqNullSafe(F.col("_doc_id")) & (F.col("hash") == F.col("_text_hash")) & (F.col("turn") == F.col("_turn")))
     rows = rows.withColumn("_reading", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = (F.col("_start") + F.col("_reading") * F.col("_source_size")) / F.col("_words")
