@@ -165,6 +165,9 @@ def _named_groups(anchors: DataFrame, others: DataFrame, taken: DataFrame, toler
         pool, used, known, out = [r for r in ordered if not r.anchors], set(), {}, []
         for a in (r for r in ordered if r.anchors):
             near = [o for o in pool if o.id not in used and abs(o.day - a.day) <= days and not (o.at < a.ord)]
+            small = sorted(o.cents for o in near if o.cents <= a.cents + tolerance)[-most:]
+            if len(small) < 2 or sum(small) < a.cents - tolerance:
+                continue  # no subset whatever the ranks
             found = _first_group(a, _ranked(a, near, tolerance, days, pool_limit, known), tolerance, days, most, banks_first)
             if found:
                 out.append(found)
