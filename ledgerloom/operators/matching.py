@@ -203,28 +203,35 @@ def _anchored(anchors: DataFrame, others: DataFrame, strict: bool, banks_first:
     """Each anchor in order against its first subset of unused others, as going through all anchors one by one would find them.
 
     Accounts do not touch but for rows without an account. What those take, or are taken by, is told to the others with
-    its place in the order, and all is found again until nothing changes: the first anchors are right from the start,
-    those that depend on them in the next round, and so on. No group is larger than an account's month.
+    its place in the order, and the months that it concerns are done again until nothing changes: the first anchors are
+    right from the start, those that depend on them in the next round, and so on. No group is larger than an account's month.
     """
     if not strict:
         anchors, others = (d.withColumn("account", F.lit("any")) for d in (anchors, others))
     anchors, others = materialise(anchors, "anchors"), materialise(others, "others")
     accounts = anchors.select(F.col("id").alias("anchor"), F.col("account").alias("by"))
-    free = others.where("account = ''").select("id")
-    taken = materialise(anchors.sparkSession.createDataFrame([], "id string, anchor string, by string, at long"), "taken")
-    said = None
-    lonely = anchors.where("account = ''").isEmpty() and free.isEmpty()
+    month = ["month", "flow"]
+    shared = anchors.where("account = ''").select(*month).unionByName(others.where("account = ''").select(*month)).distinct()
+    contested = materialise(others.join(shared, month, "left_semi").select("id", *month), "contested")
+    lonely = contested.isEmpty()
+    taken = anchors.sparkSession.createDataFrame([], "id string, anchor string, by string, at long")
+    now, found = anchors, None
     while True:
-        found = _named_groups(anchors, others, taken, *limits, banks_first)
+        new = _named_groups(now, others, taken, *limits, banks_first)
         if not lonely:
-            found = found.unionByName(_free_groups(anchors, others, taken, *limits, banks_first))
-        found = materialise(found, "found")
-        state = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("anchor", "members").cast("decimal(38,0)"))).first()
-        if lonely or state == said:
+            new = new.unionByName(_free_groups(now, others, taken, *limits, banks_first))
+        if found is not None:
+            new = new.unionByName(found.join(now.select(F.col("id").alias("anchor")), "anchor", "left_anti"))
+        found = materialise(new, "found")
+        if lonely:
             return found
-        said = state
         members = found.join(accounts, "anchor").select(F.explode("members").alias("id"), "anchor", "by", F.col("ord").alias("at"))
-        taken = materialise(members, "taken")
+        told = materialise(members.join(contested, "id", "left_semi"), "taken")
+        changed = told.exceptAll(taken).unionByName(taken.exceptAll(told)).select("id")
+        now = materialise(anchors.join(contested.join(changed, "id", "left_semi").select(*month).distinct(), month, "left_semi"), "again")
+        if now.isEmpty():
+            return found
+        taken = told
 
 
 def group_passes(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30, strict: bool = True, most: int = GROUP_MAX, pool_limit: int = POOL, kinds: tuple[str, ...] = ("one_to_many", "many_to_one")) -> DataFrame:
