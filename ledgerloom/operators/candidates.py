@@ -34,7 +34,7 @@ def looks_grouped(said) -> Column:
 
 def _members(groups: DataFrame, records: DataFrame, ids: str) -> DataFrame:
     """Per group ``cid`` of one side: texts joined, first, last and mean day, rows, and the largest share of a counterparty."""
-    rows = groups.select("cid", F.posexplode(ids).alias("pos", "id")).join(records.select("id", "day", record_text().alias("said"), counterparty_key("counterparty_name", "summary").alias("cp")), "id")
+    rows = groups.select("cid", F.posexplode(ids).alias("pos", "id")).join(records.select("id", "day", record_text(records).alias("said"), counterparty_key("counterparty_name", "summary").alias("cp")), "id")
     told = F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"])
     out = rows.groupBy("cid").agg(
         join_unique_array(told).alias("said"), F.min("day").alias("first"), F.max("day").alias("last"), F.avg(F.unix_date("day")).alias("centre"), F.count(F.lit(1)).alias("n"), F.collect_list("cp").alias("cps"),
@@ -77,7 +77,7 @@ def exact_pairs(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window:
     """Same bucket, equal amounts, days within the entry's period and ``window``: the first ``most`` banks of each entry."""
     edges = _in_reach(pair_candidates(bank, _dated(ledger), tolerance, 31), window)
     ranked = edges.withColumn("_k", F.row_number().over(Window.partitionBy("l_id").orderBy("b_ord"))).where(F.col("_k") <= most)
-    said = text_similarity(record_text("b_"), record_text("l_"))
+    said = text_similarity(record_text(edges, "b_"), record_text(edges, "l_"))
     score = F.round(0.7 * (F.col("cent_diff") <= 1).cast("int") + 0.3 * said, 4)
     return ranked.select(
         F.lit("one_to_one").alias("match_type"), F.array("b_id").alias("banks"), F.array("l_id").alias("ledgers"), F.col("b_cents").alias("bank_cents"), F.col("l_cents").alias("ledger_cents"),
@@ -102,7 +102,7 @@ def _pools(bank: DataFrame, ledger: DataFrame, window: int = 45) -> DataFrame:
 
 
 def grouped_entries(ledger: DataFrame) -> DataFrame:
-    return ledger.where(looks_grouped(record_text()))
+    return ledger.where(looks_grouped(record_text(ledger)))
 
 
 def period_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 120) -> DataFrame:
@@ -141,7 +141,7 @@ def grouped_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, pool
     met = _pools(bank, grouped_entries(ledger))
     some = met.where("inside").select("l_id").distinct().withColumn("has", F.lit(True))
     met = met.join(some, "l_id", "left").where(F.col("inside") | F.col("has").isNull())
-    alike = met.withColumn("alike", text_similarity(record_text("b_"), record_text("l_")))
+    alike = met.withColumn("alike", text_similarity(record_text(met, "b_"), record_text(met, "l_")))
     order = [F.desc("alike"), F.abs(F.col("b_cents") - F.col("l_cents"))]
     return scored_groups(_first_subsets(alike, order, pool, tolerance, most, steps, "many_to_one"), bank, ledger, heuristic_score())
 
@@ -149,7 +149,7 @@ def grouped_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, pool
 def subset_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 90, pool: int = 32, most: int = 10, steps: int = 200_000) -> DataFrame:
     """Each entry against a subset of its ``pool`` smaller bank rows that are most alike, then nearest in time, then largest."""
     met = joined_by_bucket(bank, ledger, [("month", "month"), ("flow", "flow")]).withColumn("days", F.abs(F.date_diff("b_day", "l_day")))
-    met = met.where((F.col("days") <= window) & (F.col("b_cents") <= F.col("l_cents") + tolerance)).withColumn("alike", text_similarity(record_text("b_"), record_text("l_")))
+    met = met.where((F.col("days") <= window) & (F.col("b_cents") <= F.col("l_cents") + tolerance)).withColumn("alike", text_similarity(record_text(met, "b_"), record_text(met, "l_")))
     order = [F.desc("alike"), F.asc("days"), F.desc("b_cents")]
     return scored_groups(_first_subsets(met, order, pool, tolerance, most, steps, "amount_group_many_to_one"), bank, ledger, heuristic_score())
 

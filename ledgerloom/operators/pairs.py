@@ -39,9 +39,10 @@ def side_text(side: str, prefix: str = "") -> Column:
     return join_unique(*[F.col(f"{prefix}{c}") for c in ("counterparty_name", "summary", last)])
 
 
-def record_text(prefix: str = "") -> Column:
-    """All that a record says, each text once."""
-    return join_unique(*[F.col(prefix + c) for c in ("counterparty_name", "summary", "description", "subject", "voucher_no", "raw_text")])
+def record_text(records: DataFrame, prefix: str = "") -> Column:
+    """All that a record says, each text once, of the texts that the table has."""
+    told = (prefix + c for c in ("counterparty_name", "summary", "description", "subject", "voucher_no", "raw_text"))
+    return join_unique(*[F.col(c) for c in told if c in records.columns])
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
