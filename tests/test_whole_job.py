@@ -92,6 +92,8 @@ def test_all_candidates_hold_large_subsets(spark):
     bank = _some(spark, [(f"b{k:02}", "1", 1 + k, c, "Acme") for k, c in enumerate(amounts)] + [("far", "1", 28, 5, "Acme")])
     ledger = _some(spark, [("l", "1", 20, sum(amounts), "Acme")])
     all_of = tuple(f"b{k:02}" for k in range(15))
-    for summary, kind in (("", "manual_window_many_to_one"), ("批量", "grouped_many_to_one")):
-        rows = candidates.build_candidates(bank, ledger.withColumn("summary", F.lit(summary))).collect()
-        assert kind in {r["match_type"] for r in rows if tuple(sorted(r["banks"])) == all_of}
+    rows = candidates.build_candidates(bank, ledger).collect()
+    assert "manual_time_window_many_to_one" in {r["match_type"] for r in rows if tuple(sorted(r["banks"])) == all_of}
+    grouped = candidates.grouped_subsets(bank, ledger.withColumn("summary", F.lit("手续费"))).collect()
+    assert [(r["match_type"], tuple(sorted(r["banks"]))) for r in grouped] == [("many_to_one", all_of)]
+    assert candidates.grouped_subsets(bank, ledger).count() == 0
