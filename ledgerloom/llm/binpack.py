@@ -26,7 +26,7 @@ END_ID = 0
 LARGE = 1 / 8
 GROUPS = (64, 512, 4096)
 #: Words kept per worker with their ids, from task to task; when half are new, those not met since the last time go.
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
