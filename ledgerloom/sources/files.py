@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import csv
-from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import month_from_filename, month_from_path, text
+from ..operators.scratch import materialise
+from .records import BLOCK_BYTES, _decoded, _spread, block_records, blocks, parsed
 
 EXTENSIONS = ("xlsx", "xls", "xlsm", "csv")
 
@@ -30,66 +31,56 @@ def standard_name(header: str) -> str:
     return header.lstrip("﻿").strip().lower().replace(" ", "_")
 
 
-# Encodings in the order in which they are tried, with Spark's names for those that its reader knows.
-ENCODINGS = {"utf-8": "UTF-8", "gbk": None, "gb18030": None, "latin-1": "ISO-8859-1"}
-
-
-def probe_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Per file: path, encoding (the first that reads the whole file) and the first line. Each file is one task's row."""
-
-    @F.pandas_udf("struct<encoding:string,head:string>")
-    def probed(contents: pd.Series) -> pd.DataFrame:
-        def one(raw: bytes) -> tuple[str, str]:
-            for name in ENCODINGS:
-                try:
-                    raw.decode(name)
-                except UnicodeDecodeError:
-                    continue
-                return name, raw.split(b"\n", 1)[0].decode(name).strip("\r")
-            return "latin-1", ""
-
-        return pd.DataFrame([one(bytes(c)) for c in contents], columns=["encoding", "head"])
-
-    found = spark.read.format("binaryFile").load(files)
-    return found.select("path", probed("content").alias("p")).select("path", "p.encoding", "p.head")
-
-
-def _csv(spark: SparkSession, paths: list[str], encoding: str, head: str) -> DataFrame:
-    """Files with one header and encoding; files that Spark's reader cannot decode are decoded whole, each by one task."""
-    if ENCODINGS[encoding]:
-        return spark.read.option("encoding", ENCODINGS[encoding]).csv(paths, header=True)
-    names = next(csv.reader([head]))
-    names = [n if n not in names[:k] else f"{n}{k}" for k, n in enumerate(names)]
-    schema = ", ".join(f"`{n}` string" for n in names)
-
-    @F.pandas_udf("array<string>")
-    def lines(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda raw: [line.strip("\r") for line in bytes(raw).decode(encoding).split("\n")[1:] if line.strip()])
-
-    rows = spark.read.format("binaryFile").load(paths).select("_metadata", F.explode(lines("content")).alias("line"))
-    return rows.select("_metadata", F.from_csv("line", schema).alias("r")).select("_metadata", "r.*")
-
-
-def read_settlement_csv(spark: SparkSession, files: list[str]) -> DataFrame:
-    """CSV files with differing headers and encodings as one table: one read for each of these, names in lower case with _,
-    cells trimmed, nan and None blank, and the file in ``source_file`` and ``source_path``. Only first lines pass the driver."""
-    alike: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for r in probe_files(spark, files).collect():  # a row a file
-        alike[r["encoding"], r["head"]].append(r["path"])
-    frames = []
-    for (encoding, head), paths in sorted(alike.items()):
-        if not head.strip("\ufeff \t,"):
-            continue  # nothing to name the columns by
-        raw = _csv(spark, paths, encoding, head)
-        clean = lambda c: F.when(text(f"`{c}`").isin("nan", "None"), "").otherwise(text(f"`{c}`"))
-        path = F.col("_metadata.file_path")
-        named: dict[str, str] = {}
-        for c, name in zip([c for c in raw.columns if c != "_metadata"], next(csv.reader([head]))):  # readers number repeated names; the first one holds
-            named.setdefault(standard_name(name), c)
-        frames.append(raw.select(*[clean(c).alias(n) for n, c in named.items()], F.element_at(F.split(path, "/"), -1).alias("source_file"), path.alias("source_path")))
-    if not frames:
+def probe_files(spark: SparkSession, paths: list[str] | str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per file: path, encoding (the first that reads all of it), the first line, and the names in it. Empty files included."""
+    firsts = blocks(spark, paths, block_bytes=block_bytes).where("block = 0").select("path", "encoding", "head")
+
+    @F.pandas_udf("struct<head:string,names:array<string>>")
+    def told(heads: pd.Series, encodings: pd.Series) -> pd.DataFrame:
+        text = [_decoded(bytes(h).removeprefix(b"\xef\xbb\xbf"), e).strip("\r\n") for h, e in zip(heads, encodings)]
+        return pd.DataFrame({"head": text, "names": [(parsed(t) or [[]])[0] for t in text]})
+
+    return firsts.select("path", "encoding", told("head", "encoding").alias("t")).select("path", "encoding", "t.head", "t.names")
+
+
+def read_settlement_csv(spark: SparkSession, paths: list[str] | str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """CSV files with differing headers and encodings as one table: names in lower case with _, the first of repeated
+    names, cells trimmed, nan and None blank, and the file in ``source_file`` and ``source_path``.
+
+    Files and folders may hold any number of bytes: a file's encoding is that of all its blocks, line breaks within
+    quotes stay in their cells, and blank lines are no rows. Cells that a row lacks are blank, cells beyond the names are
+    left out, names that a file lacks are null. Only distinct headers pass the driver; files are read once for encodings
+    and quotes and once for their rows.
+    """
+    table = materialise(blocks(spark, paths, block_bytes=block_bytes), "csv")
+    headers = table.where("block = 0").select("encoding", "head").distinct().collect()  # a row for each kind of file
+    heads: dict[tuple[bytes, str], list[str]] = {}
+    for r in headers:
+        first = parsed(_decoded(bytes(r["head"] or b"").removeprefix(b"\xef\xbb\xbf"), r["encoding"]))
+        names = [standard_name(n) for n in first[0]] if first else []
+        if any(names):
+            heads[bytes(r["head"]), r["encoding"]] = names
+    union = sorted({n for names in heads.values() for n in names})
+    if not union:
         return spark.createDataFrame([], "source_file string, source_path string")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                names = heads.get((r["head"], r["encoding"]))
+                if names is None:
+                    continue  # nothing to name the columns by
+                found = block_records(r["path"], r["start"], r["end"], r["inside"], r["encoding"])
+                rows = [x for x in (found[1:] if r["start"] == 0 else found) if x]
+                place = {n: k for k, n in reversed(list(enumerate(names)))}
+                for low in range(0, len(rows), 10_000):
+                    part = rows[low : low + 10_000]
+                    told = [[x[place[n]] if place[n] < len(x) else "" for x in part] if n in place else [None] * len(part) for n in union]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in told), pa.array([r["path"]] * len(part))], [*union, "source_path"])
+
+    raw = _spread(table).mapInArrow(run, ", ".join([*(f"`{n}` string" for n in union), "source_path string"]))
+    cell = lambda n: F.when(F.col(f"`{n}`").isNull(), F.lit(None)).when(text(f"`{n}`").isin("nan", "None"), "").otherwise(text(f"`{n}`"))
+    return raw.select(*[cell(n).alias(n) for n in union], F.element_at(F.split("source_path", "/"), -1).alias("source_file"), "source_path")
 
 
 def load_clean(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -113,14 +104,14 @@ def write_result(df: DataFrame, path: str, kind: str = "parquet", by: str | None
 def file_index(rows: DataFrame, probes: DataFrame, default_year: int = 2022) -> DataFrame:
     """Per file: month told by its path, type told by its columns, rows, and an error where there is nothing to read.
 
-    ``rows`` have source_path; ``probes`` (path, head) come from :func:`probe_files`.
+    ``rows`` have source_path; ``probes`` (path, head, names) come from :func:`probe_files`.
     """
     from ..operators.layout import settlement_class
 
     counts = rows.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    names = F.transform(F.split(F.regexp_replace("head", "\ufeff", ""), ","), lambda c: F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_")))
+    names = F.transform("names", lambda c: F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit("_")))
     told = probes.join(counts, "path", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "header": names})
-    blank = F.trim(F.regexp_replace("head", "\ufeff", "")) == ""
+    blank = ~F.exists("names", lambda c: F.trim(c) != "")
     kind = F.when(blank, "error").otherwise(settlement_class("header", "n"))
     return told.select("path", month_from_path("path", default_year).alias("month"), kind.alias("type"), "n", F.when(blank, "no header").otherwise("").alias("error"))
 
