@@ -7,16 +7,18 @@ so they run in parallel. Everything between passes is joins.
 from __future__ import annotations
 
 from collections import namedtuple
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import FEE_MAX_CENTS, confidence_label, first_nonblank, is_bulk_payment, is_fee, is_transfer, join_unique_array, normalize_text
 from ..functions.similarity import ratio, text_similarity
 from ..functions.subset import group_score, pair_score, score_of, subset_sum
+from .ordered import best_rows, settled
 from .pairs import joined_by_bucket, one_to_one, pair_candidates, scored, side_text
 from .scratch import materialise
 
@@ -46,26 +48,42 @@ def _by_bucket(bank: DataFrame, ledger: DataFrame, bucket: list[str], work: Call
 
 
 def fee_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Monthly fee entries against the single fees of the same account, month and flow; then against any small payment."""
-    fees = ledger.where(is_fee("summary", "description", "counterparty_name", "cents"))
-    small = bank.where(F.col("cents") <= FEE_MAX_CENTS)
+    """Monthly fee entries against the single fees of the same account, month and flow; then against any small payment.
+
+    Each entry has a list of the ``FEE_POOL`` nearest days' payments, in their order on days that are as near; only lists
+    meet in Python.
+    """
+    bucket = ["month", "flow", "account"]
+    entries = _slim(ledger.where(is_fee("summary", "description", "counterparty_name", "cents")), "ledger", bucket)
+    small = _slim(bank.where(F.col("cents") <= FEE_MAX_CENTS), "bank", bucket)
+    entries, small = materialise(entries, "fee-entries"), materialise(small, "fee-rows")
+    out = None
+    for allowed in (F.col("fee"), ~F.col("bulk")):
+        pool = small.where(allowed)
+
+        def lists(some: DataFrame | None, most: int, entries=entries, pool=pool) -> DataFrame:
+            anchors = entries if some is None else entries.join(some.select(F.col("anchor").alias("id")), "id", "left_semi")
+            return best_rows(anchors, pool, bucket, ["day"], lambda d: -F.abs(d["day"] - d["a_day"]), most, by_amount=False)
+
+        def choose(r) -> tuple | None:
+            pool = _members(r)
+            group = _fee_subset(pool, int(r.cents), tolerance)
+            return ([b.id for b in group], group_score(group, [_anchor(r)], tolerance, 30)) if len(group) >= 2 else None
+
+        found = settled(lists, FEE_POOL, choose, "fees")
+        groups = found.select(F.lit("fee_aggregation").alias("match_type"), F.col("members").alias("banks"), F.array("anchor").alias("ledgers"), "score")
+        out = groups if out is None else out.unionByName(groups)
+        entries = materialise(entries.join(found.select(F.col("anchor").alias("id")), "id", "left_anti"), "fee-entries")
+        small = materialise(small.join(found.select(F.explode("members").alias("id")), "id", "left_anti"), "fee-rows")
+    return out
 
-    def work(banks: list, ledgers: list) -> list[tuple]:
-        used: set[str] = set()
-        found, done = [], set()
-        for allowed in (lambda b: b.fee, lambda b: not b.bulk):
-            for g in ledgers:
-                if g.id in done:
-                    continue
-                pool = sorted((b for b in banks if b.id not in used and allowed(b)), key=lambda b: abs(b.day - g.day))[:FEE_POOL]
-                group = _fee_subset(pool, g.cents, tolerance)
-                if len(group) >= 2:
-                    found.append(("fee_aggregation", group, [g], group_score(group, [g], tolerance, 30)))
-                    used |= {b.id for b in group}
-                    done.add(g.id)
-        return found
 
-    return _by_bucket(small, fees, ["account", "month", "flow"], work)
+def _members(r) -> list[Member]:
+    return [Member(o["id"], int(o["cents"]), int(o["day"]), o["label"]) for o in r.near]
+
+
+def _anchor(r) -> Member:
+    return Member(r.anchor, int(r.cents), int(r.day), r.label)
 
 
 def _fee_subset(pool: list, target: int, tolerance: int) -> list:
@@ -86,168 +104,87 @@ def _fee_subset(pool: list, target: int, tolerance: int) -> list:
 def transfers(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 3) -> DataFrame:
     """Transfers between own accounts: a ledger entry meets a bank row of the opposite flow, of another account first.
 
-    Entries choose in their order. Amounts that lie apart never compete, so each island of near amounts is a group.
+    Entries choose in their order, in rounds: an entry that is the first of all that a row could still go to, for every
+    row that it could take, chooses now; rows that are taken and entries that have chosen leave. Of rows of other accounts
+    the nearest day goes first, then the higher score, then the order of the rows; a row of the entry's own account is
+    taken only if it is the only one and there is none of another account.
     """
     entries = ledger.where(is_transfer("summary", "subject") & F.col("flow").isin("in", "out"))
     edges = scored(pair_candidates(bank, entries, tolerance, days, inverted=True), tolerance, days)
-    along = Window.partitionBy("l_month", "l_flow").orderBy("l_cents")
-    amounts = edges.select("l_month", "l_flow", "l_cents").distinct()
-    islands = amounts.withColumn("island", F.sum((F.col("l_cents") - F.lag("l_cents", 1, -10).over(along) > 2 * tolerance).cast("int")).over(along))
-    slim = edges.join(islands, ["l_month", "l_flow", "l_cents"]).select(
-        "l_month", "l_flow", "island", "b_id", "l_id", "b_ord", "l_ord", "day_diff", "cent_diff", "score", (F.col("b_account") == F.col("l_account")).alias("same"),
-        first_nonblank("b_counterparty_name", "b_summary").alias("b_label"), first_nonblank("l_counterparty_name", "l_summary").alias("l_label"), "b_cents", "l_cents",
-        F.datediff("b_day", F.lit("1970-01-01")).alias("b_at"), F.datediff("l_day", F.lit("1970-01-01")).alias("l_at"),
+    left = edges.select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "b_ord", "l_ord", "day_diff", "score", (F.col("b_account") == F.col("l_account")).alias("same"))
+    left, taken = materialise(left, "transfer-edges"), None
+    while not left.isEmpty():
+        first = left.withColumn("_first", F.min("l_ord").over(Window.partitionBy("bank")))
+        turn = first.groupBy("ledger").agg(F.bool_and(F.col("_first") == F.col("l_ord")).alias("_turn")).where("_turn").select("ledger")
+        turn = materialise(turn, "transfer-turn")
+        whole = Window.partitionBy("ledger")
+        cross, same = F.sum((~F.col("same")).cast("int")).over(whole), F.sum(F.col("same").cast("int")).over(whole)
+        rank = F.row_number().over(whole.orderBy("same", "day_diff", F.desc("score"), "b_ord"))
+        mine = left.join(turn, "ledger", "left_semi").withColumns({"_cross": cross, "_same": same, "_k": rank})
+        now = materialise(mine.where("_k = 1 and (_cross > 0 or _same = 1)").select("bank", "ledger"), "transfer-taken")
+        taken = now if taken is None else taken.unionByName(now)
+        left = materialise(left.join(turn, "ledger", "left_anti").join(now.select("bank"), "bank", "left_anti").select(*left.columns), "transfer-edges")
+    none = left.select("bank", "ledger")
+    groups = (none if taken is None else taken).select(
+        F.lit("cross_account_transfer").alias("match_type"), F.array("bank").alias("banks"), F.array("ledger").alias("ledgers"), F.lit(None).cast("double").alias("score")
     )
+    return group_scores(groups, bank, entries, tolerance, days)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        from types import SimpleNamespace as Row
-
-        used: set[str] = set()
-        out = []
-        for _, mine in group.sort_values(["l_ord", "b_ord"], kind="stable").groupby("l_ord", sort=True):
-            free = [r for r in mine.itertuples(index=False) if r.b_id not in used]
-            cross, same = [r for r in free if not r.same], [r for r in free if r.same]
-            pick = min(cross, key=lambda r: (r.day_diff, -r.score)) if cross else same[0] if len(same) == 1 else None
-            if pick is not None:
-                used.add(pick.b_id)
-                score = group_score([Row(cents=pick.b_cents, day=pick.b_at, label=pick.b_label)], [Row(cents=pick.l_cents, day=pick.l_at, label=pick.l_label)], tolerance, days)
-                out.append(("cross_account_transfer", [pick.b_id], [pick.l_id], score))
-        return pd.DataFrame(out, columns=["match_type", "banks", "ledgers", "score"])
-
-    return slim.groupBy("l_month", "l_flow", "island").applyInPandas(run, GROUP)
-
-
-_SLIM = ["id", "ord", "cents", "day", "said", "label", "account"]
 
+@F.pandas_udf(DoubleType())
+def _cell_score(a_said: pd.Series, said: pd.Series, apart: pd.Series, far: pd.Series, tolerance: pd.Series, days: pd.Series) -> pd.Series:
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for one, two, cents, day, t, d in zip(a_said, said, apart.tolist(), far.tolist(), tolerance.tolist(), days.tolist()):
+        if (one, two) not in known:
+            known[one, two] = ratio(one, two)
+        out.append(score_of(cents, day, known[one, two], t, d))
+    return pd.Series(out, dtype="float64")
 
-def _ranked(anchor, pool: list, tolerance: int, days: int, k: int, known: dict) -> list:
-    """The first ``k`` of the pool by pair score, then by nearness of the amount, then in the order of the records."""
 
-    def key(o) -> tuple:
-        texts = (anchor.said, o.said)
-        if texts not in known:
-            known[texts] = ratio(*texts)
-        apart = abs(anchor.cents - o.cents)
-        return (score_of(apart, abs(anchor.day - o.day), known[texts], tolerance, days), -apart)
-
-    return sorted(pool, key=key, reverse=True)[:k]
-
-
-def _first_group(anchor, ranked: list, tolerance: int, days: int, most: int, banks_first: bool) -> tuple | None:
-    """(anchor, its ord, members, score) of the first subset of ``ranked`` that sums to the anchor."""
-    group = [ranked[k] for k in subset_sum([o.cents for o in ranked], anchor.cents, tolerance, most)]
-    if not group:
-        return None
-    sides = ([anchor], group) if banks_first else (group, [anchor])
-    return anchor.id, anchor.ord, [o.id for o in group], group_score(*sides, tolerance, days)
-
-
-_FOUND = "anchor string, ord long, members array<string>, score double"
-_FOUND_NAMES = ["anchor", "ord", "members", "score"]
-
-
-def _named_groups(anchors: DataFrame, others: DataFrame, taken: DataFrame, tolerance: int, days: int, most: int, pool_limit: int, banks_first: bool) -> DataFrame:
-    """Groups of the anchors with an account: account by account, in order, with its own rows and those without an account.
+def group_passes(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30, strict: bool = True, most: int = GROUP_MAX, pool_limit: int = POOL, kinds: tuple[str, ...] = ("one_to_many", "many_to_one")) -> DataFrame:
+    """One bank row against several entries of its month, flow and account, then one entry against several bank rows.
 
-    ``taken`` (id, by, at): rows that an anchor of another account, or of none, takes at its place in the order.
+    Anchors go in order, each with the ``pool_limit`` free rows that rank first by pair score, nearness of the amount and
+    order. Texts are compared once for each class of anchors (text, day) and cell of rows (text, day), rows are found by
+    their places in the sorted cells, and no more than a list meets in a task, however many rows an account's month has;
+    a blank account, on either side, goes with all accounts.
     """
     bucket = ["month", "flow", "account"]
-    mine = anchors.where("account <> ''")
-    buckets = mine.select(*bucket).distinct()
-    free = others.where("account = ''").drop("account").join(buckets, ["month", "flow"]).select(*others.columns)
-    pool = others.join(buckets, bucket, "left_semi").unionByName(free)
-    owner = taken.select(F.col("id").alias("_id"), F.col("by").alias("_by"), "at")
-    told = pool.join(owner, (F.col("id") == F.col("_id")) & (F.col("account") != F.col("_by")), "left").groupBy("month", "flow", *_SLIM).agg(F.min("at").alias("at"))
-    rows = mine.select("month", "flow", *_SLIM, F.lit(True).alias("anchors"), F.lit(None).cast("long").alias("at")).unionByName(told.select("month", "flow", *_SLIM, F.lit(False).alias("anchors"), "at"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = list(group.sort_values("ord", kind="stable").itertuples(index=False))
-        pool, used, known, out = [r for r in ordered if not r.anchors], set(), {}, []
-        for a in (r for r in ordered if r.anchors):
-            near = [o for o in pool if o.id not in used and abs(o.day - a.day) <= days and not (o.at < a.ord)]
-            small = sorted(o.cents for o in near if o.cents <= a.cents + tolerance)[-most:]
-            if len(small) < 2 or sum(small) < a.cents - tolerance:
-                continue  # no subset whatever the ranks
-            found = _first_group(a, _ranked(a, near, tolerance, days, pool_limit, known), tolerance, days, most, banks_first)
-            if found:
-                out.append(found)
-                used.update(found[2])
-        return pd.DataFrame(out, columns=_FOUND_NAMES)
-
-    return rows.groupBy(*bucket).applyInPandas(run, _FOUND)
-
-
-def _free_groups(anchors: DataFrame, others: DataFrame, taken: DataFrame, tolerance: int, days: int, most: int, pool_limit: int, banks_first: bool) -> DataFrame:
-    """Groups of the anchors without an account, which may take rows of all accounts: their pools are cut by windows."""
-    a = anchors.where("account = ''").select(*[F.col(c).alias(f"a_{c}") for c in ("month", "flow", *_SLIM)])
-    met = a.join(others, (F.col("a_month") == F.col("month")) & (F.col("a_flow") == F.col("flow")))
-    owner = taken.select(F.col("id").alias("_id"), F.col("anchor").alias("_anchor"), "at")
-    gone = met.select("a_id", "a_ord", "id").join(owner, (F.col("id") == F.col("_id")) & (F.col("at") < F.col("a_ord")) & (F.col("a_id") != F.col("_anchor"))).select("a_id", "id").distinct()
-    near = met.where(F.abs(F.col("day") - F.col("a_day")) <= days).join(gone, ["a_id", "id"], "left_anti")
-    apart, far = F.abs(F.col("cents") - F.col("a_cents")), F.abs(F.col("day") - F.col("a_day"))
-    score = F.round(0.52 * F.greatest(F.lit(0.0), 1 - apart / F.lit(tolerance + 1)) + 0.25 * F.greatest(F.lit(0.0), 1 - far / F.lit(days + 1)) + 0.23 * text_similarity("a_said", "said"), 4)
-    first = Window.partitionBy("a_id").orderBy(F.desc("_score"), "_apart", "ord")
-    ranked = near.withColumns({"_score": score, "_apart": apart}).withColumn("k", F.row_number().over(first)).where(F.col("k") <= pool_limit)
-    anchor = [F.first(f"a_{c}").alias(c) for c in ("ord", "cents", "day", "label")]
-    pools = ranked.groupBy(F.col("a_id").alias("id")).agg(*anchor, F.array_sort(F.collect_list(F.struct("k", "id", "cents", "day", "label"))).alias("near"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_first_group(r, [Member(o["id"], int(o["cents"]), int(o["day"]), o["label"]) for o in r.near], tolerance, days, most, banks_first) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame([f for f in found if f], columns=_FOUND_NAMES)
-
-    return pools.mapInPandas(run, _FOUND)
-
-
-def _anchored(anchors: DataFrame, others: DataFrame, strict: bool, banks_first: bool, *limits: int) -> DataFrame:
-    """Each anchor in order against its first subset of unused others, as going through all anchors one by one would find them.
-
-    Accounts do not touch but for rows without an account. What those take, or are taken by, is told to the others with
-    its place in the order, and the months that it concerns are done again until nothing changes: the first anchors are
-    right from the start, those that depend on them in the next round, and so on. No group is larger than an account's month.
-    """
+    left = [_slim(d, side, bucket).drop("side", "fee", "bulk") for d, side in ((bank, "bank"), (ledger, "ledger"))]
     if not strict:
-        anchors, others = (d.withColumn("account", F.lit("any")) for d in (anchors, others))
-    anchors, others = materialise(anchors, "anchors"), materialise(others, "others")
-    accounts = anchors.select(F.col("id").alias("anchor"), F.col("account").alias("by"))
-    month = ["month", "flow"]
-    shared = anchors.where("account = ''").select(*month).unionByName(others.where("account = ''").select(*month)).distinct()
-    contested = materialise(others.join(shared, month, "left_semi").select("id", *month), "contested")
-    lonely = contested.isEmpty()
-    taken = anchors.sparkSession.createDataFrame([], "id string, anchor string, by string, at long")
-    now, found = anchors, None
-    while True:
-        new = _named_groups(now, others, taken, *limits, banks_first)
-        if not lonely:
-            new = new.unionByName(_free_groups(now, others, taken, *limits, banks_first))
-        if found is not None:
-            new = new.unionByName(found.join(now.select(F.col("id").alias("anchor")), "anchor", "left_anti"))
-        found = materialise(new, "found")
-        if lonely:
-            return found
-        members = found.join(accounts, "anchor").select(F.explode("members").alias("id"), "anchor", "by", F.col("ord").alias("at"))
-        told = materialise(members.join(contested, "id", "left_semi"), "taken")
-        changed = told.exceptAll(taken).unionByName(taken.exceptAll(told)).select("id")
-        now = materialise(anchors.join(contested.join(changed, "id", "left_semi").select(*month).distinct(), month, "left_semi"), "again")
-        if now.isEmpty():
-            return found
-        taken = told
-
-
-def group_passes(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30, strict: bool = True, most: int = GROUP_MAX, pool_limit: int = POOL, kinds: tuple[str, ...] = ("one_to_many", "many_to_one")) -> DataFrame:
-    """One bank row against several entries of its month, flow and account, then one entry against several bank rows."""
-    both = ["month", "flow", "account"]
-    left = [_slim(bank, "bank", both).drop("side", "fee", "bulk"), _slim(ledger, "ledger", both).drop("side", "fee", "bulk")]
+        left = [d.withColumn("account", F.lit("any")) for d in left]
+    left = [materialise(d, "group-rows") for d in left]
+    fixed = [F.lit(tolerance), F.lit(days)]
     out = None
     for kind in kinds:
         banks_first = kind == "one_to_many"
         anchors, others = left if banks_first else left[::-1]
-        found = _anchored(anchors, others, strict, banks_first, tolerance, days, most, pool_limit)
+
+        def lists(some: DataFrame | None, k: int, anchors=anchors, others=others) -> DataFrame:
+            mine = anchors if some is None else anchors.join(some.select(F.col("anchor").alias("id")), "id", "left_semi")
+            far = lambda d: F.abs(d["day"] - d["a_day"])
+            beyond = F.lit(tolerance + 1).cast("long")
+            cell = lambda d: _cell_score(d["a_said"], d["said"], beyond, far(d), *fixed)
+            row = lambda d: _cell_score(d["a_said"], d["said"], F.abs(d["cents"] - d["a_cents"]), far(d), *fixed)
+            return best_rows(mine, others, bucket, ["said", "day"], cell, k, wild="account", near=(tolerance, row), days=days)
+
+        def choose(r, banks_first=banks_first) -> tuple | None:
+            near = [o for o in _members(r) if o.cents <= r.cents + tolerance]
+            if len(near) < 2 or sum(sorted(o.cents for o in near)[-most:]) < r.cents - tolerance:
+                return None  # no subset can reach the anchor
+            group = [near[k] for k in subset_sum([o.cents for o in near], int(r.cents), tolerance, most)]
+            if not group:
+                return None
+            sides = ([_anchor(r)], group) if banks_first else (group, [_anchor(r)])
+            return [o.id for o in group], group_score(*sides, tolerance, days)
+
+        found = settled(lists, pool_limit, choose, kind)
         one = F.array("anchor")
         sides = (one, F.col("members")) if banks_first else (F.col("members"), one)
         groups = found.select(F.lit(kind).alias("match_type"), sides[0].alias("banks"), sides[1].alias("ledgers"), "score")
         out = groups if out is None else out.unionByName(groups)
-        left = [d.join(groups.select(F.explode(ids).alias("id")), "id", "left_anti") for d, ids in zip(left, ("banks", "ledgers"))]
+        left = [materialise(d.join(groups.select(F.explode(ids).alias("id")), "id", "left_anti"), "group-rows") for d, ids in zip(left, ("banks", "ledgers"))]
     return out
 
 
@@ -315,12 +252,29 @@ def unused(records: DataFrame, groups: DataFrame, side: str) -> DataFrame:
 
 
 def group_scores(groups: DataFrame, bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30) -> DataFrame:
-    """Scores groups that have none yet, from their members."""
-    keyed = groups.withColumn("key", F.concat_ws("|", "banks"))
-    members = lambda side, d: keyed.select("key", F.posexplode(side).alias("pos", "id")).join(d, "id").select("key", "pos", "cents", "day", first_nonblank("counterparty_name", "summary").alias("label"))
-    b, g = members("banks", bank), members("ledgers", ledger)
-    near = b.alias("b").join(g.alias("l"), "key").groupBy("key", "b.pos").agg(F.min(F.abs(F.date_diff("b.day", "l.day"))).alias("days")).groupBy("key").agg(F.avg(F.greatest(F.lit(0.0), 1 - F.col("days") / (days + 1))).alias("near"))
-    told = lambda d, p: d.groupBy("key").agg(F.sum("cents").alias(f"{p}c"), join_unique_array(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"])).alias(f"{p}t"))
+    """Scores groups that have none yet, from their members: amounts, the mean over bank rows of the nearest entry's day, text.
+
+    The nearest day comes from the members of a group in the order of days, by the last entry before and the first after.
+    """
+    keyed = materialise(groups.withColumn("key", F.concat_ws("|", "banks")), "to-score")
+
+    def members(side: str, d: DataFrame) -> DataFrame:
+        parts = keyed.where("score is null").select("key", F.posexplode(side).alias("pos", "id"))
+        return parts.join(d, "id").select("key", "pos", "cents", "day", first_nonblank("counterparty_name", "summary").alias("label"))
+
+    b, g = materialise(members("banks", bank), "score-banks"), materialise(members("ledgers", ledger), "score-ledgers")
+    along = Window.partitionBy("key").orderBy("day", "is_bank")
+    days_of = b.select("key", "day", F.lit(1).alias("is_bank")).unionByName(g.select("key", "day", F.lit(0).alias("is_bank")))
+    entry = F.when(F.col("is_bank") == 0, F.col("day"))
+    before = F.last(entry, True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(entry, True).over(along.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    far = F.least(F.date_diff("day", before), F.date_diff(after, "day"))  # null on a side without entries
+    near = days_of.withColumn("days", far).where("is_bank = 1").groupBy("key").agg(F.avg(F.greatest(F.lit(0.0), 1 - F.col("days") / (days + 1))).alias("near"))
+
+    def told(d: DataFrame, p: str) -> DataFrame:
+        labels = F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"])
+        return d.groupBy("key").agg(F.sum("cents").alias(f"{p}c"), join_unique_array(labels).alias(f"{p}t"))
+
     both = told(b, "b").join(told(g, "l"), "key").join(near, "key")
     amount = F.greatest(F.lit(0.0), 1 - F.abs(F.col("bc") - F.col("lc")) / (tolerance + 1))
     score = F.round(0.55 * amount + 0.25 * F.col("near") + 0.20 * text_similarity("bt", "lt"), 4)
@@ -352,8 +306,8 @@ def match_transactions(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, d
     for k, go in enumerate(passes):
         found = materialise(go(left_b, left_g).select(F.lit(k).alias("pass"), "match_type", "banks", "ledgers", "score"), f"pass{k}")
         done.append(found)
-        every = reduce(DataFrame.unionByName, done)
-        left_b, left_g = unused(bank, every, "banks"), unused(ledger, every, "ledgers")
+        if k + 1 < len(passes):
+            left_b, left_g = (materialise(unused(d, found, side), f"left{k}") for d, side in ((left_b, "banks"), (left_g, "ledgers")))
     key = F.substring(F.md5(F.concat_ws(":", "match_type", F.concat_ws("|", "banks"), F.concat_ws("|", "ledgers"))), 1, 12)
     return reduce(DataFrame.unionByName, done).withColumns({"confidence": confidence_label("score"), "match_key": key})
 
