@@ -310,6 +310,12 @@ def duplicate_info(candidates: DataFrame) -> DataFrame:
     return out.withColumn("duplicate_info", F.when(b & g, "both").when(b, "bank").when(g, "ledger").otherwise("none")).drop("banks_twice", "ledgers_twice", "candidate_signature")
 
 
+def without_overlap(candidates: DataFrame) -> DataFrame:
+    """The candidates for outside review that share no member with another of them."""
+    asked = candidates.where("llm_review or not review_only")
+    return duplicate_info(asked).where("duplicate_info = 'none'").drop("duplicate_info")
+
+
 def hold_ids(candidates: DataFrame, bank: DataFrame, ledger: DataFrame, top: int = 50) -> DataFrame:
     """Members of the first ``top`` review-only groups of both sides, which block automatic acceptance: side, id."""
     groups = candidates.where("review_only and size(banks) > 1 and size(ledgers) > 1")

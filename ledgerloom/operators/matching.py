@@ -312,9 +312,18 @@ def match_transactions(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, d
     return reduce(DataFrame.unionByName, done).withColumns({"confidence": confidence_label("score"), "match_key": key})
 
 
+def numbered_matches(matches: DataFrame, start: int = 0) -> DataFrame:
+    """Adds match_id, M00001 and on after ``start``, pass by pass and best first."""
+    from .review import match_id, renumbered
+
+    ordered = matches.withColumn("_worse", -F.coalesce("score", F.lit(0.0)))
+    return renumbered(ordered, ["pass", "_worse", "match_key"], start).withColumn("match_id", match_id("serial")).drop("serial", "_worse")
+
+
 def match_rows(matches: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One row per match with its members' sums, dates and texts."""
-    keyed = matches.select("match_key", "match_type", "score", "banks", "ledgers")
+    """One row per match with its members' sums, dates and texts; with its match_id, if ``matches`` are numbered."""
+    number = [c for c in ("match_id",) if c in matches.columns]
+    keyed = matches.select(*number, "match_key", "match_type", "score", "banks", "ledgers")
 
     def side(ids: str, d: DataFrame, p: str) -> DataFrame:
         rows = keyed.select("match_key", F.posexplode(ids).alias("pos", "id")).join(d, "id")
@@ -324,7 +333,7 @@ def match_rows(matches: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFr
 
     out = keyed.join(side("banks", bank, "bank"), "match_key").join(side("ledgers", ledger, "ledger"), "match_key")
     return out.select(
-        "match_key", "match_type", confidence_label("score").alias("confidence"), "score", F.greatest("bank_cents", "ledger_cents").alias("amount_cents"), (F.col("bank_cents") - F.col("ledger_cents")).alias("diff_cents"),
+        *number, "match_key", "match_type", confidence_label("score").alias("confidence"), "score", F.greatest("bank_cents", "ledger_cents").alias("amount_cents"), (F.col("bank_cents") - F.col("ledger_cents")).alias("diff_cents"),
         F.concat_ws("|", "banks").alias("bank_txn_ids"), F.concat_ws("|", "ledgers").alias("ledger_entry_ids"), *[f"{p}_{c}" for p in ("bank", "ledger") for c in ("date", "summary", "counterparty", "debit", "credit")],
     )
 

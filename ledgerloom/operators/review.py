@@ -5,7 +5,9 @@ Decisions have candidate_signature, approve, confidence, reason; manual rows can
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import join_unique, shorten
@@ -76,31 +78,110 @@ def first_wins(rows: DataFrame, order: str = "ord") -> DataFrame:
     return left if taken is None else taken
 
 
-def accept(routed: DataFrame, used: DataFrame, bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Accepted candidates in their order; none with a used member (``used``: side, id), totals apart, or members of
-    different months, flows or accounts."""
+def _touching(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """The ``ord`` of rows with a member in ``used`` (side, id)."""
+    members = [rows.select("ord", F.lit(side).alias("side"), F.explode(ids).alias("id")) for side, ids in (("bank", "banks"), ("ledger", "ledgers"))]
+    return members[0].unionByName(members[1]).join(used.select("side", "id"), ["side", "id"], "left_semi").select("ord").distinct()
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    sides = [rows.select(F.lit(side).alias("side"), F.explode(ids).alias("id")) for side, ids in (("bank", "banks"), ("ledger", "ledgers"))]
+    return sides[0].unionByName(sides[1])
+
+
+def accept(routed: DataFrame, used: DataFrame, bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 30) -> DataFrame:
+    """Candidates that become matches: those approved by hand in their order, then the accepted ones in theirs.
+
+    None with a member in ``used`` (side, id) or in an earlier one, totals apart, or members of different months, flows or
+    accounts. The score is the higher of the decision's confidence and the group's own; the kind tells who decided
+    (``llm_…``, ``manual_…``).
+    """
     from .candidates import same_bucket, signature
+    from .matching import group_scores
 
-    fit = materialise(routed.where((F.col("status") == "accepted") & (F.abs(F.col("bank_cents") - F.col("ledger_cents")) <= tolerance)), "accepted")
+    meant = F.col("status").isin("accepted", "manual") & (F.abs(F.col("bank_cents") - F.col("ledger_cents")) <= tolerance)
+    fit = materialise(routed.where(meant), "accepted")
     fit = signature(same_bucket(fit, bank, ledger))
-    for side, ids in (("bank", "banks"), ("ledger", "ledgers")):
-        bad = fit.select("ord", F.explode(ids).alias("id")).join(used.where(F.col("side") == side), "id", "left_semi").select("ord").distinct()
-        fit = fit.join(bad, "ord", "left_anti")
-    return first_wins(fit).withColumn("score", F.greatest("score", F.coalesce("llm_confidence", F.lit(0.0))))
-
+    fit = fit.join(_touching(fit, used), "ord", "left_anti")
+    turn = fit.withColumn("_turn", F.struct((F.col("status") != "manual").alias("later"), "ord"))
+    won = first_wins(turn, "_turn").drop("_turn", "score")
+    own = group_scores(won.withColumn("score", F.lit(None).cast("double")), bank, ledger, tolerance, max(days, 30))
+    source = F.when(F.col("status") == "accepted", "llm_").when(F.col("match_type").startswith("manual_"), "").otherwise("manual_")
+    score = F.round(F.greatest("score", F.coalesce("llm_confidence", F.lit(0.0))), 4)
+    return own.withColumns({"score": score, "match_type": F.concat(source, "match_type")})
+
+
+def blocked(routed: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``routed`` with the status of candidates that were meant to be matches and did not become any."""
+    done = accepted.select("ord").withColumn("_done", F.lit(True))
+    lost = F.col("status").isin("accepted", "manual") & F.col("_done").isNull()
+    return routed.join(done, "ord", "left").withColumn("status", F.when(lost, "blocked_conflict_or_amount_diff").otherwise(F.col("status"))).drop("_done")
+
+
+class Applied(NamedTuple):
+    """What reviewers' approvals lead to: new matches, what stays unmatched on either side, and the rows with their status."""
+
+    matches: DataFrame
+    unmatched_bank: DataFrame
+    unmatched_ledger: DataFrame
+    review: DataFrame
+
+
+def apply_approvals(
+    approved: DataFrame, unmatched_bank: DataFrame, unmatched_ledger: DataFrame, tolerance: int = 1, days: int = 30,
+    matches: DataFrame | None = None, strict: bool = True, floor: float = FLOOR,
+) -> Applied:
+    """Reviewers' rows in order (ord, banks, ledgers; llm_confidence and match_type if there are any).
+
+    A row is applied if all its members are unmatched still, also by the rows before it, the totals agree, and its members
+    are of one month and flow and of one account where both sides name any. Status: ``approved_applied``,
+    ``blocked_conflict_or_amount_diff`` (which comes first), or ``blocked_cross_month_or_flow_account``. A new match has
+    the highest of confidence, group score and ``floor`` as its score, and a match_id M00001 that goes on from the highest
+    of ``matches`` (columns match_id, banks, ledgers).
+    """
+    from .candidates import same_bucket, signature
+    from .matching import group_scores
 
-def apply_approvals(approved: DataFrame, unmatched_bank: DataFrame, unmatched_ledger: DataFrame, tolerance: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reviewers' rows in order (ord, banks, ledgers, score): all members must still be unmatched and the totals agree.
-    Returns the new matches and what stays unmatched on either side."""
+    extra = {"llm_confidence": F.lit(None).cast("double"), "match_type": F.lit("manual_review")}
+    rows = approved.withColumns({c: v for c, v in extra.items() if c not in approved.columns}).drop("score", "status")
+    rows = materialise(rows, "approvals")
     sides = (("banks", unmatched_bank), ("ledgers", unmatched_ledger))
-    sums = approved
+    sums = rows
     for ids, d in sides:
-        one = approved.select("ord", F.explode(ids).alias("id")).join(d.select("id", "cents"), "id", "left")
+        one = rows.select("ord", F.explode_outer(ids).alias("id")).join(d.select("id", "cents"), "id", "left")
         sums = sums.join(one.groupBy("ord").agg(F.sum("cents").alias(f"{ids}_cents"), F.sum(F.col("cents").isNull().cast("int")).alias(f"{ids}_lost")), "ord")
-    fit = sums.where((F.col("banks_lost") == 0) & (F.col("ledgers_lost") == 0) & (F.abs(F.col("banks_cents") - F.col("ledgers_cents")) <= tolerance))
-    done = materialise(first_wins(fit.select(*approved.columns)).withColumn("score", F.greatest("score", F.lit(FLOOR))), "applied")
+    fit = sums.where((F.col("banks_lost") == 0) & (F.col("ledgers_lost") == 0) & (F.abs(F.col("banks_cents") - F.col("ledgers_cents")) <= tolerance)).select(*rows.columns)
+    if matches is not None:
+        fit = fit.join(_touching(fit, _members(matches)), "ord", "left_anti")
+    fit = materialise(fit, "approvals-fit")
+    keyed = same_bucket(fit, unmatched_bank, unmatched_ledger, strict).select("ord").withColumn("_one", F.lit(True))
+    told = materialise(fit.join(keyed, "ord", "left"), "approvals-told")
+    won = materialise(first_wins(told.where("_one").drop("_one")), "approvals-won")
+    # A row across buckets is in conflict if a row before it took one of its members.
+    taken = signature(won).select("ord", "banks", "ledgers")
+    taken = taken.select("ord", F.lit("bank").alias("side"), F.explode("banks").alias("id")).unionByName(taken.select("ord", F.lit("ledger").alias("side"), F.explode("ledgers").alias("id")))
+    across = told.where(F.col("_one").isNull())
+    parts = across.select("ord", F.lit("bank").alias("side"), F.explode("banks").alias("id")).unionByName(across.select("ord", F.lit("ledger").alias("side"), F.explode("ledgers").alias("id")))
+    late = parts.join(taken.withColumnRenamed("ord", "_by"), ["side", "id"]).where(F.col("_by") < F.col("ord")).select("ord").distinct()
+    across = across.select("ord").join(late, "ord", "left_anti").withColumn("_status", F.lit("blocked_cross_month_or_flow_account"))
+    status = won.select("ord", F.lit("approved_applied").alias("_status")).unionByName(across)
+    reviewed = rows.join(status, "ord", "left").withColumn("status", F.coalesce("_status", F.lit("blocked_conflict_or_amount_diff"))).drop("_status")
+    own = group_scores(won.withColumn("score", F.lit(None).cast("double")), unmatched_bank, unmatched_ledger, tolerance, max(days, 30))
+    scored = own.withColumn("score", F.round(F.greatest("score", F.coalesce("llm_confidence", F.lit(0.0)), F.lit(floor)), 4))
+    start = 0 if matches is None else highest_serial(matches)
+    done = materialise(renumbered(scored, ["ord"], start).withColumn("match_id", match_id("serial")).drop("serial"), "applied")
     rest = [d.join(done.select(F.explode(ids).alias("id")), "id", "left_anti") for ids, d in sides]
-    return done, *rest
+    return Applied(done, *rest, reviewed)
+
+
+def match_id(serial: str) -> Column:
+    return F.format_string("M%05d", F.col(serial))
+
+
+def highest_serial(matches: DataFrame) -> int:
+    """The highest number of a match_id such as M00012; 0 if there is none."""
+    number = F.regexp_extract("match_id", r"^M(\d+)$", 1).try_cast("long")
+    return matches.agg(F.max(number)).first()[0] or 0
 
 
 def review_table(routed: DataFrame, used: DataFrame, bank: DataFrame, ledger: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -154,11 +235,11 @@ def decide(candidates: DataFrame, decider, schema: str = "candidate_signature st
     return candidates.mapInPandas(decider, schema)
 
 
-def renumbered(matches: DataFrame, order: list[str]) -> DataFrame:
-    """Adds serial, a gap-free number in ``order``: counts of a fixed number of ranges of the order are added up, and
-    only rows of one range meet in a task."""
+def renumbered(matches: DataFrame, order: list[str], start: int = 0) -> DataFrame:
+    """Adds serial, a gap-free number in ``order`` that goes on from ``start``: counts of a fixed number of ranges of the
+    order are added up, and only rows of one range meet in a task."""
     ranged = materialise(matches.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))  # a row a range
     local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_local", local).join(offsets, "_range").withColumn("serial", F.col("_offset") + F.col("_local")).drop("_range", "_local", "_offset")
+    return ranged.withColumn("_local", local).join(offsets, "_range").withColumn("serial", F.lit(start) + F.col("_offset") + F.col("_local")).drop("_range", "_local", "_offset")

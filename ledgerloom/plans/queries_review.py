@@ -193,17 +193,76 @@ def review_table(spark, d):
     return review.review_table(rows, none, *_records(spark, d, DENSE)).withColumn("llm_confidence", F.round("llm_confidence", 6))
 
 
-@query()
+_LOT = """, lot AS (
+    SELECT o_orderkey AS ord, concat('B', o_orderkey) AS bank, concat('E', o_orderkey, '-1') AS one, CASE WHEN o_orderkey % 7 = 3 THEN concat('E', o_orderkey, '-2') WHEN o_orderkey % 13 = 0 THEN 'X' END AS two,
+        0.7 + (o_orderkey % 10) / 50.0 AS conf FROM {orders} WHERE o_orderkey % 10 <> 0 AND o_orderkey % 17 <> 0
+    UNION ALL SELECT o_orderkey + 100000000, concat('B', o_orderkey), concat('E', o_orderkey, '-1'), NULL, 0.5 FROM {orders} WHERE o_orderkey % 10 <> 0 AND o_orderkey % 11 = 0)"""
+_APPLIED = ctes("bank", "ledger") + _LOT.replace("{orders}", "orders") + """, s AS (
+    SELECT lot.*, b.amount_cents AS bank_cents, l.amount_cents + coalesce(m.amount_cents, 0) AS ledger_cents, b.txn_id IS NULL OR (two IS NOT NULL AND m.entry_id IS NULL) AS lost, b.flow = l.flow AND strftime(b.transaction_date, '%Y-%m') = strftime(l.transaction_date, '%Y-%m')
+        AND (b.account_no = '' OR l.account_no = '' OR b.account_no = l.account_no) AS one_bucket, 1 - abs(b.transaction_date - l.transaction_date) / 31.0::DOUBLE AS near, CAST(b.counterparty_name = l.counterparty_name AS INT) AS alike
+    FROM lot JOIN bank b ON b.txn_id = lot.bank JOIN ledger l ON l.entry_id = lot.one LEFT JOIN ledger m ON m.entry_id = lot.two
+), f AS (SELECT *, NOT lost AND ord % 10 <> 9 AND abs(bank_cents - ledger_cents) <= 1 AS fit FROM s),
+w AS (SELECT *, fit AND one_bucket AND ord = min(CASE WHEN fit AND one_bucket THEN ord END) OVER (PARTITION BY bank) AS applied FROM f),
+done AS (SELECT *, CASE WHEN applied THEN 'approved_applied' WHEN fit AND NOT one_bucket THEN 'blocked_cross_month_or_flow_account' ELSE 'blocked_conflict_or_amount_diff' END AS status FROM w)"""
+
+
+def _approvals(spark, d):
+    """Approvals of orders with their entries: some lack one, some are of two flows, some come twice; earlier matches hold others."""
+    lots = spark.sql(_LOT.replace(", lot AS", "WITH lot AS", 1) + " SELECT * FROM lot", orders=spark.read.parquet(f"{d}/orders.parquet"))
+    ids = F.array_compact(F.array("one", "two"))
+    approved = lots.select("ord", F.array("bank").alias("banks"), ids.alias("ledgers"), F.col("conf").cast("double").alias("llm_confidence"), F.lit("one_to_one").alias("match_type"))
+    bank, ledger = _records(spark, d)
+    earlier = lots.where("ord % 10 = 9").groupBy("bank").agg(F.first("one").alias("one"))
+    matches = earlier.select(F.array("bank").alias("banks"), F.array("one").alias("ledgers"), F.when(F.col("bank").endswith("19"), "M00041").otherwise("M00007").alias("match_id"))
+    return approved, bank, ledger, matches
+
+
+@query(_APPLIED + """ SELECT 'M' || lpad(CAST((SELECT max(CASE WHEN ord % 100 = 19 THEN 41 ELSE 7 END) FROM lot WHERE ord % 10 = 9) + row_number() OVER (ORDER BY ord) AS VARCHAR), 5, '0') AS match_id, ord, bank AS bank_ids, concat_ws('|', one, two) AS ledger_ids,
+    round(greatest(conf, 0.75, 0.55::DOUBLE * (1 - abs(bank_cents - ledger_cents) / 2.0::DOUBLE) + 0.25::DOUBLE * near + 0.20::DOUBLE * alike), 4) AS score FROM done WHERE applied""")
+def approvals_applied(spark, d):
+    approved, bank, ledger, matches = _approvals(spark, d)
+    out = review.apply_approvals(approved, bank, ledger, matches=matches).matches
+    return out.select("match_id", "ord", F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"), "score")
+
+
+@query(_APPLIED + " SELECT ord, status FROM done")
+def approval_status(spark, d):
+    approved, bank, ledger, matches = _approvals(spark, d)
+    return review.apply_approvals(approved, bank, ledger, matches=matches).review.select("ord", "status")
+
+
+def _chosen(spark, d):
+    """The approvals as routed candidates: all accepted, but every third by hand."""
+    approved, bank, ledger, matches = _approvals(spark, d)
+    cents = lambda ids, x, n: approved.select("ord", F.explode(ids).alias("id")).join(x.select("id", "cents"), "id").groupBy("ord").agg(F.sum("cents").alias(n))
+    routed = approved.join(cents("banks", bank, "bank_cents"), "ord").join(cents("ledgers", ledger, "ledger_cents"), "ord")
+    kind = F.when(F.size("ledgers") > 1, "manual_pairs").otherwise("one_to_one")
+    routed = routed.withColumns({"status": F.when(F.col("ord") % 3 == 0, "manual").otherwise("accepted"), "match_type": kind})
+    used = matches.select(F.lit("bank").alias("side"), F.explode("banks").alias("id"))
+    return routed, used, bank, ledger
+
+
+_ACCEPTED = _APPLIED.replace("b.txn_id IS NULL OR (two IS NOT NULL AND m.entry_id IS NULL) AS lost", "coalesce(two = 'X', false) AS lost") + """, z AS (SELECT *, ord % 3 = 0 AS hand FROM s WHERE NOT lost AND one_bucket AND ord % 10 <> 9 AND abs(bank_cents - ledger_cents) <= 1),
+    y AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY hand DESC, ord) AS turn FROM z)"""
+
+
+@query(_ACCEPTED + """ SELECT ord, CASE WHEN NOT hand THEN 'llm_' WHEN two IS NOT NULL THEN '' ELSE 'manual_' END || CASE WHEN two IS NOT NULL THEN 'manual_pairs' ELSE 'one_to_one' END AS match_type,
+    round(greatest(conf, 0.55::DOUBLE * (1 - abs(bank_cents - ledger_cents) / 2.0::DOUBLE) + 0.25::DOUBLE * near + 0.20::DOUBLE * alike), 4) AS score FROM y WHERE turn = 1""")
 def accepted(spark, d):
-    none = spark.createDataFrame([], "side string, id string")
-    return review.accept(_routed(spark, d), none, *_records(spark, d, DENSE))
+    routed, used, bank, ledger = _chosen(spark, d)
+    return review.accept(routed.where("not exists(ledgers, x -> x = 'X')"), used, bank, ledger).select("ord", "match_type", "score")
 
 
-@query()
-def approvals_applied(spark, d):
-    bank, ledger = _records(spark, d, DENSE)
-    made = _made(spark, d)[0].select("ord", "banks", "ledgers", "score")
-    return review.apply_approvals(made, bank, ledger)[0]
+@query(_ACCEPTED + " SELECT s.ord, CASE WHEN y.ord IS NULL THEN 'blocked_conflict_or_amount_diff' WHEN hand THEN 'manual' ELSE 'accepted' END AS status FROM s LEFT JOIN y ON y.ord = s.ord AND turn = 1 WHERE NOT s.lost")
+def accepted_or_blocked(spark, d):
+    routed, used, bank, ledger = _chosen(spark, d)
+    routed = routed.where("not exists(ledgers, x -> x = 'X')")
+    return review.blocked(routed, review.accept(routed, used, bank, ledger)).select("ord", "status")
+
+
+@query(_CAND + " SELECT bank AS bank_ids, ledger AS ledger_ids FROM (SELECT *, count(*) OVER (PARTITION BY bank) AS nb, count(*) OVER (PARTITION BY ledger) AS nl FROM c) WHERE nb = 1 AND nl = 1")
+def cand_without_overlap(spark, d):
+    return _flat(candidates.without_overlap(_made(spark, d)[0].drop("candidate_signature"))).select("bank_ids", "ledger_ids")
 
 
 @query()
