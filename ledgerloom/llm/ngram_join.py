@@ -3,8 +3,9 @@
 Documents with the same n-gram set are one class. Classes go down random trees: at a node a few coordinates of the
 min-hash signature are sampled, about 1/similarity of them, and the classes that share the sampled token go on
 together; nodes that are small, or at the last level, are leaves, where all pairs are compared by their signatures.
-Runs with other samples are added until a pair at the threshold is met with the target recall. What the leaves link
-are candidate groups: in each, every pair is then decided exactly on the n-gram sets. Large leaves and large groups are
+Runs with other samples are added until a pair at the threshold is met with the target recall. A pair that several
+leaves hold belongs to the first of them, so a class's text goes to the leaves that have a likely partner of it that it
+meets nowhere earlier, mostly one or two, and there such pairs are decided exactly on the n-gram sets. Large leaves are
 cut into parts that meet pairwise, each meeting in a task of its own, and a task returns counts and each class's
 smallest partner, never pairs.
 """
@@ -25,12 +26,14 @@ from .components import components
 
 N = 5
 SIMILARITY = 0.8
-RECALL = 0.995
+RECALL = 0.999
 COORDINATES = 128
 #: Nodes up to this size are leaves; after LEVELS levels all are, however large, and are compared in parts.
 LEAF, LEVELS = 256, 4
-#: Classes of a leaf or group, and n-grams of a group, that meet those of another part in one task.
+#: Classes of a leaf, and n-grams of those of a leaf with likely partners, that meet those of another part in one task.
 PART, PART_GRAMS = 1024, 4_000_000
+#: Bytes of a text that are hashed at once, and n-grams of a meeting that are compared at once.
+BLOCK, SLICE = 1 << 20, 500_000
 #: Signatures may fall short of the threshold by so much (4 standard deviations) and still be looked at exactly.
 MARGIN = 4 * (SIMILARITY * (1 - SIMILARITY) / COORDINATES) ** 0.5
 SEED = 97
@@ -48,27 +51,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for one block."""
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.r_[_U(1), np.full(size - 1, _BASE, np.uint64)], dtype=np.uint64)
-        down = np.cumprod(np.r_[_U(1), np.full(size - 1, pow(_BASE, -1, 2**64), np.uint64)], dtype=np.uint64)
+        up = np.cumprod(np.r_[_U(1), np.full(BLOCK - 1, _BASE, np.uint64)], dtype=np.uint64)
+        down = np.cumprod(np.r_[_U(1), np.full(BLOCK - 1, pow(_BASE, -1, 2**64), np.uint64)], dtype=np.uint64)
     return up, down
 
 
-def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word (run of other than ASCII white space), and the words' byte starts and ends."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none
-    inside = np.r_[False, ~_IS_SPACE[raw], False]
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = turns[::2], turns[1::2]
-    up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
+def window_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every ``length`` values in a row, block by block."""
+    up, down = _powers()
+    n, step = len(values) - length + 1, BLOCK - length
+    out = np.zeros(max(0, n), np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.r_[_U(0), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)]
-        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+        for at in range(0, n, step):
+            part = values[at : at + step + length - 1]
+            sums = np.r_[_U(0), np.cumsum(part * up[: len(part)], dtype=np.uint64)]
+            here = len(part) - length + 1
+            out[at : at + here] = mixed((sums[length:] - sums[:-length]) * down[:here])
+    return out
+
+
+def word_hashes(text: str, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (run of other than ASCII white space), and if asked for the words' byte starts and ends.
+
+    Blocks are hashed one by one; a word that goes on in the next one takes its sum and its power along, so a text, or a
+    word, may have any length and needs little more than its words' hashes.
+    """
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    up, down = _powers()
+    found: list[np.ndarray] = []
+    spots: list[tuple[np.ndarray, np.ndarray]] = []
+    sum_, length, began = 0, 0, 0  # of the word that is open where a block begins
+    for at in range(0, len(raw), BLOCK):
+        part = raw[at : at + BLOCK]
+        inside = np.r_[False, ~_IS_SPACE[part], False]
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        if length and (not len(starts) or starts[0]):  # the open word ended with the block before
+            found.append(mixed(np.array([(sum_ + length) % 2**64], np.uint64)))
+            spots.append((np.array([began]), np.array([began + length])))
+            length = 0
+        if not len(starts):
+            continue
+        with np.errstate(over="ignore"):
+            sums = np.r_[_U(0), np.cumsum(_BYTES[part] * up[: len(part)], dtype=np.uint64)]
+            own = (sums[ends] - sums[starts]) * down[starts]
+            sizes = (ends - starts).astype(np.uint64)
+        firsts, lasts = starts + at, ends + at
+        if length:
+            own[0] = (sum_ + pow(_BASE, length, 2**64) * int(own[0])) % 2**64
+            sizes[0] += _U(length)
+            firsts[0] = began
+        whole = len(own)
+        length = 0
+        if ends[-1] == len(part) and at + BLOCK < len(raw):
+            whole -= 1
+            sum_, length, began = int(own[-1]), int(sizes[-1]), int(firsts[-1])
+        with np.errstate(over="ignore"):
+            found.append(mixed(own[:whole] + sizes[:whole]))
+        if places:
+            spots.append((firsts[:whole], lasts[:whole]))
+    if length:
+        found.append(mixed(np.array([(sum_ + length) % 2**64], np.uint64)))
+        spots.append((np.array([began]), np.array([began + length])))
+    none = np.zeros(0, np.int64)
+    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return hashes, *((np.concatenate([s[k] for s in spots]) if places and spots else none) for k in (0, 1))
 
 
 def ngram_hashes(words: np.ndarray, n: int = N) -> np.ndarray:
@@ -139,9 +190,9 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
                 rows.append((len(grams), *fingerprint(grams), signature(grams)))
             size, one, two, sig = zip(*rows) if rows else ([], [], [], [])
             signatures = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(sig) if sig else [], pa.int32()), COORDINATES).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), signatures], ["doc_id", "size", "f1", "f2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), signatures], ["doc_id", "h", "size", "f1", "f2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, f1 long, f2 long, sig array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, size long, f1 long, f2 long, sig array<int>")
 
 
 def _leaves(classes: DataFrame, runs: int, leaf: int) -> DataFrame:
@@ -152,7 +203,8 @@ def _leaves(classes: DataFrame, runs: int, leaf: int) -> DataFrame:
     level = classes.select("cls", spots).select(F.xxhash64("s.run", "s.c", "s.token").alias("node"), "cls")
     leaves = None
     for depth in range(1, LEVELS + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Written, so that a node with a large share of the rows can be split where it is joined.
+        sizes = materialise(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "op1-sizes")
         level = materialise(level.join(sizes, "node"), "op1-level")
         done = level.where(F.col("n") <= leaf) if depth < LEVELS else level
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -161,7 +213,7 @@ def _leaves(classes: DataFrame, runs: int, leaf: int) -> DataFrame:
             break
         share = round(1024 / (SIMILARITY * COORDINATES))
         sampled = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1024)) < share)
-        picks = large.select("node").distinct().select("node", F.explode(sampled).alias("c"))  # the same for all classes of a node
+        picks = sizes.where(F.col("n") > leaf).select("node", F.explode(sampled).alias("c"))  # the same for all classes of a node
         level = large.select("node", "cls").join(picks, "node").join(classes.select("cls", "sig"), "cls")
         level = level.select(F.xxhash64("node", "c", F.expr("sig[c]")).alias("node"), "cls").distinct()
     return leaves
@@ -190,13 +242,37 @@ def _lowest(cls: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return cls[order][smallest_reachable(len(cls), place[a], place[b])[place]]
 
 
+def _met_earlier(nodes: list[np.ndarray], node: int) -> np.ndarray:
+    """Which rows of a meeting of ``node`` share a node below it too (a matrix); ``nodes`` are the rows' lists of leaves."""
+    own = [x[x < node] for x in nodes]
+    rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    tokens, at, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    shared = n > 1
+    if not shared.any():
+        return np.zeros((len(own), len(own)), bool)
+    place = np.cumsum(shared) - 1
+    keep = shared[at]
+    m = np.zeros((len(own), int(shared.sum())), np.float32)
+    m[rows[keep], place[at[keep]]] = 1
+    return m @ m.T > 0
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Link the classes of each leaf whose signatures and sizes allow the threshold; rows: node, left, right, part, cls, size, sig."""
+    """The classes of each leaf that have a likely partner there, by signatures and sizes, that they meet in no earlier leaf.
+
+    Rows: node, left, right, part, cls, size, sig, nodes.
+    """
     need = SIMILARITY - MARGIN
     for table, starts, ends in runs_of(batches, 3):
-        left, right, part, cls, size = (table.column(c).to_numpy() for c in ("left", "right", "part", "cls", "size"))
+        node, left, right, part, cls, size = (table.column(c).to_numpy() for c in ("node", "left", "right", "part", "cls", "size"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        found = []
+        nodes, found = _lists(table.column("nodes")), []
         for s, e in zip(starts, ends):
             if e - s < 2:
                 continue
@@ -207,46 +283,56 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits = (same >= need * COORDINATES) & (np.minimum.outer(n, n) >= SIMILARITY * np.maximum.outer(n, n))
             a, b = _pairs(hits, part[s:e], left[s], right[s])
             if len(a):
-                low = _lowest(cls[s:e], a, b)
-                moved = low != cls[s:e]
-                found.append((cls[s:e][moved], low[moved]))
+                fresh = ~_met_earlier(nodes[s:e], node[s])[a, b]
+                hit = np.unique(np.r_[a[fresh], b[fresh]])
+                found.append((np.full(len(hit), node[s]), cls[s:e][hit]))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["node", "cls"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets, by products of their incidence matrix, a slice of the tokens at a time."""
-    tokens, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = n > 1
-    place = np.cumsum(shared) - 1
-    keep = shared[at]
-    rows, at = rows[keep], place[at[keep]]
-    order = np.argsort(at, kind="stable")
-    rows, at = rows[order], at[order]
+    """Sizes of all intersections of the sorted sets, by products of their incidence matrix.
+
+    Tokens are taken a range of values at a time, about SLICE of them, so memory does not grow with the sets.
+    """
     out = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    for low in range(0, int(shared.sum()), width):
-        span = slice(*np.searchsorted(at, [low, low + width]))
-        m = np.zeros((len(sets), width), np.float32)
-        m[rows[span], at[span] - low] = 1
-        out += m @ m.T
+    parts = max(1, -(-sum(map(len, sets)) // SLICE))
+    cuts = [_U(k * (2**64 // parts)) for k in range(1, parts)]
+    ends = [np.r_[0, np.searchsorted(x, cuts), len(x)].astype(np.int64) for x in sets]
+    for k in range(parts):
+        held = [x[e[k] : e[k + 1]] for x, e in zip(sets, ends)]
+        tokens, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in held])
+        shared = n > 1
+        place = np.cumsum(shared) - 1
+        keep = shared[at]
+        rows, at = rows[keep], place[at[keep]]
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        width = 4096
+        for low in range(0, int(shared.sum()), width):
+            span = slice(*np.searchsorted(at, [low, low + width]))
+            m = np.zeros((len(sets), width), np.float32)
+            m[rows[span], at[span] - low] = 1
+            out += m @ m.T
     return out
 
 
 def _decided(n: int, similarity: float):
-    """Decide every pair of each group exactly; rows: group, left, right, part, cls, many, f1, f2, text."""
+    """Decide exactly the pairs of each meeting that meet in no earlier leaf; rows: node, left, right, part, cls, many, f1, f2, nodes, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, ends in runs_of(batches, 3):
-            left, right, part, cls, many, one, two = (table.column(c).to_numpy() for c in ("left", "right", "part", "cls", "many", "f1", "f2"))
-            text = table.column("text")
+            node, left, right, part, cls, many, one, two = (table.column(c).to_numpy() for c in ("node", "left", "right", "part", "cls", "many", "f1", "f2"))
+            text, nodes = table.column("text"), _lists(table.column("nodes"))
             found = []
             for s, e in zip(starts, ends):
                 sets, rows = [], []
                 for r in range(s, e):
+                    if rows and cls[r] == cls[rows[-1]]:
+                        continue  # a row that repeats wholly
                     grams = ngram_set(text[r].as_py(), n)
-                    if fingerprint(grams) == (one[r], two[r]) and cls[r] not in {cls[q] for q in rows[-1:]}:
+                    if fingerprint(grams) == (one[r], two[r]):
                         sets.append(grams)
                         rows.append(r)
                 if len(rows) < 2:
@@ -255,6 +341,7 @@ def _decided(n: int, similarity: float):
                 common = overlaps(sets)
                 size = np.array([len(x) for x in sets], np.float64)
                 hits = common >= similarity * (size[:, None] + size - common) - 1e-6
+                hits &= ~_met_earlier([nodes[r] for r in rows], node[s])
                 a, b = _pairs(hits, part[rows], left[s], right[s])
                 if not len(a):
                     continue
@@ -276,26 +363,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Jaccard similarity of 0.8 or more are linked, and ``n_links`` counts them, copies included. ``component_id`` is the
     smallest id reachable, and the document with that id is kept. Null or blank texts have no set and link with
     nothing. Rows that repeat an id count as documents of their own. An empty table gives no rows. A text may have any
-    length: long ones share a task with fewer others. A pair at the threshold is found with a probability of ``recall``
+    length: it is hashed block by block, and what stays is a hash of 8 bytes for each word. A pair at the threshold is found with a probability of ``recall``
     at least, if nodes of more than ``leaf`` classes split to the last level; one that is found is decided exactly.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(numbered(_signed(base, n)), "op1-signatures")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "h"))
     classes = rows.where("size > 0").groupBy("size", "f1", "f2").agg(first.alias("first"), F.count(F.lit(1)).alias("many"))
-    classes = materialise(classes.select("size", "f1", "f2", F.col("first.row").alias("cls"), F.col("first.doc_id").alias("class_id"), "many"), "op1-classes")
+    classes = classes.select("size", "f1", "f2", F.col("first.row").alias("cls"), F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("h"), "many")
+    classes = materialise(classes, "op1-classes")
     signed = materialise(classes.select("cls", "size").join(rows.select(F.col("row").alias("cls"), "sig"), "cls"), "op1-class-signatures")
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as rows are few for the work they make
-    leaves = _in_parts(_leaves(signed, runs_for(recall), leaf), F.col("n") / PART).join(signed, "cls").select("node", "left", "right", "part", "cls", "size", "sig")
+    leaves = _leaves(signed, runs_for(recall), leaf)
+    # A class is in a few leaves of each run.
+    lists = materialise(leaves.groupBy("cls").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "op1-nodes")
+    told = signed.join(lists, "cls")
+    meetings = _in_parts(leaves, F.col("n") / PART).join(told, "cls").select("node", "left", "right", "part", "cls", "size", "sig", "nodes")
     meeting = ["node", "left", "right"]
-    candidates = leaves.repartition(tasks, *meeting).sortWithinPartitions(*meeting).mapInArrow(_alike, "a long, b long")
-    groups = components(candidates, "op1-candidates").select(F.col("node").alias("cls"), F.col("component").alias("group"))
-    grown = groups.join(classes, "cls")
-    sizes = grown.groupBy(F.col("group").alias("_group")).agg(F.greatest(F.count(F.lit(1)) / PART, F.sum("size") / PART_GRAMS).alias("share"))
-    members = _in_parts(grown.join(sizes, F.col("group") == F.col("_group")), F.col("share")).select("group", "left", "right", "part", "cls", "many", "f1", "f2", F.col("class_id").alias("_id"))
-    texts = members.join(base.where("text is not null"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("group", "left", "right", "part", "cls", "many", "f1", "f2", "text")
-    meeting = ["group", "left", "right"]
-    linked = materialise(texts.repartition(tasks, *meeting).sortWithinPartitions(*meeting, "cls").mapInArrow(_decided(n, SIMILARITY), "cls long, links long, low long"), "op1-links")
+    likely = meetings.repartition(tasks, *meeting).sortWithinPartitions(*meeting).mapInArrow(_alike, "node long, cls long")
+    likely = materialise(likely.distinct(), "op1-likely").join(classes.drop("class_id"), "cls")
+    sizes = likely.groupBy(F.col("node").alias("_node")).agg(F.greatest(F.count(F.lit(1)) / PART, F.sum("size") / PART_GRAMS).alias("share"))
+    members = _in_parts(likely.join(materialise(sizes, "op1-shares"), F.col("node") == F.col("_node")), F.col("share")).drop("_node", "share")
+    # Texts are found by id and hash: rows without an id, or with one that repeats, are not each other's.
+    held = classes.select("cls", F.col("class_id").alias("_id"), F.col("h").alias("_h")).join(likely.select("cls").distinct(), "cls", "left_semi")
+    texts = held.join(base.where("text is not null"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.xxhash64("text"))).select("cls", "text")
+    full = members.join(lists, "cls").join(texts, "cls").select("node", "left", "right", "part", "cls", "many", "f1", "f2", "nodes", "text")
+    linked = materialise(full.repartition(tasks, *meeting).sortWithinPartitions(*meeting, "cls").mapInArrow(_decided(n, SIMILARITY), "cls long, links long, low long"), "op1-links")
     counts = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = components(linked.select(F.col("cls").alias("a"), F.col("low").alias("b")), "op1").withColumnRenamed("node", "cls")
     lowest = classes.select("cls", "class_id").join(parts, "cls").groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, wrapped
-from .ngram_join import _powers, mixed, word_hashes
+from .ngram_join import mixed, window_hashes, word_hashes
 
 MIN_WORDS = 50
 GRAM, SPAN = 8, 16
@@ -36,20 +36,12 @@ _ROW = "h long, doc_id long, pos int, lo int, hi int, context binary"
 _NAMES = ["h", "doc_id", "pos", "lo", "hi", "context"]
 
 
-def _prefix_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """A hash of every ``length`` words in a row."""
-    up, down = _powers(1 << max(16, int(len(words)).bit_length()))
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)], dtype=np.uint64)]
-        return mixed((sums[length:] - sums[:-length]) * down[: len(words) - length + 1])
-
-
 def leading(words: np.ndarray, min_words: int) -> np.ndarray:
     """For each place where a stretch of ``min_words`` words can begin, its minimiser: the least GRAM hash of SPAN in a row."""
     places = len(words) - min_words + 1
     if places <= 0:
         return np.zeros(0, np.int64)
-    grams = _prefix_hashes(words, GRAM)
+    grams = window_hashes(words, GRAM)
     return np.lib.stride_tricks.sliding_window_view(grams, SPAN)[:places].argmin(1) + np.arange(places)
 
 
@@ -63,7 +55,7 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
                 words = word_hashes(text.as_py() or "")[0]
                 at = np.unique(leading(words, min_words))
                 if len(at):
-                    h.append(_prefix_hashes(words, min_words - REACH)[at].view(np.int64))
+                    h.append(window_hashes(words, min_words - REACH)[at].view(np.int64))
                     d.append(np.full(len(at), doc, np.int64))
                     p.append(at.astype(np.int32))
             if h:
@@ -89,7 +81,7 @@ def _contexts(texts: DataFrame, min_words: int) -> DataFrame:
                 if not len(first):
                     continue
                 pos, h = (shared.values.field(k).to_numpy() for k in ("pos", "h"))
-                hashes = _prefix_hashes(words, prefix).view(np.int64)
+                hashes = window_hashes(words, prefix).view(np.int64)
                 fits = pos < len(hashes)
                 fits[fits] = hashes[pos[fits]] == h[fits]  # another row may have the same id
                 pos, h = pos[fits].astype(np.int64), h[fits]
@@ -292,7 +284,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if text is None or cuts is None:
                 return text
             raw = text.encode("utf-8", "surrogatepass")
-            _, starts, ends = word_hashes(text)
+            _, starts, ends = word_hashes(text, places=True)
             out, at = [], 0
             for cut in cuts:
                 if cut["end_word"] > len(ends):

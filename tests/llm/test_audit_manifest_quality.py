@@ -24,6 +24,7 @@ def _rows():
     texts = [None, "", "", plain, plain, plain + " $", " ".join(WORDS * 25), plain.upper(), "\n".join(WORDS), "é\n😀", "x" * 300_000, plain + "\n" * 3]
     rows = [(k, t, rng.choice(["en", "de", None, ""]), rng.choice(["a", "b", "é", None]), k, 1, "z", "t", "l") for k, t in enumerate(texts)]
     rows += [rows[4], (4, plain + " other", "en", "a", 1, 1, "z", "t", "l"), (None, plain, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    rows += [(200 + k, "a\nb" * k, "en", "b", 1, 1, "z", "t", "l") for k in range(6)]
     return rows + [(100 + k, rng.choice(texts[:8]), "en", "hot", 3, 1, "z", "t", "l") for k in range(60)]
 
 

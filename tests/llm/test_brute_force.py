@@ -68,6 +68,53 @@ def test_ngram_join_where_nodes_split(spark):
     assert all(got[k] <= want[k] for k in want) and sum(got.values()) >= 0.99 * sum(want.values()) > 100
 
 
+def test_words_are_hashed_alike_in_blocks_of_any_size(monkeypatch):
+    rng = random.Random(31)
+    texts = ["".join(rng.choice(" \n\tabé漢  ") for _ in range(rng.randrange(0, 90))) for _ in range(150)] + ["a" * 50, " " * 40, ""]
+    want = [ngram_join.word_hashes(t, places=True) for t in texts]
+    values = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    wide = ngram_join.window_hashes(values, 6)
+    for t, (hashes, starts, ends) in zip(texts, want):
+        raw = t.encode()
+        assert [raw[a:b] for a, b in zip(starts, ends)] == [w.encode() for w in t.split()] and len(hashes) == len(t.split())
+    for size in (7, 16, 33):
+        monkeypatch.setattr(ngram_join, "BLOCK", size)
+        ngram_join._powers.cache_clear()
+        for t, w in zip(texts, want):
+            assert all(np.array_equal(x, y) for x, y in zip(w, ngram_join.word_hashes(t, places=True)))
+        assert np.array_equal(ngram_join.window_hashes(values, 6), wide)
+    monkeypatch.undo()
+    ngram_join._powers.cache_clear()
+
+
+def test_a_long_text_needs_little_more_than_its_words():
+    import tracemalloc
+
+    text = "word " * 8_000_000  # 40 MB
+    tracemalloc.start()
+    assert len(ngram_join.word_hashes(text)[0]) == 8_000_000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * len(text)
+
+
+def test_pairs_belong_to_their_first_leaf(spark):
+    """With leaves of two parts, chained and repeated groups: every link once, whatever runs it meets in."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*words[k:], *(f"x{k}" for k in range(k))]) for k in range(12)] * 2
+    _, alike = _alike(texts)
+    got = {r["doc_id"]: r for r in ngram_join.similar_documents(_docs(spark, texts)).collect()}
+    assert {k: r["n_links"] for k, r in got.items()} == {k: sum(a == k for a, _ in alike) for k in range(len(texts))}
+
+
+def test_rows_without_an_id_are_their_own(spark):
+    words = [f"w{k}" for k in range(40)]
+    near = [" ".join([*words, f"e{k}"]) for k in range(3)]
+    rows = [(None, near[0]), (None, near[1]), (5, near[2]), (5, "other text of few words here"), (None, "short"), (None, None)]
+    out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_links"] for r in out) == [0, 0, 0, 2, 2, 2]
+
+
 def test_runs_reach_the_recall():
     """Trees simulated token by token: pairs at a similarity of 0.8 whose nodes split to the last level."""
     rng = np.random.default_rng(22)
