@@ -105,6 +105,40 @@ def apply_layout(cells: DataFrame, signature: str, schema: str) -> DataFrame:
     return cells.groupBy("source_id", "source_sheet").applyInPandas(LAYOUTS[signature], schema)
 
 
+#: Rows of a sheet that a user's parser sees at once.
+PARSED = 10_000
+
+
+def apply_layouts(cells: DataFrame, schema: str, layouts: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] | None = None, least: int = 4, together: int = PARSED) -> tuple[DataFrame, DataFrame]:
+    """All sheets through the parsers of their own signatures, in one plan: (rows, unknown).
+
+    A sheet's signature is that of its first row with ``least`` filled cells, and what stands below is its rows. A parser
+    gets rows of one sheet, ``together`` at most, as a frame with source_file, source_sheet, row_no and the cells under
+    their names (of repeated names the first holds), and returns rows of ``schema``; rows must not depend on each other.
+    ``unknown`` has the sheets whose signature no parser is registered for: source_file, source_sheet, signature, rows.
+    """
+    from .layout import sheet_headers
+
+    known = dict(LAYOUTS if layouts is None else layouts)
+    key = ["source_file", "source_sheet"]
+    heads = sheet_headers(cells, least)
+    body = cells.join(heads, key).where(F.col("row_no") > F.col("header_row"))
+    ours = F.col("signature").isin(*known) if known else F.lit(False)
+    chunk = F.floor(F.col("row_no") / together).alias("chunk")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        names, frame = group["names"].iloc[0], group[[*key, "row_no"]].copy()
+        for k, name in enumerate(names):
+            name = (name or "").strip()
+            if name and name not in frame.columns:
+                frame[name] = [c[k] if k < len(c) else "" for c in group["cells"]]
+        return known[group["signature"].iloc[0]](frame.sort_values("row_no", ignore_index=True))
+
+    rows = body.where(ours).select(*key, "row_no", "cells", "names", "signature", chunk)
+    unknown = body.where(~ours).groupBy(*key, "signature").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.groupBy(*key, "chunk").applyInPandas(run, schema), unknown
+
+
 def display_table(df: DataFrame, names: dict[str, str], flows: tuple[str, str] = ("收入", "支出")) -> DataFrame:
     """Columns under display names, directions in words."""
     told = df.withColumn("flow", F.when(F.col("flow") == "in", flows[0]).when(F.col("flow") == "out", flows[1]).otherwise(F.col("flow"))) if "flow" in df.columns else df

@@ -110,14 +110,20 @@ def expand_sheets(files: DataFrame) -> DataFrame:
     return out.withColumn("source_id", F.concat_ws("_", F.nullif(text("bank_name"), F.lit("")), "kind", F.col("year").cast("string"), "sheet")).drop("sheets")
 
 
-def select_sheet(cells: DataFrame, words: list[str], rows: int = 5) -> DataFrame:
-    """The sheet of each file with most distinct ``words`` in its first rows; the first sheet on ties."""
+def select_sheet(cells: DataFrame, words: list[str], rows: int = 5, hint: str | int | None = None) -> DataFrame:
+    """The sheet of each file that ``hint`` names (by number from 0, or by name where the file has it), else the sheet with
+    most distinct ``words`` in its first rows. Sheets with nothing in them come last, ties go to the first sheet."""
     said = F.lower(F.array_join("cells", " ", ""))
     hits = [F.max((F.when(F.col("row_no") <= rows, said).otherwise("")).contains(w.lower()).cast("int")) for w in words]
     filled = F.max(F.exists("cells", lambda v: ~_blank(v)).cast("int"))
-    score = cells.groupBy("source_file", "source_sheet", "sheet_ord").agg(sum(hits[1:], hits[0]).alias("score"), filled.alias("filled")).where("filled = 1")
-    best = Window.partitionBy("source_file").orderBy(F.desc("score"), "sheet_ord")
-    return score.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("source_file", "source_sheet", "score")
+    score = cells.groupBy("source_file", "source_sheet", "sheet_ord").agg(sum(hits[1:], hits[0]).alias("score"), filled.alias("filled"))
+    if isinstance(hint, int):
+        meant = F.row_number().over(Window.partitionBy("source_file").orderBy("sheet_ord")) == hint + 1
+    else:
+        meant = F.col("source_sheet") == hint if hint else F.lit(False)
+    told = score.withColumn("_meant", meant)
+    best = Window.partitionBy("source_file").orderBy(F.desc("_meant"), F.desc("filled"), F.desc("score"), "sheet_ord")
+    return told.withColumn("_k", F.row_number().over(best)).where("_k = 1").select("source_file", "source_sheet", "score")
 
 
 def promote_header(cells: DataFrame) -> DataFrame:
@@ -143,6 +149,14 @@ def sheet_signatures(cells: DataFrame, least: int = 4) -> DataFrame:
     return first.select("source_file", "source_sheet", column_signature("names").alias("signature"))
 
 
+def sheet_headers(cells: DataFrame, least: int = 4) -> DataFrame:
+    """Each sheet's first row with ``least`` filled cells: header_row, names (blank ones included), signature."""
+    filled = F.filter("cells", lambda v: ~_blank(v))
+    first = cells.where(F.size(filled) >= least).groupBy("source_file", "source_sheet").agg(F.min_by(F.struct("row_no", "cells"), "row_no").alias("h"))
+    names = F.filter("h.cells", lambda v: ~_blank(v))
+    return first.select("source_file", "source_sheet", F.col("h.row_no").alias("header_row"), F.col("h.cells").alias("names"), column_signature(names).alias("signature"))
+
+
 def smart_sample(cells: DataFrame, header_min: int = 8, data_rows: int = 8, search: int = 20, otherwise: int = 30) -> DataFrame:
     """Rows up to the first wide row of the first ``search``, and ``data_rows`` more; else the first ``otherwise``."""
     wide = (F.size(F.filter("cells", lambda v: ~_blank(v))) >= header_min) & (F.col("row_no") <= search)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import cleaning, layout, outbound, quality
+from ..operators.scratch import materialise, scratch_dir
+from ..sources import records
 from .bindings import TABLES, VIEWS, view
 from .queries import query
 
@@ -399,3 +404,87 @@ def transfer_clean(spark, d):
     raw = view(spark, d, "raw")
     columns = {"交易订单号": F.col("k").cast("string"), "ERP订单号": F.lit("E"), "单号": F.lit("T"), "LP单号": F.lit("LP"), "货品编码": F.lit("P"), "货品名称": F.lit("goods"), "仓库名称": F.lit("w"), "出入库时间": F.trim("day"), "单据类型": F.lit("in"), "库存类型": F.lit("good"), "商家编码": F.lit("M"), "出入数量": F.lit("2"), "NSV": F.col("amount")}
     return _doubles(outbound.clean_transfer(raw.select(*[v.alias(n) for n, v in columns.items()])), outbound.TRANSFER_NUMBERS)
+
+
+# Sheets exported as delimited text, written to the shared folder and read again ---------------------------------------
+
+_NAMING = r"source_file=([^/]+)/source_sheet=([^/]+)/[^/]+\.csv$"
+
+
+def _exported(spark, rows, order: str) -> str:
+    """Writes the cells of ``rows`` as one headerless file a sheet, in ``order``; returns the folder."""
+    path = f"{scratch_dir(spark)}/grid-{uuid.uuid4().hex}"
+    wide = rows.select("source_file", "source_sheet", order, *[F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(12)])
+    dealt = wide.repartition("source_file", "source_sheet").sortWithinPartitions("source_file", "source_sheet", order).drop(order)
+    dealt.write.partitionBy("source_file", "source_sheet").option("emptyValue", "").csv(path)
+    return path
+
+
+@query(_ROWS + ", f AS (SELECT source_file, min(source_sheet) AS source_sheet FROM c GROUP BY source_file) SELECT source_file, source_sheet, CAST(row_no AS INT) AS row_no, array_to_string(cells, '|') AS cells FROM c JOIN f USING (source_file, source_sheet)")
+def grid_cells(spark, d):
+    """Each workbook's first sheet, cell by cell."""
+    path = _exported(spark, view(spark, d, "cells"), "row_key")
+    out = records.read_cells(spark, path, naming=_NAMING, block_bytes=4096)
+    return out.select("source_file", "source_sheet", "row_no", F.array_join("cells", "|", "").alias("cells"))
+
+
+_BANK_ROWS = f""", t AS (SELECT source_file, source_sheet, sheet_ord, CAST(bool_or(row_no <= 5 AND contains(array_to_string(cells, ' '), 'Payee')) AS INT) + CAST(bool_or(row_no <= 5 AND contains(array_to_string(cells, ' '), '借')) AS INT) AS score FROM c GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY score DESC, sheet_ord) AS k FROM t), z AS (SELECT c.* FROM c JOIN r USING (source_file, source_sheet) WHERE k = 1),
+    s AS (SELECT source_file, max(CASE WHEN row_no = 1 THEN cells END) AS one, max(CASE WHEN row_no = 2 THEN cells END) AS two FROM z WHERE row_no <= 2 GROUP BY ALL),
+    p AS (SELECT source_file, CASE WHEN 2 * len(list_filter(one, lambda v: trim(v) = '' OR starts_with(v, 'Unnamed') OR TRY_CAST(v AS DOUBLE) IS NOT NULL)) > len(one) AND two IS NOT NULL THEN 2 ELSE 1 END AS header_row FROM s),
+    h AS (SELECT source_file, min(row_no) FILTER (WHERE row_no <= 20 AND len(list_filter(cells, lambda v: trim(v) <> '')) >= 9) AS head FROM z GROUP BY ALL),
+    a AS (SELECT source_file, source_sheet, row_no, {_AT.format(k=3)} AS side, abs(CAST(round(({_amount_sql(_AT.format(k=10))}) * 100) AS BIGINT)) AS amount_cents FROM z),
+    lc AS (SELECT *, row_no AS orig, row_number() OVER (PARTITION BY source_file ORDER BY row_no) AS place FROM ledger_cells),
+    la AS (SELECT source_file, source_sheet, place, orig % 2 = 0 AS y, cells FROM lc WHERE regexp_matches(cells[1], '[0-9]')), lb AS (SELECT *, CASE WHEN y THEN cells[10] ELSE cells[8] END AS debit, CASE WHEN y THEN cells[11] ELSE cells[9] END AS credit FROM la),
+    ln AS (SELECT *, {_NET} AS net FROM lb)"""
+
+
+@query(sql_view("cells", "ledger_cells") + _ROWS[len(sql_view("cells")) :] + _BANK_ROWS + """ SELECT source_file, source_sheet, CAST(row_no AS INT) AS row_no, CASE side WHEN '借' THEN 'out' ELSE 'in' END AS flow, amount_cents, header_row, row_no <= coalesce(head + 8, 30) AS sampled
+    FROM a JOIN p USING (source_file) JOIN h USING (source_file) WHERE side <> '' AND amount_cents > 0 UNION ALL SELECT source_file, source_sheet, CAST(place AS INT), CASE WHEN net > 0 THEN 'in' ELSE 'out' END, abs(net), NULL, NULL FROM ln WHERE net <> 0""")
+def grid_sheets(spark, d):
+    """Exported sheets read back: the chosen sheet of each statement with its header row and sample, cleaned; ledgers cleaned."""
+    cells = records.read_cells(spark, _exported(spark, view(spark, d, "cells"), "row_key"), every=True, naming=_NAMING).withColumn("source_id", F.col("source_file"))
+    cells = materialise(cells, "grid-cells")
+    key = ["source_file", "source_sheet"]
+    chosen = cells.join(layout.select_sheet(cells, ["payee", "借"]), key, "left_semi")
+    told = layout.promote_header(chosen).select(*key, "header_row")
+    sampled = layout.smart_sample(chosen, header_min=9).select(*key, "row_no", F.lit(True).alias("sampled"))
+    rows = cleaning.clean_bank_positional(chosen).join(told, key).join(sampled, [*key, "row_no"], "left")
+    bank = rows.select(*key, "row_no", "flow", "amount_cents", "header_row", F.coalesce("sampled", F.lit(False)).alias("sampled"))
+    ledger = records.read_cells(spark, _exported(spark, view(spark, d, "ledger_cells"), "row_no"), naming=_NAMING).withColumn("source_id", F.col("source_file"))
+    entries = cleaning.clean_ledger_positional(ledger).select(*key, "row_no", "flow", "amount_cents", F.lit(None).cast("int").alias("header_row"), F.lit(None).cast("boolean").alias("sampled"))
+    return bank.unionByName(entries)
+
+
+def _sheets_of_layouts(spark, d):
+    """Sheets of three layouts, one with a name twice, and of a fourth that no parser knows; each with a title above its header."""
+    raw = view(spark, d, "raw").where("own_day is not null")
+    kind = F.pmod(F.col("k"), F.lit(4)).cast("int")
+    day, cents = F.col("own_day").cast("string"), F.col("cents").cast("string")
+    shapes = [F.array(day, cents, F.lit("x"), F.lit("")), F.array(cents, F.lit("y"), day, cents), F.array(F.lit("z"), day, F.lit("w"), F.concat(cents, F.lit("0"))), F.array(day, day, day, day)]
+    heads = [["date", "amount", "note", "more"], ["amount", "memo", "booked", "amount"], ["who", "booked", "what", "mills"], ["a", "b", "c", "d"]]
+    body = raw.select(F.concat(F.lit("f"), kind.cast("string")).alias("source_file"), F.lit("s").alias("source_sheet"), (F.col("k") + 3).cast("int").alias("row_no"), F.element_at(F.array(*shapes), kind + 1).alias("cells"))
+    head = spark.createDataFrame([(f"f{n}", "s", 2, h) for n, h in enumerate(heads)] + [(f"f{n}", "s", 1, ["title"]) for n in range(4)], "source_file string, source_sheet string, row_no int, cells array<string>")
+    return body.unionByName(head), heads
+
+
+def _parsers(heads):
+    import pandas as pd
+
+    def parser(day: str, amount: str, factor: int):
+        return lambda rows: pd.DataFrame({"source_file": rows["source_file"], "row_no": rows["row_no"], "day": rows[day], "cents": rows[amount].astype("int64") // factor})
+
+    signature = lambda names: hashlib.md5("|".join(sorted(names)).encode()).hexdigest()[:8]
+    return {signature(h): parser(*how) for h, how in zip(heads, [("date", "amount", 1), ("booked", "amount", 1), ("booked", "mills", 10)])}
+
+
+@query(sql_view("raw") + " SELECT 'f' || k % 4 AS source_file, CAST(k + 3 AS INT) AS row_no, strftime(own_day, '%Y-%m-%d') AS day, cents FROM raw WHERE k % 4 < 3")
+def layouts_by_signature(spark, d):
+    cells, heads = _sheets_of_layouts(spark, d)
+    return cleaning.apply_layouts(cells, "source_file string, row_no int, day string, cents long", _parsers(heads), together=500)[0]
+
+
+@query(sql_view("raw") + " SELECT 'f3' AS source_file, 's' AS source_sheet, substr(md5('a|b|c|d'), 1, 8) AS signature, count(*) AS rows FROM raw WHERE k % 4 = 3 HAVING count(*) > 0")
+def layouts_unknown(spark, d):
+    cells, heads = _sheets_of_layouts(spark, d)
+    return cleaning.apply_layouts(cells, "source_file string, row_no int, day string, cents long", _parsers(heads))[1]
