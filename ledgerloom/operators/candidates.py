@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import counterparty_key, infer_period, join_unique_array
-from ..functions.similarity import text_similarity
-from ..functions.subset import subset_sum, subset_sums
+from ..functions.similarity import ratio, text_similarity
+from ..functions.subset import consistency, normalized, pool_subsets, subset_sum, unique_joined
 from .pairs import joined_by_bucket, pair_candidates, record_text
 from .scratch import materialise
 
@@ -187,23 +187,101 @@ def _run_members(df: DataFrame, spans: DataFrame, ids: str) -> DataFrame:
     return wanted.join(placed, [*key, "pos"]).groupBy("wid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias(ids))
 
 
+#: Places of a bucket whose runs are told in one task.
+STRETCH = 1000
+
+
+def told_runs(df: DataFrame, least: int, most: int) -> DataFrame:
+    """The runs of :func:`runs` with what ranks groups of them: account, month, flow, first, n, total, start, end, days (sum),
+    consistency, and ``name``, the first id, which sorts like the ids joined by ``|``.
+
+    Stretches of a bucket, with what the last runs reach into, are told in a task each, member by member.
+    """
+    key = ["account", "month", "flow"]
+    along = Window.partitionBy(*key).orderBy("day", "ord")
+    said = counterparty_key("counterparty_name", "summary").alias("cp")
+    placed = df.select(*key, "id", "cents", F.unix_date("day").cast("long").alias("at"), said, F.row_number().over(along).alias("pos"))
+    stretch = F.floor((F.col("pos") - 1) / STRETCH)
+    # A row also belongs to the stretch before, if runs that begin there reach it.
+    late = (F.col("pos") - 1) % STRETCH < most - 1
+    dealt = placed.withColumn("stretch", F.explode(F.when(late & (stretch > 0), F.array(stretch - 1, stretch)).otherwise(F.array(stretch))))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = list(group.sort_values("pos").itertuples(index=False))
+        out, end = [], (rows[0].stretch + 1) * STRETCH
+        for k, first in enumerate(rows):
+            if first.pos > end:
+                break
+            counts: dict[str, int] = {}
+            total = days = top = 0
+            for n, r in enumerate(rows[k : k + most], 1):
+                total, days = total + r.cents, days + r.at
+                counts[r.cp] = counts.get(r.cp, 0) + 1
+                top = max(top, counts[r.cp])
+                if n >= least:
+                    out.append((first.pos, n, total, first.at, r.at, days, top / n, first.id + "|" * (n > 1)))
+        told = pd.DataFrame(out, columns=["first", "n", "total", "start", "end", "days", "consistency", "name"])
+        return told.assign(**{c: rows[0]._asdict()[c] for c in key})
+
+    schema = "first long, n long, total long, start long, end long, days long, consistency double, name string, account string, month string, flow string"
+    return dealt.groupBy(*key, "stretch").applyInPandas(run, schema)
+
+
+def _best_windows(b: DataFrame, g: DataFrame, tolerance: int, keep: int) -> DataFrame:
+    """The ``keep`` best pairs of told runs with equal totals: account, month, flow, and first and n of either side.
+
+    Runs that agree in all that ranks them are a class, and classes meet, not runs: of the ``keep`` best pairs of classes, by
+    their ranks and first names, the first runs are all that can be among the best.
+    """
+    key = ["account", "month", "flow"]
+    same = [*key, "total", "n", "start", "end", "days", "consistency"]
+    classes = [materialise(d.groupBy(*same).agg(F.min("name").alias("name")), "run-classes") for d in (b, g)]
+    one = classes[0].select(*key, *[F.col(c).alias(f"b_{c}") for c in (*same[3:], "name")], F.col("total").alias("sum"))
+    spread = F.explode(F.sequence(F.col("total") - tolerance, F.col("total") + tolerance))
+    two = classes[1].select(*key, *[F.col(c).alias(f"l_{c}") for c in (*same[3:], "name")], spread.alias("sum"))
+    rank = [
+        F.desc(F.least("b_consistency", "l_consistency")), F.asc(F.greatest("b_end", "l_end") - F.least("b_start", "l_start")),
+        F.asc(F.abs(F.col("b_days") / F.col("b_n") - F.col("l_days") / F.col("l_n"))), F.asc(F.col("b_n") + F.col("l_n")), F.asc("b_name"), F.asc("b_n"), F.asc("l_name"), F.asc("l_n"),
+    ]
+    best = materialise(one.join(two, [*key, "sum"]).orderBy(*rank).limit(keep), "best-classes")
+
+    def firsts(d: DataFrame, p: str) -> DataFrame:
+        wanted = best.select(*key, *[F.col(f"{p}_{c}").alias(c) for c in same[3:]]).distinct()
+        place = F.row_number().over(Window.partitionBy(*same).orderBy("name"))
+        few = d.join(F.broadcast(wanted), same, "left_semi").withColumn("_k", place).where(F.col("_k") <= keep)  # ``keep`` classes
+        return few.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in (*same[3:], "name", "first")])
+
+    pairs = best.drop("b_name", "l_name", "sum").join(firsts(b, "b"), [*key, *[f"b_{c}" for c in same[3:]]]).join(firsts(g, "l"), [*key, *[f"l_{c}" for c in same[3:]]])
+    return pairs.orderBy(*rank).limit(keep)
+
+
 def window_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, bank_most: int = 80, ledger_least: int = 2, ledger_most: int = 12, keep: int | None = 50) -> DataFrame:
     """Runs of bank rows against runs of entries of the same bucket with equal totals; the ``keep`` best of the job: one
     counterparty first, then the shortest span, the nearest means, the fewest members; all without ``keep``.
 
-    With ``ledger_least`` = ``ledger_most`` = 1 these are runs against single entries.
+    With ``keep``, runs that rank alike meet as one, so a bucket of equal amounts does not meet itself run by run. With
+    ``ledger_least`` = ``ledger_most`` = 1 these are runs against single entries.
     """
     key = ["account", "month", "flow"]
     shared = bank.select(*key).distinct().join(ledger.select(*key).distinct(), key)
-    b = runs(bank.join(shared, key, "left_semi"), 2, bank_most)
-    g = runs(ledger.join(shared, key, "left_semi"), ledger_least, ledger_most).withColumn("at", F.explode(F.sequence(F.col("total") - tolerance, F.col("total") + tolerance)))
-    told = lambda d, p: d.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in d.columns if c not in key])
-    met = told(b, "banks").withColumn("sum", F.col("banks_total")).join(told(g, "ledgers").withColumn("sum", F.col("ledgers_at")), [*key, "sum"])
+    bank, ledger = bank.join(shared, key, "left_semi"), ledger.join(shared, key, "left_semi")
+    if keep is not None:
+        b, g = (materialise(told_runs(d, *size), "told-runs") for d, size in ((bank, (2, bank_most)), (ledger, (ledger_least, ledger_most))))
+        met = _best_windows(b, g, tolerance, keep)
+        met = met.select(
+            *key, *[x for p, s in (("b", "banks"), ("l", "ledgers")) for x in (F.col(f"{p}_first").alias(f"{s}_first"), (F.col(f"{p}_first") + F.col(f"{p}_n") - 1).alias(f"{s}_last"), F.col(f"{p}_total").alias(f"{s}_total"))],
+            F.date_from_unix_date(F.least("b_start", "l_start").cast("int")).alias("start"), F.date_from_unix_date(F.greatest("b_end", "l_end").cast("int")).alias("end"),
+        )
+    else:
+        b = runs(bank, 2, bank_most)
+        g = runs(ledger, ledger_least, ledger_most).withColumn("at", F.explode(F.sequence(F.col("total") - tolerance, F.col("total") + tolerance)))
+        told = lambda d, p: d.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in d.columns if c not in key])
+        met = told(b, "banks").withColumn("sum", F.col("banks_total")).join(told(g, "ledgers").withColumn("sum", F.col("ledgers_at")), [*key, "sum"])
+        met = met.withColumns({"start": F.least("banks_period_start", "ledgers_period_start"), "end": F.greatest("banks_period_end", "ledgers_period_end")})
     met = materialise(met.withColumn("wid", F.monotonically_increasing_id()), "windows")
-    start, end = F.least("banks_period_start", "ledgers_period_start"), F.greatest("banks_period_end", "ledgers_period_end")
     kind = "manual_time_window_many_to_many" if ledger_most > 1 else "contiguous_many_to_one"
     groups = met.join(_run_members(bank, met, "banks"), "wid").join(_run_members(ledger, met, "ledgers"), "wid").select(
-        F.lit(kind).alias("match_type"), "banks", "ledgers", F.col("banks_total").alias("bank_cents"), F.col("ledgers_total").alias("ledger_cents"), F.lit(None).cast("double").alias("score"), start.alias("period_start"), end.alias("period_end"),
+        F.lit(kind).alias("match_type"), "banks", "ledgers", F.col("banks_total").alias("bank_cents"), F.col("ledgers_total").alias("ledger_cents"), F.lit(None).cast("double").alias("score"), F.col("start").alias("period_start"), F.col("end").alias("period_end"),
     )
     out = measured(groups, bank, ledger).withColumn("score", many_score())
     return (out if keep is None else out.orderBy(*many_order()).limit(keep)).select(*COLUMNS)  # a feature: the best `keep`
@@ -214,9 +292,41 @@ def many_order() -> list[Column]:
     return [F.desc("consistency"), F.asc("span"), F.asc("gap"), F.asc("members"), F.desc("score"), F.asc(F.concat_ws("|", "banks")), F.asc(F.concat_ws("|", "ledgers"))]
 
 
+def entry_runs(entries: list, longest: int = 8, most: int = 180) -> list[list]:
+    """The first ``most`` runs of up to ``longest`` entries, those of one counterparty first, then the fewest members, the
+    fewest days, the largest sum. Entries have cp, day and cents."""
+    found = [entries[at : at + n] for at in range(len(entries)) for n in range(1, min(longest, len(entries) - at) + 1)][:most]
+    rank = lambda es: (consistency([e.cp for e in es]), -len(es), -(max(e.day for e in es) - min(e.day for e in es)).days, sum(e.cents for e in es))
+    return sorted(found, key=rank, reverse=True)
+
+
+def bank_subsets(banks: list, entries: list, tolerance: int, results: int, most: int = 40, steps: int = 200_000) -> list[list]:
+    """Up to ``results`` subsets of the bank rows that sum to the entries, the first that the search finds, best first.
+
+    The pool is ranked by similarity to the entries' text, nearness to their mean day, agreement of counterparties and the
+    smaller amount; subsets by similarity, counterparties, span and members.
+    """
+    target = sum(e.cents for e in entries)
+    told = normalized(unique_joined(e.said for e in entries))
+    centre = sum(e.day.toordinal() for e in entries) / len(entries)
+    cps = [e.cp for e in entries]
+    pool = [b for b in banks if 0 < b.cents <= target + tolerance]
+    pool = sorted(pool, key=lambda b: (ratio(normalized(b.said), told), -abs(b.day.toordinal() - centre), consistency([b.cp, *cps]), -b.cents), reverse=True)
+    found, _ = pool_subsets([b.cents for b in pool], target, tolerance, most, results, steps)
+
+    def rank(bs: list) -> tuple:
+        days = [r.day for r in (*bs, *entries)]
+        alike = ratio(normalized(unique_joined(b.said for b in bs)), told)
+        return alike, min(consistency([b.cp for b in bs]), consistency(cps)), -(max(days) - min(days)).days, -(len(bs) + len(entries))
+
+    return sorted(([pool[k] for k in places] for places in found), key=rank, reverse=True)
+
+
 def monthly_balances(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, most: int = 120, bank_pool: int = 90, ledger_pool: int = 30, each: int = 8, keep: int = 80, subsets: bool = True) -> DataFrame:
     """Buckets (account, month, flow) whose first ``bank_pool`` and ``ledger_pool`` rows have equal totals: as a whole, up
-    to ``most`` records, and in parts: runs of up to 8 entries (the first 180 runs) against subsets of the bank rows.
+    to ``most`` records, and in parts: runs of up to 8 entries (the first 180 runs) against subsets of the bank rows. Runs of
+    one counterparty come first, then the shortest; for each, the bank rows are ranked anew by text and nearness, and
+    subsets are searched in that order.
 
     The ``each`` best of a bucket and the first ``keep`` of the job, by bucket, stay. Totals are compared first, so only
     buckets that agree gather their rows, and of those no more than both pools.
@@ -226,7 +336,8 @@ def monthly_balances(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, mos
     b, g = first(bank, bank_pool), first(ledger, ledger_pool)
     sums = [d.groupBy(*key).agg(F.sum("cents").alias(f"s{p}")) for d, p in ((b, "b"), (g, "l"))]
     hits = sums[0].join(sums[1], key).where(F.abs(F.col("sb") - F.col("sl")) <= tolerance).select(*key)
-    rows = [d.join(hits, key, "left_semi").select(*key, F.lit(side).alias("side"), "_k", "id", "cents", "day") for d, side in ((b, "bank"), (g, "ledger"))]
+    said, cp = record_text(bank).alias("said"), counterparty_key("counterparty_name", "summary").alias("cp")
+    rows = [d.join(hits, key, "left_semi").select(*key, F.lit(side).alias("side"), "_k", "id", "cents", "day", said, cp) for d, side in ((b, "bank"), (g, "ledger"))]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "_k"])
@@ -238,14 +349,13 @@ def monthly_balances(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, mos
                 days = [r.day for r in (*bs, *es)]
                 made.setdefault((frozenset(r.id for r in bs), frozenset(r.id for r in es)), ("manual_monthly_balance_many_to_many", [r.id for r in bs], [r.id for r in es], sum(r.cents for r in bs), sum(r.cents for r in es), None, min(days), max(days)))
 
-        spans = [(at, at + n) for at in range(len(entries)) for n in range(1, min(8, len(entries) - at) + 1)][:180] if subsets else []
-        for lo, hi in sorted(spans, key=lambda s: s[1] - s[0]):
+        for es in entry_runs(entries) if subsets else []:
             if len(made) >= each:
                 break
-            total = sum(e.cents for e in entries[lo:hi])
-            found, _ = subset_sums([r.cents for r in banks], total, tolerance, 40, 1, 20_000, each - len(made))
-            for places in found:
-                add([banks[p] for p in places], entries[lo:hi])
+            for bs in bank_subsets(banks, es, tolerance, each - len(made)):
+                add(bs, es)
+                if len(made) >= each:
+                    break
         if len(banks) + len(entries) <= most:
             add(banks, entries)
         return pd.DataFrame(list(made.values()), columns=COLUMNS).assign(**{c: group[c].iloc[0] for c in key})
