@@ -2,7 +2,8 @@
 
 Documents with the same n-gram set are one class. Classes go down random trees: at a node a few coordinates of the
 min-hash signature are sampled, about 1/similarity of them, and the classes that share the sampled token go on
-together; nodes that are small, or at the last level, are leaves, where all pairs are compared by their signatures.
+together; nodes that are small, dense (alike on average, as large groups of near copies are) or at the last level are
+leaves, where all pairs are compared by their signatures.
 Runs with other samples are added until a pair at the threshold is met with the target recall. A pair that several
 leaves hold belongs to the first of them, so a class's text goes to the leaves that have a likely partner of it that it
 meets nowhere earlier, mostly one or two, and there such pairs are decided exactly on the n-gram sets. Large leaves are
@@ -26,10 +27,12 @@ from .components import components
 
 N = 5
 SIMILARITY = 0.8
-RECALL = 0.999
+RECALL = 0.995
 COORDINATES = 128
 #: Nodes up to this size are leaves; after LEVELS levels all are, however large, and are compared in parts.
 LEAF, LEVELS = 256, 4
+#: So are nodes whose members are as alike as this on average, told from about SEEN of them: splitting would not make them smaller.
+DENSE, SEEN = 0.9 * SIMILARITY, 64
 #: Classes of a leaf, and n-grams of those of a leaf with likely partners, that meet those of another part in one task.
 PART, PART_GRAMS = 1024, 4_000_000
 #: Bytes of a text that are hashed at once, and n-grams of a meeting that are compared at once.
@@ -195,26 +198,58 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, h long, size long, f1 long, f2 long, sig array<int>")
 
 
+def mean_similarity(sig: np.ndarray) -> float:
+    """Mean over all pairs of rows of the share of coordinates that agree."""
+    n = len(sig)
+    if n < 2:
+        return 0.0
+    equal = 0
+    for c in range(sig.shape[1]):
+        counts = np.unique(sig[:, c], return_counts=True)[1].astype(np.int64)
+        equal += int((counts * (counts - 1)).sum())
+    return equal / (n * (n - 1) * sig.shape[1])
+
+
+def _dense(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node): the nodes of ``large`` (node, n, cls) whose members are alike on average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [mean_similarity(sigs.values.flatten().to_numpy().reshape(len(sigs), -1)) for sigs in batch.column(1)]
+            keep = pa.array([t >= DENSE for t in told], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], ["node"])
+
+    share = F.pmod(F.xxhash64("cls", "node", F.lit(23)), F.lit(1 << 30)) < F.lit(SEEN * 2.0**30) / F.col("n")
+    seen = materialise(large.where(share).select("node", "cls"), "op1-seen")
+    sigs = seen.join(classes.select("cls", "sig"), "cls").groupBy("node").agg(F.collect_list("sig").alias("sigs"))  # about SEEN a node
+    return sigs.mapInArrow(run, "node long").select(F.col("node").alias("_node"), F.lit(True).alias("dense"))
+
+
 def _leaves(classes: DataFrame, runs: int, leaf: int) -> DataFrame:
     """(node, cls, n): the leaves with two classes at least, of all runs."""
     rng = np.random.default_rng(SEED + 2)
     roots = [(r, int(c)) for r in range(runs) for c in rng.choice(COORDINATES, roots_of(r), replace=False)]
     spots = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit(c).alias("c"), F.col("sig")[c].alias("token")) for r, c in roots])).alias("s")
     level = classes.select("cls", spots).select(F.xxhash64("s.run", "s.c", "s.token").alias("node"), "cls")
+    share = round(1024 / (SIMILARITY * COORDINATES))
     leaves = None
     for depth in range(1, LEVELS + 1):
-        # Written, so that a node with a large share of the rows can be split where it is joined.
-        sizes = materialise(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "op1-sizes")
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         level = materialise(level.join(sizes, "node"), "op1-level")
-        done = level.where(F.col("n") <= leaf) if depth < LEVELS else level
-        leaves = done if leaves is None else leaves.unionByName(done)
         large = level.where(F.col("n") > leaf)
         if depth == LEVELS or large.isEmpty():
-            break
-        share = round(1024 / (SIMILARITY * COORDINATES))
+            return level if leaves is None else leaves.unionByName(level)
+        dense = _dense(large, classes)
+        # What there is to split: one row a node.
+        split = large.select("node").distinct().join(dense, F.col("node") == F.col("_node"), "left_anti")
         sampled = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1024)) < share)
-        picks = sizes.where(F.col("n") > leaf).select("node", F.explode(sampled).alias("c"))  # the same for all classes of a node
-        level = large.select("node", "cls").join(picks, "node").join(classes.select("cls", "sig"), "cls")
+        picks = materialise(split.select("node", sampled.alias("picked")), "op1-picks")  # the same for all classes of a node
+        done = level.join(picks.select("node"), "node", "left_anti")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if picks.isEmpty():
+            return leaves
+        level = large.select("node", "cls").join(picks, "node").withColumn("c", F.explode("picked")).drop("picked")
+        level = level.join(classes.select("cls", "sig"), "cls")
         level = level.select(F.xxhash64("node", "c", F.expr("sig[c]")).alias("node"), "cls").distinct()
     return leaves
 
@@ -245,16 +280,20 @@ def _lowest(cls: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _met_earlier(nodes: list[np.ndarray], node: int) -> np.ndarray:
     """Which rows of a meeting of ``node`` share a node below it too (a matrix); ``nodes`` are the rows' lists of leaves."""
     own = [x[x < node] for x in nodes]
+    met = np.zeros((len(own), len(own)), bool)
     rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    tokens, at, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    at, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True, return_counts=True)[1:]
     shared = n > 1
-    if not shared.any():
-        return np.zeros((len(own), len(own)), bool)
-    place = np.cumsum(shared) - 1
     keep = shared[at]
-    m = np.zeros((len(own), int(shared.sum())), np.float32)
-    m[rows[keep], place[at[keep]]] = 1
-    return m @ m.T > 0
+    rows, at = rows[keep], (np.cumsum(shared) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    rows, at, width = rows[order], at[order], 512
+    for low in range(0, int(shared.sum()), width):
+        span = slice(*np.searchsorted(at, [low, low + width]))
+        m = np.zeros((len(own), width), np.float32)
+        m[rows[span], at[span] - low] = 1
+        met |= m @ m.T > 0
+    return met
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -496,3 +496,23 @@ def test_language_by_plain_counts():
     language = max(by_language, key=by_language.get)
     got = model.predict(text)
     assert got[:2] == (language, family) and abs(got[2] - by_family[family] * by_language[language]) < 1e-5
+
+
+def test_dense_nodes_are_leaves(spark):
+    """A large group of near copies is not split: all its links are found with the first runs."""
+    rng = random.Random(41)
+    words = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(300):
+        mine = list(words)
+        mine[rng.randrange(120)] = f"x{k}"
+        texts.append(" ".join(mine))
+    texts += [" ".join(f"y{rng.randrange(400)}" for _ in range(60)) for _ in range(60)]
+    _, alike = _alike(texts)
+    want = {k: 0 for k in range(len(texts))}
+    for a, _ in alike:
+        want[a] += 1
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.similar_documents(_docs(spark, texts), leaf=40).collect()}
+    assert got == want and max(want.values()) == 299
+    sig = np.array([[1, 2, 3], [1, 2, 4], [1, 5, 3]])
+    assert ngram_join.mean_similarity(sig) == (2 + 2 + 1) / 9 and ngram_join.mean_similarity(sig[:1]) == 0.0
