@@ -29,9 +29,10 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Labelled documents of each language to learn from.
 PER_LANGUAGE = 700
-#: Languages to learn at most, the most frequent ones: so many take 4,950 machines (80 MB), if no family holds two of them.
-MOST_LANGUAGES = 100
 FEATURES = 4096
+#: Bytes of a model that may go to every task: 32,000 machines, for 250 languages of as many families or more in fewer.
+#: More is refused with an error; no language is left out.
+MOST_BYTES = 512 << 20
 UNDETERMINED = "und"
 
 
@@ -112,32 +113,45 @@ class Model:
         return language, family, by_family[family] * by_language[language]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> Model:
     """Train on at most ``per_language`` documents of each language with crc32(id) mod 3 not 1 and a text.
 
-    Of more than ``most_languages`` languages the most frequent are learnt, with fewer documents decided by the code.
-    Without labelled documents nothing is learnt, and every text is ``und``.
+    All languages are learnt, one machine a task. If their machines would take more than ``most_bytes``, a ValueError says
+    so. Without labelled documents nothing is learnt, and every text is ``und``.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     labelled = labelled.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    chosen = bounded_sample(labelled.select("doc_id", "lang"), "lang", "doc_id", per_language, most_languages)
-    # At most per_language ids a language: the broadcast has a fixed size.
-    ids = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
-    sample = materialise(labelled.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text"), "op4-sample")
-    languages = [r["lang"] for r in sample.select("lang").distinct().collect()]
-    families, pairs = _pairs(languages)
-    sides = [(level, a, b, side, code) for level, a, b in pairs for side, name in ((1, a), (-1, b)) for code in (families[name] if level == "family" else [name])]
+    # Codes that are not listed have machines for every two of them: with more languages than these there are too many.
+    enough = len(FAMILY_OF) + 2 + int((2 * most_bytes / (4 * (FEATURES + 1))) ** 0.5)
+    found = [r["lang"] for r in labelled.select("lang").distinct().limit(enough).collect()]
+    families, pairs = _pairs(found)
+    if 4 * (FEATURES + 1) * len(pairs) > most_bytes:
+        raise ValueError(f"{len(found)} languages or more take {len(pairs)} machines, more than {most_bytes} bytes hold: give a larger most_bytes or group languages into families")
     if not pairs:
         return Model(families, {})
+    chosen = bounded_sample(labelled.select("doc_id", "lang"), "lang", "doc_id", per_language, len(found))
+    # At most per_language ids a language, and languages have a bound: the broadcast has one, too.
+    ids = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct())
+    sample = labelled.join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = pa.array([features_of(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), features], ["doc_id", "lang", "features"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    sample = materialise(sample.mapInArrow(measured, f"doc_id {kind}, lang string, features binary"), "op4-sample")
+    sides = [(level, a, b, side, code) for level, a, b in pairs for side, name in ((1, a), (-1, b)) for code in (families[name] if level == "family" else [name])]
     table = sample.sparkSession.createDataFrame(sides, "level string, a string, b string, side int, code string")
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "doc_id"], kind="stable")
-        w, slope = support_vector_machine(np.array([features_of(t) for t in group["text"]]), group["side"].to_numpy(np.float32))
-        return pd.DataFrame({"level": group["level"].iloc[:1], "a": group["a"].iloc[:1], "b": group["b"].iloc[:1], "w": [w.tolist()], "slope": [slope]})
+        x = np.frombuffer(b"".join(group["features"]), np.float32).reshape(len(group), FEATURES)
+        w, slope = support_vector_machine(x, group["side"].to_numpy(np.float32))
+        return pd.DataFrame({"level": group["level"].iloc[:1], "a": group["a"].iloc[:1], "b": group["b"].iloc[:1], "w": [w.tobytes()], "slope": [slope]})
 
-    trained = sample.join(F.broadcast(table), F.col("lang") == F.col("code")).groupBy("level", "a", "b").applyInPandas(train, "level string, a string, b string, w array<float>, slope double").collect()
-    return Model(families, {(r["level"], r["a"], r["b"]): (np.array(r["w"], np.float32), r["slope"]) for r in trained})
+    trained = sample.join(F.broadcast(table), F.col("lang") == F.col("code")).groupBy("level", "a", "b").applyInPandas(train, "level string, a string, b string, w binary, slope double").collect()
+    return Model(families, {(r["level"], r["a"], r["b"]): (np.frombuffer(r["w"], np.float32), r["slope"]) for r in trained})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

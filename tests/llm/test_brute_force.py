@@ -516,3 +516,17 @@ def test_dense_nodes_are_leaves(spark):
     assert got == want and max(want.values()) == 299
     sig = np.array([[1, 2, 3], [1, 2, 4], [1, 5, 3]])
     assert ngram_join.mean_similarity(sig) == (2 + 2 + 1) / 9 and ngram_join.mean_similarity(sig[:1]) == 0.0
+
+
+def test_every_language_is_learnt(spark):
+    """150 languages, each with words of its own; more than fit are refused, not dropped."""
+    rng = random.Random(51)
+    stock = {f"q{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(150)}
+    rows = [(len(stock) * i + k, " ".join(rng.choice(words) for _ in range(40)), lang) for i in range(5) for k, (lang, words) in enumerate(stock.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = lang_id.identify(docs, lang_id.learn(docs, per_language=3)).collect()
+    truth = {r[0]: r[2] for r in rows}
+    right = [r["lang_pred"] == truth[r["doc_id"]] for r in out if r["held_out"]]
+    assert len(right) > 150 and sum(right) / len(right) > 0.95 and len({r["lang_pred"] for r in out}) >= 145
+    with pytest.raises(ValueError, match="languages or more"):
+        lang_id.learn(docs, most_bytes=64 << 20)
