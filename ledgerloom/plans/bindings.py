@@ -48,3 +48,12 @@ def ctes(*names: str, cents: str = SPARSE) -> str:
     """The same views as the head of a DuckDB query."""
     plain = {t: t for t in TABLES}
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n].replace('{cents}', cents).format(**plain)})" for n in names)
+
+
+def ratio_sql(a: str, b: str) -> str:
+    """SQL for the similarity of two normalised texts: twice their longest common subsequence over both lengths, row by row."""
+    start = f"list_transform(range(0, len({a}) + 1), lambda z: CAST(0 AS BIGINT))"
+    cell = f"greatest(prev[i + 1], acc[-1], prev[i] + CAST(({a})[i] = ch AS BIGINT))"
+    row = f"list_reduce(CAST(range(1, len({a}) + 1) AS BIGINT[]), lambda acc, i: list_append(acc, {cell}), [CAST(0 AS BIGINT)])"
+    common = f"list_last(list_reduce(string_split({b}, ''), lambda prev, ch: {row}, {start}))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {common} / (len({a}) + len({b})) END"

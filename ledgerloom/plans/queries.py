@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching, orders, pairs, reports
-from .bindings import DENSE, SPARSE, ctes, view
+from .bindings import DENSE, SPARSE, ctes, ratio_sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,6 +234,21 @@ def pair_scores_all(spark, d):
     return _pair_scores(spark, d)
 
 
+_NAMED = _sql_pairs(DENSE).rstrip() + f""", t AS (SELECT *, lower(bn) || (b_ord % 1000) AS x, (l_ord % 1000) || lower(ln) || 'co.' AS y FROM (SELECT bank, ledger, day_diff, cent_diff, bn, ln, b_ord, l_ord FROM e WHERE b_ord % 5 = 0 AND l_ord % 2 = 1))
+    SELECT bank, ledger, round(0.52::DOUBLE * (1 - cent_diff / 2.0::DOUBLE) + 0.25::DOUBLE * (1 - day_diff / 31.0::DOUBLE) + 0.23::DOUBLE * {ratio_sql('x', 'y')}, 4) AS score FROM t"""
+
+
+@query(_NAMED)
+def pair_scores_named(spark, d):
+    """Scores of every fifth bank row with first entries, under names that share parts: numbers, the name, and more."""
+    bank, ledger = _records(spark, d, DENSE)
+    bank = bank.where("ord % 5 = 0").withColumn("counterparty_name", F.concat("counterparty_name", F.lit(" "), F.col("ord") % 1000))
+    ledger = ledger.where("ord % 2 = 1").withColumn("counterparty_name", F.concat(F.col("ord") % 1000, F.lit("-"), "counterparty_name", F.lit(" Co.")))
+    ledger = ledger.withColumns({"summary": F.lit(""), "subject": F.lit("")})
+    out = pairs.scored(pairs.pair_candidates(bank, ledger))
+    return out.select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "score")
+
+
 @query()
 def one_to_one(spark, d):
     return pairs.one_to_one(*_records(spark, d, DENSE))
@@ -269,9 +284,22 @@ def fee_groups(spark, d):
     return matching.fee_groups(pairs.to_records(view(spark, d, "fee_bank"), "bank"), pairs.to_records(view(spark, d, "fee_ledger"), "ledger"))
 
 
-@query()
+_MOVES = _sql_pairs(SPARSE, "b.flow <> l.flow", "true", 3, "l.summary LIKE '%调拨%' AND l.subject LIKE '%银行存款%'").replace("WITH ", "WITH RECURSIVE ", 1) + f""", m AS (SELECT e.*, regexp_replace(b.account_no, '[^0-9]', '', 'g') = regexp_replace(l.account_no, '[^0-9]', '', 'g') AS same,
+        0.52::DOUBLE * (1 - cent_diff / 2.0::DOUBLE) + 0.25::DOUBLE * (1 - day_diff / 4.0::DOUBLE) + 0.23::DOUBLE * {ALIKE} AS score, dense_rank() OVER (ORDER BY e.l_ord) AS turn FROM e JOIN bank b ON b.txn_id = e.bank JOIN ledger l ON l.entry_id = e.ledger),
+    open AS (
+        SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS taken
+        UNION ALL
+        SELECT o.turn + 1, list_concat(o.taken, coalesce((SELECT CASE WHEN count(*) FILTER (WHERE NOT same) > 0 OR count(*) = 1 THEN [arg_min(bank || '>' || ledger, (same, day_diff, -score, b_ord))] ELSE [] END
+            FROM m WHERE m.turn = o.turn + 1 AND NOT list_contains(list_transform(o.taken, lambda x: split_part(x, '>', 1)), bank)), [])) FROM open o WHERE o.turn < (SELECT max(turn) FROM m)
+    ), last AS (SELECT unnest(taken) AS pair FROM open WHERE turn = (SELECT max(turn) FROM m))
+    SELECT split_part(pair, '>', 1) AS bank_ids, split_part(pair, '>', 2) AS ledger_ids, round(0.55::DOUBLE * (1 - cent_diff / 2.0::DOUBLE) + 0.25::DOUBLE * (1 - day_diff / 4.0::DOUBLE) + 0.20::DOUBLE * (bn = ln)::INT, 4) AS score
+    FROM last JOIN m ON m.bank = split_part(pair, '>', 1) AND m.ledger = split_part(pair, '>', 2)"""
+
+
+@query(_MOVES)
 def transfers(spark, d):
-    return matching.transfers(*_records(spark, d))
+    out = matching.transfers(*_records(spark, d))
+    return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"), "score")
 
 
 @query()

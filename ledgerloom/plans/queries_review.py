@@ -133,7 +133,17 @@ def cand_all(spark, d):
     return candidates.build_candidates(*_records(spark, d))
 
 
-@query()
+_HELD = _BALANCE + """, hit AS (SELECT account_no, month, flow, b.s AS bs, l.s AS ls, b.n AS bn, l.n AS ln, b.ids AS bids, l.ids AS lids FROM b JOIN l USING (account_no, month, flow) WHERE abs(b.s - l.s) <= 1 AND b.n + l.n <= 120 AND b.n > 1 AND l.n > 1),
+    side AS (SELECT 'bank' AS side, account_no, month, flow, txn_id AS id, counterparty_name AS cp, transaction_date AS day FROM kb WHERE k <= 90 UNION ALL SELECT 'ledger', account_no, month, flow, entry_id, counterparty_name, transaction_date FROM kl WHERE k <= 240),
+    cps AS (SELECT side, account_no, month, flow, cp, count(*) AS n FROM side GROUP BY ALL), share AS (SELECT side, account_no, month, flow, max(n)::DOUBLE / sum(n) AS share FROM cps GROUP BY ALL),
+    days AS (SELECT side, account_no, month, flow, min(day) AS low, max(day) AS high, avg(day - DATE '1970-01-01') AS centre FROM side GROUP BY ALL),
+    told AS (SELECT h.*, least(x.share, y.share) AS agree, greatest(p.high, q.high) - least(p.low, q.low) AS span, abs(p.centre - q.centre) AS gap FROM hit h
+        JOIN share x ON x.side = 'bank' AND (x.account_no, x.month, x.flow) = (h.account_no, h.month, h.flow) JOIN share y ON y.side = 'ledger' AND (y.account_no, y.month, y.flow) = (h.account_no, h.month, h.flow)
+        JOIN days p ON p.side = 'bank' AND (p.account_no, p.month, p.flow) = (h.account_no, h.month, h.flow) JOIN days q ON q.side = 'ledger' AND (q.account_no, q.month, q.flow) = (h.account_no, h.month, h.flow)),
+    best AS (SELECT * FROM told ORDER BY agree DESC, span, gap, bn + ln, bids, lids LIMIT 50)"""
+
+
+@query(_HELD + " SELECT DISTINCT 'bank' AS side, unnest(string_split(bids, '|')) AS id FROM best UNION SELECT DISTINCT 'ledger', unnest(string_split(lids, '|')) FROM best")
 def cand_hold(spark, d):
     bank, ledger = _days(spark, d)
     return candidates.hold_ids(candidates.policy(candidates.monthly_balances(bank, ledger, ledger_pool=240, keep=1_000_000, subsets=False)), bank, ledger)
@@ -265,7 +275,10 @@ def cand_without_overlap(spark, d):
     return _flat(candidates.without_overlap(_made(spark, d)[0].drop("candidate_signature"))).select("bank_ids", "ledger_ids")
 
 
-@query()
+@query(_CAND + f""" SELECT candidate_signature, '{{"match_type":"one_to_one","score":' || CAST(round(0.7::DOUBLE * (cent_diff <= 1)::INT + 0.3::DOUBLE * {ALIKE}, 4) AS VARCHAR)
+    || ',"bank_rows":[{{"pos":0,"id":"' || b.txn_id || '","day":"' || strftime(b.transaction_date, '%Y-%m-%d') || '","cents":' || b.amount_cents || ',"summary":"' || b.summary || '"}}]'
+    || ',"ledger_rows":[{{"pos":0,"id":"' || l.entry_id || '","day":"' || strftime(l.transaction_date, '%Y-%m-%d') || '","cents":' || l.amount_cents || ',"summary":"' || l.summary || '"}}]}}' AS payload
+    FROM c JOIN bank b ON b.txn_id = c.bank JOIN ledger l ON l.entry_id = c.ledger""")
 def payload_json(spark, d):
     bank, ledger = _records(spark, d, DENSE)
     return review.payload(_made(spark, d)[0], bank, ledger)

@@ -11,7 +11,7 @@ from ..functions import scalars as s
 from ..operators import cleaning, layout, outbound, quality
 from ..operators.scratch import materialise, scratch_dir
 from ..sources import records
-from .bindings import TABLES, VIEWS, view
+from .bindings import TABLES, VIEWS, ratio_sql, view
 from .queries import query
 
 _X = "CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING)"
@@ -112,7 +112,7 @@ def month_keys(spark, d):
     return view(spark, d, "raw").select("k", s.month_from_path(path).alias("path_month"), s.month_from_filename(F.concat(m, F.lit("月.xlsx"))).alias("name_month"))
 
 
-@query()
+@query(f"SELECT c_custkey, round({ratio_sql('x', 'y')}, 6) AS similarity FROM (SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9#]', '', 'g') AS x, regexp_replace(lower(c_mktsegment || c_name), '[^a-z0-9#]', '', 'g') AS y FROM customer)")
 def text_similarity(spark, d):
     from ..functions.similarity import text_similarity as sim
 
