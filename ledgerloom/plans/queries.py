@@ -249,7 +249,19 @@ def pair_scores_named(spark, d):
     return out.select(F.col("b_id").alias("bank"), F.col("l_id").alias("ledger"), "score")
 
 
-@query()
+#: Amounts of different levels never meet, so the edges of each month, flow and level are gone through in their order.
+_GREEDY = _sql_pairs(DENSE).replace("WITH ", "WITH RECURSIVE ", 1) + f""", g AS (SELECT e.bank, e.ledger, e.b_ord, e.l_ord, round(0.52::DOUBLE * (1 - cent_diff / 2.0::DOUBLE) + 0.25::DOUBLE * (1 - day_diff / 31.0::DOUBLE) + 0.23::DOUBLE * {ALIKE}, 4) AS score,
+        strftime(b.transaction_date, '%Y-%m') || b.flow || (b.amount_cents + 1000) // 200000 AS part FROM e JOIN bank b ON b.txn_id = e.bank),
+    r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, b_ord, l_ord) AS turn FROM g WHERE score >= 0.58),
+    s AS (
+        SELECT DISTINCT part, CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS bank, CAST(NULL AS VARCHAR) AS ledger, CAST(NULL AS DOUBLE) AS score FROM r
+        UNION ALL
+        SELECT s.part, r.turn, CASE WHEN list_contains(s.used, r.bank) OR list_contains(s.used, r.ledger) THEN s.used ELSE list_concat(s.used, [r.bank, r.ledger]) END,
+            CASE WHEN NOT list_contains(s.used, r.bank) AND NOT list_contains(s.used, r.ledger) THEN r.bank END, r.ledger, r.score FROM s JOIN r ON r.part = s.part AND r.turn = s.turn + 1
+    ) SELECT bank, ledger, score FROM s WHERE bank IS NOT NULL"""
+
+
+@query(_GREEDY)
 def one_to_one(spark, d):
     return pairs.one_to_one(*_records(spark, d, DENSE))
 

@@ -76,9 +76,21 @@ def cand_runs(spark, d):
     return out.withColumns({"first": F.col("first").cast("long"), "last": F.col("last").cast("long")})
 
 
-@query()
+_SPOT = "SELECT regexp_replace(account_no, '[^0-9]', '', 'g') AS account, strftime(transaction_date, '%Y-%m') AS month, flow, {id} AS id, counterparty_name AS cp, transaction_date AS day, amount_cents, row_number() OVER w AS pos, sum(amount_cents) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM {table} WINDOW w AS (PARTITION BY regexp_replace(account_no, '[^0-9]', '', 'g'), strftime(transaction_date, '%Y-%m'), flow ORDER BY transaction_date, ord)"
+_SPAN = "SELECT a.account, a.month, a.flow, a.pos AS low, b.pos AS high, b.upto - a.upto + a.amount_cents AS total FROM {t} a JOIN {t} b ON a.account = b.account AND a.month = b.month AND a.flow = b.flow AND b.pos BETWEEN a.pos + 1 AND a.pos + {most}"
+_MEMBER = "SELECT m.wid, count(*) AS n, min(x.day) AS low, max(x.day) AS high, avg(x.day - DATE '1970-01-01') AS centre, string_agg(x.id, '|' ORDER BY x.pos) AS ids, list(x.cp) AS cps FROM m JOIN {t} x ON x.account = m.account AND x.month = m.month AND x.flow = m.flow AND x.pos BETWEEN m.{p}low AND m.{p}high GROUP BY m.wid"
+_AGREE = "list_max(list_transform({c}, lambda v: len(list_filter({c}, lambda u: u = v)))) / len({c})::DOUBLE"
+_WINDOWS = ctes("bank", "day_ledger") + f""", pb AS ({_SPOT.format(id='txn_id', table='bank')}), pl AS ({_SPOT.format(id='entry_id', table='day_ledger')}),
+    wb AS ({_SPAN.format(t='pb', most=79)}), wl AS ({_SPAN.format(t='pl', most=11)}), wx AS (SELECT *, unnest([total - 1, total, total + 1]) AS near FROM wl),
+    m AS (SELECT row_number() OVER () AS wid, wb.account, wb.month, wb.flow, wb.low AS blow, wb.high AS bhigh, wx.low AS llow, wx.high AS lhigh, wb.total AS bank_cents, wx.total AS ledger_cents FROM wb JOIN wx ON wb.account = wx.account AND wb.month = wx.month AND wb.flow = wx.flow AND wb.total = wx.near),
+    x AS ({_MEMBER.format(t='pb', p='b')}), y AS ({_MEMBER.format(t='pl', p='l')}),
+    told AS (SELECT m.*, x.ids AS bank_ids, y.ids AS ledger_ids, least({_AGREE.format(c='x.cps')}, {_AGREE.format(c='y.cps')}) AS agree, greatest(x.high, y.high) - least(x.low, y.low) AS span, abs(x.centre - y.centre) AS gap, x.n + y.n AS members FROM m JOIN x USING (wid) JOIN y USING (wid))"""
+
+
+@query(_WINDOWS + """ SELECT 'manual_time_window_many_to_many' AS match_type, bank_ids, ledger_ids, CAST(bank_cents AS BIGINT) AS bank_cents, CAST(ledger_cents AS BIGINT) AS ledger_cents, round(0.65::DOUBLE * agree + 0.25::DOUBLE / (1 + span) + 0.10::DOUBLE / (1 + members), 4) AS score
+    FROM told ORDER BY agree DESC, span, gap, members, bank_ids, ledger_ids LIMIT 50""")
 def cand_windows(spark, d):
-    return candidates.window_groups(*_days(spark, d))
+    return _flat(candidates.window_groups(*_days(spark, d)), "score")
 
 
 _RUN = """, h AS (SELECT regexp_replace(account_no, '[^0-9]', '', 'g') AS account, strftime(transaction_date, '%Y-%m') AS month, flow, entry_id, amount_cents, row_number() OVER w AS pos, sum(amount_cents) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM day_ledger WINDOW w AS (PARTITION BY account_no, strftime(transaction_date, '%Y-%m'), flow ORDER BY transaction_date, ord)),
