@@ -30,7 +30,8 @@ def ratio(a: str, b: str) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of texts that are normalised; each pair of texts of a batch is compared once."""
     known: dict[tuple[str, str], float] = {}
     out = []
     for pair in zip(a, b):
@@ -42,4 +43,4 @@ def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def text_similarity(a, b) -> Column:
     """0 to 1; 0 if either text is blank after normalising."""
-    return _ratios(normalize_text(a), normalize_text(b))
+    return ratios(normalize_text(a), normalize_text(b))

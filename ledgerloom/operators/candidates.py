@@ -5,6 +5,7 @@ A candidate: match_type, banks, ledgers, bank_cents, ledger_cents, score, period
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,15 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import counterparty_key, infer_period, join_unique_array
-from ..functions.similarity import ratio, text_similarity
+from ..functions.scalars import counterparty_key, infer_period, join_unique_array, normalize_text
+from ..functions.similarity import ratio, ratios, text_similarity
 from ..functions.subset import consistency, normalized, pool_subsets, subset_sum, unique_joined
+from .ordered import best_rows
 from .pairs import joined_by_bucket, pair_candidates, record_text
 from .scratch import materialise
 
 # Words and periods of entries that stand for several payments.
 GROUP_WORDS = ("手续费", "银行代扣", "银行已扣费", "银行手续费", "食堂", "二维码", "POS", "商户", "社保", "医保", "税务", "税收", "汇缴")
 GROUP_PERIODS = (r"\d{1,2}\s*[.月/]\s*\d{1,2}\s*(?:-|~|至|到|—)\s*\d{1,2}\s*[.月/]\s*\d{1,2}", r"\d{4}年\d{1,2}\s*月|\d{1,2}\s*月份")
+_EPOCH = datetime.date(1970, 1, 1).toordinal()
 COLUMNS = ["match_type", "banks", "ledgers", "bank_cents", "ledger_cents", "score", "period_start", "period_end"]
 GROUP = "match_type string, banks array<string>, ledgers array<string>, bank_cents long, ledger_cents long, score double, period_start date, period_end date"
 
@@ -136,22 +139,61 @@ def _first_subsets(pool: DataFrame, order: list[Column], k: int, tolerance: int,
     return pools.mapInPandas(run, GROUP)
 
 
+def _told(records: DataFrame) -> DataFrame:
+    """What pools need of records: texts normalised once a record, days as numbers."""
+    said = normalize_text(record_text(records)).alias("said")
+    extra = [c for c in ("first", "last") if c in records.columns]
+    days = [F.unix_date(c).alias(c) for c in ("day", *extra)]
+    return records.select("month", "flow", "account", "id", "ord", "cents", said, *days, F.lit("").alias("label"))
+
+
+def _first_of_lists(lists: DataFrame, tolerance: int, most: int, steps: int, kind: str) -> DataFrame:
+    """For each anchor the first subset of its list that sums to it, as a candidate."""
+    pools = lists.groupBy("anchor").agg(F.first("a_cents").alias("cents"), F.array_sort(F.collect_list(F.struct("k", "id", "cents", "day"))).alias("near"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for g in batch.itertuples(index=False):
+                found = [g.near[p] for p in subset_sum([int(b["cents"]) for b in g.near], int(g.cents), tolerance, most, 2, steps)]
+                if found:
+                    days = [datetime.date.fromordinal(_EPOCH + int(b["day"])) for b in found]
+                    out.append((kind, [b["id"] for b in found], [g.anchor], sum(int(b["cents"]) for b in found), int(g.cents), None, min(days), max(days)))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return pools.mapInPandas(run, GROUP)
+
+
+def grouped_pools(bank: DataFrame, ledger: DataFrame, pool: int = 22, window: int = 45) -> DataFrame:
+    """The ``pool`` bank rows of the period (of the reach, if the period has none) of each entry that looks grouped, the most
+    alike first, then the nearest amount. Texts are compared once for each text of entries and each of bank rows."""
+    entries = _told(_dated(grouped_entries(ledger)))
+
+    def within(met: DataFrame) -> DataFrame:
+        reach = F.col("day").between(F.least("a_first", F.col("a_day") - window), F.greatest("a_last", F.col("a_day") + window))
+        inside = F.col("day").between(F.col("a_first"), F.col("a_last"))
+        has = F.max(inside).over(Window.partitionBy("class"))
+        return met.where(reach).withColumn("_has", has).where(inside | ~F.col("_has"))
+
+    return best_rows(entries, _told(bank), ["month", "flow", "account"], ["said", "day"], lambda d: ratios(d["a_said"], d["said"]), pool, wild="account", own=("first", "last"), within=within)
+
+
 def grouped_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, pool: int = 22, most: int = 40, steps: int = 100_000) -> DataFrame:
     """Entries that look grouped against a subset of the bank rows of their period (of their reach, if the period has none), the most alike first."""
-    met = _pools(bank, grouped_entries(ledger))
-    some = met.where("inside").select("l_id").distinct().withColumn("has", F.lit(True))
-    met = met.join(some, "l_id", "left").where(F.col("inside") | F.col("has").isNull())
-    alike = met.withColumn("alike", text_similarity(record_text(met, "b_"), record_text(met, "l_")))
-    order = [F.desc("alike"), F.abs(F.col("b_cents") - F.col("l_cents"))]
-    return scored_groups(_first_subsets(alike, order, pool, tolerance, most, steps, "many_to_one"), bank, ledger, heuristic_score())
+    return scored_groups(_first_of_lists(grouped_pools(bank, ledger, pool), tolerance, most, steps, "many_to_one"), bank, ledger, heuristic_score())
+
+
+def relaxed_pools(bank: DataFrame, ledger: DataFrame, pool: int = 32, tolerance: int = 1, window: int = 90) -> DataFrame:
+    """The ``pool`` bank rows of each entry that are no larger than it, the most alike first, then the nearest day, then the largest."""
+    # A likeness is a fraction of two lengths, so a day, a billionth, never outweighs one.
+    rank = lambda d: ratios(d["a_said"], d["said"]) - F.abs(d["day"] - d["a_day"]) * 1e-9
+    return best_rows(_told(ledger), _told(bank), ["month", "flow", "account"], ["said", "day"], rank, pool, wild="account", days=window, below=tolerance)
 
 
 def subset_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 90, pool: int = 32, most: int = 10, steps: int = 200_000) -> DataFrame:
     """Each entry against a subset of its ``pool`` smaller bank rows that are most alike, then nearest in time, then largest."""
-    met = joined_by_bucket(bank, ledger, [("month", "month"), ("flow", "flow")]).withColumn("days", F.abs(F.date_diff("b_day", "l_day")))
-    met = met.where((F.col("days") <= window) & (F.col("b_cents") <= F.col("l_cents") + tolerance)).withColumn("alike", text_similarity(record_text(met, "b_"), record_text(met, "l_")))
-    order = [F.desc("alike"), F.asc("days"), F.desc("b_cents")]
-    return scored_groups(_first_subsets(met, order, pool, tolerance, most, steps, "amount_group_many_to_one"), bank, ledger, heuristic_score())
+    lists = relaxed_pools(bank, ledger, pool, tolerance, window)
+    return scored_groups(_first_of_lists(lists, tolerance, most, steps, "amount_group_many_to_one"), bank, ledger, heuristic_score())
 
 
 def manual_subsets(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, window: int = 365, pool: int = 80, most: int = 60, steps: int = 100_000, same_flow: bool = True) -> DataFrame:

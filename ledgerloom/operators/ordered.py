@@ -38,6 +38,7 @@ def _universes(anchors: DataFrame, rows: DataFrame, bucket: list[str], wild: str
 def best_rows(
     anchors: DataFrame, rows: DataFrame, bucket: list[str], alike: list[str], score: Callable[[DataFrame], Column], most: int,
     by_amount: bool = True, wild: str | None = None, near: tuple[int, Callable[[DataFrame], Column]] | None = None, days: int | None = None,
+    own: tuple[str, ...] = (), within: Callable[[DataFrame], DataFrame] | None = None, below: int | None = None,
 ) -> DataFrame:
     """The first ``most`` rows of each anchor: anchor, a_ord, a_cents, a_day, a_label, k, id, cents, day, label.
 
@@ -46,44 +47,57 @@ def best_rows(
     before them hold enough rows. Within a cell the rows nearest in amount come first, or with ``by_amount`` off the first
     in order; they are found by their places in the sorted cell. ``near`` = (tolerance, score) ranks rows whose amount is
     within the tolerance by a score of their own, which is never below the one of their cell. Ties go to the nearer amount
-    (if ``by_amount``), then to the order of the rows.
+    (if ``by_amount``), then to the order of the rows. ``own`` columns of anchors are part of their class, and ``within`` picks
+    the cells that a class may take. With ``below`` only rows of amounts up to the anchor's and ``below`` more count, the
+    largest first: cells then hold rows of one size (a power of two), so that of smaller ones all rows count for sure.
     """
+    if below is not None:
+        size = lambda extra: F.floor(F.log2(F.col("cents") + extra)).cast("int")
+        anchors, rows = anchors.withColumn("size", size(below)), rows.withColumn("size", size(0))
+        alike = [*alike, "size"]
     rows = _universes(anchors, rows, bucket, wild)
-    own = [*bucket, *alike]
-    cells = materialise(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.monotonically_increasing_id()), "cells")
-    base = materialise(rows.join(cells.select(*own, "cell"), own), "cell-rows")
+    cell_key = [*bucket, *alike]
+    cells = materialise(rows.groupBy(*cell_key).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    base = materialise(rows.join(cells.select(*cell_key, "cell"), cell_key), "cell-rows")
     place = lambda *order: F.row_number().over(Window.partitionBy("cell").orderBy(*order))
-    if by_amount:
+    if by_amount or below is not None:
         placed = base.withColumns({"up": place("cents", "ord"), "down": place(F.desc("cents"), "ord")})
     else:
         placed = base.withColumn("up", place("ord"))
-    placed = materialise(placed.select("cell", "id", "ord", "cents", "day", "label", *(["up", "down"] if by_amount else ["up"])), "cell-places")
-    said = [F.col(c).alias(f"a_{c}") for c in alike]
+    placed = materialise(placed.select("cell", "id", "ord", "cents", "day", "label", *(["up", "down"] if by_amount or below is not None else ["up"])), "cell-places")
+    said = [F.col(c).alias(f"a_{c}") for c in (*alike, *own)]
     classes = materialise(anchors.select(*bucket, *said).distinct().withColumn("class", F.monotonically_increasing_id()), "classes")
     # Classes of one bucket are dealt over several tasks; cells, which are fewer than rows, go to all of them.
     dealt = classes.withColumn("_deal", F.pmod("class", F.lit(DEALT)))
     met = dealt.join(cells.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))), [*bucket, "_deal"])
     if days is not None:
         met = met.where(F.abs(F.col("day") - F.col("a_day")) <= days)
-    graded = met.withColumn("score", score(met)).select("class", "cell", "n", "score")
-    above = F.sum("n").over(Window.partitionBy("class").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    level = F.sum("n").over(Window.partitionBy("class", "score"))
+    if below is not None:
+        met = met.where(F.col("size") <= F.col("a_size"))
+    if within is not None:
+        met = within(met)
+    sure = F.col("n") if below is None else F.when(F.col("size") < F.col("a_size"), F.col("n")).otherwise(F.lit(0))
+    graded = met.withColumn("score", score(met)).select("class", "cell", "n", sure.alias("sure"), "score")
+    above = F.sum("sure").over(Window.partitionBy("class").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    level = F.sum("sure").over(Window.partitionBy("class", "score"))
     kept = graded.withColumns({"_above": above, "_level": level}).where(F.col("_above") - F.col("_level") < most)
-    known = anchors.select(*bucket, F.col("id").alias("anchor"), F.col("ord").alias("a_ord"), F.col("cents").alias("a_cents"), F.col("day").alias("a_day"), F.col("label").alias("a_label"), *[F.col(c).alias(f"_{c}") for c in alike])
+    known = anchors.select(*bucket, F.col("id").alias("anchor"), F.col("ord").alias("a_ord"), F.col("cents").alias("a_cents"), F.col("day").alias("a_day"), F.col("label").alias("a_label"), *[F.col(c).alias(f"_{c}") for c in (*alike, *own)])
     told = ["anchor", "a_ord", "a_cents", "a_day", "a_label"]
-    mine = known.join(classes, [*(known[c] == classes[c] for c in bucket), *(known[f"_{c}"] == classes[f"a_{c}"] for c in alike)])
+    mine = known.join(classes, [*(known[c] == classes[c] for c in bucket), *(known[f"_{c}"].eqNullSafe(classes[f"a_{c}"]) for c in (*alike, *own))])
     mine = materialise(mine.select(*[known[c] for c in told], *[known[c] for c in bucket], *[F.col(f"_{c}") for c in alike], "class"), "anchors")
     wanted = mine.select(*told, "class").join(kept.select("class", "cell", "n", "score"), "class").drop("class")
     found = ["id", "ord", "cents", "day", "label"]
-    if by_amount:
+    if by_amount or below is not None:
+        # The place of the anchor's amount (with ``below``: of what lies just above all that counts).
+        limit = F.col("a_cents") if below is None else F.col("a_cents") + below + 1
         marks = placed.select("cell", F.col("cents").alias("at"), F.lit(1).alias("row"), *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in (*told, "n", "score")])
-        marks = marks.unionByName(wanted.select("cell", F.col("a_cents").alias("at"), F.lit(0).alias("row"), *told, "n", "score"))
-        below = F.sum("row").over(Window.partitionBy("cell").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        spots = materialise(marks.withColumn("below", below).where("row = 0"), "spots")
+        marks = marks.unionByName(wanted.select("cell", limit.alias("at"), F.lit(0).alias("row"), *told, "n", "score"))
+        before = F.sum("row").over(Window.partitionBy("cell").orderBy("at", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        spots = materialise(marks.withColumn("below", before).where("row = 0"), "spots")
         up = spots.where("below < n").withColumn("up", F.explode(F.sequence(F.col("below") + 1, F.least("n", F.col("below") + most))))
         down = spots.where("below > 0").withColumn("down", F.explode(F.sequence(F.col("n") - F.col("below") + 1, F.least("n", F.col("n") - F.col("below") + most))))
         pieces = [p.join(placed, ["cell", side]).select(*told, "score", *found) for p, side in ((up, "up"), (down, "down"))]
-        out = pieces[0].unionByName(pieces[1])
+        out = pieces[0].unionByName(pieces[1]) if below is None else pieces[1]
     else:
         out = wanted.withColumn("up", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(most).cast("long"))))).join(placed, ["cell", "up"]).select(*told, "score", *found)
     apart = F.abs(F.col("cents") - F.col("a_cents"))
@@ -95,7 +109,7 @@ def best_rows(
             close = close.where(F.abs(F.col("day") - F.col("a_day")) <= days)
         close = close.select(*told, *[F.col(f"_{c}").alias(f"a_{c}") for c in alike if c != "day"], *found, *[c for c in alike if c not in found])
         out = out.where(apart > tolerance).unionByName(close.withColumn("score", own_score(close)).select(*told, "score", *found))
-    order = [F.desc("score"), *([apart] if by_amount else []), F.asc("ord")]
+    order = [F.desc("score"), *([F.desc("cents")] if below is not None else [apart] if by_amount else []), F.asc("ord")]
     ranked = out.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).where(F.col("k") <= most)
     return ranked.select(*told, "k", "id", "cents", "day", "label")
 

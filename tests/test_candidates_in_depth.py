@@ -116,3 +116,37 @@ def test_monthly_parts_follow_the_rule(spark, seed):
 
 def test_consistency():
     assert consistency(["a", "b", "a"]) == 2 / 3 and consistency([]) == 0.0
+
+
+def _pool(banks, entry, key, ok, most):
+    met = [b for b in banks if b["month"] == entry["month"] and b["flow"] == entry["flow"] and (not b["account"] or not entry["account"] or b["account"] == entry["account"]) and ok(b)]
+    return [b["id"] for b in sorted(met, key=key)[:most]]
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_pools_hold_what_comparing_all_pairs_finds(spark, seed):
+    rng = random.Random(seed)
+    who = ["Acme", "Acme 12", "Bolt", "Bolt 7 Acme", "Cord"]
+    rows = lambda p, n, low, high: [dict(id=f"{p}{k}", ord=k, account=rng.choice(["", "1", "2"]), day=datetime.date(2022, 1, rng.randrange(1, 29)), month="2022-01", flow=rng.choice(["in", "out"]), cents=rng.randrange(low, high), counterparty_name=rng.choice(who), summary=rng.choice(["", "1.3-1.9", "1月", "手续费"]) if p == "l" else "") for k in range(n)]
+    banks, entries = rows("b", 120, 1, 90), rows("l", 40, 20, 100)
+    table = lambda part: spark.createDataFrame([(r["id"], r["ord"], r["account"], r["day"], r["month"], r["flow"], r["cents"], r["counterparty_name"], r["summary"], "", "", "", "", "") for r in part], COLUMNS)
+    bank, ledger = table(banks), table(entries)
+    said = lambda r: normalized(unique_joined([r["counterparty_name"], r["summary"]]))
+    far = lambda b, g: abs((b["day"] - g["day"]).days)
+    relaxed = {}
+    for r in candidates.relaxed_pools(bank, ledger, 6).collect():
+        relaxed.setdefault(r["anchor"], []).append((r["k"], r["id"]))
+    want = {g["id"]: _pool(banks, g, lambda b, g=g: (-ratio(said(b), said(g)), far(b, g), -b["cents"], b["ord"]), lambda b, g=g: b["cents"] <= g["cents"] + 1, 6) for g in entries}
+    assert {a: [i for _, i in sorted(v)] for a, v in relaxed.items()} == {a: v for a, v in want.items() if v}
+    periods = {r["id"]: (r["first"], r["last"]) for r in candidates._dated(candidates.grouped_entries(ledger)).collect()}
+    grouped = {}
+    for r in candidates.grouped_pools(bank, ledger, 6).collect():
+        grouped.setdefault(r["anchor"], []).append((r["k"], r["id"]))
+    want = {}
+    for g in entries:
+        if g["id"] in periods:
+            low, high = periods[g["id"]]
+            key = lambda b, g=g: (-ratio(said(b), said(g)), abs(b["cents"] - g["cents"]), b["ord"])
+            inside = _pool(banks, g, key, lambda b, low=low, high=high: low <= b["day"] <= high, 6)
+            want[g["id"]] = inside or _pool(banks, g, key, lambda b: True, 6)
+    assert {a: [i for _, i in sorted(v)] for a, v in grouped.items()} == {a: v for a, v in want.items() if v} and len(grouped) > 10
