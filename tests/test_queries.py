@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["net_outbound", "exclusion_reasons", "id_match", "order_match_summary", "order_match_metrics", "settlement_summary", "flow_check", "wp_monthly", "pair_scores", "daily_many_to_many", "parse_amounts", "parse_dates", "infer_period", "month_keys", "dq_direction", "bank_positional", "ledger_positional", "cand_runs", "routed", "sheet_class", "file_meta", "looks_grouped", "header_promote", "settlement_txn", "refund_clean", "transfer_clean", "cand_period", "cand_ranked"]
+SOME = ["net_outbound", "exclusion_reasons", "id_match", "order_match_summary", "order_match_metrics", "settlement_summary", "flow_check", "wp_monthly", "pair_scores", "daily_many_to_many", "parse_amounts", "parse_dates", "infer_period", "month_keys", "dq_direction", "bank_positional", "ledger_positional", "cand_runs", "routed", "sheet_class", "file_meta", "looks_grouped", "header_promote", "settlement_txn", "refund_clean", "transfer_clean", "cand_period", "cand_ranked", "grid_sheets", "layouts_by_signature", "approvals_applied", "accepted_or_blocked", "transfers", "one_to_one", "text_similarity", "cand_without_overlap"]
 
 
 def _plain(v):
