@@ -18,6 +18,8 @@ from ._common import SPACE, materialise, numbered, wrapped
 #: A chunk runs to the first blank or stop before one of a few letters after MIN characters, or to MAX characters.
 MIN_CHARS, MAX_CHARS = 256, 1024
 CUT = r"(?:[\x20.,!?](?=[a-dA-D])|[аеио的是、。]|\z)"
+#: Shared hashes that may go to every task; with more of them every document is numbered anew.
+MOST_SHARED = 10_000
 CHUNK = rf"(?s).{{{MIN_CHARS - 1},{MAX_CHARS - 1}}}?{CUT}|.{{1,{MAX_CHARS}}}"
 
 
@@ -62,12 +64,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _touched(digests: DataFrame, shared: DataFrame) -> DataFrame:
+    """``digests`` with texts (``norm``) only where the recipe holds one of the hashes that different chunks share.
+
+    The hashes go to all tasks if there are MOST_SHARED of them at most; a few thousand are to be expected of 1e11 chunks.
+    """
+    if shared.limit(MOST_SHARED + 1).count() > MOST_SHARED:
+        return digests
+    held = shared.agg(F.collect_set("h").alias("_shared"))  # one row
+    text = F.when(F.arrays_overlap("recipe", "_shared"), F.col("norm"))
+    return digests.crossJoin(F.broadcast(held)).withColumn("norm", text).drop("_shared")
+
+
 def _renumbered(digests: DataFrame, store: DataFrame, shared: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
-    """Recipes with identifiers told apart where chunks share a hash: hash and serial number in turn."""
+    """Recipes with identifiers told apart where chunks share a hash: hash and serial number in turn.
+
+    Only documents with such a chunk are cut again. Their lists hold a shared hash and those of the others don't, so
+    lists of both forms are never equal.
+    """
     serial = Window.partitionBy("h").orderBy("chunk")
     twins = store.join(shared, "h", "left_semi").withColumn("serial", F.row_number().over(serial).cast("long"))
-    digests = materialise(digests, "op7-digests")
-    parts = digests.select("row", F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("h", chunk_hash(F.col("chunk")))
+    digests = materialise(_touched(digests, shared), "op7-digests")
+    held = digests.where("norm is not null").select("row", F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk"))
+    parts = held.withColumn("h", chunk_hash(F.col("chunk")))
     told = parts.join(twins, ["h", "chunk"], "left").select("row", F.struct("pos", "h", F.coalesce("serial", F.lit(1)).alias("serial")).alias("part"))
     lists = told.groupBy("row").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     verified = lists.select("row", F.flatten(F.transform("parts", lambda p: F.array(p["h"], p["serial"].cast("long")))).alias("verified"))

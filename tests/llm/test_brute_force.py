@@ -243,6 +243,22 @@ def test_exact_groups_with_colliding_hashes(spark):
             assert (got[k]["keep_id"], got[k]["group_size"], got[k]["kept"], got[k]["text_sha256"]) == (same[0], len(same), same[0] == k, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_only_documents_with_a_shared_hash_move_again(spark, monkeypatch):
+    """Two chunks share a hash: of 40 documents only those that hold one of them are cut again, and all are told apart."""
+    rng = random.Random(61)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(300)) for _ in range(38)] + ["first", "second"]
+    texts += [texts[3], "first", "second", "first "]
+    weak = lambda c: F.when(c.isin("first", "second"), F.lit(7).cast("long")).otherwise(F.xxhash64(c))
+    moved = []
+    keep = exact_dedup._touched
+    monkeypatch.setattr(exact_dedup, "_touched", lambda d, s: moved.append(keep(d, s)) or moved[-1])
+    for most in (exact_dedup.MOST_SHARED, 0):
+        monkeypatch.setattr(exact_dedup, "MOST_SHARED", most)
+        got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_groups(_docs(spark, texts), chunk_hash=weak).collect()}
+        assert got == {k: texts.index(t) for k, t in enumerate(texts)}
+        assert moved[-1].where("norm is not null").count() == (4 if most else len(texts))
+
+
 def test_chunks_make_the_text(spark):
     texts = ["ab " * 2000, "x" * 5000, "é. d" * 700, "short", ""]
     rows = _docs(spark, texts).select("text", F.array_join(exact_dedup.chunks(F.col("text")), "").alias("joined")).collect()
