@@ -123,41 +123,47 @@ def settled(lists: Callable[[DataFrame | None, int], DataFrame], limit: int, cho
     be more rows, is made twice as long.
     """
     most = 2 * limit
-    pools = materialise(lists(None, most), f"{tag}-lists")
-    session = pools.sparkSession
-    length = pools.select("anchor").distinct().withColumn("most", F.lit(most))
-    length = materialise(length, f"{tag}-lengths")
-    taken = session.createDataFrame([], _TAKEN)
-    now, found = length.select("anchor"), None
+    pools = materialise(lists(None, most).withColumn("most", F.lit(most)), f"{tag}-lists")
+    taken = materialise(pools.sparkSession.createDataFrame([], _TAKEN), f"{tag}-taken")
+    now, found = None, None
     while True:
         while True:
-            mine = pools.join(now, "anchor", "left_semi")
-            free = mine.join(taken, "id", "left").where(~F.coalesce(F.col("at") < F.col("a_ord"), F.lit(False)))
-            sizes = mine.groupBy("anchor").agg(F.count(F.lit(1)).alias("had"))
-            left = free.groupBy("anchor").agg(F.count(F.lit(1)).alias("left"))
-            short = sizes.join(length, "anchor").join(left, "anchor", "left").where((F.col("had") >= F.col("most")) & (F.coalesce("left", F.lit(0)) < limit))
-            short = materialise(short.select("anchor", (2 * F.col("most")).alias("most")), f"{tag}-short")
+            mine = pools if now is None else pools.join(now, "anchor", "left_semi")
+            cut = materialise(_free(mine, taken, limit), f"{tag}-free")
+            short = cut.where((F.col("had") >= F.col("most")) & (F.col("left") < limit)).select("anchor", "most").distinct()
             longest = short.agg(F.max("most")).first()[0]
             if longest is None:
                 break
-            # Few anchors, in crowded cells: their lists are made anew, all as long as the longest of them.
-            longer = materialise(lists(short.select("anchor"), longest), f"{tag}-longer")
-            pools = materialise(pools.join(short, "anchor", "left_anti").unionByName(longer), f"{tag}-lists")
-            length = materialise(length.join(short, "anchor", "left_anti").unionByName(short.select("anchor", F.lit(longest).alias("most"))), f"{tag}-lengths")
-        first = F.row_number().over(Window.partitionBy("anchor").orderBy("k"))
-        cut = free.withColumn("_k", first).where(F.col("_k") <= limit)
-        new = _chosen(cut, choose)
+            # Few anchors, in crowded cells: their lists are made anew, all twice as long as the longest of them.
+            some = materialise(short.select("anchor"), f"{tag}-short")
+            longer = lists(some, 2 * longest).withColumn("most", F.lit(2 * longest))
+            pools = materialise(pools.join(some, "anchor", "left_anti").unionByName(longer), f"{tag}-lists")
+        new = _chosen(cut.where("not gone"), choose)
         if found is not None:
             new = new.unionByName(found.join(now, "anchor", "left_anti"))
         found = materialise(new, f"{tag}-found")
-        told = materialise(found.select(F.explode("members").alias("id"), F.col("ord").alias("at")).groupBy("id").agg(F.min("at").alias("at")), f"{tag}-taken")
-        changed = told.exceptAll(taken).unionByName(taken.exceptAll(told)).select("id").distinct()
+        told = found.select(F.explode("members").alias("id"), F.col("ord").alias("at")).groupBy("id").agg(F.min("at").alias("at"))
+        told = materialise(told, f"{tag}-taken")
+        both = told.join(taken.select("id", F.col("at").alias("was")), "id", "full")
+        changed = both.where(~F.col("at").eqNullSafe(F.col("was"))).select("id")
         now = materialise(pools.join(changed, "id", "left_semi").select("anchor").distinct(), f"{tag}-again")
         if now.isEmpty():
             return found
         taken = told
 
 
+def _free(pools: DataFrame, taken: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each list that no earlier anchor takes, and of every list its first row, ``gone`` or not;
+    with the rows that the list had and that are left."""
+    gone = F.coalesce(F.col("at") < F.col("a_ord"), F.lit(False))
+    whole = Window.partitionBy("anchor")
+    upto = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = pools.join(taken, "id", "left").withColumn("gone", gone)
+    free = (~F.col("gone")).cast("int")
+    told = told.withColumns({"had": F.count(F.lit(1)).over(whole), "left": F.sum(free).over(whole), "place": F.sum(free).over(upto)})
+    return told.where((~F.col("gone") & (F.col("place") <= limit)) | (F.col("k") == 1)).drop("at", "place")
+
+
 def _chosen(lists: DataFrame, choose: Callable) -> DataFrame:
     near = F.array_sort(F.collect_list(F.struct("k", "id", "cents", "day", "label"))).alias("near")
     anchor = [F.first(f"a_{c}").alias(c) for c in ("ord", "cents", "day", "label")]
