@@ -47,11 +47,11 @@ def _by_bucket(bank: DataFrame, ledger: DataFrame, bucket: list[str], work: Call
     return both.groupBy(*bucket).applyInPandas(run, GROUP)
 
 
-def fee_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFrame:
+def fee_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, deep: bool = True) -> DataFrame:
     """Monthly fee entries against the single fees of the same account, month and flow; then against any small payment.
 
     Each entry has a list of the ``FEE_POOL`` nearest days' payments, in their order on days that are as near; only lists
-    meet in Python.
+    meet in Python. All of a list, or what its first payments sum up to, may make the entry, or else (``deep``) a subset.
     """
     bucket = ["month", "flow", "account"]
     entries = _slim(ledger.where(is_fee("summary", "description", "counterparty_name", "cents")), "ledger", bucket)
@@ -67,7 +67,7 @@ def fee_groups(bank: DataFrame, ledger: DataFrame, tolerance: int = 1) -> DataFr
 
         def choose(r) -> tuple | None:
             pool = _members(r)
-            group = _fee_subset(pool, int(r.cents), tolerance)
+            group = _fee_subset(pool, int(r.cents), tolerance, deep)
             return ([b.id for b in group], group_score(group, [_anchor(r)], tolerance, 30)) if len(group) >= 2 else None
 
         found = settled(lists, FEE_POOL, choose, "fees")
@@ -86,7 +86,7 @@ def _anchor(r) -> Member:
     return Member(r.anchor, int(r.cents), int(r.day), r.label)
 
 
-def _fee_subset(pool: list, target: int, tolerance: int) -> list:
+def _fee_subset(pool: list, target: int, tolerance: int, deep: bool = True) -> list:
     if len(pool) < 2:
         return []
     if abs(sum(b.cents for b in pool) - target) <= tolerance:
@@ -98,7 +98,7 @@ def _fee_subset(pool: list, target: int, tolerance: int) -> list:
             total += b.cents
             if abs(total - target) <= tolerance and len(chosen) >= 2:
                 return chosen
-    return [pool[k] for k in subset_sum([b.cents for b in pool], target, tolerance, FEE_MAX_SIZE)]
+    return [pool[k] for k in subset_sum([b.cents for b in pool], target, tolerance, FEE_MAX_SIZE)] if deep else []
 
 
 def transfers(bank: DataFrame, ledger: DataFrame, tolerance: int = 1, days: int = 3) -> DataFrame:

@@ -296,6 +296,23 @@ def fee_groups(spark, d):
     return matching.fee_groups(pairs.to_records(view(spark, d, "fee_bank"), "bank"), pairs.to_records(view(spark, d, "fee_ledger"), "ledger"))
 
 
+_NEAREST = ctes("fee_bank", "fee_ledger") + """, p AS (SELECT l.entry_id, l.amount_cents AS want, b.txn_id, b.amount_cents AS cents, abs(b.transaction_date - l.transaction_date) AS far, row_number() OVER (PARTITION BY l.entry_id ORDER BY abs(b.transaction_date - l.transaction_date), b.ord) AS k
+        FROM fee_ledger l JOIN fee_bank b ON b.account_no = l.account_no AND b.amount_cents > 0 AND strftime(b.transaction_date, '%Y-%m') = strftime(l.transaction_date, '%Y-%m') WHERE l.amount_cents BETWEEN 1 AND 100000),
+    q AS (SELECT entry_id, any_value(want) AS want, count(*) AS n, sum(cents) AS total, list({'id': txn_id, 'c': cents, 'far': far} ORDER BY k) AS pool FROM p WHERE k <= 200 GROUP BY entry_id),
+    f AS (SELECT *, list_reduce(pool, lambda a, x: CASE WHEN a.done OR a.total + x.c > want + 1 THEN a
+            ELSE {'total': a.total + x.c, 'n': a.n + 1, 'days': a.days + 1 - x.far / 31.0::DOUBLE, 'ids': list_append(a.ids, x.id), 'done': abs(a.total + x.c - want) <= 1 AND a.n >= 1} END,
+        {'total': 0::HUGEINT, 'n': 0::BIGINT, 'days': 0.0::DOUBLE, 'ids': CAST([] AS VARCHAR[]), 'done': false}) AS g FROM q WHERE n > 1)"""
+
+
+@query(_NEAREST + """, z AS (SELECT entry_id, want, abs(total - want) <= 1 AS whole, CASE WHEN abs(total - want) <= 1 THEN total ELSE g.total END AS sum, CASE WHEN abs(total - want) <= 1 THEN list_transform(pool, lambda x: x.id) ELSE g.ids END AS ids,
+        CASE WHEN abs(total - want) <= 1 THEN list_avg(list_transform(pool, lambda x: 1 - x.far / 31.0::DOUBLE)) ELSE g.days / g.n END AS near FROM f WHERE abs(total - want) <= 1 OR g.done)
+    SELECT array_to_string(ids, '|') AS bank_ids, entry_id AS ledger_ids, round(0.55::DOUBLE * (1 - abs(sum - want) / 2.0::DOUBLE) + 0.25::DOUBLE * near + 0.20::DOUBLE, 4) AS score FROM z""")
+def fee_groups_by_day(spark, d):
+    """Fee entries against all, or the nearest, of their month's fees."""
+    out = matching.fee_groups(pairs.to_records(view(spark, d, "fee_bank"), "bank"), pairs.to_records(view(spark, d, "fee_ledger"), "ledger"), deep=False)
+    return out.select(F.concat_ws("|", "banks").alias("bank_ids"), F.concat_ws("|", "ledgers").alias("ledger_ids"), "score")
+
+
 _MOVES = _sql_pairs(SPARSE, "b.flow <> l.flow", "true", 3, "l.summary LIKE '%调拨%' AND l.subject LIKE '%银行存款%'").replace("WITH ", "WITH RECURSIVE ", 1) + f""", m AS (SELECT e.*, regexp_replace(b.account_no, '[^0-9]', '', 'g') = regexp_replace(l.account_no, '[^0-9]', '', 'g') AS same,
         0.52::DOUBLE * (1 - cent_diff / 2.0::DOUBLE) + 0.25::DOUBLE * (1 - day_diff / 4.0::DOUBLE) + 0.23::DOUBLE * {ALIKE} AS score, dense_rank() OVER (ORDER BY e.l_ord) AS turn FROM e JOIN bank b ON b.txn_id = e.bank JOIN ledger l ON l.entry_id = e.ledger),
     open AS (
