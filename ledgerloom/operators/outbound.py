@@ -9,7 +9,7 @@ from ..functions.scalars import parse_amount_platform
 from ..sources.files import standard_name
 from .cleaning import rename_columns
 
-# Standard columns, the numeric ones, and the names that sources use for them.
+# Standard columns, the numeric ones, and source names with the standard name of each.
 SETTLEMENT_COLUMNS = (
     "partner_txn_id", "original_txn_id", "amount", "rmb_amount", "fee", "settlement", "rmb_settlement", "currency", "rate",
     "payment_time", "settlement_time", "type", "status", "stem_from", "remarks", "month", "source_file",
@@ -25,23 +25,42 @@ SELLOUT_COLUMNS = (
 )
 SELLOUT_NUMBERS = ("amount", "freight", "quantity", "nsv")
 SELLOUT_NAMES = {
-    "order_id": "订单编号 交易订单号",
-    "shop_name": "店铺名称",
-    "warehouse_name": "仓库名称",
-    "order_time": "下单时间 订单创建时间",
-    "payment_time": "支付时间 订单付款时间",
-    "ship_time": "发货时间 出库时间 出库日期",
-    "status": "订单状态",
-    "amount": "总金额 买家应付货款 买家实际支付金额 订单金额",
-    "freight": "运费 买家应付邮费",
-    "quantity": "商品数量 宝贝总数量",
-    "product_name": "宝贝标题 商品名称 货品名称",
-    "product_code": "商家编码 商品编码 货品编码",
-    "nsv": "NSV",
-    "buyer_name": "买家会员名 买家会员昵称 买家昵称",
-    "recipient_name": "收货人姓名 收件人",
-    "logistics_no": "物流单号 配送运单号",
-    "logistics_company": "物流公司 配送公司",
+    "订单编号": "order_id",
+    "交易订单号": "order_id",
+    "店铺名称": "shop_name",
+    "仓库名称": "warehouse_name",
+    "下单时间": "order_time",
+    "订单创建时间": "order_time",
+    "支付时间": "payment_time",
+    "订单付款时间": "payment_time",
+    "发货时间": "ship_time",
+    "出库时间": "ship_time",
+    "出库日期": "ship_time",
+    "订单状态": "status",
+    "总金额": "amount",
+    "买家应付货款": "amount",
+    "买家实际支付金额": "amount",
+    "订单金额": "amount",
+    "运费": "freight",
+    "买家应付邮费": "freight",
+    "商品数量": "quantity",
+    "宝贝总数量": "quantity",
+    "宝贝标题": "product_name",
+    "商品名称": "product_name",
+    "货品名称": "product_name",
+    "商家编码": "product_code",
+    "商品编码": "product_code",
+    "货品编码": "product_code",
+    "NSV": "nsv",
+    "买家会员名": "buyer_name",
+    "买家会员昵称": "buyer_name",
+    "买家昵称": "buyer_name",
+    "收货人姓名": "recipient_name",
+    "收件人": "recipient_name",
+    "物流单号": "logistics_no",
+    "配送运单号": "logistics_no",
+    "物流公司": "logistics_company",
+    "配送公司": "logistics_company",
 }
 REFUND_COLUMNS = (
     "order_id", "refund_id", "refund_time", "refund_amount", "refund_type", "need_return", "product_name", "buyer_name", "status",
@@ -49,14 +68,19 @@ REFUND_COLUMNS = (
 )
 REFUND_NUMBERS = ("refund_amount", "amount", "quantity", "nsv")
 REFUND_NAMES = {
-    "order_id": "退款编号 交易订单号",
-    "refund_time": "退款完结时间",
-    "refund_amount": "买家退款金额 退款金额",
-    "refund_type": "手工退款/系统退款",
-    "need_return": "是否需要退货",
-    "product_name": "宝贝标题 货品名称 商品名称",
-    "buyer_name": "买家会员昵称 买家昵称",
-    "status": "状态",
+    "退款编号": "order_id",
+    "交易订单号": "order_id",
+    "退款完结时间": "refund_time",
+    "买家退款金额": "refund_amount",
+    "退款金额": "refund_amount",
+    "手工退款/系统退款": "refund_type",
+    "是否需要退货": "need_return",
+    "宝贝标题": "product_name",
+    "货品名称": "product_name",
+    "商品名称": "product_name",
+    "买家会员昵称": "buyer_name",
+    "买家昵称": "buyer_name",
+    "状态": "status",
 }
 TRANSFER_COLUMNS = (
     "order_id", "erp_order_id", "transfer_id", "lp_id", "product_code", "product_name", "warehouse_name", "transfer_time", "doc_type",
@@ -64,27 +88,22 @@ TRANSFER_COLUMNS = (
 )
 TRANSFER_NUMBERS = ("quantity", "nsv")
 TRANSFER_NAMES = {
-    "order_id": "交易订单号",
-    "erp_order_id": "ERP订单号",
-    "transfer_id": "单号",
-    "lp_id": "LP单号",
-    "product_code": "货品编码",
-    "product_name": "货品名称",
-    "warehouse_name": "仓库名称",
-    "transfer_time": "出入库时间",
-    "doc_type": "单据类型",
-    "stock_type": "库存类型",
-    "merchant_code": "商家编码",
-    "quantity": "出入数量",
-    "nsv": "NSV",
+    "交易订单号": "order_id",
+    "ERP订单号": "erp_order_id",
+    "单号": "transfer_id",
+    "LP单号": "lp_id",
+    "货品编码": "product_code",
+    "货品名称": "product_name",
+    "仓库名称": "warehouse_name",
+    "出入库时间": "transfer_time",
+    "单据类型": "doc_type",
+    "库存类型": "stock_type",
+    "商家编码": "merchant_code",
+    "出入数量": "quantity",
+    "NSV": "nsv",
 }
 
 
-def aliases(*names: dict[str, str]) -> dict[str, str]:
-    """Source name to standard name; later tables win."""
-    return {source: target for table in names for target, sources in table.items() for source in sources.split()}
-
-
 def standardised(df: DataFrame, names: dict[str, str], standard: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
     """The ``standard`` columns of a raw table in their order: the first source column of each, blank where there is none.
 
@@ -117,15 +136,15 @@ def clean_settlement_batches(df: DataFrame) -> DataFrame:
 
 def clean_sellout(df: DataFrame) -> DataFrame:
     """A shipment sheet of either layout as 20 columns."""
-    return standardised(df, aliases(SELLOUT_NAMES), SELLOUT_COLUMNS, SELLOUT_NUMBERS)
+    return standardised(df, SELLOUT_NAMES, SELLOUT_COLUMNS, SELLOUT_NUMBERS)
 
 
 def clean_refund(df: DataFrame) -> DataFrame:
     """A refund or return sheet, in the refund layout or in that of shipments: the refund columns, then the other shipment columns."""
     standard = tuple(dict.fromkeys(REFUND_COLUMNS + SELLOUT_COLUMNS))
-    return standardised(df, aliases(SELLOUT_NAMES, REFUND_NAMES), standard, REFUND_NUMBERS)
+    return standardised(df, SELLOUT_NAMES | REFUND_NAMES, standard, REFUND_NUMBERS)
 
 
 def clean_transfer(df: DataFrame) -> DataFrame:
     """A sheet of transfers back to the bonded warehouse as 16 columns."""
-    return standardised(df, aliases(TRANSFER_NAMES), TRANSFER_COLUMNS, TRANSFER_NUMBERS)
+    return standardised(df, TRANSFER_NAMES, TRANSFER_COLUMNS, TRANSFER_NUMBERS)
