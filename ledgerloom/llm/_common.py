@@ -1,45 +1,16 @@
-"""Shared pieces: scratch tables, distributed numbering, small text constants."""
+"""Shared pieces: distributed numbering, samples, small text constants; scratch tables as the rest of the library writes them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scratch import materialise  # noqa: F401  (the operators take it from here)
+
 #: ASCII white space and its complement, as Java and Python regular expressions read them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, a notebook on one machine) is a temporary folder made.
-    """
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    return _own_dir
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage with files that outlive any executor, so work that several later steps need is done
-    once and generated row numbers stay what they were.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def wrapped(docs: DataFrame, **more: Column) -> DataFrame:
     """All columns of ``docs`` in one struct ``doc``, and ``more`` beside it: no name of theirs can clash with ours."""

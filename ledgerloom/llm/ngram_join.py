@@ -401,9 +401,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     fewer words is one n-gram). Documents with equal sets are a class, named by its smallest id; documents with a
     Jaccard similarity of 0.8 or more are linked, and ``n_links`` counts them, copies included. ``component_id`` is the
     smallest id reachable, and the document with that id is kept. Null or blank texts have no set and link with
-    nothing. Rows that repeat an id count as documents of their own. An empty table gives no rows. A text may have any
-    length: it is hashed block by block, and what stays is a hash of 8 bytes for each word. A pair at the threshold is found with a probability of ``recall``
-    at least, if nodes of more than ``leaf`` classes split to the last level; one that is found is decided exactly.
+    nothing. Rows that repeat an id count as documents of their own. Ids are whole numbers. An empty table gives no rows.
+    A text may have any length: it is hashed block by block, and what stays is a hash of 8 bytes for each word. A pair at
+    the threshold is found with a probability of ``recall`` at least, if nodes of more than ``leaf`` classes split to the
+    last level; one that is found is decided exactly.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialise(numbered(_signed(base, n)), "op1-signatures")
@@ -443,7 +444,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component of similar ones, the one with the smallest id; columns stay as they are.
 
-    Rows that share an id stay or go together.
+    Rows that share an id stay or go together; rows without an id stay.
     """
     gone = similar_documents(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("_gone"))
     return wrapped(docs, id=F.col(id_col)).join(gone, F.col("id") == F.col("_gone"), "left_anti").select("doc.*")
