@@ -40,3 +40,24 @@ def test_earliest_smaller_rows_block_by_block(spark, monkeypatch, window):
     got = candidates.manual_subsets(_records(spark, banks), _records(spark, entries), window=window, pool=9, steps=1000).collect()
     assert want and {r["ledgers"][0]: r["banks"] for r in got} == want and len(got) == len(want)
 
+
+def test_runs_beyond_all_entries_are_not_made(spark):
+    bank = _records(spark, _drawn(3, 300, "b", 500)).withColumn("limit", F.lit(900))
+    few, every = candidates.runs(bank, 2, 80, "limit"), candidates.runs(bank, 2, 80)
+    assert sorted(few.collect()) == sorted(every.where("total <= 900").collect())
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_windows_against_single_entries_and_runs(spark):
+    banks, entries = sorted(_drawn(4, 60, "b", 60), key=lambda r: r[2]), sorted(_drawn(5, 40, "l", 200), key=lambda r: r[2])
+
+    def spans(rows, least, most):
+        for a in ("", "1", "2"):
+            mine = [r for r in rows if r[1] == a]
+            yield from ((a, mine[x : x + n]) for x in range(len(mine)) for n in range(least, min(most, len(mine) - x) + 1))
+
+    for size in ((1, 1), (2, 4)):
+        want = sorted(("|".join(r[0] for r in x), "|".join(r[0] for r in y)) for a, x in spans(banks, 2, 10) for b, y in spans(entries, *size) if a == b and abs(sum(r[3] for r in x) - sum(r[3] for r in y)) <= 1)
+        got = candidates.window_groups(_records(spark, banks), _records(spark, entries), 1, 10, *size, keep=None)
+        assert want and sorted(("|".join(r["banks"]), "|".join(r["ledgers"])) for r in got.collect()) == want
