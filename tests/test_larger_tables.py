@@ -79,3 +79,22 @@ def test_entries_meet_lists_of_equal_amounts(spark, window):
     if window == 45:
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(l_id" not in plan
+
+
+def test_members_are_told_alike_for_pairs_and_groups(spark):
+    bank, ledger = _records(spark, _drawn(8, 6, "b", 50)), _records(spark, _drawn(9, 6, "l", 50))
+    more = {c: F.lit("") for c in ("description", "voucher_no")}
+    bank, ledger = bank.withColumns(more), ledger.withColumns(more)
+    rows = [("one_to_one", ["b1"], ["l2"]), ("one_to_one", ["b2"], ["gone"]), ("many_to_one", ["b4", "b3"], ["l1"]), ("own", ["b5"], ["l5"])]
+    day = datetime.date(2022, 1, 2)
+    made = candidates.signature(spark.createDataFrame([(*r, 5, 6, 0.5, day, day, "needs_review", "", True, 0.8, "") for r in rows], "match_type string, banks array<string>, ledgers array<string>, bank_cents long, ledger_cents long, score double, period_start date, period_end date, status string, candidate_id string, llm_approve boolean, llm_confidence double, llm_reason string"))
+    made = made.withColumn("candidate_signature", F.when(F.col("match_type") == "own", "mine").otherwise(F.col("candidate_signature")))
+    told = {r["candidate_signature"]: json.loads(r["payload"]) for r in review.payload(made, bank, ledger).collect()}
+    assert {k: ([x["id"] for x in v["bank_rows"]], [x["id"] for x in v["ledger_rows"]]) for k, v in told.items()} == {"one_to_one:b1:l2": (["b1"], ["l2"]), "many_to_one:b4|b3:l1": (["b4", "b3"], ["l1"]), "mine": (["b5"], ["l5"])}
+    assert [x["pos"] for x in told["many_to_one:b4|b3:l1"]["bank_rows"]] == [0, 1]
+    used = spark.createDataFrame([("bank", "b5")], "side string, id string")
+    table = review.review_table(made, used, bank, ledger)
+    seen = {r["candidate_signature"]: r for r in table.collect()}
+    assert set(seen) == {"one_to_one:b1:l2", "one_to_one:b2:gone", "many_to_one:b4|b3:l1"}
+    assert seen["one_to_one:b2:gone"]["ledger_summary"] is None and seen["one_to_one:b1:l2"]["ledger_summary"].startswith("l2 | 2022-01-")
+    assert seen["many_to_one:b4|b3:l1"]["bank_summary"].split(review.LINE_BREAK)[0].startswith("b4 |") and seen["one_to_one:b1:l2"]["counterparty_consistency"] == 1.0
