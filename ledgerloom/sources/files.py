@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -71,10 +72,9 @@ def read_settlement_csv(spark: SparkSession, paths: list[str] | str, block_bytes
                 if names is None:
                     continue  # nothing to name the columns by
                 found = block_records(r["path"], r["start"], r["end"], r["inside"], r["encoding"])
-                rows = [x for x in (found[1:] if r["start"] == 0 else found) if x]
+                rows = (x for x in islice(found, int(r["start"] == 0), None) if x)
                 place = {n: k for k, n in reversed(list(enumerate(names)))}
-                for low in range(0, len(rows), 10_000):
-                    part = rows[low : low + 10_000]
+                while part := list(islice(rows, 10_000)):
                     told = [[x[place[n]] if place[n] < len(x) else "" for x in part] if n in place else [None] * len(part) for n in union]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in told), pa.array([r["path"]] * len(part))], [*union, "source_path"])
 

@@ -10,12 +10,14 @@ block's last record is read beyond the block.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import json
 import re
 import sys
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,25 +61,25 @@ def listed(paths: list[str], ending: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
-def quoted_spans(raw: bytes, inside: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Stretches of ``raw`` within quotes, and whether it ends within them. A quote opens only where a field begins."""
-    spans, at = [], 0
+def quoted_spans(raw: bytes, inside: bool) -> Iterator[tuple[int, int, bool]]:
+    """Stretches of ``raw`` within quotes, and whether each is closed; only the last one may not be. A quote opens only
+    where a field begins."""
+    at = 0
     if inside:
         m = _BODY.match(raw)
-        spans.append((0, m.end()))
+        yield 0, m.end(), bool(m[1])
         if not m[1]:
-            return spans, True
+            return
         at = m.end()
     while (at := raw.find(b'"', at)) >= 0:
         if (raw[at - 1] if at else -1) not in _FIELD_START:
             at += 1
             continue
         m = _BODY.match(raw, at + 1)
-        spans.append((at, m.end()))
+        yield at, m.end(), bool(m[1])
         if not m[1]:
-            return spans, True
+            return
         at = m.end()
-    return spans, False
 
 
 def records_ended(raw: bytes, inside: bool, last: bool) -> tuple[int, bool, int]:
@@ -85,14 +87,14 @@ def records_ended(raw: bytes, inside: bool, last: bool) -> tuple[int, bool, int]
 
     At the end of a file the last record may end without a line break.
     """
-    spans, open_ = quoted_spans(raw, inside)
-    n = raw.count(b"\n") - sum(raw.count(b"\n", a, b) for a, b in spans)
-    first, at = -1, 0
-    for a, b in [*spans, (len(raw), len(raw))]:
-        if (found := raw.find(b"\n", at, a)) >= 0:
+    n, open_, first, at = raw.count(b"\n"), False, -1, 0
+    for a, b, closed in quoted_spans(raw, inside):
+        n -= raw.count(b"\n", a, b)
+        if first < 0 and (found := raw.find(b"\n", at, a)) >= 0:
             first = found + 1
-            break
-        at = b
+        at, open_ = b, not closed
+    if first < 0 and (found := raw.find(b"\n", at)) >= 0:
+        first = found + 1
     if last and raw and (open_ or not raw.endswith(b"\n")):
         n += 1
         first = len(raw) if first < 0 else first
@@ -111,8 +113,10 @@ def _line_start(f, size: int, at: int) -> int:
 
 
 def _readable(raw: bytes, encoding: str) -> bool:
+    told, size = codecs.getincrementaldecoder(encoding)(), 1 << 20
     try:
-        raw.decode(encoding)
+        for at in range(0, len(raw), size):
+            told.decode(raw[at : at + size], at + size >= len(raw))
     except UnicodeDecodeError:
         return False
     return True
@@ -208,8 +212,8 @@ def parsed(text: str) -> list[list[str]]:
     return list(csv.reader(io.StringIO(text, newline="")))
 
 
-def block_records(path: str, start: int, end: int, inside: bool, encoding: str) -> list[list[str]]:
-    """The records that begin in the block, the last of them whole."""
+def block_records(path: str, start: int, end: int, inside: bool, encoding: str) -> Iterator[list[str]]:
+    """The records that begin in the block, the last of them whole; one by one, so that no more than its bytes is held."""
     system, name = opened(path)
     with system.open_input_file(name) as f:
         size = f.size()
@@ -218,17 +222,21 @@ def block_records(path: str, start: int, end: int, inside: bool, encoding: str)
         if inside:
             _, _, behind = records_ended(raw, True, end == size)
             if behind < 0:
-                return []  # all of it belongs to a record of an earlier block
+                return  # all of it belongs to a record of an earlier block
             raw = raw[behind:]
-        spans, open_ = quoted_spans(raw, False)
+        tail, open_ = 0, False  # the last quote, and whether it is still open
+        for at, _, closed in quoted_spans(raw, False):
+            tail, open_ = at, not closed
         while open_ and f.tell() < size:
-            tail = spans[-1][0]  # the quote that is still open
             raw += f.read(more)
             more *= 2
             _, still, behind = records_ended(raw[tail:], False, f.tell() >= size)
             if behind >= 0:
                 raw, open_ = raw[: tail + behind], False
-    return parsed(_decoded(raw.removeprefix(b"\xef\xbb\xbf") if start == 0 else raw, encoding))
+    csv.field_size_limit(sys.maxsize)
+    lines = io.BytesIO(raw.removeprefix(b"\xef\xbb\xbf") if start == 0 else raw)
+    del raw
+    yield from csv.reader(_decoded(line, encoding) for line in lines)
 
 
 def _spread(table: DataFrame) -> DataFrame:
@@ -247,10 +255,10 @@ def cells_of(table: DataFrame, carried: list[str]) -> DataFrame:
                 at = {c: batch.column(c)[k].as_py() for c in ("path", "start", "end", "inside", "encoding", "row")}
                 found = block_records(*(at[c] for c in ("path", "start", "end", "inside", "encoding")))
                 first = at["row"] + at["inside"] + 1
-                for low in range(0, len(found), 10_000):
-                    part = found[low : low + 10_000]
+                while part := list(islice(found, 10_000)):
                     same = [pa.array([batch.column(c)[k].as_py()] * len(part), batch.schema.field(c).type) for c in (*carried, "path")]
-                    rows = pa.array(range(first + low, first + low + len(part)), pa.int64())
+                    rows = pa.array(range(first, first + len(part)), pa.int64())
+                    first += len(part)
                     yield pa.RecordBatch.from_arrays([*same, rows, pa.array(part, pa.list_(pa.string()))], [*carried, "path", "row_no", "cells"])
 
     return _spread(table).mapInArrow(run, ", ".join([*kinds, "path string", "row_no long", "cells array<string>"]))

@@ -90,3 +90,20 @@ def test_long_records_pass_block_ends(spark, tmp_path):
     (tmp_path / "b" / "s.csv").write_text(f'1,"{body}",z\n2,b,c\n')
     got = sorted((r["row_no"], [len(c) for c in r["cells"]]) for r in records.read_cells(spark, str(tmp_path), block_bytes=100_000).collect())
     assert got == [(1, [1, 72 * 60_000, 1]), (2, [1, 1, 1])]
+
+
+def test_a_block_is_never_held_as_records(tmp_path):
+    import tracemalloc
+
+    path = tmp_path / "a.csv"
+    path.write_text('1,"2,50",数据,,x\n' * 200_000, encoding="utf-8")
+    size = path.stat().st_size
+    raw = path.read_bytes()
+    tracemalloc.start()
+    n = sum(len(r) == 5 for r in records.block_records(str(path), 0, size, False, "utf-8"))
+    ended = records.records_ended(raw, False, True)
+    fits = [records._readable(raw, e) for e in ("utf-8", "gb18030")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == ended[0] == 200_000 and fits[0]
+    assert peak < 2 * size + (8 << 20)
