@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import subset
 from ledgerloom.functions.subset import subset_sum
 from ledgerloom.operators import candidates, review
 
@@ -98,3 +99,48 @@ def test_members_are_told_alike_for_pairs_and_groups(spark):
     assert set(seen) == {"one_to_one:b1:l2", "one_to_one:b2:gone", "many_to_one:b4|b3:l1"}
     assert seen["one_to_one:b2:gone"]["ledger_summary"] is None and seen["one_to_one:b1:l2"]["ledger_summary"].startswith("l2 | 2022-01-")
     assert seen["many_to_one:b4|b3:l1"]["bank_summary"].split(review.LINE_BREAK)[0].startswith("b4 |") and seen["one_to_one:b1:l2"]["counterparty_consistency"] == 1.0
+
+
+@pytest.mark.parametrize("early", [0, 5])
+def test_smallest_amounts_are_counted_as_if_visited(monkeypatch, early):
+    """Plain search, node by node, against the one that looks the smallest amounts up."""
+    monkeypatch.setattr(subset, "EARLY", early)
+    monkeypatch.setattr(subset, "TAIL", 6)
+    r = random.Random(10)
+    for _ in range(3000):
+        high = r.choice([4, 30, 1000])
+        amounts = [r.randrange(-1, high) for _ in range(r.randrange(0, 16))]
+        target, tolerance, most, least, steps, results = r.randrange(0, high * 5), r.randrange(0, 3), r.randrange(1, 12), r.randrange(1, 4), r.choice([5, 50, 500, 100_000]), r.choice([1, 3])
+        order = sorted((k for k, a in enumerate(amounts) if a > 0), key=lambda k: -amounts[k])
+        found, seen = [], 1
+
+        def go(at, chosen, total):
+            nonlocal seen
+            for x in range(at, len(order)):
+                now = total + amounts[order[x]]
+                if now > target + tolerance:
+                    continue
+                if total + sum(amounts[k] for k in order[x : x + most - len(chosen)]) < target - tolerance:
+                    return True
+                seen += 1
+                if seen > steps:
+                    return False
+                if len(chosen) + 1 >= least and now >= target - tolerance:
+                    found.append([*chosen, order[x]])
+                    if len(found) >= results:
+                        return False
+                elif len(chosen) + 1 < most and not go(x + 1, [*chosen, order[x]], now):
+                    return False
+            return True
+
+        go(0, [], 0)
+        assert subset.subset_sums(amounts, target, tolerance, most, least, steps, results) == (found, seen <= steps)
+
+
+def test_long_searches_look_the_smallest_amounts_up():
+    r = random.Random(11)
+    amounts = [r.randrange(1000, 30_000_000) * 4 for _ in range(80)]
+    subset._tail_sums.cache_clear()
+    found, ended = subset.subset_sums(amounts, 120_000_002, 1, 60, 2, 100_000)  # no sum of fours is that near
+    told = subset._tail_sums.cache_info()
+    assert (found, ended) == ([], False) and 0 < told.hits < 5_000
