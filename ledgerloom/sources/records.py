@@ -26,7 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.scratch import materialise
 
-BLOCK_BYTES = 32 << 20
+#: Bytes of a block, and of the blocks that one task reads at least; what opening a file costs, in bytes.
+BLOCK_BYTES, OPENING = 32 << 20, 1 << 16
 # Encodings in the order in which they are tried; the last one reads anything.
 ENCODINGS = ("utf-8", "gbk", "gb18030", "latin-1")
 
@@ -123,8 +124,10 @@ def _readable(raw: bytes, encoding: str) -> bool:
 
 
 class _Blocks(InputPartition):
-    def __init__(self, blocks: list[tuple[str, int, int, int, int]]):
-        self.blocks = blocks
+    """Stretches of files, each of some blocks: path, size, number of the first block and of the one behind the last."""
+
+    def __init__(self, stretches: list[tuple[str, int, int, int]]):
+        self.stretches = stretches
 
 
 class _BlockReader(DataSourceReader):
@@ -135,30 +138,40 @@ class _BlockReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         packs, pack, full = [], [], 0
         for path, size in listed(self.paths, self.ending):
-            for k, at in enumerate(range(0, max(size, 1), self.size)):
-                pack.append((path, size, k, at, min(at + self.size, size)))
-                full += pack[-1][4] - at + (1 << 16)  # opening a small file costs as much as reading some of a large one
-                if full >= self.size:
-                    packs, pack, full = [*packs, pack], [], 0
+            k, count = 0, max(1, -(-size // self.size))
+            while k < count:
+                # Opening a small file costs as much as reading some of a large one, and a task as much as reading many blocks.
+                upto = min(count, k + max(1, (max(self.size, BLOCK_BYTES) - full - OPENING) // self.size))
+                pack.append((path, size, k, upto))
+                full, k = full + (upto - k) * self.size + OPENING, upto
+                if full + self.size + OPENING > max(self.size, BLOCK_BYTES):
+                    packs.append(pack)
+                    pack, full = [], 0
         return [_Blocks(p) for p in ([*packs, pack] if pack or not packs else packs)]
 
     def read(self, partition: _Blocks) -> Iterator[tuple]:
-        for path, size, k, low, high in partition.blocks:
+        for path, size, first, upto in partition.stretches:
             system, name = opened(path)
             with system.open_input_file(name) as f:
-                start, end = _line_start(f, size, low), _line_start(f, size, high)
-                if start == end and k:
-                    continue  # one line covers all of the block
-                f.seek(start)
-                raw = f.read(end - start)
-            last = end == size
-            n_out, open_out, head = records_ended(raw, False, last)
-            n_in, open_in, _ = records_ended(raw, True, last) if b'"' in raw or k else (n_out, open_out, head)
-            if b'"' not in raw and k:
-                n_in, open_in = int(last and bool(raw)), True
-            plain = raw.isascii()
-            fits = [plain or _readable(raw, e) for e in ENCODINGS[:-1]]
-            yield path, k, start, end, fits, open_out, open_in, n_out, n_in, bool(_FILLED.search(raw)), raw[: max(head, 0)] if not k else None
+                end = _line_start(f, size, first * self.size)
+                for k in range(first, upto):
+                    high = min((k + 1) * self.size, size)
+                    start, end = end, end if high <= end else _line_start(f, size, high)
+                    if start < end or not k:  # else one line covers all of the block
+                        yield self._told(f, path, size, k, start, end)
+
+    @staticmethod
+    def _told(f, path: str, size: int, k: int, start: int, end: int) -> tuple:
+        f.seek(start)
+        raw = f.read(end - start)
+        last = end == size
+        n_out, open_out, head = records_ended(raw, False, last)
+        n_in, open_in, _ = records_ended(raw, True, last) if b'"' in raw or k else (n_out, open_out, head)
+        if b'"' not in raw and k:
+            n_in, open_in = int(last and bool(raw)), True
+        plain = raw.isascii()
+        fits = [plain or _readable(raw, e) for e in ENCODINGS[:-1]]
+        return path, k, start, end, fits, open_out, open_in, n_out, n_in, bool(_FILLED.search(raw)), raw[: max(head, 0)] if not k else None
 
 
 class RecordBlocks(DataSource):
@@ -240,9 +253,10 @@ def block_records(path: str, start: int, end: int, inside: bool, encoding: str)
 
 
 def _spread(table: DataFrame) -> DataFrame:
-    """A task for each block: blocks are few and large."""
-    n = max(1, table.count())
-    return table.repartition(min(n, 100_000), "path", "block")
+    """A task for each block of :data:`BLOCK_BYTES`, or for as many smaller ones, if there are more of them than cores."""
+    n, total = table.agg(F.count(F.lit(1)), F.sum(F.col("end") - F.col("start"))).first()
+    tasks = max(-(-(total or 0) // BLOCK_BYTES), table.sparkSession.sparkContext.defaultParallelism)
+    return table.repartition(max(1, min(n, tasks, 100_000)), "path", "block")
 
 
 def cells_of(table: DataFrame, carried: list[str]) -> DataFrame:
@@ -251,15 +265,30 @@ def cells_of(table: DataFrame, carried: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[int] = []
+            cells: list[list[str]] = []
+            own: list[int] = []  # the block of each row
+
+            def told() -> pa.RecordBatch:
+                same = [batch.column(c).take(pa.array(own, pa.int32())) for c in (*carried, "path")]
+                made = pa.RecordBatch.from_arrays([*same, pa.array(rows, pa.int64()), pa.array(cells, pa.list_(pa.string()))], [*carried, "path", "row_no", "cells"])
+                for held in (rows, cells, own):
+                    held.clear()
+                return made
+
             for k in range(batch.num_rows):
                 at = {c: batch.column(c)[k].as_py() for c in ("path", "start", "end", "inside", "encoding", "row")}
                 found = block_records(*(at[c] for c in ("path", "start", "end", "inside", "encoding")))
                 first = at["row"] + at["inside"] + 1
-                while part := list(islice(found, 10_000)):
-                    same = [pa.array([batch.column(c)[k].as_py()] * len(part), batch.schema.field(c).type) for c in (*carried, "path")]
-                    rows = pa.array(range(first, first + len(part)), pa.int64())
+                while part := list(islice(found, 10_000 - len(rows))):
+                    rows += range(first, first + len(part))
+                    cells += part
+                    own += [k] * len(part)
                     first += len(part)
-                    yield pa.RecordBatch.from_arrays([*same, rows, pa.array(part, pa.list_(pa.string()))], [*carried, "path", "row_no", "cells"])
+                    if len(rows) >= 10_000:
+                        yield told()
+            if rows:
+                yield told()
 
     return _spread(table).mapInArrow(run, ", ".join([*kinds, "path string", "row_no long", "cells array<string>"]))
 
